@@ -6,7 +6,14 @@ and count it; every result is a DataFrame, so the same code serves batch jobs
 and Structured Streaming.
 """
 
-from linesift.operators.grep import grep, compile_search
-from linesift.sources.tables import corpus_segments, documents_corpus
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Python steps (mapInPandas) pickle this package's functions by value, so executors need no copy of it.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
+from linesift.operators.grep import grep, compile_search  # noqa: E402
+from linesift.sources.tables import corpus_segments, documents_corpus  # noqa: E402
 
 __all__ = ["grep", "compile_search", "corpus_segments", "documents_corpus"]

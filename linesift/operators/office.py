@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linesift.functions.text import extension, strip_py
+from linesift.session import stage
 
 # The OOXML namespaces the extractors read.
 NS = {
@@ -218,10 +219,16 @@ def _token_batches(batches: Iterator[pd.DataFrame], target_sheets) -> Iterator[p
 
 
 def tokenize(packages: DataFrame, target_sheets: Iterable[str] | None = None) -> DataFrame:
-    """``path, content`` -> token rows, hash-partitioned by ``path`` (one shuffle for all assembly steps)."""
+    """``path, content`` -> token rows, hash-partitioned by ``path`` (one shuffle for all assembly steps).
+
+    The rows are staged (see ``linesift.session.stage``): computed once, then read by every branch.
+    """
     ts = frozenset(target_sheets) if target_sheets is not None else None
     toks = packages.select("path", "content").mapInPandas(lambda it: _token_batches(it, ts), TOKEN_SCHEMA)
-    return toks.repartition("path")
+    # several assembly branches read the tokens: compute them once, keep the partitioning by path
+    n = int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # an explicit count: AQE keeps it, so the staged rows stay hash-partitioned by path
+    return stage(toks.repartition(n, "path"))
 
 
 def concat_ordered(order: str, text: str) -> Column:

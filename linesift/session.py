@@ -60,3 +60,34 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
     except RuntimeError:
         spark.sparkContext.setCheckpointDir(fallback)
         return checkpoint_root(spark)
+
+
+def stage(df, force_checkpoint: bool = False):
+    """Compute ``df`` once for several consumers.
+
+    With a shared checkpoint folder: persist, reliable ``checkpoint()`` (lineage
+    cut, survives executor loss; the partitioning is kept), then drop the cache.
+    Without one: ``persist(MEMORY_AND_DISK)``; lost blocks are recomputed from lineage.
+    """
+    from pyspark import StorageLevel
+
+    spark = df.sparkSession
+    try:
+        checkpoint_root(spark)
+        has_dir = True
+    except RuntimeError:
+        has_dir = False
+    if not has_dir and not force_checkpoint:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
+    # AQE would hide the hash partitioning of the staged plan; plan this one job without it
+    prev = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+        out = cached.checkpoint(eager=True)
+        cached.unpersist()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", prev)
+    return out
