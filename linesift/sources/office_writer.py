@@ -137,24 +137,27 @@ def pptx_bytes(text: str, lang: str) -> bytes:
     return _zip(parts)
 
 
-def _pack_batches(kind: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pack_one(kind: str, row) -> bytes:
+    if kind == "docx":
+        return docx_bytes(row.text, row.source, row.lang)
+    if kind == "xlsx":
+        return xlsx_bytes(row.text, row.source, row.lang, int(row.n_chars))
+    if kind == "pptx":
+        return pptx_bytes(row.text, row.lang)
+    return row.text.encode("utf-8")  # "text", or "broken": the text itself under an Office name
+
+
+def _pack_batches(kind: str | None, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        out = []
-        for row in pdf.itertuples(index=False):
-            if kind == "docx":
-                out.append(docx_bytes(row.text, row.source, row.lang))
-            elif kind == "xlsx":
-                out.append(xlsx_bytes(row.text, row.source, row.lang, int(row.n_chars)))
-            elif kind == "pptx":
-                out.append(pptx_bytes(row.text, row.lang))
-            else:  # a broken package: the text itself under an Office name
-                out.append(row.text.encode("utf-8"))
+        out = [_pack_one(kind or row.kind, row) for row in pdf.itertuples(index=False)]
         yield pd.DataFrame({"path": pdf["path"], "content": out})
 
 
-def pack(rows: DataFrame, kind: str) -> DataFrame:
-    """``path, text, source, lang, n_chars`` rows -> ``path, content`` packages of ``kind``
-    (``docx``, ``xlsx``, ``pptx``, or ``broken`` for text bytes under an Office name)."""
-    return rows.select("path", "text", "source", "lang", "n_chars").mapInPandas(
-        lambda it: _pack_batches(kind, it), PACKAGE_SCHEMA
-    )
+def pack(rows: DataFrame, kind: str | None = None) -> DataFrame:
+    """``path, text, source, lang, n_chars`` rows -> ``path, content`` packages.
+
+    ``kind`` is ``docx``, ``xlsx``, ``pptx``, ``text`` or ``broken`` (text bytes under an
+    Office name); with ``kind=None`` each row names its own in a ``kind`` column.
+    """
+    cols = ["path", "text", "source", "lang", "n_chars"] + (["kind"] if kind is None else [])
+    return rows.select(*cols).mapInPandas(lambda it: _pack_batches(kind, it), PACKAGE_SCHEMA)
