@@ -77,7 +77,9 @@ def truncate_display(content: Column | str, width: int = DISPLAY_WIDTH) -> Colum
 
 
 def count_matching_chars(text: Column | str, char_class: str) -> Column:
-    """Number of characters of ``text`` inside the regex class ``char_class`` (e.g. ``[a-z]``)."""
+    """Number of characters of ``text`` inside the regex class ``char_class`` (e.g. ``[a-z]``).
+
+    Removes only the (usually rare) matching characters and compares lengths.
+    """
     t = _col(text)
-    negated = "[^" + char_class[1:] if not char_class.startswith("[^") else "[" + char_class[2:]
-    return F.length(F.regexp_replace(t, negated, ""))
+    return F.length(t) - F.length(F.regexp_replace(t, char_class, ""))

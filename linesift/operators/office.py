@@ -48,7 +48,7 @@ NOTES_LABEL = "(ノート)"
 
 TOKEN_SCHEMA = (
     "path string, part string, part_ord int, kind string, ord long, parent_ord long, "
-    "ref string, type string, text string, flag boolean, error string"
+    "ref string, type string, text string, flag boolean, error string, content binary"
 )
 _SLIDE = re.compile(r"ppt/slides/slide(\d+)\.xml$")
 _NOTES = re.compile(r"ppt/notesSlides/notesSlide(\d+)\.xml$")
@@ -58,8 +58,9 @@ def _q(ns: str, tag: str) -> str:
     return "{" + NS[ns] + "}" + tag
 
 
-def _tok(path, part, part_ord, kind, ord_=0, parent=None, ref=None, type_=None, text=None, flag=None, error=None):
-    return (path, part, part_ord, kind, ord_, parent, ref, type_, text, flag, error)
+def _tok(path, part, part_ord, kind, ord_=0, parent=None, ref=None, type_=None, text=None, flag=None, error=None,
+         content=None):
+    return (path, part, part_ord, kind, ord_, parent, ref, type_, text, flag, error, content)
 
 
 def _word_tokens(path: str, zf: zipfile.ZipFile) -> Iterable[tuple]:
@@ -201,7 +202,13 @@ def package_tokens(path: str, content: bytes, target_sheets: frozenset[str] | No
                 return list(_powerpoint_tokens(path, zf))
             return []
     except Exception as e:  # noqa: BLE001 - not a ZIP package
-        return [_tok(path, None, None, "error", error=f"Error parsing {KIND_NAME.get(ext, 'OFFICE')} {path}: {e}")]
+        # Reported, and its bytes kept for the text fallback.  (A file that opens as a ZIP
+        # but gives no segments needs no fallback: every ZIP header holds a NUL byte in
+        # its first 1,024 bytes, so the text scan would skip it as binary.)
+        return [
+            _tok(path, None, None, "error", error=f"Error parsing {KIND_NAME.get(ext, 'OFFICE')} {path}: {e}"),
+            _tok(path, None, None, "raw", content=content),
+        ]
 
 
 def _token_batches(batches: Iterator[pd.DataFrame], target_sheets) -> Iterator[pd.DataFrame]:
@@ -248,6 +255,11 @@ def _segments(df: DataFrame, raw: Column, location: Column, meta: Column, seq: C
     )
 
 
+def unreadable_packages(tokens: DataFrame) -> DataFrame:
+    """``file_path, content`` of files with an Office name that are not packages (for the text fallback)."""
+    return tokens.where(F.col("kind") == "raw").select(F.col("path").alias("file_path"), "content")
+
+
 def errors(tokens: DataFrame) -> DataFrame:
     """Side output: ``file_path, stage, message``."""
     return tokens.where(F.col("kind") == "error").select(

@@ -24,7 +24,8 @@ LANG_KIND = {"en": "text", "de": "docx", "fr": "xlsx", "es": "pptx"}
 BROKEN_SOURCE = "src0"
 
 
-def mixed_files(spark, sf) -> DataFrame:
+def mixed_files(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(Office files, text files) of the tree; text bytes are encoded natively, packages in Python."""
     docs = read_table(spark, sf, "documents")
     kind = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in LANG_KIND.items() for x in (F.lit(k), F.lit(v))]),
                                        F.col("lang")), F.lit("text"))
@@ -35,24 +36,32 @@ def mixed_files(spark, sf) -> DataFrame:
         "text", "source", "lang", "n_chars",
         F.when(broken, F.lit("broken")).otherwise(kind).alias("kind"),
     )
-    return pack(rows).select(F.col("path").alias("file_path"), "content")
+    office_rows = rows.where(F.col("kind") != "text")
+    text_files = rows.where(F.col("kind") == "text").select(
+        F.col("path").alias("file_path"), F.encode("text", "UTF-8").alias("content"))
+    return pack(office_rows).select(F.col("path").alias("file_path"), "content"), text_files
+
+
+def _scan_mixed(spark, sf):
+    office_files, text_files = mixed_files(spark, sf)
+    return scan(office_files=office_files, text_files=text_files)
 
 
 def q_scan_mixed(spark, sf):
-    segs, _errors = scan(mixed_files(spark, sf))
+    segs, _errors = _scan_mixed(spark, sf)
     hits = grep(segs, "")
     return hits.select("file_path", "line_number", "location_display", "line_content",
                        F.col("metadata")["office_type"].alias("office_type"))
 
 
 def q_office_text_fallback(spark, sf):
-    segs, _errors = scan(mixed_files(spark, sf))
+    segs, _errors = _scan_mixed(spark, sf)
     fb = segs.where((F.col("location_display") == "") & F.col("ext").isin(".docx", ".xlsx", ".pptx"))
     return grep(fb, "").select("file_path", "line_number", "line_content")
 
 
 def q_scan_errors(spark, sf):
-    _segs, errors = scan(mixed_files(spark, sf))
+    _segs, errors = _scan_mixed(spark, sf)
     return errors.select("file_path", "stage", "message")
 
 

@@ -61,37 +61,44 @@ def text_segments(files: DataFrame, encodings=enc.ENGINE_ENCODINGS) -> tuple[Dat
     return segs, errs
 
 
-def scan(files: DataFrame, target_sheets: Iterable[str] | None = None, encodings=enc.ENGINE_ENCODINGS) -> tuple[DataFrame, DataFrame]:
-    """``file_path, content`` -> (segments, errors)."""
-    is_office = _office_ext()
-    packages = files.where(is_office).select(F.col("file_path").alias("path"), "content")
-    tokens = office.tokenize(packages, target_sheets)
+def scan(
+    files: DataFrame | None = None,
+    target_sheets: Iterable[str] | None = None,
+    encodings=enc.ENGINE_ENCODINGS,
+    office_files: DataFrame | None = None,
+    text_files: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``file_path, content`` -> (segments, errors).
+
+    Pass ``files`` (split here by extension), or the two branches already split
+    (``office_files``, ``text_files``) so each input is computed once.
+    """
+    if files is not None:
+        office_files, text_files = files.where(_office_ext()), files.where(~_office_ext())
+    tokens = office.tokenize(office_files.select(F.col("file_path").alias("path"), "content"), target_sheets)
     off = merge_office_type(office.office_segments(tokens, target_sheets))
-    produced = off.select("file_path").distinct()
-    fallback = files.where(is_office).join(produced, "file_path", "left_anti")
-    txt, dec_errors = text_segments(files.where(~is_office).unionByName(fallback), encodings)
+    fallback = office.unreadable_packages(tokens)
+    txt, dec_errors = text_segments(text_files.select("file_path", "content").unionByName(fallback), encodings)
     return off.unionByName(txt), office.errors(tokens).unionByName(dec_errors)
 
 
 def scan_listing(listing: DataFrame, exclusions: Exclusions = Exclusions(), target_sheets=None,
                  encodings=enc.ENGINE_ENCODINGS) -> tuple[DataFrame, DataFrame]:
-    """A file listing (``list_files``) -> (segments, errors), pruning before any byte is read."""
+    """A file listing (``list_files``) -> (segments, errors), pruning before any byte is read.
+
+    Office and text files are loaded in separate branches, each file once.
+    """
     kept = prune(listing, exclusions)
     is_office = _office_ext()
-    office_list = kept.where(is_office)
-    office_bytes = load_contents(office_list)
-    ok = office_bytes.where(F.col("error").isNull())
-    tokens = office.tokenize(ok.select(F.col("file_path").alias("path"), "content"), target_sheets)
-    off = merge_office_type(office.office_segments(tokens, target_sheets))
-    produced = off.select("file_path").distinct()
-    fallback_list = office_list.join(produced, "file_path", "left_anti")
-    text_bytes = load_contents(kept.where(~is_office).unionByName(fallback_list))
-    read_errors = text_bytes.where(F.col("error").isNotNull()).select(
+    office_bytes = load_contents(kept.where(is_office))
+    text_bytes = load_contents(kept.where(~is_office))
+    read_errors = office_bytes.unionByName(text_bytes).where(F.col("error").isNotNull()).select(
         "file_path", F.lit("read").alias("stage"), F.col("error").alias("message")
     )
-    txt, dec_errors = text_segments(text_bytes.where(F.col("error").isNull()).select("file_path", "content"), encodings)
-    segs = off.unionByName(txt)
-    return segs, office.errors(tokens).unionByName(read_errors).unionByName(dec_errors)
+    ok = lambda df: df.where(F.col("error").isNull()).select("file_path", "content")
+    segs, errs = scan(office_files=ok(office_bytes), text_files=ok(text_bytes), target_sheets=target_sheets,
+                      encodings=encodings)
+    return segs, errs.unionByName(read_errors)
 
 
 def search(segments: DataFrame, needle: str, **opts) -> DataFrame:

@@ -91,3 +91,17 @@ def stage(df, force_checkpoint: bool = False):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", prev)
     return out
+
+
+def balanced(df, factor: int = 2):
+    """Spread a scan with fewer partitions than the cluster has task slots.
+
+    A large table has far more splits than slots and is returned unchanged (no
+    shuffle).  A small or single-row-group file would otherwise put all
+    regex and Python work into one task; it is round-robin repartitioned
+    (filters and column pruning still reach the scan below the repartition).
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linesift.functions.text import extension, basename, line_pieces, universal_newlines
+from linesift.session import balanced
 
 TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
 
@@ -20,8 +21,10 @@ def empty_meta() -> Column:
     return F.create_map().cast("map<string,string>")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """A given table; spread over the task slots when its scan has fewer partitions (see ``balanced``)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return balanced(df) if spread else df
 
 
 def documents_path() -> Column:
