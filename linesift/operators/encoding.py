@@ -238,6 +238,66 @@ def decode(files: DataFrame, encodings: Sequence[str] = ENGINE_ENCODINGS, prefer
     return native.unionByName(other)
 
 
+LENIENT_SCHEMA = (
+    "path string, text string, encoding_used string, success boolean, has_replacement_chars boolean, errors array<string>"
+)
+
+
+def lenient_text(content: bytes, encodings: Sequence[str]) -> tuple:
+    """Strict decode with the detected encoding, else the other candidates with replacement characters."""
+    if not content:
+        return "", "utf-8", True, False, []
+    best, conf = "utf-8", 0.0
+    if content.startswith(b"\xef\xbb\xbf"):
+        best = "utf-8-sig"
+    else:
+        for e in encodings:
+            try:
+                c = score(content.decode(e), e, content)
+            except (UnicodeError, LookupError):
+                continue
+            if c > conf:
+                best, conf = e, c
+    first = best
+    try:
+        text = content.decode(first)
+        return text, first, True, "\ufffd" in text, []
+    except (UnicodeError, LookupError) as e:
+        msg = str(e)
+    for other in [x for x in encodings if x != first]:
+        try:
+            return content.decode(other, errors="replace"), other, True, True, [f"Original encoding '{first}' failed: {msg}"]
+        except (UnicodeError, LookupError):
+            continue
+    return (content.decode("utf-8", errors="replace"), "utf-8", False, True,
+            ["All encodings failed. Used UTF-8 with replacement.", f"Original error: {msg}"])
+
+
+def _lenient_batches(it: Iterator[pd.DataFrame], encodings: Sequence[str]) -> Iterator[pd.DataFrame]:
+    cols = ["path", "text", "encoding_used", "success", "has_replacement_chars", "errors"]
+    for pdf in it:
+        rows = [(p, *lenient_text(bytes(c), encodings)) for p, c in zip(pdf["path"], pdf["content"])]
+        yield pd.DataFrame.from_records(rows, columns=cols)
+
+
+def decode_lenient(files: DataFrame, encodings: Sequence[str] = OFFICE_ENCODINGS) -> DataFrame:
+    """``path, content`` -> decoded content that never fails (``DecodedContent`` fields); valid UTF-8 stays native."""
+    enc_list = list(encodings)
+    valid = is_valid_utf8("content")
+    sig = F.substring("content", 1, 3) == F.lit(bytearray(b"\xef\xbb\xbf"))
+    native = files.where(valid).select(
+        "path",
+        F.when(sig, F.substring("content", 4, 1 << 30)).otherwise(F.col("content")).cast("string").alias("text"),
+        F.when(sig, F.lit("utf-8-sig")).otherwise(F.lit("utf-8")).alias("encoding_used"),
+        F.lit(True).alias("success"),
+        F.lit(False).alias("has_replacement_chars"),
+        F.array().cast("array<string>").alias("errors"),
+    )
+    native = native.withColumn("has_replacement_chars", F.col("text").contains("\ufffd"))
+    other = files.where(~valid).select("path", "content").mapInPandas(lambda it: _lenient_batches(it, enc_list), LENIENT_SCHEMA)
+    return native.unionByName(other)
+
+
 def decoded_lines(decoded: DataFrame) -> DataFrame:
     """Decoded files -> ``path, line_number, raw`` (universal newlines, terminator kept)."""
     ok = decoded.where(F.col("error").isNull())

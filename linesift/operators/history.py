@@ -32,3 +32,19 @@ def recent(log: DataFrame, keys: list[str], order: list[str], payload: list[str]
 def search_history(entries: DataFrame, cap: int = HISTORY_CAP) -> DataFrame:
     """History entries ``ts, keyword, directory, is_regex`` -> the list the reference keeps."""
     return recent(entries, ["keyword", "directory", "is_regex"], ["ts"], [], cap)
+
+
+HISTORY_SCHEMA = "ts timestamp, keyword string, directory string, is_regex boolean"
+
+
+def append_entry(spark, path: str, keyword: str, directory: str, is_regex: bool, ts=None) -> None:
+    """Append one search to the history table at ``path`` (Parquet, append-only log)."""
+    import datetime as dt
+
+    when = ts or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    spark.createDataFrame([(when, keyword, directory, bool(is_regex))], HISTORY_SCHEMA).write.mode("append").parquet(path)
+
+
+def read_history(spark, path: str, cap: int = HISTORY_CAP) -> DataFrame:
+    """The history as the reference shows it: newest first, one row per entry, at most ``cap``."""
+    return search_history(spark.read.schema(HISTORY_SCHEMA).parquet(path), cap)

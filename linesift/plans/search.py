@@ -20,6 +20,7 @@ from linesift.functions.text import basename, extension
 from linesift.operators import encoding as enc
 from linesift.operators import office
 from linesift.operators.grep import grep
+from linesift.operators.plugins import plugin_segments
 from linesift.operators.prune import Exclusions, prune
 from linesift.sources.files import load_contents
 from linesift.sources.tables import empty_meta
@@ -67,19 +68,29 @@ def scan(
     encodings=enc.ENGINE_ENCODINGS,
     office_files: DataFrame | None = None,
     text_files: DataFrame | None = None,
+    parsers: dict | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``file_path, content`` -> (segments, errors).
 
     Pass ``files`` (split here by extension), or the two branches already split
-    (``office_files``, ``text_files``) so each input is computed once.
+    (``office_files``, ``text_files``) so each input is computed once.  ``parsers``
+    (extension -> plug-in parser) take their extensions out of both branches.
     """
+    plugin_segs = plugin_errs = None
     if files is not None:
+        if parsers:
+            ext = extension(basename(F.col("file_path")))
+            plugin_segs, plugin_errs = plugin_segments(files, parsers)
+            files = files.where(~ext.isin(list(parsers)))
         office_files, text_files = files.where(_office_ext()), files.where(~_office_ext())
     tokens = office.tokenize(office_files.select(F.col("file_path").alias("path"), "content"), target_sheets)
     off = merge_office_type(office.office_segments(tokens, target_sheets))
     fallback = office.unreadable_packages(tokens)
     txt, dec_errors = text_segments(text_files.select("file_path", "content").unionByName(fallback), encodings)
-    return off.unionByName(txt), office.errors(tokens).unionByName(dec_errors)
+    segs, errs = off.unionByName(txt), office.errors(tokens).unionByName(dec_errors)
+    if plugin_segs is not None:
+        segs, errs = segs.unionByName(plugin_segs), errs.unionByName(plugin_errs)
+    return segs, errs
 
 
 def scan_listing(listing: DataFrame, exclusions: Exclusions = Exclusions(), target_sheets=None,
