@@ -158,13 +158,26 @@ def _score_batches(it: Iterator[pd.DataFrame], encodings: Sequence[str]) -> Iter
         yield pd.DataFrame.from_records(rows, columns=["path", "ord", "encoding", "confidence"])
 
 
+def best_candidate(content: bytes, encodings: Sequence[str]) -> str:
+    """Detection for one file (BOM, then the highest score; first candidate wins ties)."""
+    if not content:
+        return "utf-8"
+    if content.startswith(b"\xef\xbb\xbf"):
+        return "utf-8-sig"
+    best, conf = "utf-8", 0.0
+    for _p, _i, e, c in candidate_scores("", content, encodings):
+        if c > conf:
+            best, conf = e, c
+    return best
+
+
 def _decode_batches(it: Iterator[pd.DataFrame], encodings: Sequence[str]) -> Iterator[pd.DataFrame]:
     for pdf in it:
         out = []
-        for path, content, first in zip(pdf["path"], pdf["content"], pdf["encoding"]):
+        for path, content in zip(pdf["path"], pdf["content"]):
             raw = bytes(content)
-            tried = [first] + [e for e in encodings if e != first]
-            for enc in tried:
+            first = best_candidate(raw, encodings)
+            for enc in [first] + [e for e in encodings if e != first]:
                 try:
                     out.append((path, enc, raw.decode(enc), None))
                     break
@@ -218,23 +231,27 @@ def detect(files: DataFrame, encodings: Sequence[str] = ENGINE_ENCODINGS, prefer
 
 
 def decode(files: DataFrame, encodings: Sequence[str] = ENGINE_ENCODINGS, prefer_utf8: bool = True) -> DataFrame:
-    """``path, content`` (non-binary) -> ``path, encoding, text, error``: one encoding per file.
+    """``path, content`` (non-binary) -> ``path, encoding, text, error``: one encoding per file, row-local.
 
-    Valid UTF-8 (with or without BOM) is decoded natively; other files are
-    decoded in Python with the detected encoding, then the other candidates in
-    order; a file no candidate decodes gives an ``error`` row instead of text.
+    Valid UTF-8 (with or without BOM) is decoded natively.  Other files are
+    detected and decoded in the same Python pass (the detected encoding first,
+    then the other candidates in order); a file no candidate decodes gives an
+    ``error`` row.  No join: file bytes are never shuffled.  With
+    ``prefer_utf8=False`` every file without a UTF-8 BOM goes through the scoring.
     """
     enc_list = list(encodings)
-    verdict = detect(files, enc_list, prefer_utf8)
-    joined = files.select("path", "content").join(verdict.select("path", "encoding"), "path")
+    f = files.select("path", "content")
+    sig = F.substring("content", 1, 3) == F.lit(bytearray(b"\xef\xbb\xbf"))
     valid = is_valid_utf8("content")
-    sig = F.col("encoding") == "utf-8-sig"
-    native_ok = (F.col("encoding").isin("utf-8", "utf-8-sig")) & valid
-    text = F.when(sig, F.substring("content", 4, 1 << 30).cast("string")).otherwise(F.col("content").cast("string"))
-    native = joined.where(native_ok).select("path", "encoding", text.alias("text"), F.lit(None).cast("string").alias("error"))
-    other = joined.where(~native_ok).select("path", "content", "encoding").mapInPandas(
-        lambda it: _decode_batches(it, enc_list), DECODE_SCHEMA
+    native_ok = (valid & (sig | F.lit(prefer_utf8))) | (F.length("content") == 0)
+    text = F.when(sig, F.substring("content", 4, 1 << 30)).otherwise(F.col("content")).cast("string")
+    native = f.where(native_ok).select(
+        "path",
+        F.when(sig, F.lit("utf-8-sig")).otherwise(F.lit("utf-8")).alias("encoding"),
+        text.alias("text"),
+        F.lit(None).cast("string").alias("error"),
     )
+    other = f.where(~native_ok).mapInPandas(lambda it: _decode_batches(it, enc_list), DECODE_SCHEMA)
     return native.unionByName(other)
 
 

@@ -233,7 +233,11 @@ def tokenize(packages: DataFrame, target_sheets: Iterable[str] | None = None) ->
     ts = frozenset(target_sheets) if target_sheets is not None else None
     toks = packages.select("path", "content").mapInPandas(lambda it: _token_batches(it, ts), TOKEN_SCHEMA)
     # several assembly branches read the tokens: compute them once, keep the partitioning by path
-    n = int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = packages.sparkSession
+    # every join over the tokens is keyed by path plus an inner key (r_id, part, cell, index);
+    # partitioning by path co-partitions them, so no join re-shuffles the tokens
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # an explicit count: AQE keeps it, so the staged rows stay hash-partitioned by path
     return stage(toks.repartition(n, "path"))
 

@@ -28,6 +28,7 @@ def local_session(
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("LINESIFT_DRIVER_MEMORY", "12g"))
@@ -63,11 +64,13 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
 
 
 def stage(df, force_checkpoint: bool = False):
-    """Compute ``df`` once for several consumers.
+    """Compute ``df`` once for several consumers, keeping its partitioning.
 
     With a shared checkpoint folder: persist, reliable ``checkpoint()`` (lineage
-    cut, survives executor loss; the partitioning is kept), then drop the cache.
-    Without one: ``persist(MEMORY_AND_DISK)``; lost blocks are recomputed from lineage.
+    cut, survives executor loss), then drop the cache.  Without one:
+    ``persist(MEMORY_AND_DISK)``; lost blocks are recomputed from lineage.
+    The staged plan is built without AQE, which would otherwise hide its hash
+    partitioning from the consumers (they then need no further shuffle).
     """
     from pyspark import StorageLevel
 
@@ -77,20 +80,19 @@ def stage(df, force_checkpoint: bool = False):
         has_dir = True
     except RuntimeError:
         has_dir = False
-    if not has_dir and not force_checkpoint:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
-    # AQE would hide the hash partitioning of the staged plan; plan this one job without it
     prev = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+        if not (has_dir or force_checkpoint):
+            return cached
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
         out = cached.checkpoint(eager=True)
         cached.unpersist()
+        return out
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", prev)
-    return out
 
 
 def balanced(df, factor: int = 2):
