@@ -72,7 +72,7 @@ _RATIO = (
 ORACLE_SQL = {
     "detect_bom": (
         f"SELECT {DOC_PATH} AS path, CASE lang WHEN 'de' THEN 'utf-8-sig' WHEN 'es' THEN 'utf-16' ELSE 'utf-8' END AS encoding, "
-        "CASE lang WHEN 'de' THEN 1.0 WHEN 'es' THEN 0.9 ELSE 0.0 END AS confidence, "
+        "CAST(CASE lang WHEN 'de' THEN 1.0 WHEN 'es' THEN 0.9 ELSE 0.0 END AS DOUBLE) AS confidence, "
         "CASE WHEN lang IN ('de', 'es') THEN 'bom_detection' ELSE 'no_bom' END AS detection_method, "
         "lang IN ('de', 'es') AS has_bom FROM documents"
     ),
