@@ -300,12 +300,18 @@ def _sheet_parts(tokens: DataFrame, target_sheets: Iterable[str] | None = None)
 
 
 def shared_strings(tokens: DataFrame) -> DataFrame:
-    """``path, idx, text``: every ``si`` (also empty ones, they hold an index) with its runs joined."""
-    si = tokens.where(F.col("kind") == "si").select("path", F.col("ord").alias("idx"))
-    runs = tokens.where(F.col("kind") == "si_t").groupBy("path", F.col("parent_ord").alias("idx")).agg(
-        concat_ordered("ord", "text").alias("text")
+    """``path, idx, text``: every ``si`` (also empty ones, they hold an index) with its runs joined.
+
+    One aggregate over the ``si`` markers and their runs (no join): a marker
+    carries no text, so a string without runs comes out empty.
+    """
+    parts = tokens.where(F.col("kind").isin("si", "si_t")).select(
+        "path",
+        F.when(F.col("kind") == "si", F.col("ord")).otherwise(F.col("parent_ord")).alias("idx"),
+        "ord",
+        F.col("text"),
     )
-    return si.join(runs, ["path", "idx"], "left").select("path", "idx", F.coalesce("text", F.lit("")).alias("text"))
+    return parts.groupBy("path", "idx").agg(concat_ordered("ord", "text").alias("text"))
 
 
 def excel_cells_raw(tokens: DataFrame, target_sheets: Iterable[str] | None = None) -> DataFrame:

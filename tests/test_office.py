@@ -115,3 +115,24 @@ def test_broken_packages_report_errors(spark):
     errs = rows(office.errors(t), "file_path", "message")
     assert [e[0] for e in errs] == ["x.xlsx", "y.docx"]
     assert errs[0][1].startswith("Error parsing XLSX x.xlsx")
+
+
+def test_phonetic_runs_are_joined(spark):
+    """Shared strings join every text run below ``si``, phonetic guides included (kept quirk)."""
+    data = pkg([
+        ("xl/workbook.xml", WB.format('<sheet name="S" sheetId="1" r:id="rId1"/>')),
+        ("xl/_rels/workbook.xml.rels", RELS.format('<Relationship Id="rId1" Target="worksheets/sheet1.xml"/>')),
+        ("xl/sharedStrings.xml", f'<sst xmlns="{S_NS}"><si><t>漢字</t><rPh sb="0" eb="2"><t>かんじ</t></rPh></si></sst>'),
+        ("xl/worksheets/sheet1.xml", sheet('<row r="1"><c r="A1" t="s"><v>0</v></c></row>')),
+    ])
+    assert rows(office.excel_cells(toks(spark, ("k.xlsx", data))), "raw") == [("漢字かんじ",)]
+
+
+def test_broken_xml_inside_good_package(spark):
+    good_then_bad = f'<w:document xmlns:w="{W_NS}"><w:body><w:p><w:r><w:t>kept</w:t></w:r></w:p><w:p><w:r><w:t>x</w:t>'
+    docx = pkg([("word/document.xml", good_then_bad)])
+    pptx = pkg([("ppt/slides/slide1.xml", slide(["fine"])), ("ppt/slides/slide2.xml", "<p:sld><broken")])
+    t = toks(spark, ("d.docx", docx), ("p.pptx", pptx))
+    assert rows(office.word_paragraphs(t), "raw") == [("kept",)]  # paragraphs before the error stay
+    assert rows(office.powerpoint_paragraphs(t), "location_display") == [("スライド 1 P.1",)]  # the broken slide gives none
+    assert sorted(e[0] for e in rows(office.errors(t), "file_path", "message")) == ["d.docx", "p.pptx"]
