@@ -33,6 +33,7 @@ class Search:
     ignore_case: bool
     regex: str | None  # Java pattern incl. flags, or None for the literal fast path
     python_pattern: str | None  # the Python pattern the reference would compile
+    word_literal: str | None = None  # case-sensitive whole-word literal: the needle every hit contains
 
     def predicate(self, c: Column | str) -> Column:
         col = F.col(c) if isinstance(c, str) else c
@@ -46,6 +47,9 @@ class Search:
         """A predicate on the whole text that every document with a hit satisfies, or None."""
         if self.regex is None:
             return self.predicate(c)
+        if self.word_literal is not None:  # \bneedle\b needs the needle itself: a pushable contains
+            col = F.col(c) if isinstance(c, str) else c
+            return col.contains(self.word_literal)
         if self.python_pattern is not None and is_line_local(self.python_pattern):
             return self.predicate(c)
         return None
@@ -59,7 +63,8 @@ def compile_search(needle: str, regex: bool = False, ignore_case: bool = False,
         regex = True
     if regex:
         final = word_wrap(text) if whole_word else text
-        return Search(needle, ignore_case, java_regex(final, ignore_case), final)
+        literal = needle if (whole_word and text != needle and not ignore_case and needle) else None
+        return Search(needle, ignore_case, java_regex(final, ignore_case), final, literal)
     return Search(needle, ignore_case, None, None)
 
 
@@ -106,7 +111,8 @@ def search_corpus(
     s = _as_search(needle, regex, ignore_case, whole_word)
     if prefilter:
         pre = s.text_prefilter("text")
-        if s.regex is None and "\r" not in s.needle and "\n" not in s.needle:
+        plain = s.word_literal if s.word_literal is not None else (s.needle if s.regex is None else None)
+        if plain is not None and "\r" not in plain and "\n" not in plain:
             # newline conversion only touches \r, so the raw text column decides (and is pushed to Parquet)
             corpus = corpus.where(pre)
         elif pre is not None:

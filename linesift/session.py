@@ -95,15 +95,24 @@ def stage(df, force_checkpoint: bool = False):
         spark.conf.set("spark.sql.adaptive.enabled", prev)
 
 
-def balanced(df, factor: int = 2):
-    """Spread a scan with fewer partitions than the cluster has task slots.
+SPREAD_MAX_BYTES = 1 << 30  # inputs up to this size may be round-robin spread over the task slots
 
-    A large table has far more splits than slots and is returned unchanged (no
-    shuffle).  A small or single-row-group file would otherwise put all
-    regex and Python work into one task; it is round-robin repartitioned
-    (filters and column pruning still reach the scan below the repartition).
+
+def balanced(df, factor: int = 2, max_bytes: int = SPREAD_MAX_BYTES):
+    """Spread a small scan that has fewer partitions than the cluster has task slots.
+
+    A file with one Parquet row group is read by one task however it is split,
+    which would put all regex and Python work of the query into that task.
+    When the estimated input is at most ``max_bytes`` (shuffling it is cheap)
+    and the scan has fewer partitions than slots, it is round-robin
+    repartitioned to ``factor`` x slots; filters and column pruning still reach
+    the scan below the repartition.  Larger inputs are never touched: they
+    already have many splits, and a full shuffle would cost more than it gives.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism * factor
-    if df.rdd.getNumPartitions() >= target:
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > max_bytes:
         return df
-    return df.repartition(target)
+    return df.repartition(slots * factor)
