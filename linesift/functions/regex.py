@@ -137,3 +137,35 @@ def is_line_local(pattern: str) -> bool:
     return not any(tok in stripped for tok in ("^", "$", "(?=", "(?!", "(?<=", "(?<!", "(?m", "(?s")) and not re.search(
         r"\\[AZzG]", pattern
     )
+
+
+def required_literal(pattern: str, ignore_case: bool = False) -> str | None:
+    """The longest literal every match of ``pattern`` contains, read from its top-level sequence.
+
+    Uses Python's own regex parser.  Only characters that follow each other at
+    the top level count (no alternation, group, class or optional part), so the
+    result is always necessary.  ``None`` for ignore-case patterns or when there
+    is none.  A ``contains`` on this literal is a cheap guard before ``rlike``.
+    """
+    if ignore_case:
+        return None
+    try:
+        import re._constants as C
+        import re._parser as P
+
+        parsed = P.parse(pattern)
+    except Exception:  # noqa: BLE001 - no guard, the regex alone decides
+        return None
+    if parsed.state.flags & (re.IGNORECASE | re.VERBOSE):
+        return None
+    best, run = "", []
+    for op, arg in parsed.data:
+        if op is C.LITERAL:
+            run.append(chr(arg))
+            continue
+        if len("".join(run)) > len(best):
+            best = "".join(run)
+        run = []
+    if len("".join(run)) > len(best):
+        best = "".join(run)
+    return best or None

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linesift.functions.regex import is_line_local, java_regex, word_wrap
+from linesift.functions.regex import is_line_local, java_regex, required_literal, word_wrap
 from linesift.functions.text import rstrip_py, universal_newlines
 from linesift.sources.tables import corpus_segments
 
@@ -33,11 +33,13 @@ class Search:
     ignore_case: bool
     regex: str | None  # Java pattern incl. flags, or None for the literal fast path
     python_pattern: str | None  # the Python pattern the reference would compile
-    word_literal: str | None = None  # case-sensitive whole-word literal: the needle every hit contains
+    guard: str | None = None  # a literal every regex match contains (checked first, pushable to Parquet)
 
     def predicate(self, c: Column | str) -> Column:
         col = F.col(c) if isinstance(c, str) else c
         if self.regex is not None:
+            if self.guard is not None:
+                return col.contains(self.guard) & col.rlike(self.regex)
             return col.rlike(self.regex)
         if self.ignore_case:
             return F.lower(col).contains(self.needle.lower())
@@ -47,9 +49,9 @@ class Search:
         """A predicate on the whole text that every document with a hit satisfies, or None."""
         if self.regex is None:
             return self.predicate(c)
-        if self.word_literal is not None:  # \bneedle\b needs the needle itself: a pushable contains
+        if self.guard is not None:  # a line match contains the literal, so its document does too
             col = F.col(c) if isinstance(c, str) else c
-            return col.contains(self.word_literal)
+            return col.contains(self.guard)
         if self.python_pattern is not None and is_line_local(self.python_pattern):
             return self.predicate(c)
         return None
@@ -63,8 +65,8 @@ def compile_search(needle: str, regex: bool = False, ignore_case: bool = False,
         regex = True
     if regex:
         final = word_wrap(text) if whole_word else text
-        literal = needle if (whole_word and text != needle and not ignore_case and needle) else None
-        return Search(needle, ignore_case, java_regex(final, ignore_case), final, literal)
+        rx = java_regex(final, ignore_case)
+        return Search(needle, ignore_case, rx, final, required_literal(final, ignore_case))
     return Search(needle, ignore_case, None, None)
 
 
@@ -111,7 +113,7 @@ def search_corpus(
     s = _as_search(needle, regex, ignore_case, whole_word)
     if prefilter:
         pre = s.text_prefilter("text")
-        plain = s.word_literal if s.word_literal is not None else (s.needle if s.regex is None else None)
+        plain = s.guard if s.regex is not None else s.needle
         if plain is not None and "\r" not in plain and "\n" not in plain:
             # newline conversion only touches \r, so the raw text column decides (and is pushed to Parquet)
             corpus = corpus.where(pre)

@@ -126,3 +126,23 @@ def test_glob_translation_matches_fnmatch(spark):
         got = sorted(r.n for r in df.where(F.col("n").rlike(glob_to_java(g))).collect())
         want = sorted(n for n in names if fnmatch.fnmatchcase(n, g))
         assert got == want, g
+
+
+def test_required_literal_is_necessary():
+    """Whenever the regex matches, the guard literal is in the text (random patterns and texts)."""
+    from linesift.functions.regex import required_literal
+    from linesift.sources.presets import preset_list
+
+    rnd = random.Random(11)
+    atoms = ["a", "b", "ab", "[ab]", "a?", "b*", "(a|b)", "\\.", ".", "x", "(?:ab)+", "\\b", "^", "$", "\\d"]
+    patterns = ["".join(rnd.choice(atoms) for _ in range(rnd.randint(1, 5))) for _ in range(300)]
+    patterns += [p[3] for p in preset_list()]
+    texts = ["".join(rnd.choice("abx.1 \n") for _ in range(rnd.randint(0, 12))) for _ in range(300)]
+    for p in patterns:
+        lit = required_literal(p)
+        if lit is None:
+            continue
+        rx = re.compile(p)
+        for t in texts:
+            if rx.search(t):
+                assert lit in t, (p, lit, t)
