@@ -79,3 +79,11 @@ def scan_summary(files: DataFrame, segments: DataFrame, hits: DataFrame, errors:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in names])
+
+
+def write_hits(hits: DataFrame, path: str, mode: str = "append", partition_by: list[str] | None = None) -> None:
+    """Hit output as a table (Parquet); the rows stay distributed, nothing passes through the driver."""
+    writer = hits.write.mode(mode)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)

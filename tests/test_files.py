@@ -60,3 +60,23 @@ def test_listing_reads_no_bytes(spark, tmp_path):
     assert "content" not in plan.split("ReadSchema")[-1].split("\n")[0]
     row = listing.collect()[0]
     assert (row.file_path, row.base_name, row.ext, list(row.dirs), row.length) == ("x/y.txt", "y.txt", ".txt", ["x"], 3)
+
+
+def test_files_from_reads_dotfiles_and_hits_sink(spark, tmp_path):
+    from linesift.operators.output import write_hits
+    from linesift.plans.search import scan
+    from linesift.sources.files import files_from
+
+    write(tmp_path, ".env", "SECRET=needle\n")
+    write(tmp_path, ".git/config", "needle\n")
+    listed = list_files(spark, str(tmp_path))
+    assert listed.count() == 0  # Spark's listing hides dot names
+    paths = spark.createDataFrame([(str(tmp_path / ".env"), ".env"), (str(tmp_path / ".git/config"), ".git/config"),
+                                   (str(tmp_path / "missing.txt"), "missing.txt")], "path string, file_path string")
+    loaded = files_from(paths)
+    assert loaded.where("error IS NOT NULL").count() == 1
+    segs, _ = scan(loaded.where("error IS NULL").select("file_path", "content"))
+    hits = grep(segs, "needle")
+    out = str(tmp_path / "out")
+    write_hits(hits, out)
+    assert sorted(r.file_path for r in spark.read.parquet(out).collect()) == [".env", ".git/config"]
