@@ -42,13 +42,32 @@ def file_stream(spark: SparkSession, root: str, max_files_per_trigger: int | Non
 
 
 def text_corpus(files: DataFrame) -> DataFrame:
-    """``file_path, content`` -> ``file_path, text`` for valid UTF-8 files without NUL in the first 1,024 bytes."""
-    from linesift.operators.encoding import is_binary, is_valid_utf8
+    """``file_path, content`` -> ``file_path, text``: binary files skipped, every file decoded with one encoding.
 
-    ok = files.where(~is_binary("content") & is_valid_utf8("content"))
-    text = F.when(F.substring("content", 1, 3) == F.lit(bytearray(b"\xef\xbb\xbf")),
-                  F.substring("content", 4, 1 << 30)).otherwise(F.col("content")).cast("string")
-    return ok.select("file_path", text.alias("text"))
+    The decoding is row-local (native for UTF-8, Python codecs otherwise), so it runs on streams as well.
+    """
+    from linesift.operators.encoding import decode, is_binary
+
+    readable = files.where(~is_binary("content")).select(F.col("file_path").alias("path"), "content")
+    decoded = decode(readable)
+    return decoded.where(F.col("error").isNull()).select(F.col("path").alias("file_path"), "text")
+
+
+def scan_batches(files: DataFrame, needle: str, out_path: str, name: str, trigger: dict | None = None, **opts) -> StreamingQuery:
+    """Every micro-batch of a file stream through the full batch scan (Office packages included).
+
+    Each batch writes its hits to ``out_path/batch_id=<n>`` with overwrite, so a
+    retried batch replaces its own output instead of adding duplicates.
+    """
+    from linesift.operators.grep import grep
+    from linesift.plans.search import scan
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        segs, errors = scan(batch)
+        grep(segs, needle, **opts).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        errors.write.mode("overwrite").parquet(f"{out_path}_errors/batch_id={batch_id}")
+
+    return start(files, name, trigger=trigger, foreach_batch=run)
 
 
 def stream_hits(corpus: DataFrame, needle: str, **opts) -> DataFrame:

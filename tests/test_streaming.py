@@ -67,8 +67,26 @@ def test_file_stream(spark, tmp_path):
     (root / "a.txt").write_text("needle one\nno\n")
     (root / "b.txt").write_bytes(b"\xef\xbb\xbfneedle two\n")
     (root / "c.bin").write_bytes(b"needle\x00binary")
+    (root / "d.txt").write_bytes("needle テスト\n".encode("cp932"))
     corpus = gs.text_corpus(gs.file_stream(spark, str(root), max_files_per_trigger=1))
     hits = gs.stream_hits(corpus, "needle").select(F.regexp_extract("file_path", "[^/]*$", 0).alias("f"), "line_number")
     q = gs.start(hits, "files_eq", sink="memory", trigger={"availableNow": True})
     q.awaitTermination()
-    assert sorted(tuple(r) for r in spark.table("files_eq").collect()) == [("a.txt", 1), ("b.txt", 1)]
+    assert sorted(tuple(r) for r in spark.table("files_eq").collect()) == [("a.txt", 1), ("b.txt", 1), ("d.txt", 1)]
+
+
+def test_office_files_in_micro_batches(spark, tmp_path):
+    from linesift.sources.office_writer import docx_bytes
+
+    root = tmp_path / "office"
+    root.mkdir()
+    (root / "a.docx").write_bytes(docx_bytes("x\nneedle in word", "s", "l"))
+    (root / "b.txt").write_text("needle in text\n")
+    (root / "c.xlsx").write_text("needle in a broken workbook\n")
+    out = str(tmp_path / "hits")
+    q = gs.scan_batches(gs.file_stream(spark, str(root), max_files_per_trigger=2), "needle", out, "office_batches",
+                        trigger={"availableNow": True})
+    q.awaitTermination()
+    got = sorted((r.file_path.rsplit("/", 1)[-1], r.location_display) for r in spark.read.parquet(out).collect())
+    assert got == [("a.docx", "Body P.2"), ("b.txt", ""), ("c.xlsx", "")]
+    assert spark.read.parquet(out + "_errors").count() == 1
