@@ -87,3 +87,24 @@ def write_hits(hits: DataFrame, path: str, mode: str = "append", partition_by: l
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+
+
+def corpus_summary(corpus: DataFrame, search) -> DataFrame:
+    """``scan_summary`` of a text corpus in one pass: per-file line and hit counts, then one global aggregate.
+
+    A file is one row, so ``size(lines)`` and ``size(filter(lines, predicate))`` are row-local;
+    nothing is exploded or shuffled before the final one-row aggregate.
+    """
+    from linesift.functions.text import line_pieces
+
+    lines = line_pieces(F.col("text"))
+    per_file = corpus.select(
+        F.size(lines).alias("n"), F.size(F.filter(lines, lambda x: search.predicate(x))).alias("h")
+    )
+    return per_file.agg(
+        F.count(F.lit(1)).alias("files"),
+        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("segments"),
+        F.coalesce(F.sum("h"), F.lit(0)).cast("long").alias("hits"),
+        F.count_if(F.col("h") > 0).alias("files_with_hits"),
+        F.lit(0).cast("long").alias("errors"),
+    )

@@ -144,9 +144,7 @@ def q_first_n_hits(spark, sf):
 
 
 def q_scan_summary(spark, sf):
-    corpus = documents_corpus(spark, sf)
-    segs = corpus_segments(corpus)
-    return output.scan_summary(corpus, segs, grep(segs, P.REGEX, regex=True))
+    return output.corpus_summary(documents_corpus(spark, sf), compile_search(P.REGEX, regex=True))
 
 
 def tree_files(spark, sf) -> DataFrame:
