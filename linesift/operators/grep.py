@@ -112,12 +112,24 @@ def search_corpus(
     """Text corpus (``file_path, text``) -> hits, filtering whole documents first when that is exact."""
     s = _as_search(needle, regex, ignore_case, whole_word)
     if prefilter:
-        pre = s.text_prefilter("text")
-        plain = s.guard if s.regex is not None else s.needle
-        if plain is not None and "\r" not in plain and "\n" not in plain:
-            # newline conversion only touches \r, so the raw text column decides (and is pushed to Parquet)
-            corpus = corpus.where(pre)
-        elif pre is not None:
-            corpus = corpus.where(s.predicate(universal_newlines(F.col("text"))))
+        cond = document_may_match(s)
+        if cond is not None:
+            corpus = corpus.where(cond)
     segments = corpus_segments(corpus, keep=keep)
     return grep(segments, s, keep=keep)
+
+
+def document_may_match(s: Search) -> Column | None:
+    """A test on the whole ``text`` that every document with a hit passes (``None`` if there is none).
+
+    Literals and guard literals without newlines test the raw column (pushed to
+    Parquet); other line-local regexes test the newline-normalised text.
+    """
+    pre = s.text_prefilter("text")
+    plain = s.guard if s.regex is not None else s.needle
+    if plain is not None and "\r" not in plain and "\n" not in plain:
+        # newline conversion only touches \r, so the raw text column decides (and is pushed to Parquet)
+        return pre
+    if pre is not None:
+        return s.predicate(universal_newlines(F.col("text")))
+    return None

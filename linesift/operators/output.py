@@ -108,3 +108,43 @@ def corpus_summary(corpus: DataFrame, search) -> DataFrame:
         F.count_if(F.col("h") > 0).alias("files_with_hits"),
         F.lit(0).cast("long").alias("errors"),
     )
+
+
+# ---------------------------------------------------------------- per-file results on a text corpus
+# A file is one row: its line count, hit count and "has a hit" are computed inside
+# the row (size / filter / exists over the line array).  No explode, join or shuffle.
+
+
+def _line_array():
+    from linesift.functions.text import line_pieces
+
+    return line_pieces(F.col("text"))
+
+
+def corpus_hits_per_file(corpus: DataFrame, search) -> DataFrame:
+    """``file_path, hits`` for files with at least one hit."""
+    from linesift.operators.grep import document_may_match
+
+    pre = document_may_match(search)
+    c = corpus.where(pre) if pre is not None else corpus
+    counted = c.select("file_path", F.size(F.filter(_line_array(), lambda x: search.predicate(x))).alias("hits"))
+    return counted.where(F.col("hits") > 0).withColumn("hits", F.col("hits").cast("long"))
+
+
+def corpus_files_with_hits(corpus: DataFrame, search) -> DataFrame:
+    """``grep -l`` on a text corpus: a row-local ``exists`` over the lines."""
+    from linesift.operators.grep import document_may_match
+
+    pre = document_may_match(search)
+    c = corpus.where(pre) if pre is not None else corpus
+    return c.where(F.exists(_line_array(), lambda x: search.predicate(x))).select("file_path")
+
+
+def corpus_files_without_hits(corpus: DataFrame, search) -> DataFrame:
+    """``grep -L`` on a text corpus: documents failing the pre-filter need no line test."""
+    from linesift.operators.grep import document_may_match
+
+    pre = document_may_match(search)
+    no_line = ~F.exists(_line_array(), lambda x: search.predicate(x))
+    cond = no_line if pre is None else (~pre | no_line)
+    return corpus.where(cond).select("file_path")

@@ -118,7 +118,8 @@ def q_hit_count(spark, sf):
 
 
 def q_hits_per_file(spark, sf):
-    return output.hits_per_file(_word_ci_hits(spark, sf))
+    search = compile_search(P.NEEDLE_CI, ignore_case=True, whole_word=True)
+    return output.corpus_hits_per_file(documents_corpus(spark, sf), search)
 
 
 def q_display_rows(spark, sf):
@@ -130,13 +131,11 @@ def q_display_truncate(spark, sf):
 
 
 def q_files_with_hits(spark, sf):
-    files = documents_corpus(spark, sf).select("file_path")
-    return output.files_with_hits(files, _doc_hits(spark, sf, P.REGEX, regex=True))
+    return output.corpus_files_with_hits(documents_corpus(spark, sf), compile_search(P.REGEX, regex=True))
 
 
 def q_files_without_hits(spark, sf):
-    files = documents_corpus(spark, sf).select("file_path")
-    return output.files_without_hits(files, _doc_hits(spark, sf, P.REGEX, regex=True))
+    return output.corpus_files_without_hits(documents_corpus(spark, sf), compile_search(P.REGEX, regex=True))
 
 
 def q_first_n_hits(spark, sf):

@@ -136,3 +136,17 @@ def test_broken_xml_inside_good_package(spark):
     assert rows(office.word_paragraphs(t), "raw") == [("kept",)]  # paragraphs before the error stay
     assert rows(office.powerpoint_paragraphs(t), "location_display") == [("スライド 1 P.1",)]  # the broken slide gives none
     assert sorted(e[0] for e in rows(office.errors(t), "file_path", "message")) == ["d.docx", "p.pptx"]
+
+
+def test_file_lists_from_office_hits(spark):
+    """-l / -L and per-file counts over hits that come from Office segments (semi/anti joins)."""
+    from linesift.operators import output
+    from linesift.operators.grep import grep
+    from linesift.sources.office_writer import docx_bytes
+
+    t = toks(spark, ("a.docx", docx_bytes("needle\nneedle again\nx", "s", "l")), ("b.docx", docx_bytes("nothing", "s", "l")))
+    hits = grep(office.word_paragraphs(t), "needle")
+    files = spark.createDataFrame([("a.docx",), ("b.docx",)], "file_path string")
+    assert rows(output.files_with_hits(files, hits), "file_path") == [("a.docx",)]
+    assert rows(output.files_without_hits(files, hits), "file_path") == [("b.docx",)]
+    assert rows(output.hits_per_file(hits), "file_path", "hits") == [("a.docx", 2)]

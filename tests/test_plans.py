@@ -34,9 +34,20 @@ def test_no_cross_or_nested_loop_joins(spark):
         assert "CartesianProduct" not in p and "NestedLoopJoin" not in p, name
 
 
-def test_per_file_counts_aggregate_before_shuffle(spark):
-    p = plan(E.queries()["hits_per_file"](spark, SF_SMALL))
-    assert p.count("HashAggregate") >= 2  # partial + final
+def test_per_file_results_need_no_shuffle(spark):
+    """A file is one row: per-file counts and -l/-L are computed in the row (no join, no hash shuffle)."""
+    for name in ("hits_per_file", "files_with_hits", "files_without_hits", "scan_summary"):
+        p = plan(E.queries()[name](spark, SF_SMALL))
+        assert "Exchange hashpartitioning" not in p and "Join" not in p, name
+
+
+def test_general_counts_aggregate_before_shuffle(spark):
+    from linesift.operators import output
+    from linesift.operators.grep import search_corpus
+    from linesift.sources.tables import documents_corpus
+
+    hits = search_corpus(documents_corpus(spark, SF_SMALL), "the")
+    assert plan(output.hits_per_file(hits)).count("HashAggregate") >= 2  # partial + final
 
 
 def test_decode_has_no_join(spark):
