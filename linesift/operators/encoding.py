@@ -66,21 +66,26 @@ def is_valid_utf8(content: Column | str = "content") -> Column:
     return F.is_valid_utf8(c.cast("string"))
 
 
-# Script ranges of the ratio heuristics.
-HIRAGANA, KATAKANA, CJK = r"\x{3040}-\x{309F}", r"\x{30A0}-\x{30FF}", r"\x{4E00}-\x{9FAF}"
-FULLWIDTH, CJK_COMPAT = r"\x{FF00}-\x{FFEF}", r"\x{F900}-\x{FAFF}"
-HANGUL, JAMO = r"\x{AC00}-\x{D7AF}", r"\x{1100}-\x{11FF}"
+# Script ranges of the ratio heuristics, as (first, last code point, weight).
+JAPANESE_RANGES = [(0x3040, 0x309F, 1.0), (0x30A0, 0x30FF, 1.0), (0x4E00, 0x9FAF, 1.0), (0xFF00, 0xFFEF, 0.5)]
+CHINESE_RANGES = [(0x4E00, 0x9FAF, 1.0), (0xF900, 0xFAFF, 1.0)]
+KOREAN_RANGES = [(0xAC00, 0xD7AF, 1.0), (0x1100, 0x11FF, 1.0)]
+
+
+def _char_class(ranges, weight: float | None = None) -> str:
+    """Regex class of the ranges (optionally only those of one weight), in ``\\x{..}`` form."""
+    return "[" + "".join(f"\\x{{{lo:04X}}}-\\x{{{hi:04X}}}" for lo, hi, w in ranges if weight is None or w == weight) + "]"
 
 
 def script_counts(text: Column | str = "text") -> dict[str, Column]:
     """Integer counts behind the ratios: ``jp2`` (twice the Japanese weight: full-width forms count 1/2), ``zh``, ``ko``, ``n``."""
     t = F.col(text) if isinstance(text, str) else text
-    jp_full = count_matching_chars(t, f"[{HIRAGANA}{KATAKANA}{CJK}]")
-    half = count_matching_chars(t, f"[{FULLWIDTH}]")
+    jp_full = count_matching_chars(t, _char_class(JAPANESE_RANGES, 1.0))
+    half = count_matching_chars(t, _char_class(JAPANESE_RANGES, 0.5))
     return {
         "jp2": 2 * jp_full + half,
-        "zh": count_matching_chars(t, f"[{CJK}{CJK_COMPAT}]"),
-        "ko": count_matching_chars(t, f"[{HANGUL}{JAMO}]"),
+        "zh": count_matching_chars(t, _char_class(CHINESE_RANGES)),
+        "ko": count_matching_chars(t, _char_class(KOREAN_RANGES)),
         "n": F.length(t),
     }
 
@@ -96,21 +101,17 @@ def script_ratios(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 # ---------------------------------------------------------------- the Python step (codecs)
-def _ratio(text: str, ranges: Sequence[tuple[str, str, float]]) -> float:
+def _ratio(text: str, ranges: Sequence[tuple[int, int, float]]) -> float:
     total = 0.0
     for ch in text:
+        cp = ord(ch)
         for lo, hi, w in ranges:
-            if lo <= ch <= hi:
+            if lo <= cp <= hi:
                 total += w
                 break
     return total / len(text) if text else 0.0
 
 
-_JP = [("぀", "ゟ", 1.0), ("゠", "ヿ", 1.0), ("一", "龯", 1.0), ("＀", "￯", 0.5)]
-_ZH = [("一", "龯", 1.0), ("豈", "﫿", 1.0)]
-_KO = [("가", "힯", 1.0), ("ᄀ", "ᇿ", 1.0)]
-
-
 def score(text: str, encoding: str, original: bytes) -> float:
     """Confidence of one strict decoding, clamped to [0, 1].
 
@@ -122,11 +123,11 @@ def score(text: str, encoding: str, original: bytes) -> float:
     n = len(text)
     c = -0.3 * (n + 1) / n
     if encoding in JAPANESE_ENCODINGS:
-        c += _ratio(text, _JP) * 0.4
+        c += _ratio(text, JAPANESE_RANGES) * 0.4
     elif encoding in CHINESE_ENCODINGS:
-        c += _ratio(text, _ZH) * 0.4
+        c += _ratio(text, CHINESE_RANGES) * 0.4
     elif encoding in KOREAN_ENCODINGS:
-        c += _ratio(text, _KO) * 0.4
+        c += _ratio(text, KOREAN_RANGES) * 0.4
     if text.isascii():
         c += 0.1
     if len(unicodedata.normalize("NFC", text)) == n:

@@ -53,19 +53,20 @@ def q_decode_lines(spark, sf):
 
 QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)}
 
-_CP = "\\x{3040}-\\x{309F}\\x{30A0}-\\x{30FF}\\x{4E00}-\\x{9FAF}"
+def _cnt(char_class: str) -> str:
+    """Characters of ``text`` inside a class, counted as in Spark (length minus the length without them)."""
+    return f"(length(text) - length(regexp_replace(text, '{char_class}', '', 'g')))"
 
 
-def _cnt(cls: str) -> str:
-    return f"length(regexp_replace(text, '[^{cls}]', '', 'g'))"
-
+_JP_FULL = enc._char_class(enc.JAPANESE_RANGES, 1.0)
+_JP_HALF = enc._char_class(enc.JAPANESE_RANGES, 0.5)
 
 _RATIO = (
-    f"SELECT path, jp2, zh, ko, n, CASE WHEN n > 0 THEN (jp2 / 2.0) / n ELSE 0.0 END AS japanese, "
+    "SELECT path, jp2, zh, ko, n, CASE WHEN n > 0 THEN (jp2 / 2.0) / n ELSE 0.0 END AS japanese, "
     "CASE WHEN n > 0 THEN zh / n ELSE 0.0 END AS chinese, CASE WHEN n > 0 THEN ko / n ELSE 0.0 END AS korean FROM ("
-    f"SELECT {DOC_PATH} AS path, CAST(2 * {_cnt(_CP)} + {_cnt('\\x{FF00}-\\x{FFEF}')} AS INTEGER) AS jp2, "
-    f"CAST({_cnt('\\x{4E00}-\\x{9FAF}\\x{F900}-\\x{FAFF}')} AS INTEGER) AS zh, "
-    f"CAST({_cnt('\\x{AC00}-\\x{D7AF}\\x{1100}-\\x{11FF}')} AS INTEGER) AS ko, CAST(length(text) AS INTEGER) AS n "
+    f"SELECT {DOC_PATH} AS path, CAST(2 * {_cnt(_JP_FULL)} + {_cnt(_JP_HALF)} AS INTEGER) AS jp2, "
+    f"CAST({_cnt(enc._char_class(enc.CHINESE_RANGES))} AS INTEGER) AS zh, "
+    f"CAST({_cnt(enc._char_class(enc.KOREAN_RANGES))} AS INTEGER) AS ko, CAST(length(text) AS INTEGER) AS n "
     "FROM documents)"
 )
 

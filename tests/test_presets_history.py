@@ -6,7 +6,7 @@ import re
 
 from conftest import segments_of
 from linesift.operators import history, presets
-from linesift.sources.presets import by_label, preset_list, presets_frame
+from linesift.sources.presets import by_label, preset_list, presets_frame, write_presets_json
 
 INLINE = ("def f(x):\nclass A:\nimport os\n# TODO: x\n\"k\": 1\n\n550e8400-e29b-41d4-a716-446655440000\n"
           "#ff8800\nhttps://a.example/x\nGET /a 404 12\n2024-01-31\n12:34:56\nひらがな\nカタカナ\n漢字\n03-1234-5678\n"
@@ -22,6 +22,10 @@ def test_presets_load(spark, tmp_path):
     bad.write_text("{not json")
     assert preset_list(str(bad)) == [] and presets_frame(spark, str(bad)).count() == 0
     assert presets_frame(spark, str(tmp_path / "missing.json")).count() == 0
+    good = tmp_path / "presets.json"
+    write_presets_json(str(good))
+    from_file = sorted(tuple(r) for r in presets_frame(spark, str(good)).collect())
+    assert from_file == sorted(tuple(r) for r in df.collect()) and preset_list(str(good)) == preset_list()
 
 
 def test_preset_scan_matches_python_re(spark):
