@@ -128,42 +128,53 @@ def _excel_tokens(path: str, zf: zipfile.ZipFile, target_sheets: frozenset[str]
         if rid and target:
             targets[rid] = _part_target(target)
     if "xl/sharedStrings.xml" in names:
+        si_tag, t_tag = _q("s", "si"), _q("s", "t")
         try:
-            with zf.open("xl/sharedStrings.xml") as f:
-                root = ET.parse(f).getroot()
             seq = 0
-            for idx, si in enumerate(root.iter(_q("s", "si"))):
-                yield _tok(path, "xl/sharedStrings.xml", 2, "si", idx)
-                for t in si.iter(_q("s", "t")):
-                    if t.text:
-                        yield _tok(path, "xl/sharedStrings.xml", 2, "si_t", seq, idx, text=t.text)
-                        seq += 1
+            idx = 0
+            with zf.open("xl/sharedStrings.xml") as f:
+                for _event, si in ET.iterparse(f, events=("end",)):  # streamed: one string at a time
+                    if si.tag != si_tag:
+                        continue
+                    yield _tok(path, "xl/sharedStrings.xml", 2, "si", idx)
+                    for t in si.iter(t_tag):
+                        if t.text:
+                            yield _tok(path, "xl/sharedStrings.xml", 2, "si_t", seq, idx, text=t.text)
+                            seq += 1
+                    idx += 1
+                    si.clear()
         except ET.ParseError as e:
             yield _tok(path, "xl/sharedStrings.xml", 2, "error", error=f"Error parsing XLSX part xl/sharedStrings.xml: {e}")
     # open only the parts of the wanted sheets (sheet filter before the XML is read)
     wanted = sorted({targets[r] for r in sheet_rids if r in targets and targets[r] in names})
     c_tag, v_tag, is_tag, t_tag = _q("s", "c"), _q("s", "v"), _q("s", "is"), _q("s", "t")
     for k, part in enumerate(wanted):
+        cells: list[tuple] = []
         try:
             with zf.open(part) as f:
-                root = ET.parse(f).getroot()
-        except ET.ParseError as e:
+                seq = 0
+                ci = 0
+                for _event, cell in ET.iterparse(f, events=("end",)):  # streamed: one cell at a time
+                    if cell.tag != c_tag:
+                        continue
+                    ctype = cell.get("t", "")
+                    v = cell.find(v_tag)
+                    has_value = cell.find(".//" + v_tag) is not None or cell.find(".//" + is_tag) is not None
+                    cells.append(_tok(path, part, 3 + k, "c", ci, ref=cell.get("r", ""), type_=ctype,
+                                      text=v.text if v is not None else None, flag=has_value))
+                    if ctype == "inlineStr":
+                        is_elem = cell.find(is_tag)
+                        if is_elem is not None:
+                            for t in is_elem.iter(t_tag):
+                                if t.text:
+                                    cells.append(_tok(path, part, 3 + k, "is_t", seq, ci, text=t.text))
+                                    seq += 1
+                    ci += 1
+                    cell.clear()
+        except ET.ParseError as e:  # a broken sheet gives no cells, as a failed parse of the whole part would
             yield _tok(path, part, 3 + k, "error", error=f"Error parsing XLSX part {part}: {e}")
             continue
-        seq = 0
-        for ci, cell in enumerate(root.iter(c_tag)):
-            ctype = cell.get("t", "")
-            v = cell.find(v_tag)
-            has_value = cell.find(".//" + v_tag) is not None or cell.find(".//" + is_tag) is not None
-            yield _tok(path, part, 3 + k, "c", ci, ref=cell.get("r", ""), type_=ctype,
-                       text=v.text if v is not None else None, flag=has_value)
-            if ctype == "inlineStr":
-                is_elem = cell.find(is_tag)
-                if is_elem is not None:
-                    for t in is_elem.iter(t_tag):
-                        if t.text:
-                            yield _tok(path, part, 3 + k, "is_t", seq, ci, text=t.text)
-                            seq += 1
+        yield from cells
 
 
 def _powerpoint_tokens(path: str, zf: zipfile.ZipFile) -> Iterable[tuple]:
