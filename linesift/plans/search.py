@@ -23,6 +23,9 @@ from linesift.operators.grep import grep
 from linesift.operators.plugins import plugin_segments
 from linesift.operators.prune import Exclusions, prune
 from linesift.sources.files import load_contents
+from linesift.sources.large_text import large_file_segments
+
+LARGE_FILE_BYTES = 256 << 20  # text files above this are split across tasks instead of read as one row
 from linesift.sources.tables import empty_meta
 
 
@@ -94,21 +97,30 @@ def scan(
 
 
 def scan_listing(listing: DataFrame, exclusions: Exclusions = Exclusions(), target_sheets=None,
-                 encodings=enc.ENGINE_ENCODINGS) -> tuple[DataFrame, DataFrame]:
+                 encodings=enc.ENGINE_ENCODINGS, large_file_bytes: int | None = LARGE_FILE_BYTES) -> tuple[DataFrame, DataFrame]:
     """A file listing (``list_files``) -> (segments, errors), pruning before any byte is read.
 
-    Office and text files are loaded in separate branches, each file once.
+    Office and text files are loaded in separate branches, each file once.  Text
+    files above ``large_file_bytes`` are not loaded as one row: they are split
+    across tasks by the text source (UTF-8), with exact line numbers.
     """
     kept = prune(listing, exclusions)
     is_office = _office_ext()
     office_bytes = load_contents(kept.where(is_office))
-    text_bytes = load_contents(kept.where(~is_office))
+    text_list = kept.where(~is_office)
+    large = None
+    if large_file_bytes is not None:
+        large = text_list.where(F.col("length") > large_file_bytes)
+        text_list = text_list.where(F.col("length") <= large_file_bytes)
+    text_bytes = load_contents(text_list)
     read_errors = office_bytes.unionByName(text_bytes).where(F.col("error").isNotNull()).select(
         "file_path", F.lit("read").alias("stage"), F.col("error").alias("message")
     )
     ok = lambda df: df.where(F.col("error").isNull()).select("file_path", "content")
     segs, errs = scan(office_files=ok(office_bytes), text_files=ok(text_bytes), target_sheets=target_sheets,
                       encodings=encodings)
+    if large is not None:
+        segs = segs.unionByName(large_file_segments(listing.sparkSession, large))
     return segs, errs.unionByName(read_errors)
 
 
