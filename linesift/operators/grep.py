@@ -125,6 +125,8 @@ def document_may_match(s: Search) -> Column | None:
     Literals and guard literals without newlines test the raw column (pushed to
     Parquet); other line-local regexes test the newline-normalised text.
     """
+    if s.regex is None and s.needle == "":
+        return None  # the empty needle matches every line
     pre = s.text_prefilter("text")
     plain = s.guard if s.regex is not None else s.needle
     if plain is not None and "\r" not in plain and "\n" not in plain:
