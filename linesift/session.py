@@ -46,9 +46,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     Raises when neither is set: on a cluster a machine-local temporary folder
     is never a valid place for lineage cuts or streaming state.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    root = None
+    try:
+        root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    except Exception:  # noqa: BLE001 - sessions without a local context (Spark Connect)
+        root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
     return root.rstrip("/")
@@ -86,8 +88,11 @@ def stage(df, force_checkpoint: bool = False):
         cached = df.persist(StorageLevel.MEMORY_AND_DISK)
         if not (has_dir or force_checkpoint):
             return cached
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
+        try:
+            if not spark.sparkContext.getCheckpointDir():
+                spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
+        except Exception:  # noqa: BLE001 - no local context: the server-side setting applies
+            pass
         out = cached.checkpoint(eager=True)
         cached.unpersist()
         return out
@@ -109,10 +114,13 @@ def balanced(df, factor: int = 2, max_bytes: int = SPREAD_MAX_BYTES):
     the scan below the repartition.  Larger inputs are never touched: they
     already have many splits, and a full shuffle would cost more than it gives.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= slots:
+            return df
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no plan statistics available (e.g. Spark Connect): leave the scan as it is
         return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size > max_bytes:
         return df
     return df.repartition(slots * factor)
