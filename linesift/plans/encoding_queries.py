@@ -46,6 +46,12 @@ def q_detect_encoding(spark, sf):
     return enc.detect(files).select("path", "encoding", "detection_method", "has_bom")
 
 
+def q_best_encoding(spark, sf):
+    """The reference's detection for every readable file: all candidates scored, best by ``max_by``."""
+    files = encoded_files(spark, sf).where(~enc.is_binary("content"))
+    return enc.detect(files, prefer_utf8=False).select("path", "encoding", "confidence", "detection_method")
+
+
 def q_decode_lines(spark, sf):
     files = encoded_files(spark, sf).where(~enc.is_binary("content"))
     return enc.decoded_lines(enc.decode(files))
