@@ -16,4 +16,6 @@ _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
 from linesift.operators.grep import grep, compile_search  # noqa: E402
 from linesift.sources.tables import corpus_segments, documents_corpus  # noqa: E402
 
-__all__ = ["grep", "compile_search", "corpus_segments", "documents_corpus"]
+from linesift.plans.search import scan, scan_listing, search_directory  # noqa: E402
+
+__all__ = ["grep", "compile_search", "corpus_segments", "documents_corpus", "scan", "scan_listing", "search_directory"]

@@ -126,3 +126,43 @@ def scan_listing(listing: DataFrame, exclusions: Exclusions = Exclusions(), targ
 
 def search(segments: DataFrame, needle: str, **opts) -> DataFrame:
     return grep(segments, needle, **opts)
+
+
+class SearchResult:
+    """Lazy outputs of a directory search: ``hits``, ``errors`` and a one-row ``summary``."""
+
+    def __init__(self, files: DataFrame, segments: DataFrame, hits: DataFrame, errors: DataFrame):
+        from linesift.operators.output import scan_summary
+
+        self.files, self.segments, self.hits, self.errors = files, segments, hits, errors
+        self.summary = scan_summary(files, segments, hits, errors)
+
+
+def search_directory(
+    spark,
+    target_dir: str,
+    search_text: str,
+    regex_mode: bool = False,
+    ignore_case: bool = False,
+    whole_word: bool = False,
+    exclude_dirs=None,
+    exclude_exts=None,
+    exclude_file_patterns=None,
+    defaults: Exclusions = Exclusions(),
+    target_sheets=None,
+) -> SearchResult:
+    """The reference's search call on a directory tree, as DataFrames.
+
+    The pattern is compiled (and an invalid regex rejected) before anything is
+    read; exclusion arguments replace ``defaults`` when given; only surviving
+    files are read.
+    """
+    from linesift.operators.grep import compile_search
+    from linesift.sources.files import list_files
+
+    s = compile_search(search_text, regex=regex_mode, ignore_case=ignore_case, whole_word=whole_word)
+    ex = defaults.effective(exclude_dirs, exclude_exts, exclude_file_patterns)
+    listing = list_files(spark, target_dir)
+    segs, errors = scan_listing(listing, ex, target_sheets)
+    kept = prune(listing, ex)
+    return SearchResult(kept, segs, grep(segs, s), errors)

@@ -80,3 +80,20 @@ def test_files_from_reads_dotfiles_and_hits_sink(spark, tmp_path):
     out = str(tmp_path / "out")
     write_hits(hits, out)
     assert sorted(r.file_path for r in spark.read.parquet(out).collect()) == [".env", ".git/config"]
+
+
+def test_search_directory_like_the_reference(spark, tmp_path):
+    import pytest
+
+    from linesift.plans.search import search_directory
+
+    write(tmp_path, "root.txt", "Hello World\nsearch me\nPython Grep")
+    write(tmp_path, "node_modules/x.txt", "search\n")
+    write(tmp_path, "bad.docx", "search in a broken package\n")
+    res = search_directory(spark, str(tmp_path), r"World|search", regex_mode=True, exclude_dirs=["node_modules"])
+    got = sorted((h.file_path, h.line_number) for h in res.hits.collect())
+    assert got == [("bad.docx", 1), ("root.txt", 1), ("root.txt", 2)]
+    s = res.summary.collect()[0]
+    assert (s.files, s.hits, s.files_with_hits, s.errors) == (2, 3, 2, 1)
+    with pytest.raises(ValueError, match="Invalid regular expression"):
+        search_directory(spark, str(tmp_path), "(", regex_mode=True)
