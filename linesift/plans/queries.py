@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linesift.operators import history, output, presets, prune
-from linesift.operators.grep import compile_search, grep, search_corpus
+from linesift.operators.grep import compile_search, search_corpus
 from linesift.plans import params as P
 from linesift.sources.presets import presets_frame
 from linesift.sources.tables import (

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linesift.functions.text import extension, basename, line_pieces, universal_newlines
+from linesift.functions.text import basename, extension, line_pieces
 from linesift.session import balanced
 
 TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
@@ -87,11 +87,6 @@ def corpus_segments(corpus: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def normalized_text(corpus: DataFrame) -> DataFrame:
-    """Apply universal newlines once at document level (used by document pre-filters)."""
-    return corpus.withColumn("text", universal_newlines(F.col("text")))
-
-
 def documents_tree(spark: SparkSession, sf_dir: str, names: dict[str, tuple[str, str]], *extra: str) -> DataFrame:
     """``documents`` as a file tree whose base names depend on the source directory.
 
