@@ -57,7 +57,7 @@ def _t(tag: str, s: str) -> str:
 
 def _zip(parts: list[tuple[str, str]]) -> bytes:
     buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
         for name, body in parts:
             z.writestr(name, body.encode("utf-8"))
     return buf.getvalue()
