@@ -90,3 +90,21 @@ def test_office_files_in_micro_batches(spark, tmp_path):
     got = sorted((r.file_path.rsplit("/", 1)[-1], r.location_display) for r in spark.read.parquet(out).collect())
     assert got == [("a.docx", "Body P.2"), ("b.txt", ""), ("c.xlsx", "")]
     assert spark.read.parquet(out + "_errors").count() == 1
+
+
+def test_processing_time_trigger_and_progress(spark, tmp_path):
+    """Bounded micro-batches on a processing-time trigger; progress reports the rows of each batch."""
+    src = _copy_table(tmp_path, "documents", 2)
+    schema = spark.read.parquet(src).schema
+    corpus = gs.table_stream(spark, src, schema, max_files_per_trigger=1).select(documents_path().alias("file_path"), "text")
+    hits = gs.stream_hits(corpus, "the").select("file_path", "line_number")
+    q = gs.start(hits, "timed", sink="memory", trigger={"processingTime": "200 milliseconds"})
+    try:
+        q.processAllAvailable()
+        progress = [p for p in q.recentProgress if p["numInputRows"] > 0]
+        assert len(progress) == 2  # one file per trigger
+        assert spark.table("timed").count() == 2 * search_corpus(
+            spark.read.parquet(f"{SF_SMALL}/documents.parquet").select(documents_path().alias("file_path"), "text"), "the"
+        ).count()
+    finally:
+        q.stop()
