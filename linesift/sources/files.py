@@ -26,6 +26,7 @@ from linesift.operators.prune import with_path_parts
 
 CONTENT_SCHEMA = "path string, file_path string, content binary, error string"
 MAX_FILE_BYTES = 1 << 30  # one file is one row: guard far below the 2 GiB row limit
+LOAD_TASK_BYTES = 64 << 20  # file bytes one loading task reads
 
 
 def _root_pattern(root: str) -> str:
@@ -76,6 +77,35 @@ def files_from(paths: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     return src.mapInPandas(lambda it: _read_batches(it, max_bytes), CONTENT_SCHEMA)
 
 
+def sized_for_loading(files: DataFrame, task_bytes: int = LOAD_TASK_BYTES) -> DataFrame:
+    """Partition a listing by the bytes its files hold, about ``task_bytes`` per task.
+
+    The listing's own partitions follow Spark's split rules for tiny rows (many
+    partitions of a few paths each).  One small aggregate over ``length`` gives
+    the total; the listing is then coalesced (no shuffle) or spread round-robin
+    (only listing rows move), never below the number of task slots.
+    """
+    try:
+        slots = files.sparkSession.sparkContext.defaultParallelism
+        current = files.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no local context: keep the listing as it is
+        return files
+    row = files.agg(F.sum("length").alias("b"), F.count(F.lit(1)).alias("n")).collect()[0]
+    total, count = int(row["b"] or 0), int(row["n"] or 0)
+    if count == 0:
+        return files
+    want = max(slots, min(count, -(-total // task_bytes)))
+    if want < current:
+        return files.coalesce(want)
+    if want > current:
+        return files.repartition(want)
+    return files
+
+
 def load_contents(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Bytes of the listed (already pruned) files, read where the rows are."""
-    return files_from(files.select("path", "file_path"), max_bytes)
+    """Bytes of the listed (already pruned) files, read where the rows are, about 64 MiB per task."""
+    cols = ["path", "file_path"] + (["length"] if "length" in files.columns else [])
+    listing = files.select(*cols)
+    if "length" in listing.columns:
+        listing = sized_for_loading(listing)
+    return files_from(listing.select("path", "file_path"), max_bytes)
