@@ -16,6 +16,7 @@ package (bounded by the binary row of the file).
 from __future__ import annotations
 
 import io
+import os
 import re
 import zipfile
 import xml.etree.ElementTree as ET
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linesift.functions.text import extension, strip_py
+from linesift.functions.text import basename, extension, strip_py
 from linesift.session import stage
 
 # The OOXML namespaces the extractors read.
@@ -202,7 +203,9 @@ def _powerpoint_tokens(path: str, zf: zipfile.ZipFile) -> Iterable[tuple]:
 
 def package_tokens(path: str, content: bytes, target_sheets: frozenset[str] | None = None) -> list[tuple]:
     """All token rows of one package; a package that cannot be opened gives one ``error`` row."""
-    ext = path[path.rfind("."):].lower() if "." in path else ""
+    ext = os.path.splitext(path.rsplit("/", 1)[-1])[1].lower()
+    if ext not in OFFICE_EXTS:
+        return []  # no parser for this extension
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as zf:
             if ext in WORD_EXTS:
@@ -267,7 +270,7 @@ def concat_ordered(order: str, text: str) -> Column:
 def _segments(df: DataFrame, raw: Column, location: Column, meta: Column, seq: Column) -> DataFrame:
     return df.select(
         F.col("path").alias("file_path"),
-        extension(F.col("path")).alias("ext"),
+        extension(basename(F.col("path"))).alias("ext"),
         seq.cast("long").alias("seq"),
         raw.alias("raw"),
         F.lit(0).alias("line_number"),

@@ -7,6 +7,7 @@ searching, counting and views are then the usual DataFrame operators.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -33,7 +34,7 @@ def _batches(it: Iterator[pd.DataFrame], parsers: dict[str, Parser]) -> Iterator
     for pdf in it:
         rows = []
         for path, content in zip(pdf["file_path"], pdf["content"]):
-            ext = path[path.rfind("."):].lower() if "." in path else ""
+            ext = os.path.splitext(path.rsplit("/", 1)[-1])[1].lower()
             try:
                 for i, item in enumerate(parsers[ext](path, bytes(content)) or []):
                     meta = {str(k): str(v) for k, v in (item.get("metadata") or {}).items()}

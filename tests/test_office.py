@@ -150,3 +150,12 @@ def test_file_lists_from_office_hits(spark):
     assert rows(output.files_with_hits(files, hits), "file_path") == [("a.docx",)]
     assert rows(output.files_without_hits(files, hits), "file_path") == [("b.docx",)]
     assert rows(output.hits_per_file(hits), "file_path", "hits") == [("a.docx", 2)]
+
+
+def test_extension_from_the_base_name(spark):
+    from linesift.sources.office_writer import docx_bytes
+
+    t = toks(spark, ("dir.v2/report.docx", docx_bytes("hello", "s", "l")), ("pkg.docx/notes", b"plain"))
+    segs = office.word_paragraphs(t).where("location_display = 'Body P.1'")
+    assert rows(segs, "file_path", "ext") == [("dir.v2/report.docx", ".docx")]
+    assert office.errors(t).count() == 0  # "pkg.docx/notes" has no Office extension: not tokenised
