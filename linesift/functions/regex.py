@@ -128,15 +128,16 @@ def glob_to_java(glob: str) -> str:
 def is_line_local(pattern: str) -> bool:
     """True when a match inside one line is also a match inside the whole text.
 
-    Holds for patterns without anchors and lookaround: ``\\b``/``\\B`` see the same
-    neighbours (a line starts after ``\\n`` or at the start, ends before ``\\n``
-    or at the end).  Used to filter whole documents before they are split.
+    Holds for patterns without anchors, lookaround, atomic groups and possessive
+    quantifiers (which could behave differently with more text after the line):
+    ``\\b``/``\\B`` see the same neighbours (a line starts after ``\\n`` or at
+    the start, ends with its ``\\n`` or at the end).  Used to filter whole
+    documents before they are split.
     """
     stripped = re.sub(r"\\.", "", pattern)
     stripped = stripped.replace("[^", "[")
-    return not any(tok in stripped for tok in ("^", "$", "(?=", "(?!", "(?<=", "(?<!", "(?m", "(?s")) and not re.search(
-        r"\\[AZzG]", pattern
-    )
+    context_tokens = ("^", "$", "(?=", "(?!", "(?<=", "(?<!", "(?m", "(?s", "(?>", "*+", "++", "?+", "}+")
+    return not any(tok in stripped for tok in context_tokens) and not re.search(r"\\[AZzG]", pattern)
 
 
 def required_literal(pattern: str, ignore_case: bool = False) -> str | None:
