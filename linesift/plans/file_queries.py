@@ -82,10 +82,7 @@ _OFFICE_LANGS = "('de', 'fr', 'es')"
 
 
 def _text_lines(where: str) -> str:
-    base = sql_lines("documents", where).replace(
-        "SELECT concat_ws('/', source, lang, CAST(doc_id AS VARCHAR) || '.txt') AS file_path",
-        f"SELECT {_mixed_path(_KIND_EXT)} AS file_path",
-    )
+    base = sql_lines("documents", where, path=_mixed_path(_KIND_EXT))
     return f"SELECT file_path, line_number, {sql_rstrip('raw')} AS line_content FROM {base}"
 
 

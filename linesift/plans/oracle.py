@@ -37,13 +37,18 @@ CORPUS_SQL = {
 }
 
 
-def lines(corpus: str = "documents", where: str = "TRUE") -> str:
-    """Subquery ``file_path, raw, line_number`` of a corpus (universal newlines, terminator kept)."""
-    table, path, text = CORPUS_SQL[corpus]
+def lines(corpus: str = "documents", where: str = "TRUE", path: str | None = None, extra: tuple[str, ...] = ()) -> str:
+    """Subquery ``file_path, [extra...], raw, line_number`` of a corpus (universal newlines, terminator kept).
+
+    ``path`` replaces the corpus's path expression; ``extra`` are source columns carried along.
+    """
+    table, default_path, text = CORPUS_SQL[corpus]
     norm = f"replace(replace({text}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    carried = "".join(f"{c}, " for c in extra)
     return (
-        f"(SELECT file_path, unnest(l) AS raw, CAST(generate_subscripts(l, 1) AS INTEGER) AS line_number "
-        f"FROM (SELECT {path} AS file_path, regexp_extract_all({norm}, {q(LINE_PIECE)}) AS l FROM {table} WHERE {where}))"
+        f"(SELECT file_path, {carried}unnest(l) AS raw, CAST(generate_subscripts(l, 1) AS INTEGER) AS line_number "
+        f"FROM (SELECT {path or default_path} AS file_path, {carried}regexp_extract_all({norm}, {q(LINE_PIECE)}) AS l "
+        f"FROM {table} WHERE {where}))"
     )
 
 
@@ -63,7 +68,7 @@ def hits(pred: str, corpus: str = "documents") -> str:
     return f"SELECT file_path, line_number, {rstrip('raw')} AS line_content FROM {lines(corpus)} WHERE {pred}"
 
 
-# The 21 presets in RE2 form with Java's Unicode classes spelled out (same order as presets.json).
+# The 21 presets in RE2 form with Java's Unicode classes spelled out (same order as the shipped presets).
 D = r"\p{Nd}"
 S = SPACE
 PRESET_RE2 = {
@@ -172,7 +177,7 @@ def build() -> dict[str, str]:
         "grep_regex_ci": hits(rx("raw", P.REGEX_CI, ci=True)),
         "grep_word": hits(ws_word(P.NEEDLE)),
         "grep_word_ci": hits(ws_word(P.NEEDLE_CI.lower(), ci=True)),
-        "grep_word_regex": hits(rx("raw", LEFT_B + "the|and" + RIGHT_B)),
+        "grep_word_regex": hits(rx("raw", LEFT_B + P.WORD_REGEX + RIGHT_B)),
         "grep_trailing_space": hits(rx("raw", PRESET_RE2["Trailing Space"])),
         "grep_rstrip": hits(f"contains(raw, {q(P.RSTRIP_NEEDLE)})", "conversations"),
         "grep_preset_ipv4": hits(rx("raw", PRESET_RE2["IPv4 Address"])),
