@@ -1,7 +1,7 @@
 """Office extractors (Word, Excel, PowerPoint) as Spark jobs over package tokens.
 
 Python does only what needs a ZIP and an XML parser: one narrow
-``mapInPandas`` turns each package into flat token rows
+``mapInArrow`` step turns each package into flat token rows
 ``path, part, part_ord, kind, ord, parent_ord, ref, type, text, flag, error``.
 Everything else -- run concatenation, paragraph numbering, the sheet ->
 relationship -> part joins, shared strings, slide/notes pairing, cell counts --
@@ -22,7 +22,6 @@ import zipfile
 import xml.etree.ElementTree as ET
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -231,27 +230,39 @@ def package_tokens(path: str, content: bytes, target_sheets: frozenset[str] | No
         ]
 
 
-def _token_batches(batches: Iterator[pd.DataFrame], target_sheets) -> Iterator[pd.DataFrame]:
-    cols = [c.split()[0] for c in TOKEN_SCHEMA.split(", ")]
-    for pdf in batches:
+def _arrow_schema():
+    import pyarrow as pa
+
+    return pa.schema([
+        ("path", pa.string()), ("part", pa.string()), ("part_ord", pa.int32()), ("kind", pa.string()),
+        ("ord", pa.int64()), ("parent_ord", pa.int64()), ("ref", pa.string()), ("type", pa.string()),
+        ("text", pa.string()), ("flag", pa.bool_()), ("error", pa.string()), ("content", pa.binary()),
+    ])
+
+
+def _token_batches(batches: Iterator, target_sheets) -> Iterator:
+    """Arrow record batches of packages -> Arrow record batches of tokens (no pandas in between)."""
+    import pyarrow as pa
+
+    schema = _arrow_schema()
+    for batch in batches:
         rows: list[tuple] = []
-        for path, content in zip(pdf["path"], pdf["content"]):
-            rows.extend(package_tokens(path, bytes(content), target_sheets))
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+            rows.extend(package_tokens(path, content, target_sheets))
         if rows:
-            out = pd.DataFrame.from_records(rows, columns=cols)
-            for c in ("part_ord", "ord", "parent_ord"):
-                out[c] = out[c].astype("Int64")
-            out["flag"] = out["flag"].astype("boolean")
-            yield out
+            columns = list(zip(*rows))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(col, type=field.type) for col, field in zip(columns, schema)], schema=schema
+            )
 
 
 def tokenize(packages: DataFrame, target_sheets: Iterable[str] | None = None) -> DataFrame:
-    """``path, content`` -> token rows, hash-partitioned by ``path`` (one shuffle for all assembly steps).
+    """``path, content`` -> token rows (``mapInArrow``), hash-partitioned by ``path`` (one shuffle for all assembly steps).
 
     The rows are staged (see ``linesift.session.stage``): computed once, then read by every branch.
     """
     ts = frozenset(target_sheets) if target_sheets is not None else None
-    toks = packages.select("path", "content").mapInPandas(lambda it: _token_batches(it, ts), TOKEN_SCHEMA)
+    toks = packages.select("path", "content").mapInArrow(lambda it: _token_batches(it, ts), TOKEN_SCHEMA)
     # several assembly branches read the tokens: compute them once, keep the partitioning by path
     spark = packages.sparkSession
     # every join over the tokens is keyed by path plus an inner key (r_id, part, cell, index);

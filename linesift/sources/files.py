@@ -18,7 +18,6 @@ import re
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,28 +52,33 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def _read_batches(it: Iterator[pd.DataFrame], max_bytes: int) -> Iterator[pd.DataFrame]:
-    for pdf in it:
-        out = []
-        for uri, rel in zip(pdf["path"], pdf["file_path"]):
-            try:
-                filesystem, p = _open(uri)
-                info = filesystem.get_file_info(p)
-                if info.size is not None and info.size > max_bytes:
-                    out.append((uri, rel, None, f"file larger than {max_bytes} bytes"))
-                    continue
-                with filesystem.open_input_stream(p) as f:
-                    out.append((uri, rel, f.read(), None))
-            except Exception as e:  # noqa: BLE001 - reported as a row, the scan goes on
-                out.append((uri, rel, None, f"Error accessing file {rel}: {e}"))
-        yield pd.DataFrame.from_records(out, columns=["path", "file_path", "content", "error"])
+def _read_one(uri: str, rel: str, max_bytes: int) -> tuple:
+    try:
+        filesystem, p = _open(uri)
+        info = filesystem.get_file_info(p)
+        if info.size is not None and info.size > max_bytes:
+            return (uri, rel, None, f"file larger than {max_bytes} bytes")
+        with filesystem.open_input_stream(p) as f:
+            return (uri, rel, f.read(), None)
+    except Exception as e:  # noqa: BLE001 - reported as a row, the scan goes on
+        return (uri, rel, None, f"Error accessing file {rel}: {e}")
+
+
+def _read_batches(it: Iterator, max_bytes: int) -> Iterator:
+    import pyarrow as pa
+
+    schema = pa.schema([("path", pa.string()), ("file_path", pa.string()), ("content", pa.binary()), ("error", pa.string())])
+    for batch in it:
+        rows = [_read_one(u, r, max_bytes) for u, r in zip(batch.column("path").to_pylist(), batch.column("file_path").to_pylist())]
+        cols = list(zip(*rows)) if rows else [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
 def files_from(paths: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """``path`` (URI or absolute path) [+ ``file_path``] -> ``path, file_path, content, error``."""
     cols = paths.columns
     src = paths.select("path", F.col("file_path") if "file_path" in cols else F.col("path").alias("file_path"))
-    return src.mapInPandas(lambda it: _read_batches(it, max_bytes), CONTENT_SCHEMA)
+    return src.mapInArrow(lambda it: _read_batches(it, max_bytes), CONTENT_SCHEMA)
 
 
 def sized_for_loading(files: DataFrame, task_bytes: int = LOAD_TASK_BYTES) -> DataFrame:

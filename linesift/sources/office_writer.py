@@ -1,4 +1,4 @@
-"""Office package writer: text rows -> .docx / .xlsx / .pptx bytes (a ``mapInPandas`` sink).
+"""Office package writer: text rows -> .docx / .xlsx / .pptx bytes (a ``mapInArrow`` step).
 
 Used to turn table rows into real Office packages so the extractors can be
 checked against SQL over the same rows (round trips).  One input row gives
@@ -24,7 +24,6 @@ import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
 W_NS = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
@@ -147,10 +146,22 @@ def _pack_one(kind: str, row) -> bytes:
     return row.text.encode("utf-8")  # "text", or "broken": the text itself under an Office name
 
 
-def _pack_batches(kind: str | None, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = [_pack_one(kind or row.kind, row) for row in pdf.itertuples(index=False)]
-        yield pd.DataFrame({"path": pdf["path"], "content": out})
+def _pack_batches(kind: str | None, batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    for batch in batches:
+        rows = batch.to_pylist()
+        out = [_pack_one(kind or r["kind"], _Row(r)) for r in rows]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("path"), pa.array(out, type=pa.binary())], names=["path", "content"]
+        )
+
+
+class _Row:
+    """Attribute access over one row dict (``row.text``)."""
+
+    def __init__(self, d: dict):
+        self.__dict__.update(d)
 
 
 def pack(rows: DataFrame, kind: str | None = None) -> DataFrame:
@@ -160,4 +171,4 @@ def pack(rows: DataFrame, kind: str | None = None) -> DataFrame:
     Office name); with ``kind=None`` each row names its own in a ``kind`` column.
     """
     cols = ["path", "text", "source", "lang", "n_chars"] + (["kind"] if kind is None else [])
-    return rows.select(*cols).mapInPandas(lambda it: _pack_batches(kind, it), PACKAGE_SCHEMA)
+    return rows.select(*cols).mapInArrow(lambda it: _pack_batches(kind, it), PACKAGE_SCHEMA)
