@@ -2,7 +2,7 @@
 
 Native first: the BOM and NUL tests, script-ratio counts and the decoding of
 valid UTF-8 are built-in expressions, so most rows never leave the JVM.
-Only bytes that are not valid UTF-8 go to one ``mapInPandas`` step, which
+Only bytes that are not valid UTF-8 go to one Python step (``mapInArrow``), which
 tries each candidate codec (Spark's ``decode`` knows no CJK charsets) and
 emits one score row per candidate that decodes; the best candidate per file
 is then a ``max_by`` aggregate in Spark.
@@ -151,12 +151,23 @@ def candidate_scores(path: str, content: bytes, encodings: Sequence[str]) -> lis
     return rows
 
 
-def _score_batches(it: Iterator[pd.DataFrame], encodings: Sequence[str]) -> Iterator[pd.DataFrame]:
-    for pdf in it:
+def _arrow_batch(rows: list[tuple], schema_fields: list[tuple]):
+    import pyarrow as pa
+
+    schema = pa.schema(schema_fields)
+    cols = list(zip(*rows)) if rows else [[] for _ in schema_fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
+
+
+def _score_batches(it: Iterator, encodings: Sequence[str]) -> Iterator:
+    import pyarrow as pa
+
+    fields = [("path", pa.string()), ("ord", pa.int32()), ("encoding", pa.string()), ("confidence", pa.float64())]
+    for batch in it:
         rows = []
-        for path, content in zip(pdf["path"], pdf["content"]):
-            rows.extend(candidate_scores(path, bytes(content), encodings))
-        yield pd.DataFrame.from_records(rows, columns=["path", "ord", "encoding", "confidence"])
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+            rows.extend(candidate_scores(path, content, encodings))
+        yield _arrow_batch(rows, fields)
 
 
 def best_candidate(content: bytes, encodings: Sequence[str]) -> str:
@@ -172,11 +183,13 @@ def best_candidate(content: bytes, encodings: Sequence[str]) -> str:
     return best
 
 
-def _decode_batches(it: Iterator[pd.DataFrame], encodings: Sequence[str]) -> Iterator[pd.DataFrame]:
-    for pdf in it:
+def _decode_batches(it: Iterator, encodings: Sequence[str]) -> Iterator:
+    import pyarrow as pa
+
+    fields = [("path", pa.string()), ("encoding", pa.string()), ("text", pa.string()), ("error", pa.string())]
+    for batch in it:
         out = []
-        for path, content in zip(pdf["path"], pdf["content"]):
-            raw = bytes(content)
+        for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
             first = best_candidate(raw, encodings)
             for enc in [first] + [e for e in encodings if e != first]:
                 try:
@@ -186,7 +199,7 @@ def _decode_batches(it: Iterator[pd.DataFrame], encodings: Sequence[str]) -> Ite
                     continue
             else:
                 out.append((path, None, None, "no candidate encoding decodes the file"))
-        yield pd.DataFrame.from_records(out, columns=["path", "encoding", "text", "error"])
+        yield _arrow_batch(out, fields)
 
 
 # ---------------------------------------------------------------- the job
@@ -215,7 +228,7 @@ def detect(files: DataFrame, encodings: Sequence[str] = ENGINE_ENCODINGS, prefer
         F.col("bom.has_bom").alias("has_bom"),
     )
     rest = f.where(~native)
-    scores = rest.select("path", "content").mapInPandas(lambda it: _score_batches(it, enc_list), DETECT_SCHEMA)
+    scores = rest.select("path", "content").mapInArrow(lambda it: _score_batches(it, enc_list), DETECT_SCHEMA)
     best = (
         scores.where(F.col("confidence") > 0)
         .groupBy("path")
@@ -252,7 +265,7 @@ def decode(files: DataFrame, encodings: Sequence[str] = ENGINE_ENCODINGS, prefer
         text.alias("text"),
         F.lit(None).cast("string").alias("error"),
     )
-    other = f.where(~native_ok).mapInPandas(lambda it: _decode_batches(it, enc_list), DECODE_SCHEMA)
+    other = f.where(~native_ok).mapInArrow(lambda it: _decode_batches(it, enc_list), DECODE_SCHEMA)
     return native.unionByName(other)
 
 
