@@ -10,7 +10,7 @@ import sys as _sys
 
 from pyspark import cloudpickle as _cloudpickle
 
-# Python steps (mapInArrow / mapInPandas) pickle this package's functions by value, so executors need no copy of it.
+# Python steps (mapInArrow) pickle this package's functions by value, so executors need no copy of it.
 _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
 
 from linesift.operators.grep import grep, compile_search  # noqa: E402

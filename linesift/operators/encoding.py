@@ -13,7 +13,6 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -304,11 +303,15 @@ def lenient_text(content: bytes, encodings: Sequence[str]) -> tuple:
             ["All encodings failed. Used UTF-8 with replacement.", f"Original error: {msg}"])
 
 
-def _lenient_batches(it: Iterator[pd.DataFrame], encodings: Sequence[str]) -> Iterator[pd.DataFrame]:
-    cols = ["path", "text", "encoding_used", "success", "has_replacement_chars", "errors"]
-    for pdf in it:
-        rows = [(p, *lenient_text(bytes(c), encodings)) for p, c in zip(pdf["path"], pdf["content"])]
-        yield pd.DataFrame.from_records(rows, columns=cols)
+def _lenient_batches(it: Iterator, encodings: Sequence[str]) -> Iterator:
+    import pyarrow as pa
+
+    fields = [("path", pa.string()), ("text", pa.string()), ("encoding_used", pa.string()), ("success", pa.bool_()),
+              ("has_replacement_chars", pa.bool_()), ("errors", pa.list_(pa.string()))]
+    for batch in it:
+        rows = [(p, *lenient_text(c, encodings))
+                for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist())]
+        yield _arrow_batch(rows, fields)
 
 
 def decode_lenient(files: DataFrame, encodings: Sequence[str] = OFFICE_ENCODINGS) -> DataFrame:
@@ -325,7 +328,7 @@ def decode_lenient(files: DataFrame, encodings: Sequence[str] = OFFICE_ENCODINGS
         F.array().cast("array<string>").alias("errors"),
     )
     native = native.withColumn("has_replacement_chars", F.col("text").contains("\ufffd"))
-    other = files.where(~valid).select("path", "content").mapInPandas(lambda it: _lenient_batches(it, enc_list), LENIENT_SCHEMA)
+    other = files.where(~valid).select("path", "content").mapInArrow(lambda it: _lenient_batches(it, enc_list), LENIENT_SCHEMA)
     return native.unionByName(other)
 
 

@@ -1,6 +1,6 @@
 """Parser plug-ins: extra file formats as ``(path, bytes) -> [{"text", "location", "metadata"}]`` functions.
 
-A registered parser runs inside one ``mapInPandas`` over the files with its
+A registered parser runs inside one ``mapInArrow`` step over the files with its
 extension and yields ``segments`` rows (line number 0, location as given);
 searching, counting and views are then the usual DataFrame operators.
 """
@@ -10,7 +10,6 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,25 +29,31 @@ def registered() -> dict[str, Parser]:
     return dict(_REGISTRY)
 
 
-def _batches(it: Iterator[pd.DataFrame], parsers: dict[str, Parser]) -> Iterator[pd.DataFrame]:
-    for pdf in it:
+def _batches(it: Iterator, parsers: dict[str, Parser]) -> Iterator:
+    import pyarrow as pa
+
+    schema = pa.schema([("file_path", pa.string()), ("seq", pa.int64()), ("raw", pa.string()),
+                        ("location_display", pa.string()), ("metadata", pa.map_(pa.string(), pa.string())),
+                        ("error", pa.string())])
+    for batch in it:
         rows = []
-        for path, content in zip(pdf["file_path"], pdf["content"]):
+        for path, content in zip(batch.column("file_path").to_pylist(), batch.column("content").to_pylist()):
             ext = os.path.splitext(path.rsplit("/", 1)[-1])[1].lower()
             try:
-                for i, item in enumerate(parsers[ext](path, bytes(content)) or []):
-                    meta = {str(k): str(v) for k, v in (item.get("metadata") or {}).items()}
+                for i, item in enumerate(parsers[ext](path, content) or []):
+                    meta = [(str(k), str(v)) for k, v in (item.get("metadata") or {}).items()]
                     rows.append((path, i, item.get("text", ""), item.get("location", "Unknown"), meta, None))
             except Exception as e:  # noqa: BLE001 - reported, the scan goes on
                 rows.append((path, None, None, None, None, f"Error parsing {path}: {e}"))
-        yield pd.DataFrame.from_records(rows, columns=["file_path", "seq", "raw", "location_display", "metadata", "error"])
+        cols = list(zip(*rows)) if rows else [[] for _ in schema]
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
 def plugin_segments(files: DataFrame, parsers: dict[str, Parser] | None = None) -> tuple[DataFrame, DataFrame]:
     """Files with a registered extension -> (segments, errors)."""
     ps = parsers if parsers is not None else registered()
     ext = extension(basename(F.col("file_path")))
-    out = files.where(ext.isin(list(ps))).select("file_path", "content").mapInPandas(
+    out = files.where(ext.isin(list(ps))).select("file_path", "content").mapInArrow(
         lambda it: _batches(it, ps), PLUGIN_SCHEMA
     )
     segs = out.where(F.col("error").isNull()).select(

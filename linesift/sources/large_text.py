@@ -23,7 +23,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +34,13 @@ MAX_LARGE_FILES = 200_000  # bound for the path list handed to the text source
 MAX_BROADCAST_BLOCKS = 500_000  # block table rows sent to every task at most
 
 
-def _last_byte_batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in it:
+def _last_byte_batches(it: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    schema = pa.schema([("path", pa.string()), ("file_path", pa.string()), ("ends_with_newline", pa.bool_())])
+    for batch in it:
         out = []
-        for uri, rel in zip(pdf["path"], pdf["file_path"]):
+        for uri, rel in zip(batch.column("path").to_pylist(), batch.column("file_path").to_pylist()):
             try:
                 filesystem, p = _open(uri)
                 size = filesystem.get_file_info(p).size or 0
@@ -50,7 +52,8 @@ def _last_byte_batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 out.append((uri, rel, ends))
             except Exception:  # noqa: BLE001 - unknown: treat as no final terminator
                 out.append((uri, rel, False))
-        yield pd.DataFrame.from_records(out, columns=["path", "file_path", "ends_with_newline"])
+        cols = list(zip(*out)) if out else [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
 def large_file_lines(spark: SparkSession, files: DataFrame, max_files: int = MAX_LARGE_FILES) -> DataFrame:
@@ -75,7 +78,7 @@ def large_file_lines(spark: SparkSession, files: DataFrame, max_files: int = MAX
         F.coalesce(F.sum("n").over(by_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
         F.sum("n").over(Window.partitionBy("key")).alias("total"),
     )
-    tails = files.select("path", "file_path").mapInPandas(
+    tails = files.select("path", "file_path").mapInArrow(
         _last_byte_batches, "path string, file_path string, ends_with_newline boolean"
     ).select(key(F.col("path")).alias("key"), "file_path", "ends_with_newline")
     table = blocks.join(tails, "key")  # one row per block
