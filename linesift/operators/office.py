@@ -268,8 +268,13 @@ def tokenize(packages: DataFrame, target_sheets: Iterable[str] | None = None) ->
     # every join over the tokens is keyed by path plus an inner key (r_id, part, cell, index);
     # partitioning by path co-partitions them, so no join re-shuffles the tokens
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    # An explicit count (AQE keeps it, so the staged rows stay hash-partitioned by path),
+    # sized with the input: at least one token partition per package partition.
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # an explicit count: AQE keeps it, so the staged rows stay hash-partitioned by path
+    try:
+        n = max(n, packages.rdd.getNumPartitions())
+    except Exception:  # noqa: BLE001 - no local context: the configured count
+        pass
     return stage(toks.repartition(n, "path"))
 
 
