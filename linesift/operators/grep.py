@@ -22,6 +22,7 @@ from linesift.functions.regex import is_line_local, java_regex, required_literal
 from linesift.functions.text import rstrip_py, universal_newlines
 from linesift.sources.tables import corpus_segments
 
+
 @dataclass(frozen=True)
 class Search:
     """A compiled search: either a literal (``regex is None``) or a Java regex string."""
