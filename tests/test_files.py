@@ -97,3 +97,13 @@ def test_search_directory_like_the_reference(spark, tmp_path):
     assert (s.files, s.hits, s.files_with_hits, s.errors) == (2, 3, 2, 1)
     with pytest.raises(ValueError, match="Invalid regular expression"):
         search_directory(spark, str(tmp_path), "(", regex_mode=True)
+
+
+def test_root_name_never_matches_an_exclusion(spark, tmp_path):
+    root = tmp_path / "node_modules"
+    write(root, "a.txt", "needle\n")
+    write(root, "node_modules/b.txt", "needle\n")
+    write(root, "bin/c.txt", "needle\n")
+    write(root, "binary/d.txt", "needle\n")
+    got, _ = hits(spark, root, "needle", Exclusions.of(dirs=["node_modules", "bin"]))
+    assert [p for p, _, _ in got] == ["a.txt", "binary/d.txt"]  # the root itself and "binary" are not excluded

@@ -159,3 +159,29 @@ def test_extension_from_the_base_name(spark):
     segs = office.word_paragraphs(t).where("location_display = 'Body P.1'")
     assert rows(segs, "file_path", "ext") == [("dir.v2/report.docx", ".docx")]
     assert office.errors(t).count() == 0  # "pkg.docx/notes" has no Office extension: not tokenised
+
+
+def test_round_trip_with_markup_characters(spark):
+    """Packed and extracted again: XML-special characters, whitespace-only lines and non-Latin text survive."""
+    from linesift.sources.office_writer import docx_bytes, pptx_bytes, text_lines
+
+    texts = ["a < b && c > d\n\"quoted\" 'single'\n   \nlast", "日本語 & <tag>\n\n\tindent\r\nend ", "x"]
+    files = [(f"t{i}.docx", docx_bytes(t, "s", "l")) for i, t in enumerate(texts)]
+    files += [(f"t{i}.pptx", pptx_bytes(t, "l")) for i, t in enumerate(texts)]
+    t = toks(spark, *files)
+    word = {}
+    for r in office.word_paragraphs(t).where("location_display LIKE 'Body%'").collect():
+        word.setdefault(r.file_path, []).append((int(r.location_display.split(".")[-1]), r.raw))
+    for i, text in enumerate(texts):
+        want = [line for line in text_lines(text) if line]
+        assert [raw for _, raw in sorted(word[f"t{i}.docx"])] == want
+    slides = {}
+    for r in office.powerpoint_paragraphs(t).where("metadata['type'] = 'slide'").collect():
+        slides.setdefault(r.file_path, []).append((int(r.metadata["slide"]), int(r.location_display.split(".")[-1]), r.raw))
+    for i, text in enumerate(texts):
+        lines = text_lines(text)
+        want = []
+        for n in range(0, len(lines), 4):
+            kept = [ln.strip() for ln in lines[n:n + 4] if ln.strip()]
+            want += [(n // 4 + 1, j + 1, ln) for j, ln in enumerate(kept)]
+        assert sorted(slides.get(f"t{i}.pptx", [])) == want
