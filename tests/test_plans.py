@@ -53,3 +53,21 @@ def test_general_counts_aggregate_before_shuffle(spark):
 def test_decode_has_no_join(spark):
     p = plan(E.queries()["decode_lines"](spark, SF_SMALL))
     assert "Join" not in p
+
+
+def test_spreading_is_size_checked(spark):
+    from linesift.session import balanced
+
+    df = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    assert "RoundRobinPartitioning" in plan(balanced(df))  # small single-split input: spread
+    assert "RoundRobinPartitioning" not in plan(balanced(df, max_bytes=0))  # above the size limit: untouched
+
+
+def test_token_partitions_follow_the_input(spark):
+    from linesift.operators import office
+    from linesift.sources.office_writer import docx_bytes
+
+    rows = [(f"f{i}.docx", bytearray(docx_bytes(f"line {i}", "s", "l"))) for i in range(40)]
+    packages = spark.createDataFrame(rows, "path string, content binary").repartition(24)
+    toks = office.tokenize(packages)
+    assert toks.rdd.getNumPartitions() >= 24
