@@ -200,34 +200,30 @@ def _powerpoint_tokens(path: str, zf: zipfile.ZipFile) -> Iterable[tuple]:
                     seq += 1
 
 
-def package_tokens(path: str, content: bytes, target_sheets: frozenset[str] | None = None) -> list[tuple]:
-    """All token rows of one package; a package that cannot be opened gives one ``error`` row."""
+def package_tokens(path: str, content: bytes, target_sheets: frozenset[str] | None = None) -> Iterator[tuple]:
+    """Token rows of one package, produced lazily; a file that is not a package gives an ``error`` row."""
     ext = os.path.splitext(path.rsplit("/", 1)[-1])[1].lower()
     if ext not in OFFICE_EXTS:
-        return []  # no parser for this extension
+        return  # no parser for this extension
     try:
-        with zipfile.ZipFile(io.BytesIO(content)) as zf:
-            if ext in WORD_EXTS:
-                return list(_word_tokens(path, zf))
-            if ext in EXCEL_EXTS:
-                out: list[tuple] = []
-                try:
-                    for t in _excel_tokens(path, zf, target_sheets):
-                        out.append(t)
-                except Exception as e:  # noqa: BLE001 - tokens read so far stay
-                    out.append(_tok(path, None, None, "error", error=f"Error parsing XLSX {path}: {e}"))
-                return out
-            if ext in POWERPOINT_EXTS:
-                return list(_powerpoint_tokens(path, zf))
-            return []
+        zf = zipfile.ZipFile(io.BytesIO(content))
     except Exception as e:  # noqa: BLE001 - not a ZIP package
         # Reported, and its bytes kept for the text fallback.  (A file that opens as a ZIP
         # but gives no segments needs no fallback: every ZIP header holds a NUL byte in
         # its first 1,024 bytes, so the text scan would skip it as binary.)
-        return [
-            _tok(path, None, None, "error", error=f"Error parsing {KIND_NAME.get(ext, 'OFFICE')} {path}: {e}"),
-            _tok(path, None, None, "raw", content=content),
-        ]
+        yield _tok(path, None, None, "error", error=f"Error parsing {KIND_NAME[ext]} {path}: {e}")
+        yield _tok(path, None, None, "raw", content=content)
+        return
+    with zf:
+        try:
+            if ext in WORD_EXTS:
+                yield from _word_tokens(path, zf)
+            elif ext in EXCEL_EXTS:
+                yield from _excel_tokens(path, zf, target_sheets)
+            else:
+                yield from _powerpoint_tokens(path, zf)
+        except Exception as e:  # noqa: BLE001 - tokens read so far stay, the package is reported
+            yield _tok(path, None, None, "error", error=f"Error parsing {KIND_NAME[ext]} {path}: {e}")
 
 
 def _arrow_schema():
@@ -240,20 +236,29 @@ def _arrow_schema():
     ])
 
 
+TOKENS_PER_BATCH = 50_000  # output batch size: Python memory stays bounded whatever the package size
+
+
 def _token_batches(batches: Iterator, target_sheets) -> Iterator:
     """Arrow record batches of packages -> Arrow record batches of tokens (no pandas in between)."""
     import pyarrow as pa
 
     schema = _arrow_schema()
+
+    def emit(rows):
+        columns = list(zip(*rows))
+        return pa.RecordBatch.from_arrays([pa.array(col, type=field.type) for col, field in zip(columns, schema)], schema=schema)
+
     for batch in batches:
         rows: list[tuple] = []
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-            rows.extend(package_tokens(path, content, target_sheets))
+            for tok in package_tokens(path, content, target_sheets):
+                rows.append(tok)
+                if len(rows) >= TOKENS_PER_BATCH:
+                    yield emit(rows)
+                    rows = []
         if rows:
-            columns = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(col, type=field.type) for col, field in zip(columns, schema)], schema=schema
-            )
+            yield emit(rows)
 
 
 def tokenize(packages: DataFrame, target_sheets: Iterable[str] | None = None) -> DataFrame:
