@@ -64,14 +64,34 @@ def _read_one(uri: str, rel: str, max_bytes: int) -> tuple:
         return (uri, rel, None, f"Error accessing file {rel}: {e}")
 
 
+OUTPUT_BATCH_BYTES = 64 << 20  # file bytes per output record batch
+
+
 def _read_batches(it: Iterator, max_bytes: int) -> Iterator:
+    """Listing batches -> content batches; a batch is emitted whenever 64 MiB of file bytes were read.
+
+    Input batches are listing rows (tiny), so their count says nothing about the
+    bytes behind them; the output is bounded by bytes instead.
+    """
     import pyarrow as pa
 
     schema = pa.schema([("path", pa.string()), ("file_path", pa.string()), ("content", pa.binary()), ("error", pa.string())])
+
+    def emit(rows):
+        cols = list(zip(*rows))
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
+
     for batch in it:
-        rows = [_read_one(u, r, max_bytes) for u, r in zip(batch.column("path").to_pylist(), batch.column("file_path").to_pylist())]
-        cols = list(zip(*rows)) if rows else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
+        rows, size = [], 0
+        for u, r in zip(batch.column("path").to_pylist(), batch.column("file_path").to_pylist()):
+            row = _read_one(u, r, max_bytes)
+            rows.append(row)
+            size += len(row[2] or b"")
+            if size >= OUTPUT_BATCH_BYTES:
+                yield emit(rows)
+                rows, size = [], 0
+        if rows:
+            yield emit(rows)
 
 
 def files_from(paths: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
