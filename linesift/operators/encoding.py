@@ -30,7 +30,8 @@ CHINESE_ENCODINGS = ["gb18030", "gbk", "gb2312", "big5"]
 KOREAN_ENCODINGS = ["euc-kr", "cp949"]
 NUL_SPAN = 1024  # fixed value: bytes inspected for the binary test
 
-DETECT_SCHEMA = "path string, ord int, encoding string, confidence double"
+DETECT_SCHEMA = "path string, ord int, encoding string, confidence double, has_bom boolean"
+_BOMS = (b"\xef\xbb\xbf", b"\xff\xfe", b"\xfe\xff", b"\x00\x00\xfe\xff")
 DECODE_SCHEMA = "path string, encoding string, text string, error string"
 
 
@@ -159,13 +160,16 @@ def _arrow_batch(rows: list[tuple], schema_fields: list[tuple]):
 
 
 def _score_batches(it: Iterator, encodings: Sequence[str]) -> Iterator:
+    """One marker row per file (``ord`` -1, carries ``has_bom``) plus one row per candidate that decodes."""
     import pyarrow as pa
 
-    fields = [("path", pa.string()), ("ord", pa.int32()), ("encoding", pa.string()), ("confidence", pa.float64())]
+    fields = [("path", pa.string()), ("ord", pa.int32()), ("encoding", pa.string()), ("confidence", pa.float64()),
+              ("has_bom", pa.bool_())]
     for batch in it:
         rows = []
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-            rows.extend(candidate_scores(path, content, encodings))
+            rows.append((path, -1, None, 0.0, content.startswith(_BOMS)))
+            rows.extend((*r, None) for r in candidate_scores(path, content, encodings))
         yield _arrow_batch(rows, fields)
 
 
@@ -226,18 +230,19 @@ def detect(files: DataFrame, encodings: Sequence[str] = ENGINE_ENCODINGS, prefer
         ),
         F.col("bom.has_bom").alias("has_bom"),
     )
-    rest = f.where(~native)
-    scores = rest.select("path", "content").mapInArrow(lambda it: _score_batches(it, enc_list), DETECT_SCHEMA)
-    best = (
-        scores.where(F.col("confidence") > 0)
-        .groupBy("path")
-        .agg(F.max_by(F.struct("encoding", "confidence"), F.struct(F.col("confidence"), -F.col("ord"))).alias("b"))
+    # the undecided files are read once: the Python step emits their candidate scores and a marker row,
+    # and one aggregate per file gives the verdict (no join back to the bytes)
+    scores = f.where(~native).select("path", "content").mapInArrow(lambda it: _score_batches(it, enc_list), DETECT_SCHEMA)
+    positive = (F.col("ord") >= 0) & (F.col("confidence") > 0)
+    per_file = scores.groupBy("path").agg(
+        F.max_by(F.struct("encoding", "confidence"), F.when(positive, F.struct(F.col("confidence"), -F.col("ord")))).alias("b"),
+        F.max("has_bom").alias("has_bom"),
     )
-    scored = rest.select("path", F.col("bom.has_bom").alias("has_bom")).join(best, "path", "left").select(
+    scored = per_file.select(
         "path",
         F.coalesce(F.col("b.encoding"), F.lit("utf-8")).alias("encoding"),
         F.coalesce(F.col("b.confidence"), F.lit(0.0)).alias("confidence"),
-        F.when(F.col("b").isNull(), F.lit("fallback")).otherwise(F.lit("pattern_analysis")).alias("detection_method"),
+        F.when(F.col("b.encoding").isNull(), F.lit("fallback")).otherwise(F.lit("pattern_analysis")).alias("detection_method"),
         "has_bom",
     )
     return decided.unionByName(scored)
