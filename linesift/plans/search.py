@@ -22,7 +22,7 @@ from linesift.operators import office
 from linesift.operators.grep import grep
 from linesift.operators.plugins import plugin_segments
 from linesift.operators.prune import Exclusions, prune
-from linesift.sources.files import load_contents
+from linesift.sources.files import load_contents, read_errors
 from linesift.sources.large_text import large_file_segments
 
 LARGE_FILE_BYTES = 256 << 20  # text files above this are split across tasks instead of read as one row
@@ -113,15 +113,14 @@ def scan_listing(listing: DataFrame, exclusions: Exclusions = Exclusions(), targ
         large = text_list.where(F.col("length") > large_file_bytes)
         text_list = text_list.where(F.col("length") <= large_file_bytes)
     text_bytes = load_contents(text_list)
-    read_errors = office_bytes.unionByName(text_bytes).where(F.col("error").isNotNull()).select(
-        "file_path", F.lit("read").alias("stage"), F.col("error").alias("message")
-    )
+    # a separate metadata-only pass: computing the errors never reads the file bytes a second time
+    unreadable = read_errors(kept.select("path", "file_path"))
     ok = lambda df: df.where(F.col("error").isNull()).select("file_path", "content")
     segs, errs = scan(office_files=ok(office_bytes), text_files=ok(text_bytes), target_sheets=target_sheets,
                       encodings=encodings)
     if large is not None:
         segs = segs.unionByName(large_file_segments(listing.sparkSession, large))
-    return segs, errs.unionByName(read_errors)
+    return segs, errs.unionByName(unreadable)
 
 
 def search(segments: DataFrame, needle: str, **opts) -> DataFrame:

@@ -94,6 +94,40 @@ def _read_batches(it: Iterator, max_bytes: int) -> Iterator:
             yield emit(rows)
 
 
+def _check_one(uri: str, rel: str, max_bytes: int) -> str | None:
+    try:
+        filesystem, p = _open(uri)
+        info = filesystem.get_file_info(p)
+        if info.size is not None and info.size > max_bytes:
+            return f"file larger than {max_bytes} bytes"
+        with filesystem.open_input_stream(p):  # opened, not read: permissions and existence
+            return None
+    except Exception as e:  # noqa: BLE001
+        return f"Error accessing file {rel}: {e}"
+
+
+def _check_batches(it: Iterator, max_bytes: int) -> Iterator:
+    import pyarrow as pa
+
+    schema = pa.schema([("file_path", pa.string()), ("message", pa.string())])
+    for batch in it:
+        rows = []
+        for u, r in zip(batch.column("path").to_pylist(), batch.column("file_path").to_pylist()):
+            msg = _check_one(u, r, max_bytes)
+            if msg is not None:
+                rows.append((r, msg))
+        cols = list(zip(*rows)) if rows else [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
+
+
+def read_errors(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """``file_path, stage, message`` for listed files that cannot be read, from metadata only (no bytes read)."""
+    checked = files.select("path", "file_path").mapInArrow(
+        lambda it: _check_batches(it, max_bytes), "file_path string, message string"
+    )
+    return checked.select("file_path", F.lit("read").alias("stage"), "message")
+
+
 def files_from(paths: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """``path`` (URI or absolute path) [+ ``file_path``] -> ``path, file_path, content, error``."""
     cols = paths.columns

@@ -107,3 +107,14 @@ def test_root_name_never_matches_an_exclusion(spark, tmp_path):
     write(root, "binary/d.txt", "needle\n")
     got, _ = hits(spark, root, "needle", Exclusions.of(dirs=["node_modules", "bin"]))
     assert [p for p, _, _ in got] == ["a.txt", "binary/d.txt"]  # the root itself and "binary" are not excluded
+
+
+def test_read_errors_without_reading(spark, tmp_path):
+    from linesift.sources.files import read_errors
+
+    write(tmp_path, "ok.txt", "fine\n")
+    listing = spark.createDataFrame(
+        [(str(tmp_path / "ok.txt"), "ok.txt"), (str(tmp_path / "gone.txt"), "gone.txt")], "path string, file_path string"
+    )
+    errs = read_errors(listing).collect()
+    assert [(e.file_path, e.stage) for e in errs] == [("gone.txt", "read")] and "gone.txt" in errs[0].message
