@@ -89,6 +89,27 @@ def write_hits(hits: DataFrame, path: str, mode: str = "append", partition_by: l
     writer.parquet(path)
 
 
+def segments_summary(files: DataFrame, segments: DataFrame, search, errors: DataFrame | None = None) -> DataFrame:
+    """``scan_summary`` with the hits counted in the same aggregate as the segments (one pass over them)."""
+    hit = search.predicate(F.col("raw"))
+    parts = [
+        files.agg(F.count(F.lit(1)).alias("files")),
+        segments.agg(
+            F.count(F.lit(1)).alias("segments"),
+            F.count_if(hit).alias("hits"),
+            F.countDistinct(F.when(hit, F.col("file_path"))).alias("files_with_hits"),
+        ),
+    ]
+    if errors is not None:
+        parts.append(errors.agg(F.count(F.lit(1)).alias("errors")))
+    names = ["files", "segments", "hits", "files_with_hits", "errors"]
+    out = None
+    for p in parts:
+        row = p.select(*[F.col(n).cast("long") if n in p.columns else F.lit(None).cast("long").alias(n) for n in names])
+        out = row if out is None else out.unionByName(row)
+    return out.agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in names])
+
+
 def corpus_summary(corpus: DataFrame, search) -> DataFrame:
     """``scan_summary`` of a text corpus in one pass: per-file line and hit counts, then one global aggregate.
 

@@ -130,11 +130,13 @@ def search(segments: DataFrame, needle: str, **opts) -> DataFrame:
 class SearchResult:
     """Lazy outputs of a directory search: ``hits``, ``errors`` and a one-row ``summary``."""
 
-    def __init__(self, files: DataFrame, segments: DataFrame, hits: DataFrame, errors: DataFrame):
-        from linesift.operators.output import scan_summary
+    def __init__(self, files: DataFrame, segments: DataFrame, search, errors: DataFrame):
+        from linesift.operators.output import segments_summary
 
-        self.files, self.segments, self.hits, self.errors = files, segments, hits, errors
-        self.summary = scan_summary(files, segments, hits, errors)
+        self.files, self.segments, self.errors = files, segments, errors
+        self.hits = grep(segments, search)
+        # segments and hits in one aggregate: the summary reads the files once for both
+        self.summary = segments_summary(files, segments, search, errors)
 
 
 def search_directory(
@@ -164,4 +166,4 @@ def search_directory(
     listing = list_files(spark, target_dir)
     segs, errors = scan_listing(listing, ex, target_sheets)
     kept = prune(listing, ex)
-    return SearchResult(kept, segs, grep(segs, s), errors)
+    return SearchResult(kept, segs, s, errors)
