@@ -16,7 +16,7 @@ line numbers are rebuilt without ever grouping a whole file:
 The text source ends lines at ``\\n``, ``\\r\\n`` and ``\\r`` (universal newlines)
 and drops the terminator; it is put back as ``\\n`` for every line except a
 file's last, whose terminator is read from the file's last byte.  Files are
-read as UTF-8.
+read as UTF-8; binary files (a NUL in the first 1,024 bytes) are skipped.
 """
 
 from __future__ import annotations
@@ -32,40 +32,50 @@ from linesift.sources.tables import empty_meta
 
 MAX_LARGE_FILES = 200_000  # bound for the path list handed to the text source
 MAX_BROADCAST_BLOCKS = 500_000  # block table rows sent to every task at most
+NUL_SPAN = 1024  # fixed value: bytes inspected for the binary test
 
 
-def _last_byte_batches(it: Iterator) -> Iterator:
+def _edge_batches(it: Iterator) -> Iterator:
+    """Per file: a NUL in the first 1,024 bytes (binary) and whether the last byte ends a line."""
     import pyarrow as pa
 
-    schema = pa.schema([("path", pa.string()), ("file_path", pa.string()), ("ends_with_newline", pa.bool_())])
+    schema = pa.schema([("path", pa.string()), ("file_path", pa.string()), ("binary", pa.bool_()),
+                        ("ends_with_newline", pa.bool_())])
     for batch in it:
         out = []
         for uri, rel in zip(batch.column("path").to_pylist(), batch.column("file_path").to_pylist()):
             try:
                 filesystem, p = _open(uri)
                 size = filesystem.get_file_info(p).size or 0
-                ends = False
+                binary, ends = False, False
                 if size > 0:
                     with filesystem.open_input_file(p) as f:
+                        binary = b"\x00" in f.read(NUL_SPAN)
                         f.seek(size - 1)
                         ends = f.read(1) in (b"\n", b"\r")
-                out.append((uri, rel, ends))
-            except Exception:  # noqa: BLE001 - unknown: treat as no final terminator
-                out.append((uri, rel, False))
-        cols = list(zip(*out)) if out else [[], [], []]
+                out.append((uri, rel, binary, ends))
+            except Exception:  # noqa: BLE001 - unreadable: left out like a binary file
+                out.append((uri, rel, True, False))
+        cols = list(zip(*out)) if out else [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
 def large_file_lines(spark: SparkSession, files: DataFrame, max_files: int = MAX_LARGE_FILES) -> DataFrame:
-    """``path`` (URI) + ``file_path`` of large files -> ``file_path, line_number, raw`` (split across tasks)."""
-    listed = files.select("path", "file_path").limit(max_files + 1).collect()  # metadata, bounded
+    """``path`` (URI) + ``file_path`` of large files -> ``file_path, line_number, raw`` (split across tasks).
+
+    Binary files (a NUL in the first 1,024 bytes) are skipped before the text source opens anything.
+    """
+    key = lambda c: F.regexp_replace(c, "^file:/+", "/")  # noqa: E731 - the scan and the listing spell URIs differently
+    edges = files.select("path", "file_path").limit(max_files + 1).mapInArrow(
+        _edge_batches, "path string, file_path string, binary boolean, ends_with_newline boolean"
+    )
+    listed = edges.collect()  # metadata of at most max_files + 1 files
     if len(listed) > max_files:
         raise ValueError(f"more than {max_files} large files; split the listing")
-    if not listed:
+    texts = [r for r in listed if not r["binary"]]
+    if not texts:
         return spark.createDataFrame([], "file_path string, line_number int, raw string")
-    paths = [r["path"] for r in listed]
-    key = lambda c: F.regexp_replace(c, "^file:/+", "/")  # noqa: E731 - the scan and the listing spell URIs differently
-    lines = spark.read.text(paths).select(
+    lines = spark.read.text([r["path"] for r in texts]).select(
         key(F.input_file_name()).alias("key"),
         F.input_file_block_start().alias("block"),
         F.monotonically_increasing_id().alias("rid"),
@@ -78,8 +88,9 @@ def large_file_lines(spark: SparkSession, files: DataFrame, max_files: int = MAX
         F.coalesce(F.sum("n").over(by_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
         F.sum("n").over(Window.partitionBy("key")).alias("total"),
     )
-    tails = files.select("path", "file_path").mapInArrow(
-        _last_byte_batches, "path string, file_path string, ends_with_newline boolean"
+    tails = spark.createDataFrame(
+        [(r["path"], r["file_path"], r["ends_with_newline"]) for r in texts],
+        "path string, file_path string, ends_with_newline boolean",
     ).select(key(F.col("path")).alias("key"), "file_path", "ends_with_newline")
     table = blocks.join(tails, "key")  # one row per block
     n_blocks = table.count()

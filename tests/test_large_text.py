@@ -39,3 +39,10 @@ def test_scan_listing_routes_large_files(spark, tmp_path):
     segs, errors = scan_listing(list_files(spark, str(tmp_path)), large_file_bytes=1000)
     got = sorted((h.file_path, h.line_number) for h in grep(segs, "needle").collect())
     assert got == [("big.log", 5001), ("small.txt", 1)] and errors.count() == 0
+
+
+def test_large_binary_files_are_skipped(spark, tmp_path):
+    (tmp_path / "data.bin").write_bytes(b"needle\x00" + b"x" * 5000)
+    (tmp_path / "log.txt").write_text("needle\n" * 3)
+    got = sorted((r.file_path, r.line_number) for r in large_file_lines(spark, list_files(spark, str(tmp_path))).collect())
+    assert got == [("log.txt", 1), ("log.txt", 2), ("log.txt", 3)]
