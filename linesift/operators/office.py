@@ -399,7 +399,10 @@ def excel_shared_join(tokens: DataFrame) -> DataFrame:
 
 
 def excel_sheet_summary(tokens: DataFrame) -> DataFrame:
-    """Per sheet: ``file_path, sheet, sheet_id, cell_count`` (cells holding a ``v`` or ``is``; 0 if the part is missing)."""
+    """Per sheet: ``file_path, sheet, sheet_id, cell_count`` (cells holding a ``v`` or ``is``; 0 if the part is missing).
+
+    Needs tokens from ``tokenize`` without a sheet filter (a filter skips the other sheets' parts).
+    """
     sheets = tokens.where((F.col("kind") == "sheet") & (F.coalesce("ref", F.lit("")) != "")
                           & (F.coalesce("text", F.lit("")) != "") & (F.coalesce("type", F.lit("")) != ""))
     sheets = sheets.select("path", F.col("ref").alias("r_id"), F.col("text").alias("sheet"),
