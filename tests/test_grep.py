@@ -146,3 +146,15 @@ def test_required_literal_is_necessary():
         for t in texts:
             if rx.search(t):
                 assert lit in t, (p, lit, t)
+
+
+def test_translated_constructs_against_python(spark):
+    """Patterns that need translating to Java give the same lines as Python's re."""
+    texts = ("abab x\nab{ ba\nx\x1cy z\nfoo&bar [q]\nend abab", "aaa\nab\n{,2}\nnothing")
+    patterns = [
+        r"(?P<w>ab)(?P=w)", r"a{,2}b", r"b\Z", r"ab{", r"[&\[]", r"x\sy", r"\S+\s\S+$",
+        r"(?<=a)b", r"(?<!a)b", r"a++b", r"(?:ab)?+x", r"[^\s]z", r"o{1,}&",
+    ]
+    for text in texts:
+        for p in patterns:
+            assert run(spark, text, p, regex=True) == model(text, p, regex=True), (p, text)
