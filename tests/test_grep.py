@@ -158,3 +158,9 @@ def test_translated_constructs_against_python(spark):
     for text in texts:
         for p in patterns:
             assert run(spark, text, p, regex=True) == model(text, p, regex=True), (p, text)
+
+
+def test_ignore_case_regex_unicode_against_python(spark):
+    text = "Élan\nélan\nSTRASSE\nstraße\nKelvin\nkelvin\nſun\nsun\nΣΑΣ σας\n"
+    for p in [r"élan", r"strasse", r"kelvin", r"sun", r"σας", r"\bÉ\w+"]:
+        assert run(spark, text, p, regex=True, ignore_case=True) == model(text, p, regex=True, ignore_case=True), p
