@@ -261,7 +261,7 @@ def _token_batches(batches: Iterator, target_sheets) -> Iterator:
             yield emit(rows)
 
 
-def tokenize(packages: DataFrame, target_sheets: Iterable[str] | None = None) -> DataFrame:
+def tokenize(packages: DataFrame, target_sheets: Iterable[str] | None = None, staged: bool = True) -> DataFrame:
     """``path, content`` -> token rows (``mapInArrow``), hash-partitioned by ``path`` (one shuffle for all assembly steps).
 
     The rows are staged (see ``linesift.session.stage``): computed once, then read by every branch.
@@ -280,7 +280,10 @@ def tokenize(packages: DataFrame, target_sheets: Iterable[str] | None = None) ->
         n = max(n, packages.rdd.getNumPartitions())
     except Exception:  # noqa: BLE001 - no local context: the configured count
         pass
-    return stage(toks.repartition(n, "path"))
+    partitioned = toks.repartition(n, "path")
+    # several assembly branches read the tokens: stage them once.  A single branch (staged=False)
+    # keeps the repartition in its own plan, where the kind filter runs before the shuffle.
+    return stage(partitioned) if staged else partitioned
 
 
 def concat_ordered(order: str, text: str) -> Column:
