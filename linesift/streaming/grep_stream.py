@@ -30,7 +30,7 @@ def table_stream(spark: SparkSession, path: str, schema, max_files_per_trigger:
 
 
 def file_stream(spark: SparkSession, root: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """New files under ``root`` as a stream of ``file_path, content`` (UTF-8 text decoded natively)."""
+    """New files under ``root`` as a stream of ``file_path, content`` (decode with ``text_corpus``)."""
     reader = (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length bigint, content binary")
