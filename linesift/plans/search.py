@@ -123,10 +123,6 @@ def scan_listing(listing: DataFrame, exclusions: Exclusions = Exclusions(), targ
     return segs, errs.unionByName(unreadable)
 
 
-def search(segments: DataFrame, needle: str, **opts) -> DataFrame:
-    return grep(segments, needle, **opts)
-
-
 class SearchResult:
     """Lazy outputs of a directory search: ``hits``, ``errors`` and a one-row ``summary``."""
 
