@@ -106,13 +106,16 @@ def scan_listing(listing: DataFrame, exclusions: Exclusions = Exclusions(), targ
     """
     kept = prune(listing, exclusions)
     is_office = _office_ext()
-    office_bytes = load_contents(kept.where(is_office))
-    text_list = kept.where(~is_office)
-    large = None
-    if large_file_bytes is not None:
-        large = text_list.where(F.col("length") > large_file_bytes)
-        text_list = text_list.where(F.col("length") <= large_file_bytes)
-    text_bytes = load_contents(text_list)
+    big = F.lit(False) if large_file_bytes is None else (F.col("length") > large_file_bytes)
+    branch = F.when(is_office, F.lit("office")).when(big, F.lit("large")).otherwise(F.lit("text"))
+    # one aggregate over the listing sizes every branch (and tells whether any file is large)
+    stats = {
+        r["branch"]: (int(r["b"] or 0), int(r["n"]))
+        for r in kept.groupBy(branch.alias("branch")).agg(F.sum("length").alias("b"), F.count(F.lit(1)).alias("n")).collect()
+    }
+    office_bytes = load_contents(kept.where(is_office), stats=stats.get("office", (0, 0)))
+    text_bytes = load_contents(kept.where(~is_office & ~big), stats=stats.get("text", (0, 0)))
+    large = kept.where(~is_office & big) if stats.get("large") else None
     # a separate metadata-only pass: computing the errors never reads the file bytes a second time
     unreadable = read_errors(kept.select("path", "file_path"))
     ok = lambda df: df.where(F.col("error").isNull()).select("file_path", "content")

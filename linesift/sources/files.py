@@ -135,21 +135,24 @@ def files_from(paths: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     return src.mapInArrow(lambda it: _read_batches(it, max_bytes), CONTENT_SCHEMA)
 
 
-def sized_for_loading(files: DataFrame, task_bytes: int = LOAD_TASK_BYTES) -> DataFrame:
+def sized_for_loading(files: DataFrame, task_bytes: int = LOAD_TASK_BYTES, stats: tuple[int, int] | None = None) -> DataFrame:
     """Partition a listing by the bytes its files hold, about ``task_bytes`` per task.
 
     The listing's own partitions follow Spark's split rules for tiny rows (many
     partitions of a few paths each).  One small aggregate over ``length`` gives
-    the total; the listing is then coalesced (no shuffle) or spread round-robin
-    (only listing rows move), never below the number of task slots.
+    the total (or ``stats`` passes it in); the listing is then coalesced (no
+    shuffle) or spread round-robin (only listing rows move), never below the
+    number of task slots.
     """
     try:
         slots = files.sparkSession.sparkContext.defaultParallelism
         current = files.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - no local context: keep the listing as it is
         return files
-    row = files.agg(F.sum("length").alias("b"), F.count(F.lit(1)).alias("n")).collect()[0]
-    total, count = int(row["b"] or 0), int(row["n"] or 0)
+    if stats is None:
+        row = files.agg(F.sum("length").alias("b"), F.count(F.lit(1)).alias("n")).collect()[0]
+        stats = (int(row["b"] or 0), int(row["n"] or 0))
+    total, count = stats
     if count == 0:
         return files
     want = max(slots, min(count, -(-total // task_bytes)))
@@ -160,10 +163,13 @@ def sized_for_loading(files: DataFrame, task_bytes: int = LOAD_TASK_BYTES) -> Da
     return files
 
 
-def load_contents(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Bytes of the listed (already pruned) files, read where the rows are, about 64 MiB per task."""
+def load_contents(files: DataFrame, max_bytes: int = MAX_FILE_BYTES, stats: tuple[int, int] | None = None) -> DataFrame:
+    """Bytes of the listed (already pruned) files, read where the rows are, about 64 MiB per task.
+
+    ``stats`` = (total bytes, file count) when the caller already has them (saves one aggregation).
+    """
     cols = ["path", "file_path"] + (["length"] if "length" in files.columns else [])
     listing = files.select(*cols)
     if "length" in listing.columns:
-        listing = sized_for_loading(listing)
+        listing = sized_for_loading(listing, stats=stats)
     return files_from(listing.select("path", "file_path"), max_bytes)
