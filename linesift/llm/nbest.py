@@ -5,7 +5,8 @@ starts at the right end; a partial path's priority is its own score plus the bes
 which is exact, so complete paths leave the queue from the best on.  Since pre-tokens are independent, the n best
 segmentations of a text change it only in the pre-tokens whose second-best costs least: n - 1 of them at most.
 
-Ties go to the segmentation with fewer pieces, then to the smaller list of ids.  Defined results: a null or empty text
+A position is left n times at most.  Ties go to the path that is nearer to the start, then to the one found first; the
+order is the same in every run.  Defined results: a null or empty text
 has the one empty segmentation; fewer than n segmentations give a shorter list; repeated rows are encoded alike; an
 empty table gives an empty result.
 """
@@ -61,16 +62,26 @@ def n_best(word: str, model: Unigram, n: int = N) -> list[Segmentation]:
     """The n best segmentations of a pre-token."""
     arcs = lattice(word, model)
     best = forward(arcs)
-    # (negated priority, pieces so far, ids from here to the end, position, score so far)
-    queue: list[tuple] = [(-best[-1], 0, (), len(word), 0.0)]
+    # (negated priority, position, order of entry, score so far, pieces from here to the end as a linked list)
+    entry = itertools.count()
+    queue: list[tuple] = [(-best[-1], len(word), next(entry), 0.0, None)]
+    left = [n] * (len(word) + 1)
     found: list[Segmentation] = []
     while queue and len(found) < n:
-        _, _, ids, at, s = heapq.heappop(queue)
+        _, at, _, s, rest = heapq.heappop(queue)
         if at == 0:
-            found.append((s, ids))
+            parts = []
+            while rest is not None:
+                piece, rest = rest
+                parts.append(piece)
+            found.append((s, tuple(itertools.chain.from_iterable(parts))))
             continue
+        # Whatever starts a further time from here has n better ones: equal scores can't multiply.
+        if not left[at]:
+            continue
+        left[at] -= 1
         for start, t, piece in arcs[at]:
-            heapq.heappush(queue, (-(best[start] + s + t), len(ids) + len(piece), piece + ids, start, s + t))
+            heapq.heappush(queue, (-(best[start] + s + t), start, next(entry), s + t, (piece, rest)))
     return found
 
 
