@@ -185,8 +185,8 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFr
     for k in range(1, order + 1):
         t = tables[k]
         of = lambda i: F.sum((F.col("c") == i).cast("double"))
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        rate = lambda i: F.when((F.col(f"n{i}") > 0) & (F.col("n1") > 0), F.greatest(F.lit(0.0), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"))).otherwise(F.lit(0.5))
+        y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
+        rate = lambda i: F.when((F.col(f"n{i}") > 0) & (F.col("n1") > 0), F.greatest(F.lit(0.0), i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")))).otherwise(F.lit(0.5))
         d = t.groupBy("lang").agg(of(1).alias("n1"), of(2).alias("n2"), of(3).alias("n3"), of(4).alias("n4")).select("lang", rate(1).alias("d1"), rate(2).alias("d2"), rate(3).alias("d3"))
         cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         t = t.join(d, "lang").withColumn("cut", F.least(cut, F.col("c").cast("double"))).withColumn("ctx", F.expr(f"substring(gram, 1, {k - 1})"))
@@ -326,7 +326,7 @@ def judge(scored: DataFrame, lower: float = LOWER, upper: float = UPPER) -> Data
     bands = scored.where(~F.col("base_failed") & F.col("log_ppl").isNotNull()).groupBy("_lang").agg(q.alias("q"))
     spread = lambda a, b: F.greatest(F.col("q")[a] - F.col("q")[b], F.lit(LEAST_SPREAD))
     bands = bands.select("_lang", F.col("q")[1].alias("_mid"), (lower * spread(1, 0)).alias("_down"), (upper * spread(2, 1)).alias("_up"))
-    wider = F.sqrt(1 + F.lit(float(SHORT)) / F.col("n_grams"))
+    wider = F.sqrt(1 + F.try_divide(F.lit(float(SHORT)), F.col("n_grams")))
     out = scored.join(bands, "_lang", "left").withColumns({"band_low": F.col("_mid") - F.col("_down") * wider, "band_high": F.col("_mid") + F.col("_up") * wider})
     inside = F.coalesce(F.col("log_ppl").between(F.col("band_low"), F.col("band_high")), F.lit(True))
     return out.withColumn("kept", ~F.col("base_failed") & inside).drop("_lang", "_mid", "_down", "_up")
