@@ -14,12 +14,24 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Entries in one generation of the cache; two are kept (about 150 MB).
-GENERATION = 350_000
+#: Entries in one generation of the cache; two are kept (about 200 MB).
+GENERATION = 500_000
+#: A run of Latin letters up to white space or a sign: both kinds of tokenizer always cut between a letter and a sign.
+LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^ \\t-\\r.,;:!?|*#$%&])"
 #: Chunks encoded in one call.
 RUN = 400
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, other bytes for letters from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = (b for b in range(256) if b not in shown)
+    return {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+_BYTES = _byte_letters()
+
+
 class Encoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers."""
 
@@ -33,13 +45,14 @@ class Encoder:
         special = [t for t in spec["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"])]
         self.mark = (special[0]["content"], special[0]["id"]) if special else None
         pre, norm = spec["pre_tokenizer"] or {}, spec["normalizer"]
-        self.whole = None
+        self.whole = self.word = None
         if pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and norm is None:
             # A blank before a word belongs to it and a single line end stands alone; other white space is left whole.
-            self.cut = re.compile(r" ?[^ \n]+|\n").findall
+            self.cut = re.compile(rf" ?{LETTERS}|" r" ?[^ \n]+|\n").findall
+            self.word = re.compile(rf" ?{LETTERS}").fullmatch
             self.whole = re.compile(r"[^\S \n]|[ \n]{2}|^[ \n]|[ \n]\Z").search
         elif pre.get("type") == "Sequence" and (first := pre["pretokenizers"][0]).get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and r"[^\s" in first["pattern"].get("Regex", ""):
-            self.cut = re.compile(r"[^ \t-\r]+").findall  # white space parts tokens and is dropped
+            self.cut = re.compile(rf"{LETTERS}|" r"[^ \t-\r]+").findall  # white space parts tokens and is dropped
         else:
             self.cut = None
         self.new: dict[str, bytes] = {}
@@ -49,6 +62,13 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: list[str]) -> None:
+        if self.word:
+            # A run of letters is one pre-token: the library's model takes it as it is, in the byte-level alphabet.
+            tokenize, word = self.plain.model.tokenize, self.word
+            for c in chunks:
+                if word(c):
+                    self.new[c] = np.array([t.id for t in tokenize(c.encode().decode("latin-1").translate(_BYTES))], "<u4").tobytes()
+            chunks = [c for c in chunks if c not in self.new]
         if not self.mark:
             self.new.update(zip(chunks, self._direct(chunks), strict=True))
             return
