@@ -110,7 +110,10 @@ def _possible(percent: int) -> Column:
 def _link(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold: by the union's sketch, then by the full sets."""
     side = lambda t, c: t.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("hashes").alias(f"h{c}"))
-    both = pairs.join(side(reps, "a"), "a").join(side(reps, "b"), "b")
+    pairs = stage(pairs, "near-pairs")
+    met = stage(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "near-met")
+    held = stage(reps.join(met, "cid", "left_semi"), "near-held")  # only sketches of classes in a pair travel further
+    both = pairs.join(side(held, "a"), "a").join(side(held, "b"), "b")
     common = F.array_intersect("ha", "hb")
     size = F.when((F.col("na") <= K) & (F.col("nb") <= K), F.size(common).cast("long"))
     union = F.slice(F.array_sort(F.array_union("ha", "hb")), 1, K)
@@ -170,13 +173,15 @@ def class_links(reps: DataFrame, texts: DataFrame, percent: int = THRESHOLD, wor
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, words: int = WORDS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept, class_id`` for each row of ``docs`` (doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = stage(sketches(texts, "doc_id", K, words), "near-sketches").withColumnRenamed("key", "doc_id")
-    classes = sets.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("least"))
-    classes = numbered(ordered(classes, ["least", "name"], "near-classes")).select("name", "least", F.col("_rank").alias("cid"))
+    sets = sketches(texts, "doc_id", K, words).withColumn("_row", F.monotonically_increasing_id())
+    sets = stage(sets, "near-sketches").withColumnRenamed("key", "doc_id")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    classes = sets.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("least"), F.min_by("_row", first).alias("_row"))
+    classes = numbered(ordered(classes, ["least", "name"], "near-classes")).select("name", "least", "_row", F.col("_rank").alias("cid"))
     classes = stage(classes, "near-class-ids")
-    # One row for each class: its first document's sketch.
-    reps = sets.join(classes, "name").where(F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["cid"])
-    reps = stage(reps.select("cid", "n", "name", "hashes", "doc_id"), "near-reps")
+    # One row for each class: the sketch of its first document.
+    reps = stage(sets.join(classes.select("_row", "cid"), "_row").select("cid", "n", "name", "hashes", "doc_id"), "near-reps")
+    classes = classes.drop("_row")
     groups = class_links(reps, texts, percent, words)
     label = classes.join(groups.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     best = label.groupBy("component").agg(F.min("least").alias("component_id"))
