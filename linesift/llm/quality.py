@@ -36,6 +36,8 @@ SYMBOLS = b"#*$%&|<>"
 #: Band: so many quartile distances below and above the median of log perplexity, none taken below LEAST_SPREAD; wider
 #: by sqrt(1 + SHORT / n-grams) for short texts, whose mean varies more.
 LOWER, UPPER, SHORT, LEAST_SPREAD = 4.0, 4.0, 2000, 0.01
+#: Rows of per-language sums that are sent to the executors at most.
+FEW_LANGUAGES = 10_000
 #: Distinct n-grams gathered in a task before they are merged.
 GATHER = 1_500_000
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_grams long, log_ppl double"
@@ -181,6 +183,8 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFr
     for k in range(order - 1, 0, -1):
         tables[k] = stage(tables[k + 1].groupBy("lang", F.expr(f"substring(gram, 2, {k})").alias("gram")).agg(F.count("*").alias("c")), f"grams-{k}")
     types = tables[1].groupBy("lang").agg((F.count("*") + F.lit(1)).alias("v"))
+    # One row for each language: sent around while these are few, so that no language's n-grams meet in one task.
+    small = F.broadcast if types.count() <= FEW_LANGUAGES else (lambda df: df)
     probs, backoffs, lower = [], [], None
     for k in range(1, order + 1):
         t = tables[k]
@@ -189,11 +193,11 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFr
         rate = lambda i: F.when((F.col(f"n{i}") > 0) & (F.col("n1") > 0), F.greatest(F.lit(0.0), i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")))).otherwise(F.lit(0.5))
         d = t.groupBy("lang").agg(of(1).alias("n1"), of(2).alias("n2"), of(3).alias("n3"), of(4).alias("n4")).select("lang", rate(1).alias("d1"), rate(2).alias("d2"), rate(3).alias("d3"))
         cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        t = t.join(d, "lang").withColumn("cut", F.least(cut, F.col("c").cast("double"))).withColumn("ctx", F.expr(f"substring(gram, 1, {k - 1})"))
+        t = t.join(small(d), "lang").withColumn("cut", F.least(cut, F.col("c").cast("double"))).withColumn("ctx", F.expr(f"substring(gram, 1, {k - 1})"))
         ctx = t.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), F.sum("cut").alias("free"))
         t = t.join(ctx, ["lang", "ctx"])
         if k == 1:
-            t = t.join(types, "lang").withColumn("below", F.lit(1.0) / F.col("v"))
+            t = t.join(small(types), "lang").withColumn("below", F.lit(1.0) / F.col("v"))
         else:
             t = t.withColumn("suffix", F.expr(f"substring(gram, 2, {k - 1})")).join(lower, ["lang", "suffix"])
         p = (F.col("c") - F.col("cut")) / F.col("total") + F.col("free") / F.col("total") * F.col("below")
