@@ -2,14 +2,14 @@
 
 Native first: the BOM and NUL tests, script-ratio counts and the decoding of
 valid UTF-8 are built-in expressions, so most rows never leave the JVM.
-Only bytes that are not valid UTF-8 go to one Python step (``mapInArrow``), which
-tries each candidate codec (Spark's ``decode`` knows no CJK charsets) and
-emits one score row per candidate that decodes; the best candidate per file
-is then a ``max_by`` aggregate in Spark.
+Only bytes that are not valid UTF-8 go to a Python step (``mapInArrow``), which
+tries each candidate codec (Spark's ``decode`` knows no CJK charsets) and only
+counts; Spark puts the counts together and ranks the candidates in the row.
 """
 
 from __future__ import annotations
 
+import codecs
 import unicodedata
 from collections.abc import Iterator, Sequence
 
@@ -30,9 +30,6 @@ CHINESE_ENCODINGS = ["gb18030", "gbk", "gb2312", "big5"]
 KOREAN_ENCODINGS = ["euc-kr", "cp949"]
 NUL_SPAN = 1024  # fixed value: bytes inspected for the binary test
 
-DETECT_SCHEMA = "path string, ord int, encoding string, confidence double, has_bom boolean"
-_BOMS = (b"\xef\xbb\xbf", b"\xff\xfe", b"\xfe\xff", b"\x00\x00\xfe\xff")
-DECODE_SCHEMA = "path string, encoding string, text string, error string"
 
 
 # ---------------------------------------------------------------- native expressions
@@ -101,108 +98,110 @@ def script_ratios(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 # ---------------------------------------------------------------- the Python step (codecs)
-def _ratio(text: str, ranges: Sequence[tuple[int, int, float]]) -> float:
-    total = 0.0
-    for ch in text:
-        cp = ord(ch)
-        for lo, hi, w in ranges:
-            if lo <= cp <= hi:
-                total += w
-                break
-    return total / len(text) if text else 0.0
-
-
-def score(text: str, encoding: str, original: bytes) -> float:
-    """Confidence of one strict decoding, clamped to [0, 1].
-
-    The first term reproduces the reference: its replacement-character count
-    counts the empty string, i.e. ``len(text) + 1``.
-    """
-    if not text:
-        return 0.0
-    n = len(text)
-    c = -0.3 * (n + 1) / n
-    if encoding in JAPANESE_ENCODINGS:
-        c += _ratio(text, JAPANESE_RANGES) * 0.4
-    elif encoding in CHINESE_ENCODINGS:
-        c += _ratio(text, CHINESE_RANGES) * 0.4
-    elif encoding in KOREAN_ENCODINGS:
-        c += _ratio(text, KOREAN_RANGES) * 0.4
-    if text.isascii():
-        c += 0.1
-    if len(unicodedata.normalize("NFC", text)) == n:
-        c += 0.2
-    try:
-        if len(text.encode(encoding)) == len(original):
-            c += 0.2
-    except (UnicodeError, LookupError):
-        c -= 0.1
-    return max(0.0, min(1.0, c))
-
-
-def candidate_scores(path: str, content: bytes, encodings: Sequence[str]) -> list[tuple]:
-    rows = []
+_SCRIPTS = {"japanese": JAPANESE_RANGES, "chinese": CHINESE_RANGES, "korean": KOREAN_RANGES}
+_BONUS = {**dict.fromkeys(JAPANESE_ENCODINGS, "japanese"), **dict.fromkeys(CHINESE_ENCODINGS, "chinese"),
+          **dict.fromkeys(KOREAN_ENCODINGS, "korean")}
+COUNT_CHARS = 1 << 20  # characters counted at a time
+FACTS_TYPE = "array<struct<ord: int, encoding: string, n: bigint, script2: bigint, ascii: boolean, nfc: bigint, again: bigint>>"
+
+
+def _script2(text: str, script: str | None) -> int:
+    """Twice the weighted number of characters in the script's ranges (weights are 1 or 1/2)."""
+    import numpy as np
+
+    if script is None or text.isascii():
+        return 0
+    total = 0
+    for i in range(0, len(text), COUNT_CHARS):
+        points = np.frombuffer(text[i : i + COUNT_CHARS].encode("utf-32-le", "surrogatepass"), "<u4")
+        for lo, hi, weight in _SCRIPTS[script]:
+            total += int(2 * weight) * int(np.count_nonzero((points >= lo) & (points <= hi)))
+    return total
+
+
+def _facts(content: bytes, encodings: Sequence[str]) -> list[dict]:
+    """Counts of every candidate that decodes ``content``; ``again`` is the re-encoded length (null: can't be encoded)."""
+    found = []
     for i, enc in enumerate(encodings):
         try:
             text = content.decode(enc)
         except (UnicodeError, LookupError):
             continue
-        rows.append((path, i, enc, score(text, enc, content)))
-    return rows
+        try:
+            again = len(text.encode(enc))
+        except UnicodeError:
+            again = None
+        found.append({"ord": i, "encoding": enc, "n": len(text), "script2": _script2(text, _BONUS.get(enc)),
+                      "ascii": text.isascii(), "nfc": len(unicodedata.normalize("NFC", text)), "again": again})
+    return found
+
 
+def with_candidates(files: DataFrame, encodings: Sequence[str]) -> DataFrame:
+    """``path, content`` -> the same with ``ranked``: ``confidence, ord, encoding`` of every candidate that decodes, best first.
 
-def _arrow_batch(rows: list[tuple], schema_fields: list[tuple]):
+    Python only counts; the confidence is put together in Spark, row by row, so no file bytes are shuffled.
+    """
     import pyarrow as pa
 
-    schema = pa.schema(schema_fields)
-    cols = list(zip(*rows)) if rows else [[] for _ in schema_fields]
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
+    names = list(encodings)
+    kinds = pa.list_(pa.struct([("ord", pa.int32()), ("encoding", pa.string()), ("n", pa.int64()), ("script2", pa.int64()),
+                                ("ascii", pa.bool_()), ("nfc", pa.int64()), ("again", pa.int64())]))
 
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            facts = [_facts(c.as_py(), names) for c in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(facts, kinds)], names=["path", "content", "facts"])
 
-def _score_batches(it: Iterator, encodings: Sequence[str]) -> Iterator:
-    """One marker row per file (``ord`` -1, carries ``has_bom``) plus one row per candidate that decodes."""
-    import pyarrow as pa
+    found = files.select("path", "content").mapInArrow(run, f"path string, content binary, facts {FACTS_TYPE}")
+    size = F.length("content")
+    ranked = F.transform("facts", lambda x: F.struct(
+        (-confidence(x, size)).alias("minus"), x["ord"].alias("ord"), x["encoding"].alias("encoding")))
+    return found.select("path", "content", F.array_sort(ranked).alias("ranked"))
+
+
+def confidence(x: Column, size: Column) -> Column:
+    """Confidence of one strict decoding from its counts, between 0 and 1 (empty text: 0).
+
+    Fixed values: the weights.  The replacement term counts the empty string, i.e. ``n + 1`` (D2).
+    """
+    n = x["n"]
+    parts = (
+        F.lit(-0.3) * (n + 1) / n,
+        x["script2"] / (2 * n) * 0.4,
+        F.when(x["ascii"], 0.1).otherwise(0.0),
+        F.when(x["nfc"] == n, 0.2).otherwise(0.0),
+        F.when(x["again"].isNull(), -0.1).when(x["again"] == size, 0.2).otherwise(0.0),
+    )
+    return F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), sum(parts[1:], parts[0])))).otherwise(0.0)
+
+
+def _first_choice(sig: Column) -> Column:
+    """UTF-8 with BOM, else the best candidate with a positive confidence, else UTF-8."""
+    best = F.get("ranked", F.lit(0))
+    return F.when(sig, F.lit("utf-8-sig")).when(best["minus"] < 0, best["encoding"]).otherwise(F.lit("utf-8"))
 
-    fields = [("path", pa.string()), ("ord", pa.int32()), ("encoding", pa.string()), ("confidence", pa.float64()),
-              ("has_bom", pa.bool_())]
-    for batch in it:
-        rows = []
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-            rows.append((path, -1, None, 0.0, content.startswith(_BOMS)))
-            rows.extend((*r, None) for r in candidate_scores(path, content, encodings))
-        yield _arrow_batch(rows, fields)
-
-
-def best_candidate(content: bytes, encodings: Sequence[str]) -> str:
-    """Detection for one file (BOM, then the highest score; first candidate wins ties)."""
-    if not content:
-        return "utf-8"
-    if content.startswith(b"\xef\xbb\xbf"):
-        return "utf-8-sig"
-    best, conf = "utf-8", 0.0
-    for _p, _i, e, c in candidate_scores("", content, encodings):
-        if c > conf:
-            best, conf = e, c
-    return best
-
-
-def _decode_batches(it: Iterator, encodings: Sequence[str]) -> Iterator:
+
+def _known(encoding: str) -> bool:
+    try:
+        return codecs.lookup(encoding) is not None
+    except LookupError:
+        return False
+
+
+def _decode_as(files: DataFrame, handler: Column, note: Column) -> DataFrame:
+    """``path, content, encoding`` (null: no text) -> ``path, encoding, note, text``, by each row's codec error handler."""
     import pyarrow as pa
 
-    fields = [("path", pa.string()), ("encoding", pa.string()), ("text", pa.string()), ("error", pa.string())]
-    for batch in it:
-        out = []
-        for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-            first = best_candidate(raw, encodings)
-            for enc in [first] + [e for e in encodings if e != first]:
-                try:
-                    out.append((path, enc, raw.decode(enc), None))
-                    break
-                except (UnicodeError, LookupError):
-                    continue
-            else:
-                out.append((path, None, None, "no candidate encoding decodes the file"))
-        yield _arrow_batch(out, fields)
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            path, content, encoding, handlers, notes = batch.columns
+            text = [None if e is None else c.as_py().decode(e, h)
+                    for c, e, h in zip(content, encoding.to_pylist(), handlers.to_pylist())]
+            yield pa.RecordBatch.from_arrays([path, encoding, notes, pa.array(text, pa.string())],
+                                             names=["path", "encoding", "note", "text"])
+
+    rows = files.select("path", "content", "encoding", handler.alias("handler"), note.cast("string").alias("note"))
+    return rows.mapInArrow(run, "path string, encoding string, note string, text string")
 
 
 # ---------------------------------------------------------------- the job
@@ -210,8 +209,8 @@ def detect(files: DataFrame, encodings: Sequence[str] = ENGINE_ENCODINGS, prefer
     """``path, content`` -> ``path, encoding, confidence, detection_method, has_bom``.
 
     A BOM with confidence above 0.9 decides at once.  With ``prefer_utf8`` valid
-    UTF-8 is taken natively; everything else is scored per candidate in Python
-    and reduced with ``max_by`` (first candidate wins ties; no positive score ->
+    UTF-8 is taken natively; for everything else the candidates are counted in Python
+    and ranked in the row (first candidate wins ties; no positive confidence ->
     ``utf-8``/``fallback``).  Empty content -> ``utf-8``/``empty_content``.
     """
     enc_list = list(encodings)
@@ -230,20 +229,14 @@ def detect(files: DataFrame, encodings: Sequence[str] = ENGINE_ENCODINGS, prefer
         ),
         F.col("bom.has_bom").alias("has_bom"),
     )
-    # the undecided files are read once: the Python step emits their candidate scores and a marker row,
-    # and one aggregate per file gives the verdict (no join back to the bytes)
-    scores = f.where(~native).select("path", "content").mapInArrow(lambda it: _score_batches(it, enc_list), DETECT_SCHEMA)
-    positive = (F.col("ord") >= 0) & (F.col("confidence") > 0)
-    per_file = scores.groupBy("path").agg(
-        F.max_by(F.struct("encoding", "confidence"), F.when(positive, F.struct(F.col("confidence"), -F.col("ord")))).alias("b"),
-        F.max("has_bom").alias("has_bom"),
-    )
-    scored = per_file.select(
+    best = F.get("ranked", F.lit(0))
+    found = best["minus"] < 0
+    scored = with_candidates(f.where(~native), enc_list).select(
         "path",
-        F.coalesce(F.col("b.encoding"), F.lit("utf-8")).alias("encoding"),
-        F.coalesce(F.col("b.confidence"), F.lit(0.0)).alias("confidence"),
-        F.when(F.col("b.encoding").isNull(), F.lit("fallback")).otherwise(F.lit("pattern_analysis")).alias("detection_method"),
-        "has_bom",
+        F.when(found, best["encoding"]).otherwise(F.lit("utf-8")).alias("encoding"),
+        F.when(found, -best["minus"]).otherwise(F.lit(0.0)).alias("confidence"),
+        F.when(found, F.lit("pattern_analysis")).otherwise(F.lit("fallback")).alias("detection_method"),
+        bom("content")["has_bom"].alias("has_bom"),
     )
     return decided.unionByName(scored)
 
@@ -252,8 +245,8 @@ def decode(files: DataFrame, encodings: Sequence[str] = ENGINE_ENCODINGS, prefer
     """``path, content`` (non-binary) -> ``path, encoding, text, error``: one encoding per file, row-local.
 
     Valid UTF-8 (with or without BOM) is decoded natively.  Other files are
-    detected and decoded in the same Python pass (the detected encoding first,
-    then the other candidates in order); a file no candidate decodes gives an
+    ranked, then decoded (the detected encoding first, then the other
+    candidates in order); a file no candidate decodes gives an
     ``error`` row.  No join: file bytes are never shuffled.  With
     ``prefer_utf8=False`` every file without a UTF-8 BOM goes through the scoring.
     """
@@ -262,61 +255,26 @@ def decode(files: DataFrame, encodings: Sequence[str] = ENGINE_ENCODINGS, prefer
     sig = F.substring("content", 1, 3) == F.lit(bytearray(b"\xef\xbb\xbf"))
     valid = is_valid_utf8("content")
     native_ok = (valid & (sig | F.lit(prefer_utf8))) | (F.length("content") == 0)
-    text = F.when(sig, F.substring("content", 4, 1 << 30)).otherwise(F.col("content")).cast("string")
+    text = F.when(sig, F.expr("substring(content, 4)")).otherwise(F.col("content")).cast("string")
     native = f.where(native_ok).select(
         "path",
         F.when(sig, F.lit("utf-8-sig")).otherwise(F.lit("utf-8")).alias("encoding"),
         text.alias("text"),
         F.lit(None).cast("string").alias("error"),
     )
-    other = f.where(~native_ok).mapInArrow(lambda it: _decode_batches(it, enc_list), DECODE_SCHEMA)
+    ranked = with_candidates(f.where(~native_ok), enc_list)
+    # the first choice where it decodes, else the first candidate that does
+    decodes = F.exists("ranked", lambda x: x["encoding"] == _first_choice(sig)) | (sig & valid)
+    in_order = F.array_sort(F.transform("ranked", lambda x: F.struct(x["ord"], x["encoding"])))
+    chosen = F.when(decodes, _first_choice(sig)).otherwise(F.get(in_order, F.lit(0))["encoding"])
+    note = F.when(chosen.isNull(), F.lit("no candidate encoding decodes the file"))
+    other = _decode_as(ranked.withColumn("encoding", chosen), F.lit("strict"), note)
+    other = other.select("path", "encoding", "text", F.col("note").alias("error"))
     return native.unionByName(other)
 
 
-LENIENT_SCHEMA = (
-    "path string, text string, encoding_used string, success boolean, has_replacement_chars boolean, errors array<string>"
-)
-
-
-def lenient_text(content: bytes, encodings: Sequence[str]) -> tuple:
-    """Strict decode with the detected encoding, else the other candidates with replacement characters."""
-    if not content:
-        return "", "utf-8", True, False, []
-    best, conf = "utf-8", 0.0
-    if content.startswith(b"\xef\xbb\xbf"):
-        best = "utf-8-sig"
-    else:
-        for e in encodings:
-            try:
-                c = score(content.decode(e), e, content)
-            except (UnicodeError, LookupError):
-                continue
-            if c > conf:
-                best, conf = e, c
-    first = best
-    try:
-        text = content.decode(first)
-        return text, first, True, "\ufffd" in text, []
-    except (UnicodeError, LookupError) as e:
-        msg = str(e)
-    for other in [x for x in encodings if x != first]:
-        try:
-            return content.decode(other, errors="replace"), other, True, True, [f"Original encoding '{first}' failed: {msg}"]
-        except (UnicodeError, LookupError):
-            continue
-    return (content.decode("utf-8", errors="replace"), "utf-8", False, True,
-            ["All encodings failed. Used UTF-8 with replacement.", f"Original error: {msg}"])
-
-
-def _lenient_batches(it: Iterator, encodings: Sequence[str]) -> Iterator:
-    import pyarrow as pa
-
-    fields = [("path", pa.string()), ("text", pa.string()), ("encoding_used", pa.string()), ("success", pa.bool_()),
-              ("has_replacement_chars", pa.bool_()), ("errors", pa.list_(pa.string()))]
-    for batch in it:
-        rows = [(p, *lenient_text(c, encodings))
-                for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist())]
-        yield _arrow_batch(rows, fields)
+NOT_VALID = "not valid in its likeliest encoding; the next candidate was used with replacement characters"
+NO_OTHER = "not valid in its likeliest encoding, and there is no other; UTF-8 was used with replacement characters"
 
 
 def decode_lenient(files: DataFrame, encodings: Sequence[str] = OFFICE_ENCODINGS) -> DataFrame:
@@ -326,14 +284,27 @@ def decode_lenient(files: DataFrame, encodings: Sequence[str] = OFFICE_ENCODINGS
     sig = F.substring("content", 1, 3) == F.lit(bytearray(b"\xef\xbb\xbf"))
     native = files.where(valid).select(
         "path",
-        F.when(sig, F.substring("content", 4, 1 << 30)).otherwise(F.col("content")).cast("string").alias("text"),
+        F.when(sig, F.expr("substring(content, 4)")).otherwise(F.col("content")).cast("string").alias("text"),
         F.when(sig, F.lit("utf-8-sig")).otherwise(F.lit("utf-8")).alias("encoding_used"),
         F.lit(True).alias("success"),
         F.lit(False).alias("has_replacement_chars"),
         F.array().cast("array<string>").alias("errors"),
     )
     native = native.withColumn("has_replacement_chars", F.col("text").contains("\ufffd"))
-    other = files.where(~valid).select("path", "content").mapInArrow(lambda it: _lenient_batches(it, enc_list), LENIENT_SCHEMA)
+    # the first choice where it decodes, else the next candidate that Python knows, with replacement characters
+    ranked = with_candidates(files.where(~valid), enc_list).withColumn("first", _first_choice(sig))
+    strict = F.exists("ranked", lambda x: x["encoding"] == F.col("first"))
+    spare = F.filter(F.array(*[F.lit(e) for e in enc_list if _known(e)]).cast("array<string>"), lambda e: e != F.col("first"))
+    ranked = ranked.withColumn("strict", strict).withColumn("spare", F.get(spare, F.lit(0)))
+    chosen = F.when(F.col("strict"), F.col("first")).otherwise(F.coalesce("spare", F.lit("utf-8")))
+    note = F.when(~F.col("strict"), F.when(F.col("spare").isNull(), F.lit(NO_OTHER)).otherwise(F.lit(NOT_VALID)))
+    handler = F.when(F.col("strict"), F.lit("strict")).otherwise(F.lit("replace"))
+    other = _decode_as(ranked.withColumn("encoding", chosen), handler, note).select(
+        "path", "text", F.col("encoding").alias("encoding_used"),
+        (~F.col("note").eqNullSafe(F.lit(NO_OTHER))).alias("success"),
+        (F.col("note").isNotNull() | F.col("text").contains("\ufffd")).alias("has_replacement_chars"),
+        F.array_compact(F.array("note")).alias("errors"),
+    )
     return native.unionByName(other)
 
 
