@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import fnmatch
 import re
+import unicodedata
 
 _QUANT = re.compile(r"\{(\d*)(,?)(\d*)\}")
 
@@ -26,11 +27,52 @@ def validate(pattern: str, ignore_case: bool = False) -> None:
         raise ValueError(f"Invalid regular expression: {e}") from None
 
 
+#: Python's word characters (letters, all kinds of numbers, underscore); Java's Unicode ``\\w`` has marks and connectors instead.
+WORD = r"\p{L}\p{N}_"
+#: Python's white space: Java's and U+001C..U+001F.
+SPACE = r"\s\x1c-\x1f"
+_OUTSIDE = {
+    "w": f"[{WORD}]",
+    "W": f"[^{WORD}]",
+    "s": f"[{SPACE}]",
+    "S": f"[^{SPACE}]",
+    "b": f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))",
+    "B": f"(?:(?<=[{WORD}])(?=[{WORD}])|(?<![{WORD}])(?![{WORD}])(?!\\A\\z))",
+    "Z": r"\z",
+    "v": r"\x0b",
+}
+_INSIDE = {"w": WORD, "W": f"[^{WORD}]", "s": SPACE, "S": f"[^{SPACE}]", "b": r"\x08", "v": r"\x0b"}
+_CHARACTER = re.compile(r"\\(?:x([0-9a-fA-F]{2})|u([0-9a-fA-F]{4})|U([0-9a-fA-F]{8})|N\{([^}]+)\})")
+_OCTAL = re.compile(r"\\(0[0-7]{0,2}|[0-3][0-7]{2})")
+_OCTAL_INSIDE = re.compile(r"\\([0-7]{1,3})")
+
+
+def _escape(pattern: str, i: int, in_class: bool) -> tuple[str, int]:
+    """The escape at ``i`` in Java's syntax, and where it ends."""
+    m = _CHARACTER.match(pattern, i)
+    if m:
+        code = ord(unicodedata.lookup(m[4])) if m[4] else int(m[1] or m[2] or m[3], 16)
+        return f"\\x{{{code:x}}}", m.end()
+    m = (_OCTAL_INSIDE if in_class else _OCTAL).match(pattern, i)
+    if m:
+        return f"\\x{{{int(m[1], 8):x}}}", m.end()
+    if not in_class and pattern[i + 1].isdigit():  # a group's number has two digits at most
+        number = re.compile(r"\d{1,2}").match(pattern, i + 1)[0]
+        return f"(?:\\{number})", i + 1 + len(number)
+    known = (_INSIDE if in_class else _OUTSIDE).get(pattern[i + 1])
+    return known or pattern[i : i + 2], i + 2
+
+
+def _group_name(name: str) -> str:
+    """Java's group names are ASCII letters and digits; others are spelled by their code points."""
+    return name if re.fullmatch("[A-Za-z][A-Za-z0-9]*", name) else "u" + "z".join(f"{ord(c):x}" for c in name)
+
+
 def to_java(pattern: str) -> str:
     """Translate the Python-only syntax of ``pattern`` into Java regex syntax.
 
-    Handles named groups ``(?P<n>..)``/``(?P=n)``, ``\\Z``, ``\\s``/``\\S``
-    (Python also counts U+001C..U+001F as space), ``{,m}`` quantifiers, a literal
+    Handles ``\\w \\b \\s`` and their opposites by Python's sets, character escapes
+    (``\\0 \\v \\U \\N [\\b]``), named groups, ``\\Z``, ``{,m}`` quantifiers, a literal
     ``{``, and ``[``/``&`` inside classes (Java would read nested classes and
     intersections).  Conditionals and scoped ASCII/locale flags are rejected.
     """
@@ -41,22 +83,14 @@ def to_java(pattern: str) -> str:
     while i < n:
         ch = pattern[i]
         if ch == "\\" and i + 1 < n:
-            nxt = pattern[i + 1]
-            if nxt == "Z" and not in_class:
-                out.append(r"\z")
-            elif nxt == "s":
-                out.append(r"\s\x1c-\x1f" if in_class else r"[\s\x1c-\x1f]")
-            elif nxt == "S" and not in_class:
-                out.append(r"[^\s\x1c-\x1f]")
-            else:
-                out.append(pattern[i : i + 2])
-            i += 2
+            text, i = _escape(pattern, i, in_class)
+            out.append(text)
             continue
         if in_class:
             if ch == "]" and i > class_start:
                 in_class = False
                 out.append(ch)
-            elif ch in "[&":
+            elif ch in "[& #":
                 out.append("\\" + ch)
             else:
                 out.append(ch)
@@ -74,14 +108,13 @@ def to_java(pattern: str) -> str:
                 out.append(r"\]")
                 i += 1
             continue
-        if pattern.startswith("(?P<", i):
-            out.append("(?<")
-            i += 4
+        named = re.compile(r"\(\?P(?:<(\w+)>|=(\w+)\))").match(pattern, i)
+        if named:
+            out.append(f"(?<{_group_name(named[1])}>" if named[1] else f"\\k<{_group_name(named[2])}>")
+            i = named.end()
             continue
-        if pattern.startswith("(?P=", i):
-            j = pattern.index(")", i)
-            out.append(r"\k<" + pattern[i + 4 : j] + ">")
-            i = j + 1
+        if pattern.startswith("(?#", i):
+            i = pattern.index(")", i) + 1
             continue
         if pattern.startswith("(?(", i):
             raise RegexDialectError("conditional groups are not supported by the Java regex engine")
@@ -89,7 +122,7 @@ def to_java(pattern: str) -> str:
             raise RegexDialectError("ASCII/locale flags have no Java equivalent")
         if ch == "{":
             m = _QUANT.match(pattern, i)
-            if m and m.group(0) != "{}":
+            if m and (m.group(1) or m.group(2)):
                 lo = m.group(1) or "0"
                 out.append("{" + lo + ("," + m.group(3) if m.group(2) else "") + "}")
                 i = m.end()
@@ -102,10 +135,26 @@ def to_java(pattern: str) -> str:
     return "".join(out)
 
 
+def _check_java(pattern: str) -> None:
+    """Compile in the driver's JVM (where there is one), so that a pattern Java rejects fails before any task."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark import SparkContext
+
+    context = SparkContext._active_spark_context
+    if context is None:
+        return
+    try:
+        context._jvm.java.util.regex.Pattern.compile(pattern)
+    except Py4JJavaError as e:
+        raise RegexDialectError(f"not a pattern of the Java regex engine: {e.java_exception.getMessage()}") from None
+
+
 def java_regex(pattern: str, ignore_case: bool = False) -> str:
     """Validated and translated pattern with the Python-like flag prefix."""
     validate(pattern, ignore_case)
-    return ("(?iUd)" if ignore_case else "(?Ud)") + to_java(pattern)
+    java = ("(?iUd)" if ignore_case else "(?Ud)") + to_java(pattern)
+    _check_java(java)
+    return java
 
 
 def word_wrap(pattern: str) -> str:

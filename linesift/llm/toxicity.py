@@ -4,7 +4,7 @@ Folding lower-cases, drops zero-width characters, maps look-alike letters and ac
 plain letter and turns everything between words into one blank, so that an entry `` stem`` matches where a word
 starts with the stem and `` word `` where a whole word stands.
 
-Training (Spark, labelled rows only): in how many toxic and other documents each word and each word start occurs,
+Training (Spark, at most about ``LEARN_ROWS`` labelled rows): in how many toxic and other documents each word and each word start occurs,
 log-odds as weights, entries kept by support and precision, starts before words.  Words in front of and behind a match
 that only ever occur in non-toxic documents become exception phrases, whose matches don't count.  A document's rate is
 the sum of its matches' weights by word; a logistic curve over log(1 + rate), fitted on at most ``FIT_ROWS`` training
@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linesift.llm.stage import stage
+
 #: Look-alike letters (Cyrillic, Greek, full-width handled by rule below) and digits or signs for letters.
 LOOKALIKES = {"а": "a", "в": "b", "с": "c", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x"}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
@@ -38,6 +40,8 @@ STEMS = range(4, 9)
 SUPPORT, LEAST, RATIO = 0.01, 5, 25.0
 #: Most entries, exception phrases, and rows that the curve is fitted on.
 ENTRIES, PHRASES, FIT_ROWS = 2000, 2000, 50_000
+#: Labelled rows that are learned from: all up to this many, beyond that a sample of about this size by hash of the id.
+LEARN_ROWS = 100_000
 WORD = re.compile(r"[^\W_]+")
 
 _FOLD = {ord(k): v for k, v in {**LOOKALIKES, **DIGITS}.items()} | {ord(c): None for c in HIDDEN} | {0xFF01 + i: chr(0x21 + i).lower() for i in range(94)}
@@ -114,13 +118,18 @@ def matcher(lex: Lexicon) -> Matcher:
     return _matcher((tuple(lex.weights.items()), lex.phrases, lex.curve))
 
 
-def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Folded-out texts and labels of the labelled rows that may be learned from.
+def training(docs: DataFrame, labels: DataFrame, limit: int = LEARN_ROWS) -> DataFrame:
+    """Texts and labels of about ``limit`` labelled rows, by hash of the id, that may be learned from (all rows up to there).
 
-    Only documents with a label pass the join; where Spark finds the labels small, no text is shuffled.
+    The chosen ids are bounded, so they are broadcast: no text is shuffled.  The result is staged, as it is read four times.
     """
-    chosen = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
-    return docs.select("doc_id", "text").join(chosen, "doc_id").select("text", (F.col("_toxic") > 0).cast("int").alias("toxic"))
+    labels = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
+    n, whole = labels.count(), 1 << 40
+    if n > limit:
+        labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(whole)) < whole * limit // n)
+    chosen = F.broadcast(labels.groupBy("doc_id").agg(F.max("toxic").alias("_toxic")))
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", (F.col("_toxic") > 0).cast("int").alias("toxic"))
+    return stage(rows, "toxicity-training")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -33,11 +33,10 @@ def _scan(segments: DataFrame, patterns: list[tuple[str, int, str, str, bool]],
         return segments.select("file_path", "line_number", "location_display", *keep).where(F.lit(False)).select(
             "*", F.lit("").alias("category"), F.lit(0).alias("ord"), F.lit("").alias("label")
         )
-    matched = F.filter(F.array(*checks), lambda x: x.isNotNull())
+    # exploded as it is and filtered after: a filter on the array before would run every regex twice
     return (
-        segments.select("file_path", "line_number", "location_display", *keep, matched.alias("m"))
-        .where(F.size("m") > 0)
-        .select("file_path", "line_number", "location_display", *keep, F.explode("m").alias("p"))
+        segments.select("file_path", "line_number", "location_display", *keep, F.explode(F.array(*checks)).alias("p"))
+        .where(F.col("p").isNotNull())
         .select("file_path", "line_number", "location_display", *keep, "p.category", "p.ord", "p.label")
     )
 

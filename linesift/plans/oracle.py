@@ -1,7 +1,7 @@
 """DuckDB SQL for every registered query with a SQL form (the correctness oracle).
 
 DuckDB uses RE2, where ``\\b \\w \\d \\s`` are ASCII; the oracle therefore spells
-the Unicode classes out (``\\p{L}\\p{M}\\p{Nd}\\p{Pc}`` for word characters) and
+Python's Unicode classes out (``\\p{L}\\p{N}_`` for word characters) and
 writes ``\\b`` as "non-word character or text edge" around the match.
 """
 
@@ -12,7 +12,7 @@ from linesift.operators.prune import EXT_GROUPS
 from linesift.plans import params as P
 from linesift.sources.presets import preset_list
 
-W = r"\p{L}\p{M}\p{Nd}\p{Pc}"
+W = r"\p{L}\p{N}_"  # Python's word characters
 NOT_W = "[^" + W + "]"
 LEFT_B = "(^|" + NOT_W + ")"
 RIGHT_B = "($|" + NOT_W + ")"
@@ -68,7 +68,7 @@ def hits(pred: str, corpus: str = "documents") -> str:
     return f"SELECT file_path, line_number, {rstrip('raw')} AS line_content FROM {lines(corpus)} WHERE {pred}"
 
 
-# The 21 presets in RE2 form with Java's Unicode classes spelled out (same order as the shipped presets).
+# The 21 presets in RE2 form with Python's Unicode classes spelled out (same order as the shipped presets).
 D = r"\p{Nd}"
 S = SPACE
 PRESET_RE2 = {

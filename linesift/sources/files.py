@@ -14,9 +14,9 @@ walks them too); ``files_from`` reads any given paths, dotfiles included.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
-from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +33,14 @@ def _root_pattern(root: str) -> str:
     return "^(?:file:)?(?://)?" + re.escape(r) + "/"
 
 
+def absolute_root(root: str) -> str:
+    """A relative local root made absolute, so that stripping it leaves only the directories below it."""
+    return root if ":" in root or root.startswith("/") else os.path.abspath(root)
+
+
 def list_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """Recursive listing: ``path`` (URI), ``file_path`` (relative), ``base_name, ext, dirs, length, modificationTime``."""
+    root = os.path.normpath(absolute_root(root)) if ":" not in root else root
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -43,13 +49,16 @@ def list_files(spark: SparkSession, root: str, glob: str | None = None) -> DataF
     return with_path_parts(listed.withColumn("file_path", rel))
 
 
-def _open(uri: str):
+def _open(path: str):
+    """File system and plain path of a listed path, which is not URL-encoded: ``#``, ``?``, ``%`` and blanks are part of names."""
     from pyarrow import fs
 
-    parsed = urlparse(uri)
-    if parsed.scheme in ("", "file"):
-        return fs.LocalFileSystem(), unquote(parsed.path if parsed.scheme else uri)
-    return fs.FileSystem.from_uri(uri)
+    scheme, colon, rest = path.partition("://")
+    if path.startswith("file:") or not colon:
+        return fs.LocalFileSystem(), re.sub("^file:/+", "/", path)
+    place, _, name = rest.partition("/")
+    filesystem, base = fs.FileSystem.from_uri(f"{scheme}://{place}/")
+    return filesystem, f"{base.rstrip('/')}/{name}"
 
 
 def _read_one(uri: str, rel: str, max_bytes: int) -> tuple:

@@ -21,6 +21,7 @@ read as UTF-8; binary files (a NUL in the first 1,024 bytes) are skipped.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -75,8 +76,10 @@ def large_file_lines(spark: SparkSession, files: DataFrame, max_files: int = MAX
     texts = [r for r in listed if not r["binary"]]
     if not texts:
         return spark.createDataFrame([], "file_path string, line_number int, raw string")
-    lines = spark.read.text([r["path"] for r in texts]).select(
-        key(F.input_file_name()).alias("key"),
+    # paths are names, not patterns, to the reader; the scan spells them URL-encoded
+    literal = [re.sub(r"([\\{}\[\]*?])", r"\\\1", r["path"]) for r in texts]
+    lines = spark.read.text(literal).select(
+        key(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))).alias("key"),
         F.input_file_block_start().alias("block"),
         F.monotonically_increasing_id().alias("rid"),
         F.col("value"),
