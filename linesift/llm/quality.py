@@ -116,6 +116,18 @@ def gram_hash(grams: np.ndarray, salts: np.ndarray | int, k: int) -> np.ndarray:
     return T.mix(h + np.uint64(k))
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, a position of each, how often it occurs, and each position's index among them."""
+    order = np.argsort(h)
+    ordered = h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    first = np.flatnonzero(new)
+    index = np.empty(len(h), np.int64)
+    index[order] = np.cumsum(new) - 1
+    return ordered[first], order[first], np.diff(first, append=len(h)), index
+
+
 def positions(offs: np.ndarray, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """First characters of the k-grams inside documents, and their documents."""
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
@@ -151,7 +163,7 @@ def count_ngrams(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 names.update((salt(x), x) for x in set(langs[b.lo : b.hi]))
                 salts = np.array([salt(x) for x in langs[b.lo : b.hi]], np.uint64)[doc]
                 h = gram_hash([cps[at + j] for j in range(order)], salts, order)
-                key, first, n = np.unique(h, return_index=True, return_counts=True)
+                key, first, n, _ = distinct(h)
                 held.append((key, n, salts[first], np.stack([cps[at[first] + j] for j in range(order)], axis=1)))
                 size += len(key)
                 if size > GATHER:
@@ -278,7 +290,9 @@ def score(docs: DataFrame, model, order: int = ORDER) -> DataFrame:
                     at, doc = positions(offs, order, len(cps))
                     if len(at):
                         salts = np.array([salt(x) for x in langs[b.lo : b.hi]], np.uint64)[doc]
-                        lp = log_probabilities([cps[at + j] for j in range(order)], salts, model.value, order)
+                        grams = [cps[at + j] for j in range(order)]
+                        _, one, _, index = distinct(gram_hash(grams, salts, order))  # each n-gram of a block is looked up once
+                        lp = log_probabilities([x[one] for x in grams], salts[one], model.value, order)[index]
                         sums, n = np.bincount(doc, weights=lp, minlength=b.n), np.bincount(doc, minlength=b.n)
                 found["n_grams"].append(n)
                 found["log_ppl"].append(np.where(n > 0, -sums / np.maximum(n, 1), np.nan))
