@@ -50,8 +50,13 @@ def files_without_hits(files: DataFrame, hits: DataFrame) -> DataFrame:
     return files.join(hits.select("file_path").distinct(), "file_path", "left_anti")
 
 
+def any_n_hits(hits: DataFrame, n: int) -> DataFrame:
+    """Stop after ``n`` hits, whichever are found first: later partitions aren't read once there are enough."""
+    return hits.limit(n)
+
+
 def first_n_hits(hits: DataFrame, n: int) -> DataFrame:
-    """Stop after ``n`` hits, deterministically: the first ``n`` by (path, line, location)."""
+    """The first ``n`` hits by (path, line, location), the same in every run; all files are read (``any_n_hits`` stops early)."""
     return hits.orderBy("file_path", "line_number", "location_display").limit(n)
 
 

@@ -13,24 +13,25 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linesift.functions.text import basename, extension
 from linesift.operators import encoding as enc
 from linesift.operators import office
 from linesift.operators.grep import grep
-from linesift.operators.plugins import plugin_segments
+from linesift.operators.plugins import normalized, plugin_outputs
 from linesift.operators.prune import Exclusions, prune
 from linesift.sources.files import load_contents, read_errors
 from linesift.sources.large_text import large_file_segments
+from linesift.sources.tables import empty_meta
 
 LARGE_FILE_BYTES = 256 << 20  # text files above this are split across tasks instead of read as one row
-from linesift.sources.tables import empty_meta
+HIDDEN = "^[._]|[.]_COPYING_$"  # names that Spark's text source doesn't read, so never left to it
 
 
-def _office_ext() -> F.Column:
-    return extension(basename(F.col("file_path"))).isin(list(office.OFFICE_EXTS))
+def _has_ext(exts: Iterable[str]) -> Column:
+    return extension(basename(F.col("file_path"))).isin(list(exts))
 
 
 def merge_office_type(segments: DataFrame) -> DataFrame:
@@ -72,32 +73,33 @@ def scan(
     office_files: DataFrame | None = None,
     text_files: DataFrame | None = None,
     parsers: dict | None = None,
+    plugin_files: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``file_path, content`` -> (segments, errors).
 
-    Pass ``files`` (split here by extension), or the two branches already split
-    (``office_files``, ``text_files``) so each input is computed once.  ``parsers``
-    (extension -> plug-in parser) take their extensions out of both branches.
+    Pass ``files`` (split here by extension), or the branches already split
+    (``office_files``, ``text_files``, ``plugin_files``) so each input is computed once.
+    ``parsers`` (extension -> plug-in parser; the registered ones if ``None``) come before the
+    built-in formats; a file whose parser gives nothing or fails is read as text.
     """
-    plugin_segs = plugin_errs = None
+    parsers = normalized(parsers)
     if files is not None:
-        if parsers:
-            ext = extension(basename(F.col("file_path")))
-            plugin_segs, plugin_errs = plugin_segments(files, parsers)
-            files = files.where(~ext.isin(list(parsers)))
-        office_files, text_files = files.where(_office_ext()), files.where(~_office_ext())
+        plugin_files = files.where(_has_ext(parsers)) if parsers else None
+        rest = files.where(~_has_ext(parsers)) if parsers else files
+        office_files, text_files = rest.where(_has_ext(office.OFFICE_EXTS)), rest.where(~_has_ext(office.OFFICE_EXTS))
     tokens = office.tokenize(office_files.select(F.col("file_path").alias("path"), "content"), target_sheets)
-    off = merge_office_type(office.office_segments(tokens, target_sheets))
-    fallback = office.unreadable_packages(tokens)
-    txt, dec_errors = text_segments(text_files.select("file_path", "content").unionByName(fallback), encodings)
-    segs, errs = off.unionByName(txt), office.errors(tokens).unionByName(dec_errors)
-    if plugin_segs is not None:
-        segs, errs = segs.unionByName(plugin_segs), errs.unionByName(plugin_errs)
-    return segs, errs
+    segs, errs = merge_office_type(office.office_segments(tokens, target_sheets)), office.errors(tokens)
+    as_text = text_files.select("file_path", "content").unionByName(office.unreadable_packages(tokens))
+    if plugin_files is not None:
+        plugin_segs, plugin_errs, unparsed = plugin_outputs(plugin_files, parsers)
+        segs, errs, as_text = segs.unionByName(merge_office_type(plugin_segs)), errs.unionByName(plugin_errs), as_text.unionByName(unparsed)
+    txt, dec_errors = text_segments(as_text, encodings)
+    return segs.unionByName(txt), errs.unionByName(dec_errors)
 
 
 def scan_listing(listing: DataFrame, exclusions: Exclusions = Exclusions(), target_sheets=None,
-                 encodings=enc.ENGINE_ENCODINGS, large_file_bytes: int | None = LARGE_FILE_BYTES) -> tuple[DataFrame, DataFrame]:
+                 encodings=enc.ENGINE_ENCODINGS, large_file_bytes: int | None = LARGE_FILE_BYTES,
+                 parsers: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """A file listing (``list_files``) -> (segments, errors), pruning before any byte is read.
 
     Office and text files are loaded in separate branches, each file once.  Text
@@ -105,22 +107,25 @@ def scan_listing(listing: DataFrame, exclusions: Exclusions = Exclusions(), targ
     across tasks by the text source (UTF-8), with exact line numbers.
     """
     kept = prune(listing, exclusions)
-    is_office = _office_ext()
-    big = F.lit(False) if large_file_bytes is None else (F.col("length") > large_file_bytes)
-    branch = F.when(is_office, F.lit("office")).when(big, F.lit("large")).otherwise(F.lit("text"))
+    parsers = normalized(parsers)
+    is_plugin = _has_ext(parsers) if parsers else F.lit(False)
+    is_office = _has_ext(office.OFFICE_EXTS) & ~is_plugin
+    big = F.lit(False) if large_file_bytes is None else (F.col("length") > large_file_bytes) & ~F.col("base_name").rlike(HIDDEN)
+    branch = F.when(is_plugin, F.lit("plugin")).when(is_office, F.lit("office")).when(big, F.lit("large")).otherwise(F.lit("text"))
     # one aggregate over the listing sizes every branch (and tells whether any file is large)
     stats = {
         r["branch"]: (int(r["b"] or 0), int(r["n"]))
         for r in kept.groupBy(branch.alias("branch")).agg(F.sum("length").alias("b"), F.count(F.lit(1)).alias("n")).collect()
     }
     office_bytes = load_contents(kept.where(is_office), stats=stats.get("office", (0, 0)))
-    text_bytes = load_contents(kept.where(~is_office & ~big), stats=stats.get("text", (0, 0)))
-    large = kept.where(~is_office & big) if stats.get("large") else None
+    text_bytes = load_contents(kept.where(branch == "text"), stats=stats.get("text", (0, 0)))
+    plugin_bytes = load_contents(kept.where(is_plugin), stats=stats["plugin"]) if stats.get("plugin") else None
+    large = kept.where(branch == "large") if stats.get("large") else None
     # a separate metadata-only pass: computing the errors never reads the file bytes a second time
     unreadable = read_errors(kept.select("path", "file_path"))
     ok = lambda df: df.where(F.col("error").isNull()).select("file_path", "content")
     segs, errs = scan(office_files=ok(office_bytes), text_files=ok(text_bytes), target_sheets=target_sheets,
-                      encodings=encodings)
+                      encodings=encodings, parsers=parsers, plugin_files=None if plugin_bytes is None else ok(plugin_bytes))
     if large is not None:
         segs = segs.unionByName(large_file_segments(listing.sparkSession, large))
     return segs, errs.unionByName(unreadable)
@@ -150,6 +155,8 @@ def search_directory(
     exclude_file_patterns=None,
     defaults: Exclusions = Exclusions(),
     target_sheets=None,
+    parsers: dict | None = None,
+    encodings=enc.ENGINE_ENCODINGS,
 ) -> SearchResult:
     """The reference's search call on a directory tree, as DataFrames.
 
@@ -162,7 +169,7 @@ def search_directory(
 
     s = compile_search(search_text, regex=regex_mode, ignore_case=ignore_case, whole_word=whole_word)
     ex = defaults.effective(exclude_dirs, exclude_exts, exclude_file_patterns)
-    listing = list_files(spark, target_dir)
-    segs, errors = scan_listing(listing, ex, target_sheets)
+    listing = list_files(spark, target_dir, exclude_dirs=ex.dirs)
+    segs, errors = scan_listing(listing, ex, target_sheets, encodings, parsers=parsers)
     kept = prune(listing, ex)
     return SearchResult(kept, segs, s, errors)

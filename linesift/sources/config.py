@@ -8,8 +8,7 @@ so its single row is brought to the driver.
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -18,9 +17,12 @@ from linesift.operators.prune import Exclusions, normalize_list_col
 
 
 def load_exclusions(spark: SparkSession, path: str) -> Exclusions:
-    if not os.path.exists(path):
+    try:
+        raw = spark.read.option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return Exclusions()
-    raw = spark.read.option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
     fields = {f.name: f.dataType for f in raw.schema.fields}
     cols = []
     for name, is_ext in (("exclude_dirs", False), ("exclude_exts", True)):

@@ -1,26 +1,26 @@
 """Files as a source: listing (no bytes read), then loading of the surviving files only.
 
-The listing selects ``path, length, modificationTime`` from Spark's
-``binaryFile`` source, which then does not read file bodies; pruning runs on
-that list.  The survivors' bytes are read by path inside the tasks
-(``pyarrow.fs``: local, HDFS, S3, GCS), so no path list passes through the
-driver and excluded files are never opened.  Paths are made relative to the
-root (scheme and root removed) so directory exclusions see only the
-directories below the root.
-
-Spark's file listing hides names starting with ``.`` or ``_`` (the reference
-walks them too); ``files_from`` reads any given paths, dotfiles included.
+A local (or mounted) tree is walked: the driver lists its upper levels, up to a fixed number of entries, and tasks walk
+the directories that remain.  Hidden names are listed like any other, excluded directories are not entered, links
+to directories are not followed, and directories that can't be read count as empty.  Trees in other stores are
+listed by Spark's ``binaryFile`` source (``path, length, modificationTime`` only), which leaves out names starting with ``.`` or ``_``.
+
+Pruning runs on the list.  The survivors' bytes are read by path inside the tasks (``pyarrow.fs``: local, HDFS, S3,
+GCS), so excluded files are never opened.  Paths are made relative to the root (scheme and root removed) so directory
+exclusions see only the directories below the root.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linesift.functions.regex import glob_to_java
 from linesift.operators.prune import with_path_parts
 
 CONTENT_SCHEMA = "path string, file_path string, content binary, error string"
@@ -33,20 +33,94 @@ def _root_pattern(root: str) -> str:
     return "^(?:file:)?(?://)?" + re.escape(r) + "/"
 
 
-def absolute_root(root: str) -> str:
-    """A relative local root made absolute, so that stripping it leaves only the directories below it."""
-    return root if ":" in root or root.startswith("/") else os.path.abspath(root)
+def list_files(spark: SparkSession, root: str, glob: str | None = None, exclude_dirs: Iterable[str] = ()) -> DataFrame:
+    """Recursive listing: ``path`` (URI), ``file_path`` (relative), ``base_name, ext, dirs, length, modificationTime``.
 
-
-def list_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """Recursive listing: ``path`` (URI), ``file_path`` (relative), ``base_name, ext, dirs, length, modificationTime``."""
-    root = os.path.normpath(absolute_root(root)) if ":" not in root else root
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    listed = reader.load(root).select("path", "length", "modificationTime")
+    Directories named in ``exclude_dirs`` are not entered (local trees; elsewhere prune the listing).
+    """
+    local = re.sub(r"^file:(//)?", "", root)
+    if ":" not in local.split("/")[0]:
+        root = os.path.abspath(local)
+        listed = _walked(spark, root, frozenset(exclude_dirs))
+    else:
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    listed = listed.select("path", "length", "modificationTime")
     rel = F.regexp_replace(F.col("path"), _root_pattern(root), "")
-    return with_path_parts(listed.withColumn("file_path", rel))
+    files = with_path_parts(listed.withColumn("file_path", rel))
+    return files.where(F.col("base_name").rlike(glob_to_java(glob))) if glob else files
+
+
+FILE_SCHEMA = "path string, length long, changed long"  # changed: microseconds
+ENTRY_ROWS = 10_000  # listing rows per output record batch
+DRIVER_ENTRIES = 10_000  # entries the driver lists at most, to have directories to deal out
+
+
+def _entries(directory: str, skip: frozenset[str]) -> Iterator[tuple]:
+    """Files and directories of a directory; of links to directories, pipes and devices nothing."""
+    try:
+        with os.scandir(directory) as found:
+            for entry in found:
+                try:
+                    if entry.is_dir(follow_symlinks=False):
+                        if entry.name not in skip:
+                            yield entry.path, True, None, None
+                    elif entry.is_file():
+                        info = entry.stat()
+                        yield entry.path, False, info.st_size, info.st_mtime_ns // 1000
+                    elif entry.is_symlink() and not os.path.exists(entry.path):
+                        yield entry.path, False, 0, None  # leads nowhere: an error when it is read
+                except OSError:
+                    yield entry.path, False, 0, None
+    except OSError:
+        return
+
+
+def _rows(found: list[tuple]):
+    import pyarrow as pa
+
+    cols = list(zip(*found)) if found else [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64()))],
+                                      names=["path", "length", "changed"])
+
+
+def _walk(batches: Iterator, skip: frozenset[str]) -> Iterator:
+    """All files below the given directories."""
+    for batch in batches:
+        waiting, found = batch.column(0).to_pylist(), []
+        while waiting:
+            for path, is_dir, length, changed in _entries(waiting.pop(), skip):
+                if is_dir:
+                    waiting.append(path)
+                    continue
+                found.append((path, length, changed))
+                if len(found) >= ENTRY_ROWS:
+                    yield _rows(found)
+                    found = []
+        if found:
+            yield _rows(found)
+
+
+def _walked(spark: SparkSession, root: str, skip: frozenset[str], limit: int = DRIVER_ENTRIES) -> DataFrame:
+    """The driver lists level by level while it has read at most ``limit`` entries; tasks walk the directories then left."""
+    import pyarrow as pa
+
+    if not os.path.exists(root):
+        raise FileNotFoundError(f"no such file or directory: {root}")
+    files = [] if os.path.isdir(root) else [(root, os.path.getsize(root), os.stat(root).st_mtime_ns // 1000)]
+    waiting = [] if files else [root]
+    left = limit
+    while waiting:
+        found = list(islice(_entries(waiting[0], skip), left + 1))
+        if len(found) > left:
+            break
+        left -= len(found)
+        files += [(path, length, changed) for path, is_dir, length, changed in found if not is_dir]
+        waiting = waiting[1:] + [path for path, is_dir, _, _ in found if is_dir]
+    listed = spark.createDataFrame(pa.Table.from_batches([_rows(files)]), FILE_SCHEMA)
+    if waiting:
+        directories = spark.createDataFrame(pa.table({"path": pa.array(waiting, pa.string())}), "path string")
+        listed = listed.unionByName(directories.mapInArrow(lambda it: _walk(it, skip), FILE_SCHEMA))
+    return listed.select(F.concat(F.lit("file:"), "path").alias("path"), "length", F.timestamp_micros("changed").alias("modificationTime"))
 
 
 def _open(path: str):

@@ -28,6 +28,7 @@ def test_load_exclusions(spark, tmp_path):
     p.write_text(json.dumps({"exclude_dirs": [" .git", "", "node_modules"], "exclude_exts": "LOG"}))
     ex = load_exclusions(spark, str(p))
     assert ex.dirs == (".git", "node_modules") and ex.exts == (".log",)
+    assert load_exclusions(spark, p.as_uri()) == ex
     bad = tmp_path / "bad.json"
     bad.write_text("[1, 2")
     assert load_exclusions(spark, str(bad)) == Exclusions()

@@ -70,7 +70,7 @@ def test_files_from_reads_dotfiles_and_hits_sink(spark, tmp_path):
     write(tmp_path, ".env", "SECRET=needle\n")
     write(tmp_path, ".git/config", "needle\n")
     listed = list_files(spark, str(tmp_path))
-    assert listed.count() == 0  # Spark's listing hides dot names
+    assert sorted(r.file_path for r in listed.collect()) == [".env", ".git/config"]
     paths = spark.createDataFrame([(str(tmp_path / ".env"), ".env"), (str(tmp_path / ".git/config"), ".git/config"),
                                    (str(tmp_path / "missing.txt"), "missing.txt")], "path string, file_path string")
     loaded = files_from(paths)
@@ -118,3 +118,58 @@ def test_read_errors_without_reading(spark, tmp_path):
     )
     errs = read_errors(listing).collect()
     assert [(e.file_path, e.stage) for e in errs] == [("gone.txt", "read")] and "gone.txt" in errs[0].message
+
+
+NAMES = [".env", ".git/x", "_z.txt", "_u/y.txt", "C#.txt", "what?.txt", "100%25.txt", "a b.txt", "a+b.txt", "log[1].txt", "deep/a/b/c/d.txt"]
+
+
+def test_every_name_is_searched_from_a_relative_root(spark, tmp_path, monkeypatch):
+    import os
+
+    from linesift.plans.search import search_directory
+
+    root = tmp_path / "tmp" / "tree"
+    for rel in [*NAMES, "tmp/out.txt"]:
+        write(root, rel, "needle\n")
+    os.symlink(root, root / "circle")
+    monkeypatch.chdir(tmp_path / "tmp")
+    res = search_directory(spark, "./tree", "needle", exclude_dirs=["tmp"])
+    assert sorted(r.file_path for r in res.hits.collect()) == sorted(NAMES) and res.errors.count() == 0
+
+
+def test_tasks_walk_what_the_driver_leaves(spark, tmp_path):
+    from linesift.sources.files import _walked
+
+    for rel in [*NAMES, "skip/z.txt"]:
+        write(tmp_path, rel, "x")
+    whole = sorted(str(tmp_path / n) for n in NAMES)
+    for limit in (0, 9, 12, 100):
+        got = _walked(spark, str(tmp_path), frozenset(["skip"]), limit).collect()
+        assert sorted(r.path.removeprefix("file:") for r in got) == whole and {r.length for r in got} == {1}
+
+
+def test_names_of_large_files(spark, tmp_path):
+    for rel in NAMES:
+        write(tmp_path, rel, "one\nneedle\n")
+    segs, errors = scan_listing(list_files(spark, str(tmp_path)), large_file_bytes=1)
+    rows = grep(segs, "needle").collect()
+    assert sorted((r.file_path, r.line_number) for r in rows) == sorted((n, 2) for n in NAMES) and errors.count() == 0
+
+
+def test_search_directory_parsers_and_encodings(spark, tmp_path):
+    from linesift.plans.search import search_directory
+
+    write(tmp_path, "a.csv", "x,1\nneedle,2")
+    write(tmp_path, "empty.csv", "skip\nneedle")
+    write(tmp_path, "bad.csv", "fail\nneedle")
+    write(tmp_path, "l.txt", "needle \xe9\n".encode("latin-1"))
+
+    def rows(path, content):
+        if content.startswith(b"fail"):
+            raise ValueError("no table")
+        return [] if content.startswith(b"skip") else [{"text": x, "location": f"row {i}"} for i, x in enumerate(content.decode().split("\n"), 1)]
+
+    res = search_directory(spark, str(tmp_path), "needle", parsers={"CSV": rows}, encodings=["utf-8", "latin-1"])
+    got = sorted((r.file_path, r.line_number, r.location_display, r.line_content) for r in res.hits.collect())
+    assert got == [("a.csv", 0, "row 2", "needle,2"), ("bad.csv", 2, "", "needle"), ("empty.csv", 2, "", "needle"), ("l.txt", 1, "", "needle \xe9")]
+    assert [(e.file_path, e.stage) for e in res.errors.collect()] == [("bad.csv", "extract")]
