@@ -8,11 +8,13 @@ values) that are searched by bisection; they are sent to the executors while the
 ``BROADCAST_MODEL_BYTES``; a larger model is joined to the documents' n-grams order by order instead.
 
 A document is rejected where its mean log perplexity leaves its language's band: the median plus and minus a multiple
-of the distance from the median to the quartiles, over all documents of the language that pass the base rules.
+of the distance from the median to the quartiles, over all documents of the language that pass the base rules.  The
+query and the pipeline judge out of sample: texts are halved by their crc32, so that copies of a text share a half, and
+each half is scored with the model of the other and has its own band.
 
 Defined results: a null text is an empty one and a null language is the language ''; texts without an n-gram have no
-perplexity and lie in no band's way; a document is judged by its own rows only, so repeated rows are judged alike; an
-empty table gives an empty result.  Columns of the input whose names clash with the result's are replaced.
+perplexity and lie in no band's way; repeated rows are judged alike; a half without another one has no model, so all its
+n-grams are equally unlikely and its band rejects nothing; an empty table gives an empty result.  Columns of the input whose names clash with the result's are replaced.
 """
 
 from __future__ import annotations
@@ -271,15 +273,18 @@ def log_probabilities(grams: list[np.ndarray], salts: np.ndarray, model, order:
     return out
 
 
-def score(docs: DataFrame, model, order: int = ORDER) -> DataFrame:
-    """``docs`` (with text and lang) and FEATURES, in one pass; ``model`` is a broadcast of arrays, or None: no perplexity."""
+def score(docs: DataFrame, model, order: int = ORDER, key: str = "lang") -> DataFrame:
+    """``docs`` (with text and lang) and FEATURES, in one pass; ``model`` is a broadcast of arrays, or None: no perplexity.
+
+    Column ``key`` names the part of the model that a document is scored with.
+    """
     names = [x.split()[0] for x in FEATURES.split(", ")]
     docs = docs.drop(*names)
     kept = docs.columns
 
     def run(batches):
         for batch in batches:
-            langs = [x or "" for x in batch.column(kept.index("lang")).to_pylist()]
+            langs = [x or "" for x in batch.column(kept.index(key)).to_pylist()]
             found: dict[str, list[np.ndarray]] = {x: [] for x in names}
             for b in T.blocks(batch):
                 for name, v in base_counts(b).items():
@@ -337,9 +342,9 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
 
 
-def judge(scored: DataFrame, lower: float = LOWER, upper: float = UPPER) -> DataFrame:
-    """``scored`` with ``base_failed``, the band of its language, and ``kept``.  ``scored`` is read twice: stage it."""
-    scored = scored.drop("base_failed", "kept", "band_low", "band_high").withColumn("base_failed", base_failed()).withColumn("_lang", F.coalesce("lang", F.lit("")))
+def judge(scored: DataFrame, lower: float = LOWER, upper: float = UPPER, key: str = "lang") -> DataFrame:
+    """``scored`` with ``base_failed``, the band of its ``key``, and ``kept``.  ``scored`` is read twice: stage it."""
+    scored = scored.drop("base_failed", "kept", "band_low", "band_high").withColumn("base_failed", base_failed()).withColumn("_lang", F.coalesce(key, F.lit("")))
     q = F.percentile_approx("log_ppl", [0.25, 0.5, 0.75], 10_000)
     bands = scored.where(~F.col("base_failed") & F.col("log_ppl").isNotNull()).groupBy("_lang").agg(q.alias("q"))
     spread = lambda a, b: F.greatest(F.col("q")[a] - F.col("q")[b], F.lit(LEAST_SPREAD))
@@ -350,16 +355,30 @@ def judge(scored: DataFrame, lower: float = LOWER, upper: float = UPPER) -> Data
     return out.withColumn("kept", ~F.col("base_failed") & inside).drop("_lang", "_mid", "_down", "_up")
 
 
-def quality(docs: DataFrame, order: int = ORDER, lower: float = LOWER, upper: float = UPPER, broadcast_bytes: int = BROADCAST_MODEL_BYTES) -> DataFrame:
-    """All columns of ``docs`` (text and lang among them) with FEATURES, ``base_failed``, the band and ``kept``."""
+def half(other: bool = False) -> Column:
+    """Language and half (of two, by the text) of a document, or its language and the other half."""
+    own = F.crc32(F.coalesce("text", F.lit("")).cast("binary")) % 2
+    return F.concat(F.coalesce("lang", F.lit("")), F.lit("\0"), (1 - own if other else own).cast("string"))
+
+
+def quality(docs: DataFrame, order: int = ORDER, lower: float = LOWER, upper: float = UPPER, broadcast_bytes: int = BROADCAST_MODEL_BYTES, held_out: bool = False) -> DataFrame:
+    """All columns of ``docs`` (text and lang among them) with FEATURES, ``base_failed``, the band and ``kept``.
+
+    With ``held_out`` a document is scored with the n-grams of the half of its language that it is not in, and its band
+    is that of its half; else with those of all texts, its own among them, which pay for themselves: no way to judge.
+    """
     spark = docs.sparkSession
-    counts = stage(count_ngrams(docs, order), "ngram-counts")
+    counted, key = docs, "lang"
+    if held_out:
+        counted, docs, key = docs.select("text", half().alias("lang")), docs.withColumn("_half", half(other=True)), "_half"
+    counts = stage(count_ngrams(counted, order), "ngram-counts")
     probs, backoffs = kneser_ney(counts, order)
     probs = stage(probs, "ngram-probabilities")
     if 24 * probs.count() <= broadcast_bytes:  # 12 bytes each, and a context for each n-gram at most
         model = spark.sparkContext.broadcast((*hash_arrays(probs, "logp"), *hash_arrays(backoffs, "logb")))
-        scored = stage(score(docs, model, order), "quality-scores")
+        scored = stage(score(docs, model, order, key), "quality-scores")
     else:
-        rows = stage(score(docs, None, order).drop("log_ppl").withColumn("_id", F.monotonically_increasing_id()), "quality-rows")
-        scored = stage(rows.join(score_by_joins(rows, probs, backoffs, order), "_id", "left").drop("_id"), "quality-scores")
-    return judge(scored, lower, upper)
+        rows = stage(score(docs, None, order, key).drop("log_ppl").withColumn("_id", F.monotonically_increasing_id()), "quality-rows")
+        found = score_by_joins(rows.select("_id", "text", F.col(key).alias("lang")), probs, backoffs, order)
+        scored = stage(rows.join(found, "_id", "left").drop("_id"), "quality-scores")
+    return judge(scored, lower, upper, key).drop("_half")

@@ -90,6 +90,50 @@ def test_unseen_ngrams_back_off(spark, hard):
     assert all(math.isclose(arrays[i], joined[i], rel_tol=1e-4) for i in (0, 2))
 
 
+def test_held_out_scores_come_from_the_other_half(spark, hard, hard_rows):
+    docs = hard.select("text", "lang")
+    side = {t: zlib.crc32((t or "").encode()) % 2 for _, t, *_ in hard_rows}
+    wanted = {}
+    for h in (0, 1):
+        texts = spark.createDataFrame([(t, x) for _, t, x, *_ in hard_rows if side[t] != h], "text string, lang string")
+        probs, backoffs = quality.kneser_ney(quality.count_ngrams(texts))
+        model = spark.sparkContext.broadcast((*quality.hash_arrays(probs, "logp"), *quality.hash_arrays(backoffs, "logb")))
+        wanted |= {(r["text"], r["lang"] or ""): r["log_ppl"] for r in quality.score(docs, model).collect() if side[r["text"]] == h}
+    for size in (quality.BROADCAST_MODEL_BYTES, 0):
+        out = quality.quality(hard, broadcast_bytes=size, held_out=True)
+        assert out.columns == quality.quality(hard).columns
+        rows = out.collect()
+        assert len(rows) == len(hard_rows)
+        for r in rows:
+            w = wanted[r["text"], r["lang"] or ""]
+            assert (w is None) == (r["log_ppl"] is None) and (w is None or math.isclose(w, r["log_ppl"], rel_tol=1e-4))
+
+
+def test_planted_noise_is_rejected_and_excerpts_are_kept(spark):
+    """Short and long noise among the documents of sf0.01, one text of it twice; excerpts of the documents themselves."""
+    import base64
+    import random
+
+    rng = random.Random(3)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'").select("doc_id", "text", "lang")
+    long_texts = [r["text"].split() for r in docs.orderBy("doc_id").limit(300).collect() if len(r["text"].split()) > 400]
+    word = {
+        "base64": lambda: base64.b64encode(rng.randbytes(rng.randrange(3, 9))).decode(),
+        "letters": lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))),
+        "hex": lambda: rng.randbytes(rng.randrange(2, 6)).hex(),
+        "tails": lambda: rng.choice(rng.choice(long_texts)) + "".join(rng.choice("#*$%&|<>") for _ in range(rng.randrange(1, 4))),
+    }
+    noise = [" ".join(f() for _ in range(n)) for f in word.values() for n in (25, 40, 400) for _ in range(3)]
+    noise.append(noise[3])
+    good = [" ".join(w[:n]) for w in long_texts[:4] for n in (25, 40, 400)]
+    planted = spark.createDataFrame([(-1 - i, t, "en") for i, t in enumerate(noise)] + [(-1000 - i, t, "en") for i, t in enumerate(good)], docs.schema)
+    rows = quality.quality(docs.unionAll(planted), held_out=True).collect()
+    assert not [r["text"][:60] for r in rows if -1000 < r["doc_id"] < 0 and (r["kept"] or r["base_failed"])]
+    assert all(r["kept"] for r in rows if r["doc_id"] <= -1000)
+    real = [r["kept"] for r in rows if r["doc_id"] >= 0 and not r["base_failed"]]
+    assert sum(real) >= 0.95 * len(real)
+
+
 def test_folding_and_exceptions():
     assert toxicity.fold("ID10T, you М0R0N! 2024 (x)") == " idiot you moron 2024 x "
     assert toxicity.fold(None) == toxicity.fold("") == "  "
