@@ -266,6 +266,37 @@ def test_pipeline_stages_against_brute_force(spark):
     assert all(0 <= r["offset"] and r["offset"] + r["length"] <= 4096 for r in packed)
 
 
+def surviving(rows, percent):
+    """Of each group, by comparing all pairs, the row with the smallest id (null ids last); of equal rows without words, one."""
+    sets, parent = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            alike = 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)) and 100 * len(a & b) >= percent * len(a | b)
+            if alike if a and b else rows[i] == rows[j]:
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), (True, 0, i)), (k is None, k or 0, i))
+    return [rows[i] for _, _, i in least.values()]
+
+
+def test_near_duplicate_stage_links_from_eighty_percent(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    wanted = {k for k, _ in surviving(rows, 80)}
+    assert wanted != {k for k, _ in surviving(rows, 85)}
+    assert {r["doc_id"] for r in P.near_dedup_stage(spark, docs, SMALL).collect()} == wanted
+
+
 @pytest.mark.parametrize("case", ["none", "hard"])
 def test_pipeline_stages_on_hard_rows(spark, request, case):
     import corpus_pipeline as P
