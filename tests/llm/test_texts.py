@@ -297,6 +297,28 @@ def test_near_duplicate_stage_links_from_eighty_percent(spark):
     assert {r["doc_id"] for r in P.near_dedup_stage(spark, docs, SMALL).collect()} == wanted
 
 
+def test_near_duplicate_stage_keeps_one_row_of_each_group(spark, hard, hard_rows):
+    """Repeated rows, one id with two texts (one a copy of another document), null ids in groups of their own."""
+    import corpus_pipeline as P
+
+    words = [" ".join(f"{x}{i}" for i in range(30)) for x in "abc"]
+    more = [(7, words[0]), (7, words[1]), (6, words[1]), (None, words[2]), (None, words[2]), (None, words[2] + " end"), (None, words[0]), (70, ""), (70, ""), (71, None), (71, None), (71, " ")]
+    rows = [(k, t) for k, t, *_ in hard_rows] + more
+    extra = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in more], hard.schema)
+    out = P.near_dedup_stage(spark, hard.unionAll(extra).repartition(5), SMALL)
+    assert out.columns == hard.columns
+    # Of rows with one id in one group any text may stay: compared are ids, and texts where the id has one text.
+    got, wanted = [(r["doc_id"], r["text"]) for r in out.collect()], surviving(rows, 80)
+    texts = defaultdict(set)
+    for k, t in rows:
+        texts[k].add(t)
+    single = lambda found: Counter((k, t) for k, t in found if len(texts[k]) == 1)
+    assert Counter(k for k, _ in got) == Counter(k for k, _ in wanted)
+    assert single(got) == single(wanted)
+    assert [t for k, t in got if k == 7] == [words[0]] and [t for k, t in got if k == 6] == [words[1]]
+    assert len(got) == len(wanted) < len(rows)
+
+
 @pytest.mark.parametrize("case", ["none", "hard"])
 def test_pipeline_stages_on_hard_rows(spark, request, case):
     import corpus_pipeline as P
