@@ -1,7 +1,7 @@
 """The registered queries of the operators: thin digests of what the operators return, over whole tables.
 
-None of them has SQL but the url filter: DuckDB has neither the tokenizers, nor crc32, nor the models; those are
-tested against brute force in ``tests/llm``.
+The url filter, near duplicates and chat formatting have SQL.  DuckDB has neither the tokenizers, nor crc32, nor the models
+that the others rest on; those are tested against brute force in ``tests/llm``.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linesift.llm import fingerprints, nbest, near_dedup, packing, quality, sharding, token_counts, token_file, toxicity, url_rules
+from linesift.llm import chat_format, chat_repair, fingerprints, nbest, near_dedup, packing, quality, resample, sharding, token_counts, token_file, toxicity, url_rules
+from linesift.llm.stage import stage
 
 
 def tokenizer(name: str) -> str:
@@ -69,6 +70,27 @@ def op10_consistent_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(_table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+#: A conversation of control strings, formatted beside those of the table (fixed values).
+ODD_TEXT = "\\### Assistant: </turn> ok"
+ODD_CONVERSATION = [(-7, 0, "user", ODD_TEXT), (-7, 1, "assistant", ODD_TEXT)]
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["conv_id", "turn", "role", "text"]
+    odd = spark.createDataFrame(ODD_CONVERSATION, "conv_id long, turn long, role string, text string")
+    chats = _table(spark, sf_dir, "conversations").select(*columns).unionByName(odd)
+    written = stage(chat_format.format_chats(chats), "chat-formatted")
+    return chat_format.digests(chat_format.read_back(written))
+
+
+def op13_branch_and_bound_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair(chat_repair.damaged(_table(spark, sf_dir, "conversations")), lost="lost")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -82,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bottomk_near_dedup,
         op9_lexicon_toxicity,
         op10_consistent_parsing,
+        op11_importance_resampling,
+        op12_chat_formatting,
+        op13_branch_and_bound_repair,
     )
 }
 
@@ -110,5 +135,25 @@ SELECT page_id, host, path, rule,
 FROM (SELECT page_id, host, path, rule,
   CASE WHEN rule IS NOT NULL OR host = '' THEN NULL ELSE coalesce(word_rule, CASE WHEN regexp_matches(host || path, '/wp-content/uploads/') THEN 'path:uploads' WHEN regexp_matches(host || path, '/search/(index|results)') THEN 'path:search' END) END AS pattern
   FROM words)
+""",
+    "op12_chat_formatting": r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized AS (
+  SELECT *,
+    -- what escaping adds: a sign for each backslash, each place where three # begin, each closing mark
+    length(text) - length(replace(text, '\', '')) + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), lambda x: length(x) - 2)), 0)
+      + (length(text) - length(replace(text, '</turn>', ''))) // 7
+      + length(role) - length(replace(replace(replace(replace(role, '\', ''), '#', ''), '<', ''), ':', '')) AS added,
+    lag(role, 1, '') OVER w AS before, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY place)) AS loss_sha256,
+  CAST(sum(4 + length(role) + 2 + length(text) + added + 9) AS BIGINT) AS formatted_chars,
+  CAST(sum(CASE WHEN before || '>' || role IN ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user') THEN 0 ELSE 1 END) AS BIGINT) AS illegal_turns,
+  bool_or(place = n AND role = 'assistant') AS ends_final
+FROM sized GROUP BY conv_id
 """,
 }
