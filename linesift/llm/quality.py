@@ -3,9 +3,10 @@
 The language model is a modified Kneser-Ney model of character n-grams (order 5), one for each value of ``lang``.
 Characters rather than words keep the table small against the corpus and give new words a fair probability.
 Spark counts the n-grams of all texts and derives continuation counts, discounts, context sums and interpolated
-probabilities as joins and aggregates.  The finished model is stored in sorted hash arrays (64-bit keys, 32-bit log
-values) that are searched by bisection; they are sent to the executors while they take at most
-``BROADCAST_MODEL_BYTES``; a larger model is joined to the documents' n-grams order by order instead.
+probabilities as joins and aggregates.  Each distinct n-gram that is to be judged is looked up in the model once, order by
+order, by joins.  The finished values are stored in sorted hash arrays (64-bit keys, 32-bit log values) that are searched
+by bisection; they are sent to the executors while they take at most ``BROADCAST_MODEL_BYTES``.  More of them are joined to
+the n-grams of the documents by hash.  Either way a document is judged by the same values and bands.
 
 A document is rejected where its mean log perplexity leaves its language's band: the median plus and minus a multiple
 of the distance from the median to the quartiles, over all documents of the language that pass the base rules.  The
@@ -40,8 +41,8 @@ SYMBOLS = b"#*$%&|<>"
 LOWER, UPPER, SHORT, LEAST_SPREAD = 4.0, 4.0, 2000, 0.01
 #: Rows of per-language sums that are sent to the executors at most.
 FEW_LANGUAGES = 10_000
-#: Distinct n-grams gathered in a task before they are merged.
-GATHER = 1_500_000
+#: Distinct n-grams gathered in a task before they are merged, and rows of them handed on together.
+GATHER, HANDED_ON = 800_000, 100_000
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_grams long, log_ppl double"
 
 
@@ -172,19 +173,21 @@ def count_ngrams(docs: DataFrame, order: int = ORDER) -> DataFrame:
                     held = [merged()]
                     size = len(held[0][0])
                     if size > GATHER // 2:  # mostly distinct: hand them on
-                        yield _gram_rows(held[0], names, order)
+                        yield from _gram_rows(held[0], names, order)
                         held, size = [], 0
         if held:
-            yield _gram_rows(merged(), names, order)
+            yield from _gram_rows(merged(), names, order)
 
     rows = docs.select("text", "lang").mapInArrow(run, "lang string, gram string, n long")
     return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _gram_rows(held: tuple, names: dict[int, str], order: int) -> pa.RecordBatch:
-    _, n, s, g = held
-    text = g.astype("<u4").tobytes().decode("utf-32-le")
-    return pa.RecordBatch.from_arrays([pa.array([names[int(x)] for x in s], pa.string()), pa.array([text[i : i + order] for i in range(0, len(text), order)], pa.string()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+def _gram_rows(held: tuple, names: dict[int, str], order: int) -> Iterator[pa.RecordBatch]:
+    _, counts, salts, grams = held
+    for lo in range(0, len(counts), HANDED_ON):
+        n, s, g = (x[lo : lo + HANDED_ON] for x in (counts, salts, grams))
+        text = g.astype("<u4").tobytes().decode("utf-32-le")
+        yield pa.RecordBatch.from_arrays([pa.array([names[int(x)] for x in s], pa.string()), pa.array([text[i : i + order] for i in range(0, len(text), order)], pa.string()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
 
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
@@ -290,17 +293,18 @@ def score(docs: DataFrame, model, order: int = ORDER, key: str = "lang") -> Data
                 for name, v in base_counts(b).items():
                     found[name].append(v)
                 sums, n = np.zeros(b.n), np.zeros(b.n, np.int64)
-                if model is not None:
-                    cps, offs = characters(b)
-                    at, doc = positions(offs, order, len(cps))
-                    if len(at):
+                cps, offs = characters(b)
+                at, doc = positions(offs, order, len(cps))
+                if len(at):
+                    n = np.bincount(doc, minlength=b.n)
+                    if model is not None:
                         salts = np.array([salt(x) for x in langs[b.lo : b.hi]], np.uint64)[doc]
                         grams = [cps[at + j] for j in range(order)]
                         _, one, _, index = distinct(gram_hash(grams, salts, order))  # each n-gram of a block is looked up once
                         lp = log_probabilities([x[one] for x in grams], salts[one], model.value, order)[index]
-                        sums, n = np.bincount(doc, weights=lp, minlength=b.n), np.bincount(doc, minlength=b.n)
+                        sums = np.bincount(doc, weights=lp, minlength=b.n)
                 found["n_grams"].append(n)
-                found["log_ppl"].append(np.where(n > 0, -sums / np.maximum(n, 1), np.nan))
+                found["log_ppl"].append(np.where((n > 0) & (model is not None), -sums / np.maximum(n, 1), np.nan))
             if batch.num_rows:
                 cols = [np.concatenate(found[x]) for x in names]
                 new = [pa.array(c, pa.int64()) for c in cols[:-1]] + [pa.array(cols[-1], pa.float64(), from_pandas=True)]
@@ -310,32 +314,77 @@ def score(docs: DataFrame, model, order: int = ORDER, key: str = "lang") -> Data
     return docs.mapInArrow(run, schema)
 
 
-def score_by_joins(docs: DataFrame, probs: DataFrame, backoffs: DataFrame, order: int = ORDER) -> DataFrame:
-    """``_id, log_ppl`` of the rows of ``docs`` (``_id, text, lang``) where the model is too large to send around.
+def gram_values(grams: DataFrame, probs: DataFrame, backoffs: DataFrame, order: int = ORDER) -> DataFrame:
+    """``key, gram, logp`` of distinct n-grams (``key, lang, gram``) under the model of ``lang``, each looked up once.
 
-    A document's distinct n-grams are joined to the tables of the orders from the highest down.
+    The value of an n-gram that the model lacks is its context's back-off and the value of the n-gram without its first
+    character; so the distinct ends of the n-grams are valued from the shortest on.
     """
+    lower = None
+    for k in range(1, order + 1):
+        part = grams.select("lang", F.expr(f"substring(gram, {order - k + 1}, {k})").alias("gram"))
+        part = (grams.select("lang", "gram") if k == order else part).distinct().withColumns({"ctx": F.expr(f"substring(gram, 1, {k - 1})"), "end": F.expr(f"substring(gram, 2, {k - 1})")})
+        p = probs.where(F.col("k") == k).select("lang", "gram", "logp")
+        b = backoffs.where(F.col("k") == k - 1).select("lang", F.col("gram").alias("ctx"), "logb")
+        part = part.join(p, ["lang", "gram"], "left").join(b, ["lang", "ctx"], "left")
+        if lower is not None:
+            part = part.join(lower.select("lang", F.col("gram").alias("end"), F.col("logp").alias("below")), ["lang", "end"], "left")
+        else:  # a character that its language has never shown
+            part = part.withColumn("below", F.log(F.lit(1e-5)))
+        lower = stage(part.select("lang", "gram", F.coalesce("logp", F.coalesce("logb", F.lit(0.0)) + F.col("below")).alias("logp")), f"values-{k}")
+    return grams.join(lower, ["lang", "gram"]).select("key", "gram", "logp")
+
+
+def hashed_values(values: DataFrame, order: int = ORDER) -> DataFrame:
+    """``h, v``: hash of key and n-gram, and its value in 32 bits, of :func:`gram_values`; staged."""
 
     def run(batches):
         for batch in batches:
-            for i, t, x in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                text = "".join(" " if 9 <= ord(c) <= 13 else c for c in t.as_py() or "")
-                grams: dict[str, int] = {}
-                for j in range(len(text) - order + 1):
-                    grams[text[j : j + order]] = grams.get(text[j : j + order], 0) + 1
-                if grams:
-                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(grams)), pa.array([x or ""] * len(grams)), pa.array(list(grams)), pa.array(list(grams.values()))], names=["_id", "lang", "g", "n"])
-
-    rows = docs.select("_id", "text", "lang").mapInArrow(run, "_id long, lang string, g string, n long").withColumns({"s": F.lit(0.0), "done": F.lit(False)})
-    for k in range(order, 0, -1):
-        part, ctx = F.expr(f"substring(g, {order - k + 1}, {k})"), F.expr(f"substring(g, {order - k + 1}, {k - 1})")
-        p = probs.where(F.col("k") == k).select("lang", F.col("gram").alias("_a"), "logp")
-        b = backoffs.where(F.col("k") == k - 1).select("lang", F.col("gram").alias("_b"), "logb")
-        rows = rows.withColumns({"_a": part, "_b": ctx}).join(p, ["lang", "_a"], "left").join(b, ["lang", "_b"], "left")
-        add = F.when(F.col("done"), 0.0).otherwise(F.coalesce("logp", "logb", F.lit(0.0)))
-        rows = rows.select("_id", "lang", "g", "n", (F.col("s") + add).alias("s"), (F.col("done") | F.col("logp").isNotNull()).alias("done"))
-    s = F.when(F.col("done"), F.col("s")).otherwise(F.col("s") + F.log(F.lit(1e-5)))
-    return rows.groupBy("_id").agg((-F.sum(s * F.col("n")) / F.sum("n")).alias("log_ppl"))
+            if not batch.num_rows:
+                continue
+            salts = np.array([salt(x) for x in batch.column(0).to_pylist()], np.uint64)
+            cps = np.frombuffer("".join(batch.column(1).to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, order)
+            h = gram_hash(list(cps.T), salts, order)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(batch.column(2).to_numpy().astype("<f4"))], names=["h", "v"])
+
+    return stage(values.mapInArrow(run, "h long, v float"), "ngram-values")
+
+
+def value_arrays(hashed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hash arrays of :func:`hashed_values`.  Only called for tables of a checked size."""
+    found = hashed.toArrow()
+    keys, values = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
+def score_by_values(docs: DataFrame, hashed: DataFrame, order: int = ORDER, key: str = "lang") -> DataFrame:
+    """``_id, log_ppl`` of the rows of ``docs`` (``_id, text`` and ``key``): their distinct n-grams joined to the values."""
+    docs = docs.select("_id", "text", F.col(key).alias("key"))
+
+    def run(batches):
+        for batch in batches:
+            keys = [x or "" for x in batch.column(2).to_pylist()]
+            ids = batch.column(0).to_numpy()
+            for b in T.blocks(batch):
+                cps, offs = characters(b)
+                at, doc = positions(offs, order, len(cps))
+                if not len(at):
+                    continue
+                h = gram_hash([cps[at + j] for j in range(order)], np.array([salt(x) for x in keys[b.lo : b.hi]], np.uint64)[doc], order)
+                by = np.lexsort((h, doc))
+                h, doc = h[by], doc[by]
+                first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[b.lo : b.hi][doc[first]]), pa.array(h[first].view(np.int64)), pa.array(np.diff(first, append=len(h)))], names=["_id", "h", "n"])
+
+    rows = docs.mapInArrow(run, "_id long, h long, n long")
+    return rows.join(hashed, "h").groupBy("_id").agg((-F.sum(F.col("v").cast("double") * F.col("n")) / F.sum("n")).alias("log_ppl"))
+
+
+def score_by_joins(docs: DataFrame, probs: DataFrame, backoffs: DataFrame, order: int = ORDER) -> DataFrame:
+    """``_id, log_ppl`` of the rows of ``docs`` (``_id, text, lang``) under any model, without sending it around."""
+    grams = count_ngrams(docs, order).select(F.col("lang").alias("key"), "lang", "gram")
+    return score_by_values(docs, hashed_values(gram_values(grams, probs, backoffs, order), order), order)
 
 
 def base_failed() -> Column:
@@ -355,10 +404,9 @@ def judge(scored: DataFrame, lower: float = LOWER, upper: float = UPPER, key: st
     return out.withColumn("kept", ~F.col("base_failed") & inside).drop("_lang", "_mid", "_down", "_up")
 
 
-def half(other: bool = False) -> Column:
-    """Language and half (of two, by the text) of a document, or its language and the other half."""
-    own = F.crc32(F.coalesce("text", F.lit("")).cast("binary")) % 2
-    return F.concat(F.coalesce("lang", F.lit("")), F.lit("\0"), (1 - own if other else own).cast("string"))
+def half() -> Column:
+    """Language and half (of two, by the text) of a document."""
+    return F.concat(F.coalesce("lang", F.lit("")), F.lit("\0"), (F.crc32(F.coalesce("text", F.lit("")).cast("binary")) % 2).cast("string"))
 
 
 def quality(docs: DataFrame, order: int = ORDER, lower: float = LOWER, upper: float = UPPER, broadcast_bytes: int = BROADCAST_MODEL_BYTES, held_out: bool = False) -> DataFrame:
@@ -368,17 +416,22 @@ def quality(docs: DataFrame, order: int = ORDER, lower: float = LOWER, upper: fl
     is that of its half; else with those of all texts, its own among them, which pay for themselves: no way to judge.
     """
     spark = docs.sparkSession
-    counted, key = docs, "lang"
+    key, counted = "lang", docs
     if held_out:
-        counted, docs, key = docs.select("text", half().alias("lang")), docs.withColumn("_half", half(other=True)), "_half"
+        key, counted = "_half", docs.select("text", half().alias("lang"))
+        docs = docs.withColumn("_half", half())
     counts = stage(count_ngrams(counted, order), "ngram-counts")
     probs, backoffs = kneser_ney(counts, order)
-    probs = stage(probs, "ngram-probabilities")
-    if 24 * probs.count() <= broadcast_bytes:  # 12 bytes each, and a context for each n-gram at most
-        model = spark.sparkContext.broadcast((*hash_arrays(probs, "logp"), *hash_arrays(backoffs, "logb")))
+    # A half's own n-grams, under the model of the other one: the last sign of the key is the half.
+    other = F.expr("concat(substring(lang, 1, length(lang) - 1), 1 - cast(right(lang, 1) as int))") if held_out else F.col("lang")
+    grams = counts.select(F.col("lang").alias("key"), other.alias("lang"), "gram")
+    values = hashed_values(gram_values(grams, stage(probs, "ngram-probabilities"), backoffs, order), order)
+    if 12 * values.count() <= broadcast_bytes:
+        none = np.zeros(0, np.uint64), np.zeros(0, "<f4")
+        model = spark.sparkContext.broadcast((*value_arrays(values), *none))
         scored = stage(score(docs, model, order, key), "quality-scores")
     else:
         rows = stage(score(docs, None, order, key).drop("log_ppl").withColumn("_id", F.monotonically_increasing_id()), "quality-rows")
-        found = score_by_joins(rows.select("_id", "text", F.col(key).alias("lang")), probs, backoffs, order)
+        found = score_by_values(rows, values, order, key)
         scored = stage(rows.join(found, "_id", "left").drop("_id"), "quality-scores")
     return judge(scored, lower, upper, key).drop("_half")

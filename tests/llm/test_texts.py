@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 
 from linesift.llm import fingerprints, near_dedup, quality, toxicity
+from linesift.llm.stage import stage
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -109,6 +110,46 @@ def test_held_out_scores_come_from_the_other_half(spark, hard, hard_rows):
             assert (w is None) == (r["log_ppl"] is None) and (w is None or math.isclose(w, r["log_ppl"], rel_tol=1e-4))
 
 
+def banded(rows):
+    """Whether each row (half, n_words, n_repeat_words, log_ppl, n_grams) is kept: quartiles of the half by sorting."""
+    failed = lambda r: r[1] < 20 or 100 * r[2] > 30 * r[1]
+    values = defaultdict(list)
+    for r in rows:
+        if not failed(r) and r[3] is not None:
+            values[r[0]].append(r[3])
+    out = []
+    for r in rows:
+        inside = True
+        if r[3] is not None and r[0] in values:
+            v = sorted(values[r[0]])
+            low, mid, high = (v[max(0, math.ceil(len(v) * q) - 1)] for q in (0.25, 0.5, 0.75))
+            wide = math.sqrt(1 + 2000 / r[4])
+            inside = mid - 4 * max(mid - low, 0.01) * wide <= r[3] <= mid + 4 * max(high - mid, 0.01) * wide
+        out.append(not failed(r) and inside)
+    return out
+
+
+def test_bands_are_the_same_for_a_model_of_any_size(spark):
+    """Noise among real documents is rejected by a model that is sent around and by one that is joined."""
+    import random
+
+    rng = random.Random(9)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en' and doc_id < 700").select("doc_id", "text", "lang")
+    noise = [(-1 - i, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randrange(2, 10))) for _ in range(n)), "en") for i, n in enumerate((25, 40, 200, 400) * 3)]
+    docs = stage(docs.unionAll(spark.createDataFrame(noise, docs.schema)), "noisy")
+    found = {}
+    for size in (quality.BROADCAST_MODEL_BYTES, 0):
+        rows = quality.quality(docs, broadcast_bytes=size, held_out=True).collect()
+        found[size] = {r["doc_id"]: (r["kept"], r["n_grams"], r["log_ppl"] and round(r["log_ppl"], 5), r["band_low"] is None) for r in rows}
+        assert not any(found[size][k][0] for k, *_ in noise)
+        key = lambda r: zlib.crc32((r["text"] or "").encode()) % 2
+        model = banded([(key(r), r["n_words"], r["n_repeat_words"], r["log_ppl"], r["n_grams"]) for r in rows])
+        assert [r["kept"] for r in rows] == model
+    assert found[0] == found[quality.BROADCAST_MODEL_BYTES]
+    real = [v[0] for k, v in found[0].items() if k >= 0]
+    assert 0.8 * len(real) < sum(real) < len(real)
+
+
 def test_planted_noise_is_rejected_and_excerpts_are_kept(spark):
     """Short and long noise among the documents of sf0.01, one text of it twice; excerpts of the documents themselves."""
     import base64
@@ -258,7 +299,7 @@ def test_pipeline_stages_against_brute_force(spark):
     clean = P.toxicity_stage(spark, good, SMALL)
     unique = P.near_dedup_stage(spark, clean, SMALL)
     before = [(r["doc_id"], r["text"]) for r in clean.collect()]
-    assert {r["doc_id"] for r in unique.collect()} == {k for k, _, c in groups(before) if k == c}
+    assert {r["doc_id"] for r in unique.collect()} == {k for k, _ in surviving(before, 80)}
     all_rows = {r["doc_id"]: base_model(r["text"]) for r in docs.collect()}
     assert all(all_rows[r["doc_id"]][0] >= 20 for r in good.collect())
     packed = P.run(spark, SMALL).collect()
