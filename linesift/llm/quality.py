@@ -398,6 +398,9 @@ def judge(scored: DataFrame, lower: float = LOWER, upper: float = UPPER, key: st
     bands = scored.where(~F.col("base_failed") & F.col("log_ppl").isNotNull()).groupBy("_lang").agg(q.alias("q"))
     spread = lambda a, b: F.greatest(F.col("q")[a] - F.col("q")[b], F.lit(LEAST_SPREAD))
     bands = bands.select("_lang", F.col("q")[1].alias("_mid"), (lower * spread(1, 0)).alias("_down"), (upper * spread(2, 1)).alias("_up"))
+    bands = stage(bands, "quality-bands")
+    if bands.count() <= FEW_LANGUAGES:  # so that no language's documents meet in one task
+        bands = F.broadcast(bands)
     wider = F.sqrt(1 + F.try_divide(F.lit(float(SHORT)), F.col("n_grams")))
     out = scored.join(bands, "_lang", "left").withColumns({"band_low": F.col("_mid") - F.col("_down") * wider, "band_high": F.col("_mid") + F.col("_up") * wider})
     inside = F.coalesce(F.col("log_ppl").between(F.col("band_low"), F.col("band_high")), F.lit(True))
