@@ -153,10 +153,13 @@ def with_candidates(files: DataFrame, encodings: Sequence[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(facts, kinds)], names=["path", "content", "facts"])
 
     found = files.select("path", "content").mapInArrow(run, f"path string, content binary, facts {FACTS_TYPE}")
-    size = F.length("content")
-    ranked = F.transform("facts", lambda x: F.struct(
-        (-confidence(x, size)).alias("minus"), x["ord"].alias("ord"), x["encoding"].alias("encoding")))
-    return found.select("path", "content", F.array_sort(ranked).alias("ranked"))
+    return found.select("path", "content", ranked_candidates(F.col("facts"), F.length("content")).alias("ranked"))
+
+
+def ranked_candidates(facts: Column, size: Column) -> Column:
+    """``minus`` (the negated confidence), ``ord, encoding`` of the candidates counted in ``facts``, best first."""
+    return F.array_sort(F.transform(facts, lambda x: F.struct(
+        (-confidence(x, size)).alias("minus"), x["ord"].alias("ord"), x["encoding"].alias("encoding"))))
 
 
 def confidence(x: Column, size: Column) -> Column:
@@ -181,6 +184,16 @@ def _first_choice(sig: Column) -> Column:
     return F.when(sig, F.lit("utf-8-sig")).when(best["minus"] < 0, best["encoding"]).otherwise(F.lit("utf-8"))
 
 
+def chosen_encoding(sig: Column, valid: Column) -> Column:
+    """Of column ``ranked``: the first choice where it decodes, else the first candidate that does; null if there is none.
+
+    ``sig``: the content starts with the UTF-8 BOM; ``valid``: it is valid UTF-8.
+    """
+    decodes = F.exists("ranked", lambda x: x["encoding"] == _first_choice(sig)) | (sig & valid)
+    in_order = F.array_sort(F.transform("ranked", lambda x: F.struct(x["ord"], x["encoding"])))
+    return F.when(decodes, _first_choice(sig)).otherwise(F.get(in_order, F.lit(0))["encoding"])
+
+
 def _known(encoding: str) -> bool:
     try:
         return codecs.lookup(encoding) is not None
@@ -263,10 +276,7 @@ def decode(files: DataFrame, encodings: Sequence[str] = ENGINE_ENCODINGS, prefer
         F.lit(None).cast("string").alias("error"),
     )
     ranked = with_candidates(f.where(~native_ok), enc_list)
-    # the first choice where it decodes, else the first candidate that does
-    decodes = F.exists("ranked", lambda x: x["encoding"] == _first_choice(sig)) | (sig & valid)
-    in_order = F.array_sort(F.transform("ranked", lambda x: F.struct(x["ord"], x["encoding"])))
-    chosen = F.when(decodes, _first_choice(sig)).otherwise(F.get(in_order, F.lit(0))["encoding"])
+    chosen = chosen_encoding(sig, valid)
     note = F.when(chosen.isNull(), F.lit("no candidate encoding decodes the file"))
     other = _decode_as(ranked.withColumn("encoding", chosen), F.lit("strict"), note)
     other = other.select("path", "encoding", "text", F.col("note").alias("error"))

@@ -200,19 +200,25 @@ def _powerpoint_tokens(path: str, zf: zipfile.ZipFile) -> Iterable[tuple]:
                     seq += 1
 
 
-def package_tokens(path: str, content: bytes, target_sheets: frozenset[str] | None = None) -> Iterator[tuple]:
-    """Token rows of one package, produced lazily; a file that is not a package gives an ``error`` row."""
+def package_tokens(path: str, content, target_sheets: frozenset[str] | None = None) -> Iterator[tuple]:
+    """Token rows of one package (bytes, or an open file of which only the parts are read), produced lazily.
+
+    A file that is not a package gives an ``error`` row and a ``raw`` row, which has the content if that was given.
+    """
+    given = isinstance(content, (bytes, bytearray, memoryview))
     ext = os.path.splitext(path.rsplit("/", 1)[-1])[1].lower()
     if ext not in OFFICE_EXTS:
         return  # no parser for this extension
     try:
-        zf = zipfile.ZipFile(io.BytesIO(content))
+        zf = zipfile.ZipFile(io.BytesIO(content) if given else content)
     except Exception as e:  # noqa: BLE001 - not a ZIP package
+        if not given and isinstance(e, OSError):
+            raise  # the file can't be read
         # Reported, and its bytes kept for the text fallback.  (A file that opens as a ZIP
         # but gives no segments needs no fallback: every ZIP header holds a NUL byte in
         # its first 1,024 bytes, so the text scan would skip it as binary.)
         yield _tok(path, None, None, "error", error=f"Error parsing {KIND_NAME[ext]} {path}: {e}")
-        yield _tok(path, None, None, "raw", content=content)
+        yield _tok(path, None, None, "raw", content=content if given else None)
         return
     with zf:
         try:
@@ -223,6 +229,8 @@ def package_tokens(path: str, content: bytes, target_sheets: frozenset[str] | No
             else:
                 yield from _powerpoint_tokens(path, zf)
         except Exception as e:  # noqa: BLE001 - tokens read so far stay, the package is reported
+            if not given and isinstance(e, OSError):
+                raise
             yield _tok(path, None, None, "error", error=f"Error parsing {KIND_NAME[ext]} {path}: {e}")
 
 
@@ -239,36 +247,46 @@ def _arrow_schema():
 TOKENS_PER_BATCH = 50_000  # output batch size: Python memory stays bounded whatever the package size
 
 
-def _token_batches(batches: Iterator, target_sheets) -> Iterator:
-    """Arrow record batches of packages -> Arrow record batches of tokens (no pandas in between)."""
+def _emitted(tokens: Iterator[tuple]) -> Iterator:
     import pyarrow as pa
 
-    schema = _arrow_schema()
+    schema, rows = _arrow_schema(), []
+    for tok in tokens:
+        rows.append(tok)
+        if len(rows) >= TOKENS_PER_BATCH:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            rows = []
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    def emit(rows):
-        columns = list(zip(*rows))
-        return pa.RecordBatch.from_arrays([pa.array(col, type=field.type) for col, field in zip(columns, schema)], schema=schema)
 
+def _token_batches(batches: Iterator, target_sheets) -> Iterator:
+    """Arrow record batches of packages -> Arrow record batches of tokens (no pandas in between)."""
     for batch in batches:
-        rows: list[tuple] = []
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-            for tok in package_tokens(path, content, target_sheets):
-                rows.append(tok)
-                if len(rows) >= TOKENS_PER_BATCH:
-                    yield emit(rows)
-                    rows = []
-        if rows:
-            yield emit(rows)
+        packages = zip(batch.column("path").to_pylist(), batch.column("content").to_pylist())
+        yield from _emitted(t for path, content in packages for t in package_tokens(path, content, target_sheets))
 
 
-def tokenize(packages: DataFrame, target_sheets: Iterable[str] | None = None, staged: bool = True) -> DataFrame:
-    """``path, content`` -> token rows (``mapInArrow``), hash-partitioned by ``path`` (one shuffle for all assembly steps).
+def _opened_tokens(uri: str, name: str, target_sheets) -> Iterator[tuple]:
+    """Tokens of a package in a store: its directory and parts are read where they lie, the package is never held whole."""
+    from linesift.sources.files import _open
 
-    The rows are staged (see ``linesift.session.stage``): computed once, then read by every branch.
-    """
-    ts = frozenset(target_sheets) if target_sheets is not None else None
-    toks = packages.select("path", "content").mapInArrow(lambda it: _token_batches(it, ts), TOKEN_SCHEMA)
-    # several assembly branches read the tokens: compute them once, keep the partitioning by path
+    try:
+        filesystem, place = _open(uri)
+        with filesystem.open_input_file(place) as f:
+            yield from package_tokens(name, f, target_sheets)
+    except Exception as e:  # noqa: BLE001 - a row of the errors; the scan goes on
+        yield _tok(name, None, None, "error", type_="read", error=f"Error accessing file {name}: {e}")
+
+
+def _file_token_batches(batches: Iterator, target_sheets) -> Iterator:
+    for batch in batches:
+        files = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        yield from _emitted(t for uri, name in files for t in _opened_tokens(uri, name, target_sheets))
+
+
+def _partitioned(tokens: DataFrame, packages: DataFrame, staged: bool) -> DataFrame:
+    """Tokens hash-partitioned by path, and staged for the assembly branches that read them."""
     spark = packages.sparkSession
     # every join over the tokens is keyed by path plus an inner key (r_id, part, cell, index);
     # partitioning by path co-partitions them, so no join re-shuffles the tokens
@@ -280,12 +298,29 @@ def tokenize(packages: DataFrame, target_sheets: Iterable[str] | None = None, st
         n = max(n, packages.rdd.getNumPartitions())
     except Exception:  # noqa: BLE001 - no local context: the configured count
         pass
-    partitioned = toks.repartition(n, "path")
+    partitioned = tokens.repartition(n, "path")
     # several assembly branches read the tokens: stage them once.  A single branch (staged=False)
     # keeps the repartition in its own plan, where the kind filter runs before the shuffle.
     return stage(partitioned) if staged else partitioned
 
 
+def tokenize(packages: DataFrame, target_sheets: Iterable[str] | None = None, staged: bool = True) -> DataFrame:
+    """``path, content`` -> token rows (``mapInArrow``), hash-partitioned by ``path`` (one shuffle for all assembly steps).
+
+    The rows are staged (see ``linesift.session.stage``): computed once, then read by every branch.
+    """
+    ts = frozenset(target_sheets) if target_sheets is not None else None
+    toks = packages.select("path", "content").mapInArrow(lambda it: _token_batches(it, ts), TOKEN_SCHEMA)
+    return _partitioned(toks, packages, staged)
+
+
+def tokenize_files(files: DataFrame, target_sheets: Iterable[str] | None = None) -> DataFrame:
+    """``path`` (URI), ``file_path`` of a listing -> the token rows of packages of any size, read in place."""
+    ts = frozenset(target_sheets) if target_sheets is not None else None
+    toks = files.select("path", "file_path").mapInArrow(lambda it: _file_token_batches(it, ts), TOKEN_SCHEMA)
+    return _partitioned(toks, files, True)
+
+
 def concat_ordered(order: str, text: str) -> Column:
     """Texts of a group joined in ``order`` (``collect_list`` alone is unordered)."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(text)))), lambda x: x[text]), "")
@@ -311,7 +346,7 @@ def unreadable_packages(tokens: DataFrame) -> DataFrame:
 def errors(tokens: DataFrame) -> DataFrame:
     """Side output: ``file_path, stage, message``."""
     return tokens.where(F.col("kind") == "error").select(
-        F.col("path").alias("file_path"), F.lit("extract").alias("stage"), F.col("error").alias("message")
+        F.col("path").alias("file_path"), F.coalesce("type", F.lit("extract")).alias("stage"), F.col("error").alias("message")
     )
 
 

@@ -7,7 +7,9 @@ per file, never the lines themselves.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from linesift.functions.text import basename, display_location, truncate_display
@@ -174,3 +176,78 @@ def corpus_files_without_hits(corpus: DataFrame, search) -> DataFrame:
     no_line = ~F.exists(_line_array(), lambda x: search.predicate(x))
     cond = no_line if pre is None else (~pre | no_line)
     return corpus.where(cond).select("file_path")
+
+
+# ---------------------------------------------------------------- everything a search finds, from one reading
+OUTCOME = (
+    "kind string, file_path string, line_content string, line_number int, location_display string, "
+    "metadata map<string,string>, stage string, message string, segments long, hits long"
+)
+
+
+@dataclass(frozen=True)
+class Outcome:
+    """What a search wrote: the tagged table, its three views, and the counts that were observed while it was written."""
+
+    table: DataFrame
+    metrics: dict
+
+    @property
+    def hits(self) -> DataFrame:
+        return self.table.where("kind = 'hit'").select("file_path", "line_content", "line_number", "location_display", "metadata")
+
+    @property
+    def errors(self) -> DataFrame:
+        return self.table.where("stage is not null").select("file_path", "stage", "message")
+
+    @property
+    def per_file(self) -> DataFrame:
+        """``file_path, segments, hits, skipped, failed`` of each file that was opened."""
+        rows = self.table.where("kind <> 'hit'").groupBy("file_path")
+        return rows.agg(F.sum("segments").alias("segments"), F.sum("hits").alias("hits"), F.bool_or(F.col("kind") == "skipped").alias("skipped"), F.bool_or(F.col("stage").isNotNull()).alias("failed"))
+
+
+def _tagged(rows: DataFrame) -> DataFrame:
+    """``rows`` with all columns of OUTCOME, null where they have none."""
+    fields = [f.rsplit(" ", 1) for f in OUTCOME.replace("map<string,string>", "map").split(", ")]
+    kinds = {n: "map<string,string>" if k == "map" else k for n, k in fields}
+    return rows.select(*[(F.col(n) if n in rows.columns else F.lit(None)).cast(k).alias(n) for n, k in kinds.items()])
+
+
+def search_outcome(parts, search) -> DataFrame:
+    """Hits, errors and files of a scan's parts as one table of tagged rows (OUTCOME).
+
+    A text (a file or a range of one) gives its hits and one more row, inside the row it is: ``file``, ``skipped`` (binary)
+    or ``error``.  So texts are read once, whatever is taken from the table.  Packages come from their staged tokens.
+    """
+    from linesift.functions.text import line_pieces, rstrip_py
+
+    texts = parts.texts.withColumn("lines", F.coalesce(line_pieces(F.col("text")), F.array().cast("array<string>")))
+    numbered = F.transform("lines", lambda x, i: F.struct((F.col("before") + i + 1).cast("int").alias("line_number"), x.alias("raw")))
+    texts = texts.withColumn("found", F.filter(numbered, lambda x: search.predicate(x["raw"])))
+    kind = F.when(F.col("stage").isNotNull(), "error").when(F.col("skipped"), "skipped").otherwise("file")
+    one = F.struct(kind.alias("kind"), F.lit(None).cast("int").alias("line_number"), F.lit(None).cast("string").alias("raw"))
+    rows = F.concat(F.array(one), F.transform("found", lambda x: F.struct(F.lit("hit").alias("kind"), x["line_number"].alias("line_number"), x["raw"].alias("raw"))))
+    texts = texts.select("file_path", "stage", "message", F.size("lines").alias("segments"), F.size("found").alias("hits"), F.explode(rows).alias("r"))
+    own = F.col("r.kind") != "hit"
+    only = lambda c: F.when(own, F.col(c)).alias(c)
+    empty = F.when(~own, F.create_map().cast("map<string,string>"))
+    out = _tagged(texts.select("file_path", "r.kind", rstrip_py(F.col("r.raw")).alias("line_content"), "r.line_number", F.when(~own, F.lit("")).alias("location_display"), empty.alias("metadata"), *map(only, ("stage", "message", "segments", "hits"))))
+    if parts.segments is not None:
+        from linesift.operators.grep import grep
+
+        hit = search.predicate(F.col("raw"))
+        per = parts.segments.groupBy("file_path").agg(F.count(F.lit(1)).alias("segments"), F.count_if(hit).alias("hits"))
+        out = out.unionByName(_tagged(grep(parts.segments, search).withColumn("kind", F.lit("hit")))).unionByName(_tagged(per.withColumn("kind", F.lit("file"))))
+    if parts.errors is not None:
+        out = out.unionByName(_tagged(parts.errors.withColumn("kind", F.lit("error"))))
+    return out
+
+
+def write_outcome(outcome: DataFrame, path: str, mode: str = "errorifexists") -> Outcome:
+    """Write the tagged rows, counting them on the way (``Dataset.observe``): no second job, no second reading."""
+    seen = Observation()
+    of = lambda kind: F.count_if(F.col("kind") == kind)
+    counted = outcome.observe(seen, of("hit").alias("hits"), F.coalesce(F.sum("segments"), F.lit(0)).alias("segments"), of("skipped").alias("skipped"), of("error").alias("errors"))
+    counted.write.mode(mode).parquet(path)
+    return Outcome(outcome.sparkSession.read.schema(OUTCOME).parquet(path), seen.get)

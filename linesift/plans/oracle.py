@@ -7,7 +7,6 @@ writes ``\\b`` as "non-word character or text edge" around the match.
 
 from __future__ import annotations
 
-from linesift.functions.text import LINE_PIECE, PY_SPACE_CLASS
 from linesift.operators.prune import EXT_GROUPS
 from linesift.plans import params as P
 from linesift.sources.presets import preset_list
@@ -16,7 +15,9 @@ W = r"\p{L}\p{N}_"  # Python's word characters
 NOT_W = "[^" + W + "]"
 LEFT_B = "(^|" + NOT_W + ")"
 RIGHT_B = "($|" + NOT_W + ")"
-SPACE = PY_SPACE_CLASS
+# Python's white space, and a line with its end; written out here, so that the oracle stands by itself.
+SPACE = r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+LINE_PIECE = r"[^\n]*\n|[^\n]+"
 
 
 def q(s: str) -> str:
@@ -37,18 +38,18 @@ CORPUS_SQL = {
 }
 
 
-def lines(corpus: str = "documents", where: str = "TRUE", path: str | None = None, extra: tuple[str, ...] = ()) -> str:
+def lines(corpus: str = "documents", where: str = "TRUE", path: str | None = None, extra: tuple[str, ...] = (), table: str | None = None) -> str:
     """Subquery ``file_path, [extra...], raw, line_number`` of a corpus (universal newlines, terminator kept).
 
-    ``path`` replaces the corpus's path expression; ``extra`` are source columns carried along.
+    ``path`` and ``table`` replace the corpus's path expression and table; ``extra`` are source columns carried along.
     """
-    table, default_path, text = CORPUS_SQL[corpus]
+    given, default_path, text = CORPUS_SQL[corpus]
     norm = f"replace(replace({text}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
     carried = "".join(f"{c}, " for c in extra)
     return (
         f"(SELECT file_path, {carried}unnest(l) AS raw, CAST(generate_subscripts(l, 1) AS INTEGER) AS line_number "
         f"FROM (SELECT {path or default_path} AS file_path, {carried}regexp_extract_all({norm}, {q(LINE_PIECE)}) AS l "
-        f"FROM {table} WHERE {where}))"
+        f"FROM {table or given} WHERE {where}))"
     )
 
 

@@ -5,13 +5,15 @@ everything else (and Office files that gave no segments, read as text like the
 reference does) goes through the binary test and the encoding job, then the
 line scan.  Both branches give ``segments``; errors are a second output.
 
-``scan_listing`` works on a listing (no bytes): it prunes, then loads only the
-survivors, and loads again only the Office files that need the text fallback.
+``scan_parts`` works on a listing (no bytes): it prunes, then reads only the survivors, each in one pass whose rows are
+text, nothing (a binary file) or an error.  Text files of any size and candidate encoding take the same way
+(``sources/ranges.py``).  Office packages are read in place, part by part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,15 +22,13 @@ from linesift.functions.text import basename, extension
 from linesift.operators import encoding as enc
 from linesift.operators import office
 from linesift.operators.grep import grep
+from linesift.operators.output import Outcome
 from linesift.operators.plugins import normalized, plugin_outputs
 from linesift.operators.prune import Exclusions, prune
-from linesift.sources.files import load_contents, read_errors
-from linesift.sources.large_text import large_file_segments
+from linesift.sources.files import load_contents, sized_for_loading
+from linesift.sources.ranges import RANGE_BYTES, text_errors, text_files, text_lines
 from linesift.sources.tables import empty_meta
 
-LARGE_FILE_BYTES = 256 << 20  # text files above this are split across tasks instead of read as one row
-HIDDEN = "^[._]|[.]_COPYING_$"  # names that Spark's text source doesn't read, so never left to it
-
 
 def _has_ext(exts: Iterable[str]) -> Column:
     return extension(basename(F.col("file_path"))).isin(list(exts))
@@ -51,15 +51,7 @@ def text_segments(files: DataFrame, encodings=enc.ENGINE_ENCODINGS) -> tuple[Dat
     readable = files.where(~enc.is_binary("content")).select(F.col("file_path").alias("path"), "content")
     decoded = enc.decode(readable, encodings)
     lines = enc.decoded_lines(decoded)
-    segs = lines.select(
-        F.col("path").alias("file_path"),
-        extension(basename(F.col("path"))).alias("ext"),
-        F.col("line_number").cast("long").alias("seq"),
-        "raw",
-        "line_number",
-        F.lit("").alias("location_display"),
-        empty_meta().alias("metadata"),
-    )
+    segs = line_segments(lines.select(F.col("path").alias("file_path"), "line_number", "raw"))
     errs = decoded.where(F.col("error").isNotNull()).select(
         F.col("path").alias("file_path"), F.lit("decode").alias("stage"), F.col("error").alias("message")
     )
@@ -97,50 +89,116 @@ def scan(
     return segs.unionByName(txt), errs.unionByName(dec_errors)
 
 
-def scan_listing(listing: DataFrame, exclusions: Exclusions = Exclusions(), target_sheets=None,
-                 encodings=enc.ENGINE_ENCODINGS, large_file_bytes: int | None = LARGE_FILE_BYTES,
-                 parsers: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """A file listing (``list_files``) -> (segments, errors), pruning before any byte is read.
+def line_segments(lines: DataFrame) -> DataFrame:
+    """``file_path, line_number, raw`` as ``segments``."""
+    return lines.select(
+        "file_path",
+        extension(basename(F.col("file_path"))).alias("ext"),
+        F.col("line_number").cast("long").alias("seq"),
+        "raw",
+        "line_number",
+        F.lit("").alias("location_display"),
+        empty_meta().alias("metadata"),
+    )
+
 
-    Office and text files are loaded in separate branches, each file once.  Text
-    files above ``large_file_bytes`` are not loaded as one row: they are split
-    across tasks by the text source (UTF-8), with exact line numbers.
+@dataclass(frozen=True)
+class Parts:
+    """What a listing gives: texts (``sources/ranges.py``), segments and errors of other formats, errors of listing."""
+
+    files: DataFrame
+    texts: DataFrame
+    segments: DataFrame | None
+    errors: DataFrame | None
+
+    def all_segments(self) -> DataFrame:
+        lines = line_segments(text_lines(self.texts))
+        return lines if self.segments is None else self.segments.unionByName(lines)
+
+    def all_errors(self) -> DataFrame:
+        failed = text_errors(self.texts)
+        return failed if self.errors is None else self.errors.unionByName(failed)
+
+
+def scan_parts(listing: DataFrame, exclusions: Exclusions = Exclusions(), target_sheets=None,
+               encodings=enc.ENGINE_ENCODINGS, range_bytes: int | None = RANGE_BYTES,
+               parsers: dict | None = None, listing_errors: DataFrame | None = None) -> Parts:
+    """A file listing (``list_tree``) -> its parts, pruning before any byte is read.
+
+    ``range_bytes``: longer text files are dealt to tasks by ranges; the result is the same for any value.
     """
     kept = prune(listing, exclusions)
     parsers = normalized(parsers)
+    range_bytes = range_bytes or 1 << 62
     is_plugin = _has_ext(parsers) if parsers else F.lit(False)
     is_office = _has_ext(office.OFFICE_EXTS) & ~is_plugin
-    big = F.lit(False) if large_file_bytes is None else (F.col("length") > large_file_bytes) & ~F.col("base_name").rlike(HIDDEN)
-    branch = F.when(is_plugin, F.lit("plugin")).when(is_office, F.lit("office")).when(big, F.lit("large")).otherwise(F.lit("text"))
-    # one aggregate over the listing sizes every branch (and tells whether any file is large)
+    long = F.col("length") > range_bytes
+    branch = F.when(is_plugin, F.lit("plugin")).when(is_office, F.lit("office")).when(long, F.lit("long")).otherwise(F.lit("text"))
+    # one aggregate over the listing sizes every branch
     stats = {
         r["branch"]: (int(r["b"] or 0), int(r["n"]))
         for r in kept.groupBy(branch.alias("branch")).agg(F.sum("length").alias("b"), F.count(F.lit(1)).alias("n")).collect()
     }
-    office_bytes = load_contents(kept.where(is_office), stats=stats.get("office", (0, 0)))
-    text_bytes = load_contents(kept.where(branch == "text"), stats=stats.get("text", (0, 0)))
-    plugin_bytes = load_contents(kept.where(is_plugin), stats=stats["plugin"]) if stats.get("plugin") else None
-    large = kept.where(branch == "large") if stats.get("large") else None
-    # a separate metadata-only pass: computing the errors never reads the file bytes a second time
-    unreadable = read_errors(kept.select("path", "file_path"))
-    ok = lambda df: df.where(F.col("error").isNull()).select("file_path", "content")
-    segs, errs = scan(office_files=ok(office_bytes), text_files=ok(text_bytes), target_sheets=target_sheets,
-                      encodings=encodings, parsers=parsers, plugin_files=None if plugin_bytes is None else ok(plugin_bytes))
-    if large is not None:
-        segs = segs.unionByName(large_file_segments(listing.sparkSession, large))
-    return segs, errs.unionByName(unreadable)
+    listed = kept.select("path", "file_path", "length")
+    as_text, long_stats = listed.where(~is_plugin & ~is_office), stats.get("long", (0, 0))
+    segs, errs = None, listing_errors
+    join = lambda a, b: b if a is None else a.unionByName(b)
+    if stats.get("office"):
+        packages = sized_for_loading(listed.where(is_office), stats=stats["office"])
+        tokens = office.tokenize_files(packages, target_sheets)
+        broken = office.errors(tokens)
+        # a package that could not be read to its end gives an error and nothing else
+        unread = broken.where("stage = 'read'").select("file_path").distinct()
+        segs = join(segs, merge_office_type(office.office_segments(tokens, target_sheets)).join(unread, "file_path", "left_anti"))
+        errs = join(errs, broken)
+        no_package = tokens.where(F.col("kind") == "raw").select(F.col("path").alias("file_path"))
+        as_text = as_text.unionByName(listed.where(is_office).join(no_package, "file_path", "left_semi"))
+        long_stats = None  # known when the packages have been looked at
+    if stats.get("plugin"):
+        loaded = load_contents(listed.where(is_plugin), stats=stats["plugin"])
+        good, failed, unparsed = plugin_outputs(loaded.where(F.col("error").isNull()), parsers)
+        segs, errs = join(segs, merge_office_type(good)), join(errs, failed)
+        errs = join(errs, loaded.where(F.col("error").isNotNull()).select("file_path", F.lit("read").alias("stage"), F.col("error").alias("message")))
+        as_text, long_stats = as_text.unionByName(listed.join(unparsed.select("file_path"), "file_path", "left_semi")), None
+    if long_stats is None:
+        # Files of other formats that are read as text after all can only be long if the listing has such long ones.
+        longest = stats.get("long", (0, 0))[1] or kept.where(long & (is_office | is_plugin)).limit(1).count()
+        long_stats = None if longest else (0, 0)
+    texts = text_files(as_text, encodings, range_bytes, stats=stats.get("text", (0, 0)), long_stats=long_stats)
+    return Parts(kept, texts, segs, errs)
+
+
+def scan_listing(listing: DataFrame, exclusions: Exclusions = Exclusions(), target_sheets=None,
+                 encodings=enc.ENGINE_ENCODINGS, large_file_bytes: int | None = RANGE_BYTES,
+                 parsers: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """A file listing (``list_files``) -> (segments, errors), pruning before any byte is read.
+
+    ``large_file_bytes`` is the range size of :func:`scan_parts`.
+    """
+    parts = scan_parts(listing, exclusions, target_sheets, encodings, large_file_bytes, parsers)
+    return parts.all_segments(), parts.all_errors()
 
 
 class SearchResult:
-    """Lazy outputs of a directory search: ``hits``, ``errors`` and a one-row ``summary``."""
+    """Outputs of a search over files: ``hits``, ``errors`` and a one-row ``summary``, each computed when it is used.
 
-    def __init__(self, files: DataFrame, segments: DataFrame, search, errors: DataFrame):
+    :meth:`write` computes all of them in one pass over the files.
+    """
+
+    def __init__(self, parts: Parts, search):
         from linesift.operators.output import segments_summary
 
-        self.files, self.segments, self.errors = files, segments, errors
-        self.hits = grep(segments, search)
+        self.parts, self.search = parts, search
+        self.files, self.segments, self.errors = parts.files, parts.all_segments(), parts.all_errors()
+        self.hits = grep(self.segments, search)
         # segments and hits in one aggregate: the summary reads the files once for both
-        self.summary = segments_summary(files, segments, search, errors)
+        self.summary = segments_summary(self.files, self.segments, search, self.errors)
+
+    def write(self, path: str, mode: str = "errorifexists") -> Outcome:
+        """Write hits, errors and a row for each file (or range of one) to ``path``, from one reading of the files."""
+        from linesift.operators.output import search_outcome, write_outcome
+
+        return write_outcome(search_outcome(self.parts, self.search), path, mode)
 
 
 def search_directory(
@@ -157,6 +215,7 @@ def search_directory(
     target_sheets=None,
     parsers: dict | None = None,
     encodings=enc.ENGINE_ENCODINGS,
+    range_bytes: int | None = RANGE_BYTES,
 ) -> SearchResult:
     """The reference's search call on a directory tree, as DataFrames.
 
@@ -165,11 +224,9 @@ def search_directory(
     files are read.
     """
     from linesift.operators.grep import compile_search
-    from linesift.sources.files import list_files
+    from linesift.sources.files import list_tree
 
     s = compile_search(search_text, regex=regex_mode, ignore_case=ignore_case, whole_word=whole_word)
     ex = defaults.effective(exclude_dirs, exclude_exts, exclude_file_patterns)
-    listing = list_files(spark, target_dir, exclude_dirs=ex.dirs)
-    segs, errors = scan_listing(listing, ex, target_sheets, encodings, parsers=parsers)
-    kept = prune(listing, ex)
-    return SearchResult(kept, segs, s, errors)
+    listing, unlisted = list_tree(spark, target_dir, exclude_dirs=ex.dirs)
+    return SearchResult(scan_parts(listing, ex, target_sheets, encodings, range_bytes, parsers, unlisted), s)

@@ -8,6 +8,8 @@ caller.  Shared folders for checkpoints and streaming state come from
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -56,16 +58,30 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
-    """Keep the session's checkpoint folder; use ``fallback`` only where none is set."""
+def shared_folder(spark: SparkSession) -> str:
+    """``checkpoint_root``; for a local master that names none, where driver and tasks share one disk, a temporary folder."""
     try:
         return checkpoint_root(spark)
     except RuntimeError:
-        spark.sparkContext.setCheckpointDir(fallback)
-        return checkpoint_root(spark)
+        if not spark.sparkContext.master.startswith("local"):
+            raise
+        return f"file:{tempfile.gettempdir()}/linesift-shared"
+
+
+def written(df, name: str):
+    """``df`` computed once: written to the shared folder and read back.  Without one it is persisted instead."""
+    spark = df.sparkSession
+    try:
+        path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    except RuntimeError:
+        from pyspark import StorageLevel
+
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def stage(df, force_checkpoint: bool = False):
+def stage(df):
     """Compute ``df`` once for several consumers, keeping its partitioning.
 
     With a shared checkpoint folder: persist, reliable ``checkpoint()`` (lineage
@@ -86,7 +102,7 @@ def stage(df, force_checkpoint: bool = False):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-        if not (has_dir or force_checkpoint):
+        if not has_dir:
             return cached
         try:
             if not spark.sparkContext.getCheckpointDir():

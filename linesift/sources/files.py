@@ -1,9 +1,11 @@
 """Files as a source: listing (no bytes read), then loading of the surviving files only.
 
-A local (or mounted) tree is walked: the driver lists its upper levels, up to a fixed number of entries, and tasks walk
-the directories that remain.  Hidden names are listed like any other, excluded directories are not entered, links
-to directories are not followed, and directories that can't be read count as empty.  Trees in other stores are
-listed by Spark's ``binaryFile`` source (``path, length, modificationTime`` only), which leaves out names starting with ``.`` or ``_``.
+A tree in any store that ``pyarrow.fs`` opens is walked from a frontier of directories: the driver lists its upper levels,
+up to a fixed number of entries; then jobs list the directories that are left, each task a bounded number of entries, and
+hand on what lies deeper.  So a wide or deep subtree is dealt anew after each job.  Hidden names are listed like any
+other, excluded directories are not entered, links to directories not followed.  A directory that can't be opened gives an
+error row; a task that doesn't see the root at all fails.  Other stores are listed by Spark's ``binaryFile`` source
+(``path, length, modificationTime`` only), which leaves out names starting with ``.`` or ``_``.
 
 Pruning runs on the list.  The survivors' bytes are read by path inside the tasks (``pyarrow.fs``: local, HDFS, S3,
 GCS), so excluded files are never opened.  Paths are made relative to the root (scheme and root removed) so directory
@@ -36,91 +38,162 @@ def _root_pattern(root: str) -> str:
 def list_files(spark: SparkSession, root: str, glob: str | None = None, exclude_dirs: Iterable[str] = ()) -> DataFrame:
     """Recursive listing: ``path`` (URI), ``file_path`` (relative), ``base_name, ext, dirs, length, modificationTime``.
 
-    Directories named in ``exclude_dirs`` are not entered (local trees; elsewhere prune the listing).
+    Directories named in ``exclude_dirs`` are not entered (in stores that only Spark lists: prune the listing).
     """
+    return list_tree(spark, root, glob, exclude_dirs)[0]
+
+
+def list_tree(spark: SparkSession, root: str, glob: str | None = None, exclude_dirs: Iterable[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The listing of :func:`list_files`, and ``file_path, stage, message`` of directories that could not be opened."""
     local = re.sub(r"^file:(//)?", "", root)
     if ":" not in local.split("/")[0]:
         root = os.path.abspath(local)
-        listed = _walked(spark, root, frozenset(exclude_dirs))
+        found = _tree(spark, f"file:{root}", frozenset(exclude_dirs))
+    elif _opens(root):
+        found = _tree(spark, root.rstrip("/"), frozenset(exclude_dirs))
     else:
         listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    listed = listed.select("path", "length", "modificationTime")
+        found = listed, spark.createDataFrame([], "path string, message string")
     rel = F.regexp_replace(F.col("path"), _root_pattern(root), "")
-    files = with_path_parts(listed.withColumn("file_path", rel))
-    return files.where(F.col("base_name").rlike(glob_to_java(glob))) if glob else files
+    files = with_path_parts(found[0].select("path", "length", "modificationTime").withColumn("file_path", rel))
+    errors = found[1].select(rel.alias("file_path"), F.lit("list").alias("stage"), "message")
+    return (files.where(F.col("base_name").rlike(glob_to_java(glob))) if glob else files), errors
 
 
 FILE_SCHEMA = "path string, length long, changed long"  # changed: microseconds
+ENTRY_SCHEMA = f"kind string, {FILE_SCHEMA}, message string"  # kind: file, directory (still to be listed) or error
 ENTRY_ROWS = 10_000  # listing rows per output record batch
 DRIVER_ENTRIES = 10_000  # entries the driver lists at most, to have directories to deal out
+TASK_ENTRIES = 100_000  # entries a task lists before it hands on the directories that are left
+Entry = tuple[str, str, int | None, int | None, str | None]
+
+
+def _opens(root: str) -> bool:
+    """Whether ``pyarrow.fs`` knows the root's store."""
+    try:
+        return _open(root)[0] is not None
+    except Exception:  # noqa: BLE001 - a scheme that only Spark's readers know
+        return False
 
 
-def _entries(directory: str, skip: frozenset[str]) -> Iterator[tuple]:
-    """Files and directories of a directory; of links to directories, pipes and devices nothing."""
+def _entries(directory: str, skip: frozenset[str]) -> Iterator[Entry]:
+    """Files and directories of a directory (a URI); of links to directories, pipes and devices nothing."""
     try:
-        with os.scandir(directory) as found:
-            for entry in found:
-                try:
-                    if entry.is_dir(follow_symlinks=False):
-                        if entry.name not in skip:
-                            yield entry.path, True, None, None
-                    elif entry.is_file():
-                        info = entry.stat()
-                        yield entry.path, False, info.st_size, info.st_mtime_ns // 1000
-                    elif entry.is_symlink() and not os.path.exists(entry.path):
-                        yield entry.path, False, 0, None  # leads nowhere: an error when it is read
-                except OSError:
-                    yield entry.path, False, 0, None
-    except OSError:
-        return
-
-
-def _rows(found: list[tuple]):
+        yield from (_local_entries if directory.startswith("file:") else _store_entries)(directory, skip)
+    except OSError as e:
+        yield "error", directory, None, None, f"Error listing directory: {e}"
+
+
+def _local_entries(directory: str, skip: frozenset[str]) -> Iterator[Entry]:
+    with os.scandir(re.sub("^file:/+", "/", directory)) as found:
+        for entry in found:
+            path = f"file:{entry.path}"
+            try:
+                if entry.is_dir(follow_symlinks=False):
+                    if entry.name not in skip:
+                        yield "directory", path, None, None, None
+                elif entry.is_file():
+                    info = entry.stat()
+                    yield "file", path, info.st_size, info.st_mtime_ns // 1000, None
+                elif entry.is_symlink() and not os.path.exists(entry.path):
+                    yield "file", path, 0, None, None  # leads nowhere: an error when it is read
+            except OSError:
+                yield "file", path, 0, None, None
+
+
+def _store_entries(directory: str, skip: frozenset[str]) -> Iterator[Entry]:
+    from pyarrow import fs
+
+    filesystem, place = _open(directory)
+    for info in filesystem.get_file_info(fs.FileSelector(place)):
+        path = f"{directory.rstrip('/')}/{info.base_name}"
+        if info.type == fs.FileType.Directory:
+            if info.base_name not in skip:
+                yield "directory", path, None, None, None
+        elif info.type == fs.FileType.File:
+            yield "file", path, info.size, (info.mtime_ns or 0) // 1000, None
+
+
+def _rows(found: list[Entry]):
     import pyarrow as pa
 
-    cols = list(zip(*found)) if found else [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64()))],
-                                      names=["path", "length", "changed"])
+    cols = list(zip(*found)) if found else [()] * 5
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["kind", "path", "length", "changed", "message"])
 
 
-def _walk(batches: Iterator, skip: frozenset[str]) -> Iterator:
-    """All files below the given directories."""
+def _walk(batches: Iterator, skip: frozenset[str], root: str, most: int = TASK_ENTRIES) -> Iterator:
+    """What lies in the given directories and below, up to ``most`` entries; directories left after that as such."""
+    from pyarrow import fs
+
+    filesystem, place = _open(root)
+    if filesystem.get_file_info(place).type == fs.FileType.NotFound:
+        raise FileNotFoundError(f"this executor does not see {root}")
+    left = most
     for batch in batches:
         waiting, found = batch.column(0).to_pylist(), []
         while waiting:
-            for path, is_dir, length, changed in _entries(waiting.pop(), skip):
-                if is_dir:
-                    waiting.append(path)
-                    continue
-                found.append((path, length, changed))
-                if len(found) >= ENTRY_ROWS:
-                    yield _rows(found)
-                    found = []
+            directory = waiting.pop()
+            if left <= 0:
+                found.append(("directory", directory, None, None, None))
+            else:
+                for entry in _entries(directory, skip):
+                    left -= 1
+                    if entry[0] == "directory":
+                        waiting.append(entry[1])
+                    else:
+                        found.append(entry)
+                        if len(found) >= ENTRY_ROWS:
+                            yield _rows(found)
+                            found = []
+            if len(found) >= ENTRY_ROWS:
+                yield _rows(found)
+                found = []
         if found:
             yield _rows(found)
 
 
-def _walked(spark: SparkSession, root: str, skip: frozenset[str], limit: int = DRIVER_ENTRIES) -> DataFrame:
-    """The driver lists level by level while it has read at most ``limit`` entries; tasks walk the directories then left."""
+def _tree(spark: SparkSession, root: str, skip: frozenset[str], limit: int = DRIVER_ENTRIES, most: int = TASK_ENTRIES) -> tuple[DataFrame, DataFrame]:
+    """``path, length, modificationTime`` of all files below ``root`` (a URI), and ``path, message`` of directories not opened.
+
+    The driver lists while it has read at most ``limit`` entries.  Each job after that is written before the next begins,
+    and only the number of directories left comes back from it.
+    """
     import pyarrow as pa
+    from pyarrow import fs
 
-    if not os.path.exists(root):
+    from linesift.session import written
+
+    filesystem, place = _open(root)
+    info = filesystem.get_file_info(place)
+    if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(f"no such file or directory: {root}")
-    files = [] if os.path.isdir(root) else [(root, os.path.getsize(root), os.stat(root).st_mtime_ns // 1000)]
-    waiting = [] if files else [root]
-    left = limit
+    single = info.type == fs.FileType.File
+    found: list[Entry] = [("file", root, info.size, (info.mtime_ns or 0) // 1000, None)] if single else []
+    waiting, left = [] if single else [root], limit
     while waiting:
-        found = list(islice(_entries(waiting[0], skip), left + 1))
-        if len(found) > left:
+        entries = list(islice(_entries(waiting[0], skip), left + 1))
+        if len(entries) > left:
             break
-        left -= len(found)
-        files += [(path, length, changed) for path, is_dir, length, changed in found if not is_dir]
-        waiting = waiting[1:] + [path for path, is_dir, _, _ in found if is_dir]
-    listed = spark.createDataFrame(pa.Table.from_batches([_rows(files)]), FILE_SCHEMA)
+        left -= len(entries)
+        found += [e for e in entries if e[0] != "directory"]
+        waiting = waiting[1:] + [e[1] for e in entries if e[0] == "directory"]
+    out = spark.createDataFrame(pa.Table.from_batches([_rows(found)]), ENTRY_SCHEMA)
     if waiting:
-        directories = spark.createDataFrame(pa.table({"path": pa.array(waiting, pa.string())}), "path string")
-        listed = listed.unionByName(directories.mapInArrow(lambda it: _walk(it, skip), FILE_SCHEMA))
-    return listed.select(F.concat(F.lit("file:"), "path").alias("path"), "length", F.timestamp_micros("changed").alias("modificationTime"))
+        frontier, n = spark.createDataFrame(pa.table({"path": pa.array(waiting, pa.string())}), "path string"), len(waiting)
+        while n:
+            spread = frontier.repartition(min(n, 4 * spark.sparkContext.defaultParallelism))
+            level = written(spread.mapInArrow(lambda it: _walk(it, skip, root, most), ENTRY_SCHEMA), "listing")
+            out = out.unionByName(level.where("kind <> 'directory'"))
+            frontier = level.where("kind = 'directory'").select("path")
+            n = frontier.count()
+    files = out.where("kind = 'file'").select("path", "length", F.timestamp_micros("changed").alias("modificationTime"))
+    return files, out.where("kind = 'error'").select("path", "message")
+
+
+def _walked(spark: SparkSession, root: str, skip: frozenset[str], limit: int = DRIVER_ENTRIES) -> DataFrame:
+    """The files of a local tree."""
+    return _tree(spark, f"file:{root}", skip, limit)[0]
 
 
 def _open(path: str):

@@ -1,120 +1,27 @@
-"""Large text files, split across tasks, with exact line numbers.
-
-One file as one row stops working when a single file is gigabytes (a log file
-may hold a third of all lines).  Here such files are read with Spark's text
-source, which splits every file into blocks read by different tasks, and
-line numbers are rebuilt without ever grouping a whole file:
-
-1. every line gets the scan's increasing row id; ids are consecutive inside a
-   partition and a block (split) is read by one task in order, so a line's
-   rank in its block is ``id - first id of the block``;
-2. per block (one small row each): first id and line count, and per file a
-   running sum over its blocks gives the lines before each block;
-3. the block table is joined back (broadcast while its size is bounded), and
-   line number = lines before the block + rank.  The lines are never shuffled.
-
-The text source ends lines at ``\\n``, ``\\r\\n`` and ``\\r`` (universal newlines)
-and drops the terminator; it is put back as ``\\n`` for every line except a
-file's last, whose terminator is read from the file's last byte.  Files are
-read as UTF-8; binary files (a NUL in the first 1,024 bytes) are skipped.
-"""
+"""Large text files, split across tasks, with exact line numbers: a view of ``sources/ranges.py`` for UTF-8 files."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linesift.functions.text import basename, extension
-from linesift.sources.files import _open
-from linesift.sources.tables import empty_meta
+from linesift.sources.ranges import ranged_texts, text_lines
 
-MAX_LARGE_FILES = 200_000  # bound for the path list handed to the text source
-MAX_BROADCAST_BLOCKS = 500_000  # block table rows sent to every task at most
-NUL_SPAN = 1024  # fixed value: bytes inspected for the binary test
+SPLIT_BYTES = "spark.sql.files.maxPartitionBytes"
 
 
-def _edge_batches(it: Iterator) -> Iterator:
-    """Per file: a NUL in the first 1,024 bytes (binary) and whether the last byte ends a line."""
-    import pyarrow as pa
+def large_file_lines(spark: SparkSession, files: DataFrame, encodings=("utf-8",), range_bytes: int | None = None) -> DataFrame:
+    """``path`` (URI), ``file_path``, ``length`` -> ``file_path, line_number, raw``, read by ranges of Spark's split size.
 
-    schema = pa.schema([("path", pa.string()), ("file_path", pa.string()), ("binary", pa.bool_()),
-                        ("ends_with_newline", pa.bool_())])
-    for batch in it:
-        out = []
-        for uri, rel in zip(batch.column("path").to_pylist(), batch.column("file_path").to_pylist()):
-            try:
-                filesystem, p = _open(uri)
-                size = filesystem.get_file_info(p).size or 0
-                binary, ends = False, False
-                if size > 0:
-                    with filesystem.open_input_file(p) as f:
-                        binary = b"\x00" in f.read(NUL_SPAN)
-                        f.seek(size - 1)
-                        ends = f.read(1) in (b"\n", b"\r")
-                out.append((uri, rel, binary, ends))
-            except Exception:  # noqa: BLE001 - unreadable: left out like a binary file
-                out.append((uri, rel, True, False))
-        cols = list(zip(*out)) if out else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
-
-
-def large_file_lines(spark: SparkSession, files: DataFrame, max_files: int = MAX_LARGE_FILES) -> DataFrame:
-    """``path`` (URI) + ``file_path`` of large files -> ``file_path, line_number, raw`` (split across tasks).
-
-    Binary files (a NUL in the first 1,024 bytes) are skipped before the text source opens anything.
+    Binary files (a NUL in the first 1,024 bytes) are skipped.
     """
-    key = lambda c: F.regexp_replace(c, "^file:/+", "/")  # noqa: E731 - the scan and the listing spell URIs differently
-    edges = files.select("path", "file_path").limit(max_files + 1).mapInArrow(
-        _edge_batches, "path string, file_path string, binary boolean, ends_with_newline boolean"
-    )
-    listed = edges.collect()  # metadata of at most max_files + 1 files
-    if len(listed) > max_files:
-        raise ValueError(f"more than {max_files} large files; split the listing")
-    texts = [r for r in listed if not r["binary"]]
-    if not texts:
-        return spark.createDataFrame([], "file_path string, line_number int, raw string")
-    # paths are names, not patterns, to the reader; the scan spells them URL-encoded
-    literal = [re.sub(r"([\\{}\[\]*?])", r"\\\1", r["path"]) for r in texts]
-    lines = spark.read.text(literal).select(
-        key(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))).alias("key"),
-        F.input_file_block_start().alias("block"),
-        F.monotonically_increasing_id().alias("rid"),
-        F.col("value"),
-    )
-    blocks = lines.groupBy("key", "block").agg(F.min("rid").alias("first_rid"), F.count(F.lit(1)).alias("n"))
-    by_file = Window.partitionBy("key").orderBy("block")
-    blocks = blocks.select(
-        "key", "block", "first_rid",
-        F.coalesce(F.sum("n").over(by_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
-        F.sum("n").over(Window.partitionBy("key")).alias("total"),
-    )
-    tails = spark.createDataFrame(
-        [(r["path"], r["file_path"], r["ends_with_newline"]) for r in texts],
-        "path string, file_path string, ends_with_newline boolean",
-    ).select(key(F.col("path")).alias("key"), "file_path", "ends_with_newline")
-    table = blocks.join(tails, "key")  # one row per block
-    n_blocks = table.count()
-    side = F.broadcast(table) if n_blocks <= MAX_BROADCAST_BLOCKS else table
-    numbered = lines.join(side, ["key", "block"]).withColumn(
-        "line_number", (F.col("before") + F.col("rid") - F.col("first_rid") + 1).cast("int")
-    )
-    last = F.col("line_number") == F.col("total")
-    raw = F.when(~last | F.col("ends_with_newline"), F.concat(F.col("value"), F.lit("\n"))).otherwise(F.col("value"))
-    return numbered.select("file_path", "line_number", raw.alias("raw"))
+    size = range_bytes or int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(SPLIT_BYTES)))
+    rows = files.select("path", "file_path", F.coalesce("length", F.lit(0)).alias("length"))
+    return text_lines(ranged_texts(rows, list(encodings), size))
 
 
 def large_file_segments(spark: SparkSession, files: DataFrame) -> DataFrame:
     """Large files as ``segments`` (same schema as the in-row line scan)."""
-    lines = large_file_lines(spark, files)
-    return lines.select(
-        "file_path",
-        extension(basename(F.col("file_path"))).alias("ext"),
-        F.col("line_number").cast("long").alias("seq"),
-        "raw",
-        "line_number",
-        F.lit("").alias("location_display"),
-        empty_meta().alias("metadata"),
-    )
+    from linesift.plans.search import line_segments
+
+    return line_segments(large_file_lines(spark, files))

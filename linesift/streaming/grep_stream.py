@@ -30,7 +30,7 @@ def table_stream(spark: SparkSession, path: str, schema, max_files_per_trigger:
 
 
 def file_stream(spark: SparkSession, root: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """New files under ``root`` as a stream of ``file_path, content`` (decode with ``text_corpus``)."""
+    """New files under ``root`` as a stream of ``file_path, length, content``; the source reads contents only where they are used."""
     reader = (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length bigint, content binary")
@@ -38,34 +38,46 @@ def file_stream(spark: SparkSession, root: str, max_files_per_trigger: int | Non
     )
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.load(root).select(F.col("path").alias("file_path"), "content")
+    return reader.load(root).select(F.col("path").alias("file_path"), "length", "content")
 
 
-def text_corpus(files: DataFrame) -> DataFrame:
-    """``file_path, content`` -> ``file_path, text``: binary files skipped, every file decoded with one encoding.
+def decoded_files(files: DataFrame) -> DataFrame:
+    """``file_path, content`` -> ``file_path, text, stage, message``: binary files left out, one row for each other file.
 
-    The decoding is row-local (native for UTF-8, Python codecs otherwise), so it runs on streams as well.
+    A file that no candidate encoding decodes has no text but a message.  The decoding is row-local (native for UTF-8,
+    Python codecs otherwise), so it runs on streams as well.
     """
     from linesift.operators.encoding import decode, is_binary
 
     readable = files.where(~is_binary("content")).select(F.col("file_path").alias("path"), "content")
-    decoded = decode(readable)
-    return decoded.where(F.col("error").isNull()).select(F.col("path").alias("file_path"), "text")
+    stage = F.when(F.col("error").isNotNull(), "decode")
+    return decode(readable).select(F.col("path").alias("file_path"), "text", stage.alias("stage"), F.col("error").alias("message"))
+
+
+def text_corpus(files: DataFrame) -> DataFrame:
+    """``file_path, content`` -> ``file_path, text`` of the files that can be decoded (:func:`decoded_files` has the others too)."""
+    return decoded_files(files).where(F.col("stage").isNull()).select("file_path", "text")
 
 
 def scan_batches(files: DataFrame, needle: str, out_path: str, name: str, trigger: dict | None = None, **opts) -> StreamingQuery:
-    """Every micro-batch of a file stream through the full batch scan (Office packages included).
+    """Every micro-batch of :func:`file_stream` through the full scan (Office packages included).
 
-    Each batch writes its hits to ``out_path/batch_id=<n>`` with overwrite, so a
-    retried batch replaces its own output instead of adding duplicates.
+    The batch is a listing: its files are read once, by path, into one tagged table ``out_path_tagged/batch_id=<n>``; the
+    hits (``out_path/batch_id=<n>``) and the errors (``out_path_errors/batch_id=<n>``), undecodable and unreadable files
+    among them, are written from it.  All three are overwritten, so a retried batch replaces its own output.
     """
-    from linesift.operators.grep import grep
-    from linesift.plans.search import scan
+    from linesift.operators.grep import compile_search
+    from linesift.operators.output import search_outcome, write_outcome
+    from linesift.operators.prune import with_path_parts
+    from linesift.plans.search import scan_parts
+
+    search = compile_search(needle, **opts)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        segs, errors = scan(batch)
-        grep(segs, needle, **opts).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
-        errors.write.mode("overwrite").parquet(f"{out_path}_errors/batch_id={batch_id}")
+        listing = with_path_parts(batch.select(F.col("file_path").alias("path"), "file_path", "length"))
+        found = write_outcome(search_outcome(scan_parts(listing), search), f"{out_path}_tagged/batch_id={batch_id}", "overwrite")
+        found.hits.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        found.errors.write.mode("overwrite").parquet(f"{out_path}_errors/batch_id={batch_id}")
 
     return start(files, name, trigger=trigger, foreach_batch=run)
 

@@ -92,6 +92,25 @@ def test_office_files_in_micro_batches(spark, tmp_path):
     assert spark.read.parquet(out + "_errors").count() == 1
 
 
+def test_errors_of_a_stream_and_one_reading(spark, tmp_path):
+    """An undecodable file is an error row of its batch; hits and errors come from one tagged table."""
+    root = tmp_path / "in"
+    root.mkdir()
+    (root / "a.txt").write_text("needle\nno\n")
+    (root / "odd.txt").write_bytes(b"needle \x81\n" * 3)
+    (root / "bin.txt").write_bytes(b"needle\x00")
+    out = str(tmp_path / "hits")
+    gs.scan_batches(gs.file_stream(spark, str(root), 10), "needle", out, "stream_errors", trigger={"availableNow": True}).awaitTermination()
+    name = lambda r: r.file_path.rsplit("/", 1)[-1]
+    assert [name(r) for r in spark.read.parquet(out).collect()] == ["a.txt"]
+    assert [(name(r), r.stage) for r in spark.read.parquet(out + "_errors").collect()] == [("odd.txt", "decode")]
+    assert sorted((name(r), r.kind) for r in spark.read.parquet(out + "_tagged").collect()) == [("a.txt", "file"), ("a.txt", "hit"), ("bin.txt", "skipped"), ("odd.txt", "error")]
+    decoded = gs.decoded_files(gs.file_stream(spark, str(root)))
+    q = gs.start(decoded, "stream_decoded", sink="memory", trigger={"availableNow": True})
+    q.awaitTermination()
+    assert sorted((name(r), r.stage) for r in spark.table("stream_decoded").collect()) == [("a.txt", None), ("odd.txt", "decode")]
+
+
 def test_processing_time_trigger_and_progress(spark, tmp_path):
     """Bounded micro-batches on a processing-time trigger; progress reports the rows of each batch."""
     src = _copy_table(tmp_path, "documents", 2)
