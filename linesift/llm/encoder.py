@@ -11,11 +11,12 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 
-#: Entries in one generation of the cache; two are kept (about 200 MB).
-GENERATION = 500_000
+#: Bytes in one generation of the cache, as far as strings, ids and table entries take them; two are kept.
+GENERATION, ENTRY = 96 << 20, 220
 #: A run of Latin letters up to white space or a sign: both kinds of tokenizer always cut between a letter and a sign.
 LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^ \\t-\\r.,;:!?|*#$%&])"
 #: Chunks encoded in one call.
@@ -57,6 +58,7 @@ class Encoder:
             self.cut = None
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0  # bytes in ``new``
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
@@ -93,19 +95,18 @@ class Encoder:
             return self._direct(texts)
         whole = [bool(self.whole and self.whole(t)) for t in texts]
         cuts = [[] if w else self.cut(t) for t, w in zip(texts, whole, strict=True)]
-        if len(self.new) > GENERATION:
-            self.new, self.old = {}, self.new
-        seen = set()
-        for c in cuts:
-            seen.update(c)
+        if self.held > GENERATION:
+            self.new, self.old, self.held = {}, self.new, 0
         missing = []
         new, old = self.new, self.old
-        for c in seen.difference(new):
+        unknown = set(filterfalse(new.__contains__, chain.from_iterable(cuts)))
+        for c in unknown:
             if c in old:
                 new[c] = old[c]
             else:
                 missing.append(c)
         self._learn(missing)
+        self.held += sum(ENTRY + len(c) + len(new[c]) for c in unknown)
         out = [b"".join(map(new.__getitem__, c)) for c in cuts]
         if any(whole):
             at = [i for i, w in enumerate(whole) if w]

@@ -5,7 +5,9 @@ starts at the right end; a partial path's priority is its own score plus the bes
 which is exact, so complete paths leave the queue from the best on.  Since pre-tokens are independent, the n best
 segmentations of a text change it only in the pre-tokens whose second-best costs least: n - 1 of them at most.
 
-A position is left n times at most.  Ties go to the path that is nearer to the start, then to the one found first; the
+Each partial path stands for complete ones of its own, the best of which is its priority; so of all waiting paths only as
+many as are still wanted are kept, the best ones.  What is found for a pre-token (scores, ids, whether its pieces spell it)
+is kept by the worker from task to task, up to a bound in bytes.  Ties go to the path that is nearer to the start, then to the one found first; the
 order is the same in every run.  Defined results: a null or empty text
 has the one empty segmentation; fewer than n segmentations give a shorter list; repeated rows are encoded alike; an
 empty table gives an empty result.
@@ -13,10 +15,12 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import itertools
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linesift.llm.packing import text_batches
-from linesift.llm.unigram import Unigram, marked, pretokens, unigram
+from linesift.llm.unigram import MARK, Unigram, marked, pretokens, unigram
 
 N = 3
-#: Characters encoded together, and pre-tokens kept from one run to the next.
-RUN_CHARS, CACHE = 2_000_000, 300_000
+#: Characters encoded together; bytes of one generation of known pre-tokens, and of an entry's own objects.
+RUN_CHARS, GENERATION, ENTRY = 2_000_000, 128 << 20, 400
 Segmentation = tuple[float, tuple[int, ...]]
 
 
@@ -62,13 +66,12 @@ def n_best(word: str, model: Unigram, n: int = N) -> list[Segmentation]:
     """The n best segmentations of a pre-token."""
     arcs = lattice(word, model)
     best = forward(arcs)
-    # (negated priority, position, order of entry, score so far, pieces from here to the end as a linked list)
-    entry = itertools.count()
-    queue: list[tuple] = [(-best[-1], len(word), next(entry), 0.0, None)]
-    left = [n] * (len(word) + 1)
+    # (negated priority, position, order of entry, score so far, pieces from here to the end as a linked list), sorted
+    waiting: list[tuple] = [(-best[-1], len(word), 0, 0.0, None)]
+    entered = 0
     found: list[Segmentation] = []
-    while queue and len(found) < n:
-        _, at, _, s, rest = heapq.heappop(queue)
+    while waiting and len(found) < n:
+        _, at, _, s, rest = waiting.pop(0)
         if at == 0:
             parts = []
             while rest is not None:
@@ -76,26 +79,69 @@ def n_best(word: str, model: Unigram, n: int = N) -> list[Segmentation]:
                 parts.append(piece)
             found.append((s, tuple(itertools.chain.from_iterable(parts))))
             continue
-        # Whatever starts a further time from here has n better ones: equal scores can't multiply.
-        if not left[at]:
-            continue
-        left[at] -= 1
+        room = n - len(found)
         for start, t, piece in arcs[at]:
-            heapq.heappush(queue, (-(best[start] + s + t), start, next(entry), s + t, (piece, rest)))
+            priority = -(best[start] + s + t)
+            if len(waiting) < room or (priority, start) < waiting[-1][:2]:
+                entered += 1
+                bisect.insort(waiting, (priority, start, entered, s + t, (piece, rest)))
+                del waiting[room:]
     return found
 
 
-def combine(choices: list[list[Segmentation]], n: int = N) -> list[tuple[float, dict[int, int]]]:
-    """The n best of a text: loss against the best, and which pre-tokens take which other segmentation."""
-    losses = [(c[0][0] - c[1][0], i) for i, c in enumerate(choices) if len(c) > 1]
-    cheapest = [i for _, i in heapq.nsmallest(n - 1, losses)]
-    options = [[(c[0][0] - s, i, j) for j, (s, _) in enumerate(c)] for i, c in ((i, choices[i]) for i in cheapest)]
-    out = []
-    for pick in itertools.product(*options):
-        changed = {i: j for _, i, j in pick if j}
-        if len(changed) < n:
-            out.append((sum(x for x, _, _ in pick), sum(len(choices[i][j][1]) - len(choices[i][0][1]) for i, j in changed.items()), sorted(changed.items())))
-    return [(loss, dict(changed)) for loss, _, changed in heapq.nsmallest(n, out)]
+class Known:
+    """A pre-token's n best: score, ids as bytes, their number; what the second best loses; whether the best spells it."""
+
+    __slots__ = ("choices", "loss", "spelt")
+
+    def __init__(self, word: str, model: Unigram, n: int):
+        found = n_best(word, model, n)
+        self.choices = [(s, np.array(ids, "<u4").tobytes(), len(ids)) for s, ids in found]
+        self.loss = found[0][0] - found[1][0] if len(found) > 1 else None
+        # Decoding drops the first blank: a mark put in front takes its place.
+        self.spelt = model.decode([model.first_mark, *found[0][1]]) == word.replace(MARK, " ")
+
+    def size(self, word: str) -> int:
+        return ENTRY + 2 * len(word) + sum(120 + len(ids) for _, ids, _ in self.choices)
+
+
+class Segmenter:
+    """The worker's pre-tokens, in two generations bounded by their bytes."""
+
+    def __init__(self, path: str, n: int):
+        self.model, self.n = unigram(path), n
+        self.new: dict[str, Known] = {}
+        self.old: dict[str, Known] = {}
+        self.held = 0
+
+    def look_up(self, texts: list[list[str]]) -> dict[str, Known]:
+        """A table that holds all words of the texts."""
+        if self.held > GENERATION:
+            self.new, self.old, self.held = {}, self.new, 0
+        for w in set(itertools.filterfalse(self.new.__contains__, itertools.chain.from_iterable(texts))):
+            found = self.old.get(w) or Known(w, self.model, self.n)
+            self.new[w] = found
+            self.held += found.size(w)
+        return self.new
+
+
+@lru_cache(maxsize=2)
+def segmenter(path: str, n: int) -> Segmenter:
+    return Segmenter(path, n)
+
+
+def combine(words: list[Known], n: int = N) -> list[tuple[float, dict[int, int]]]:
+    """The n best of a text: loss against the best, and which pre-tokens take which other segmentation.
+
+    The cheapest changes are taken in one after the other, and only the n best sums are carried on.
+    """
+    cheapest = [i for _, i in heapq.nsmallest(n - 1, ((w.loss, i) for i, w in enumerate(words) if w.loss is not None))]
+    best: list[tuple] = [(0.0, 0, ())]
+    for i in cheapest:
+        top, _, size = words[i].choices[0]
+        options = [(top - s, k - size, ((i, j),) if j else ()) for j, (s, _, k) in enumerate(words[i].choices)]
+        best = heapq.nsmallest(n, ((a + x, b + y, c + z) for a, b, c in best for x, y, z in options))
+    return [(loss, dict(changed)) for loss, _, changed in best]
 
 
 def encode_n_best(docs: DataFrame, path: str, n: int = N, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -105,20 +151,12 @@ def encode_n_best(docs: DataFrame, path: str, n: int = N, key: str = "doc_id", t
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
-        model = unigram(path)
-        known: dict[str, list] = {}
+        worker = segmenter(path, n)
         for batch in batches:
             for lo, texts in text_batches(batch, "text", RUN_CHARS):
                 cut = [pretokens(marked(t)) for t in texts]
-                distinct = set()
-                for words in cut:
-                    distinct.update(words)
-                if len(known) > CACHE:
-                    known = {w: known[w] for w in distinct if w in known}
-                for w in distinct.difference(known):
-                    found = n_best(w, model, n)
-                    known[w] = (found, [np.array(ids, "<u4").tobytes() for _, ids in found])
-                rows = [_encoded(t, [known[w] for w in words], model, n) for t, words in zip(texts, cut, strict=True)]
+                known = worker.look_up(cut)
+                rows = [_encoded(t, list(map(known.__getitem__, words)), worker.model, n) for t, words in zip(texts, cut, strict=True)]
                 cols = list(zip(*rows, strict=True))
                 kinds = [pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.bool_()]
                 names = ["doc_id", "n_pieces", "scores", "lengths", "ids_crc32", "decoded_crc32", "round_trip"]
@@ -128,19 +166,23 @@ def encode_n_best(docs: DataFrame, path: str, n: int = N, key: str = "doc_id", t
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def _encoded(text: str, words: list[tuple], model: Unigram, n: int) -> tuple:
-    best = sum(found[0][0] for found, _ in words)
-    raw = [ids[0] for _, ids in words]
+def _encoded(text: str, words: list[Known], model: Unigram, n: int) -> tuple:
+    best = sum(w.choices[0][0] for w in words)
+    raw = [w.choices[0][1] for w in words]
     scores, lengths, crc = [], [], []
-    for loss, changed in combine([found for found, _ in words], n):
+    for loss, changed in combine(words, n):
         parts = raw
         if changed:
             parts = raw.copy()
             for i, j in changed.items():
-                parts[i] = words[i][1][j]
+                parts[i] = words[i].choices[j][1]
         ids = b"".join(parts)
         scores.append(best - loss)
         lengths.append(len(ids) // 4)
         crc.append(zlib.crc32(ids))
-    decoded = model.decode(np.frombuffer(b"".join(raw), "<u4").tolist())
+    # Pieces that spell every pre-token spell the text; a mark in the text itself is read as a blank.
+    if MARK not in text and all(w.spelt for w in words):
+        decoded = text
+    else:
+        decoded = model.decode(np.frombuffer(b"".join(raw), "<u4").tolist())
     return lengths[0], scores, lengths, crc, zlib.crc32(decoded.encode()), decoded == text

@@ -100,11 +100,17 @@ def _survivors(shared: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _possible(percent: int) -> Column:
-    """Whether two classes (n, m and hn, hm) can reach the threshold by their sizes and shared values."""
+    """Whether two classes (n, m, r and hn, hm, hr) can reach the threshold by their sizes and shared values.
+
+    At the first value that they share, of rank r and hr, only the values from there on can be shared as well; so where
+    these are too few, no list of a later value needs the pair either.
+    """
+    rest = F.least(F.col("m") - F.col("r"), F.col("hm") - F.col("hr")) + 1
+    enough = rest >= F.greatest(least_shared(F.col("n"), K, percent), least_shared(F.col("hn"), K, percent))
     fits = 100 * F.least("n", "hn") >= percent * F.greatest("n", "hn")
     exact = (100 + percent) * F.least("m", "hm") >= percent * (F.col("n") + F.col("hn"))
     short = math.floor(K * percent / 100)
-    return fits & (exact | (F.col("n") > short) | (F.col("hn") > short))
+    return fits & enough & (exact | (F.col("n") > short) | (F.col("hn") > short))
 
 
 def _link(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
@@ -112,7 +118,7 @@ def _link(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, wor
     side = lambda t, c: t.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("hashes").alias(f"h{c}"))
     pairs = stage(pairs, "near-pairs")
     met = stage(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "near-met")
-    held = stage(reps.join(met, "cid", "left_semi"), "near-held")  # only sketches of classes in a pair travel further
+    held = reps.join(met, "cid", "left_semi")  # only sketches of classes in a pair travel further; not written once more
     both = pairs.join(side(held, "a"), "a").join(side(held, "b"), "b")
     common = F.array_intersect("ha", "hb")
     size = F.when((F.col("na") <= K) & (F.col("nb") <= K), F.size(common).cast("long"))
@@ -150,10 +156,10 @@ def class_links(reps: DataFrame, texts: DataFrame, percent: int = THRESHOLD, wor
     # A partner shares least_shared of the values, so it shares one of the first m - least_shared + 1 in any order.
     rank = F.row_number().over(Window.partitionBy("cid").orderBy("c", "v"))  # K rows in a group at most
     filed = shared.join(alive, "cid").withColumn("r", rank).where(F.col("r") <= F.col("m") - least_shared(F.col("n"), K, percent) + 1)
-    filed = stage(filed.select("v", "cid", "n", "m"), "near-lists")
+    filed = stage(filed.select("v", "cid", "n", "m", "r"), "near-lists")
     central = F.struct((F.col("m") / F.least(F.col("n"), F.lit(K))).alias("share"), (-F.col("cid")).alias("cid"))
-    hubs = filed.groupBy("v").agg(F.max_by(F.struct("cid", "n", "m"), central).alias("h"), F.count("*").alias("c")).where("c > 1")
-    hubs = stage(hubs.select("v", F.col("h.cid").alias("hid"), F.col("h.n").alias("hn"), F.col("h.m").alias("hm")), "near-hubs")
+    hubs = filed.groupBy("v").agg(F.max_by(F.struct("cid", "n", "m", "r"), central).alias("h"), F.count("*").alias("c")).where("c > 1")
+    hubs = stage(hubs.select("v", F.col("h.cid").alias("hid"), F.col("h.n").alias("hn"), F.col("h.m").alias("hm"), F.col("h.r").alias("hr")), "near-hubs")
     links = _link(_pairs(filed, hubs, "v", percent), reps, texts, percent, words)
 
     # The second turn: members outside their hub's component, against all members of their list but the hub.
@@ -162,8 +168,12 @@ def class_links(reps: DataFrame, texts: DataFrame, percent: int = THRESHOLD, wor
     of_hub = found.select(F.col("node").alias("hid"), F.col("component").alias("_hc"))
     tops = hubs.select("v", "hid").join(of_hub, "hid", "left").select("v", F.col("hid").alias("_hub"), F.coalesce("_hc", "hid").alias("_hc"))
     strays = named.join(tops, "v").where((F.col("component") != F.col("_hc")) & (F.col("cid") != F.col("_hub"))).drop("_hc")
-    others = named.select("v", F.col("cid").alias("hid"), F.col("n").alias("hn"), F.col("m").alias("hm"), F.col("component").alias("_c"))
-    rest = strays.join(others, (strays["v"] == others["v"]) & (F.col("component") != F.col("_c")) & (F.col("hid") != F.col("_hub")) & (F.col("cid") != F.col("hid")) & _possible(percent))
+    others = named.select("v", F.col("cid").alias("hid"), F.col("n").alias("hn"), F.col("m").alias("hm"), F.col("r").alias("hr"), F.col("component").alias("_c"))
+    # Two strays of a list meet once in it.
+    once = (F.col("cid") < F.col("hid")) | ~F.col("_stray")
+    others = others.join(strays.select(F.col("v").alias("_v"), F.col("cid").alias("_id"), F.lit(True).alias("_is")), (F.col("v") == F.col("_v")) & (F.col("hid") == F.col("_id")), "left")
+    others = stage(others.withColumn("_stray", F.coalesce("_is", F.lit(False))).drop("_v", "_id", "_is"), "near-others")
+    rest = strays.join(others, (strays["v"] == others["v"]) & (F.col("component") != F.col("_c")) & (F.col("hid") != F.col("_hub")) & once & _possible(percent))
     rest = rest.select(F.greatest("cid", "hid").alias("a"), F.least("cid", "hid").alias("b")).distinct()
     more = _link(rest, reps, texts, percent, words)
     contracted = links.unionAll(more)

@@ -57,7 +57,7 @@ def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bottomk_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents")).drop("class_id")
 
 
 def op9_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,5 +155,20 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(CASE WHEN before || '>' || role IN ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user') THEN 0 ELSE 1 END) AS BIGINT) AS illegal_turns,
   bool_or(place = n AND role = 'assistant') AS ends_final
 FROM sized GROUP BY conv_id
+""",
+    "op8_bottomk_near_dedup": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared
+  FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM met WHERE 100 * shared >= 85 * (na + nb - shared)),
+reached AS (SELECT a AS doc_id, a AS other FROM (SELECT DISTINCT a FROM links) UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.other = l.a),
+least AS (SELECT doc_id, min(other) AS component FROM reached GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(l.component, s.doc_id) AS component_id, coalesce(l.component, s.doc_id) = s.doc_id AS kept
+FROM sets s LEFT JOIN least l ON s.doc_id = l.doc_id
 """,
 }

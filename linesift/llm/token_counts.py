@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from linesift.llm.packing import text_batches
 from linesift.llm.unigram import Unigram, marked, pretokens, unigram
 
-#: Characters whose pre-tokens share a trie, and counts kept from one run to the next.
-TRIE_CHARS, CACHE = 4_000_000, 1_000_000
+#: Characters whose pre-tokens share a trie; bytes of the counts kept from one run to the next, and of an entry's own objects.
+TRIE_CHARS, CACHE, ENTRY = 4_000_000, 192 << 20, 250
 
 
 def terminal_counts(words: Iterable[str], model: Unigram) -> dict[str, tuple[int, float]]:
@@ -67,16 +67,19 @@ def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     """``doc_id, n_pretokens, n_tokens, log_score``: one pass over the texts, nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        model, known = unigram(path), {}
+        model, known, held = unigram(path), {}, 0
         for batch in batches:
             for lo, texts in text_batches(batch, "text", TRIE_CHARS):
                 cut = [pretokens(marked(t)) for t in texts]
                 distinct = set()
                 for words in cut:
                     distinct.update(words)
-                if len(known) > CACHE:
+                if held > CACHE:
                     known = {w: known[w] for w in distinct if w in known}
-                known.update(terminal_counts(distinct.difference(known), model))
+                    held = sum(ENTRY + 2 * len(w) for w in known)
+                new = terminal_counts(distinct.difference(known), model)
+                held += sum(ENTRY + 2 * len(w) for w in new)
+                known.update(new)
                 rows = [[known[w] for w in words] for words in cut]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, len(texts)), pa.array([len(r) for r in rows], pa.int64()), pa.array([sum(n for n, _ in r) for r in rows], pa.int64()), pa.array([sum((s for _, s in r), 0.0) for r in rows], pa.float64())],

@@ -1,6 +1,7 @@
 """Token-id files: canonical, length-limited Huffman coding of ids from global counts.
 
-Format.  A file set is a Parquet folder of blocks, plus one code table.  A block holds whole documents in ascending key
+Format.  A file set is a folder with a Parquet folder ``blocks`` and one row in ``code``: nothing else is needed to read
+it.  A block holds whole documents in ascending key
 order: their keys, their id counts, the bit stream, and a checkpoint (bit offset) every ``STRIDE`` ids.  The code is
 canonical, so the table is just the code length of each id; lengths are limited to ``LIMIT`` bits by the package-merge
 method, so decoding reads a table of 2**LIMIT entries.  A block is decoded from the table and its own row alone;
@@ -12,21 +13,24 @@ null key come first; an empty table gives empty files and an empty result.
 
 from __future__ import annotations
 
+import uuid
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linesift.llm.encoder import encoder
 from linesift.llm.packing import text_batches
-from linesift.llm.stage import stage
+from linesift.llm.stage import shared_root, stage
 
 #: Longest code in bits (18 bits hold any alphabet of up to 262,144 ids), ids per checkpoint, ids per block.
 LIMIT, STRIDE, BLOCK_IDS = 18, 256, 1 << 19
+#: Full blocks that a task writes, about.
+BLOCKS_IN_TASK = 16
+CODE_SCHEMA = "bits_limit int, stride int, lengths binary"
 BLOCK_SCHEMA = "part int, block long, keys array<long>, counts array<long>, bits binary, checkpoints binary, n_ids long"
 
 
@@ -122,24 +126,34 @@ def decode_bits(bits: bytes, checkpoints: np.ndarray, n: int, table: np.ndarray,
 
 
 def staged_ids(docs: DataFrame, path: str, end_id: int | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, number of ids, compressed ids: each text is tokenised once."""
+    """Each text tokenised once: key, number of ids and compressed ids of a document; and a row (``id, n``) for each id of a task."""
 
     def run(batches):
         enc, tail, pack = encoder(path), b"" if end_id is None else int(end_id).to_bytes(4, "little"), zstandard.ZstdCompressor(level=1)
+        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
             keys = batch.column(0)
             for lo, texts in text_batches(batch, "text"):
-                counts, packed = [], []
-                for ids in enc.encode(texts):
-                    a = np.frombuffer(ids + tail, "<u4")
-                    counts.append(len(a))
-                    packed.append(pack.compress((a.astype("<u2") if not len(a) or a.max() < 1 << 16 else a).tobytes()))
-                yield pa.RecordBatch.from_arrays([keys.slice(lo, len(texts)), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n", "ids"])
-
-    tokens = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, ids binary")
+                found = [ids + tail for ids in enc.encode(texts)]
+                flat = np.frombuffer(b"".join(found), "<u4")
+                if len(flat):
+                    seen = np.bincount(flat, minlength=len(total))
+                    total = seen + (total if len(seen) == len(total) else np.pad(total, (0, len(seen) - len(total))))
+                wide = len(flat) and int(flat.max()) >= 1 << 16
+                packed = [pack.compress(ids if wide else np.frombuffer(ids, "<u4").astype("<u2").tobytes()) for ids in found]
+                yield _token_rows(keys.slice(lo, len(texts)), [len(ids) // 4 for ids in found], packed, None)
+        used = np.flatnonzero(total)
+        yield _token_rows(pa.nulls(len(used), pa.int64()), total[used], pa.nulls(len(used), pa.binary()), used)
+
+    tokens = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, ids binary, id long")
     return stage(tokens, "token-ids", compression="none")
 
 
+def _token_rows(keys, n, ids, id_) -> pa.RecordBatch:
+    id_ = pa.nulls(len(keys), pa.int64()) if id_ is None else pa.array(id_, pa.int64())
+    return pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(ids, pa.binary()), id_], names=["doc_id", "n", "ids", "id"])
+
+
 def _unpacked(ids: bytes, n: int) -> np.ndarray:
     raw = zstandard.ZstdDecompressor().decompress(ids, max_output_size=4 * n + 8) if n else b""
     return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
@@ -147,27 +161,16 @@ def _unpacked(ids: bytes, n: int) -> np.ndarray:
 
 def global_counts(staged: DataFrame) -> np.ndarray:
     """How often each id occurs in all documents.  One row per id and task is shuffled, one per id sent on."""
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        total = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            for n, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                a = _unpacked(ids.as_py(), n)
-                if len(a) and int(a.max()) >= len(total):
-                    total = np.pad(total, (0, int(a.max()) + 1 - len(total)))
-                total += np.bincount(a, minlength=len(total))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
-
-    rows = staged.select("n", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = staged.where("id is not null").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r["id"] for r in rows), default=0) + 1, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
     return counts
 
 
-def write_files(staged: DataFrame, counts: np.ndarray) -> tuple[DataFrame, np.ndarray]:
-    """Write the blocks in ascending key order; the folder read back, and the code table."""
+def write_files(staged: DataFrame, counts: np.ndarray) -> str:
+    """Write the blocks in ascending key order, and the code table beside them; the folder's name."""
+    spark = staged.sparkSession
     lengths = code_lengths(counts)
     codes = canonical_codes(lengths)
 
@@ -192,14 +195,22 @@ def write_files(staged: DataFrame, counts: np.ndarray) -> tuple[DataFrame, np.nd
         if keys:
             yield flush()
 
-    n = int(staged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = staged.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    # A block's ids, again and again, make a task; a key that repeats is dealt by its rows' checksum as well.
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // (BLOCKS_IN_TASK * BLOCK_IDS))
+    rows = staged.where("id is null").select("doc_id", "n", "ids", F.xxhash64("ids").alias("_h"))
+    rows = rows.repartitionByRange(n, "doc_id", "_h").sortWithinPartitions("doc_id", "_h")
     rows = rows.select(F.spark_partition_id().alias("part"), "doc_id", "n", "ids")
-    return stage(rows.mapInArrow(run, BLOCK_SCHEMA), "token-files", compression="none"), lengths
+    folder = f"{shared_root(spark)}/llm/token-files-{uuid.uuid4().hex}"
+    rows.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{folder}/blocks")
+    spark.createDataFrame([(LIMIT, STRIDE, bytearray(lengths.tobytes()))], CODE_SCHEMA).coalesce(1).write.parquet(f"{folder}/code")
+    return folder
 
 
-def read_files(files: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32, part, block``: documents as decoded from the files."""
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32, part, block``: documents as decoded from the files of a folder alone."""
+    files = spark.read.schema(BLOCK_SCHEMA).parquet(f"{folder}/blocks")
+    code = spark.read.schema(CODE_SCHEMA).parquet(f"{folder}/code").first()  # one row of at most 2**limit bytes
+    limit, stride, lengths = code["bits_limit"], code["stride"], np.frombuffer(code["lengths"], np.uint8)
     heads = files.groupBy("part", "block").agg(F.sum("n_ids").alias("n_ids"))
     # One row for each block (half a million ids); summed by part first, so that no window holds all blocks.
     parts = heads.groupBy("part").agg(F.sum("n_ids").alias("_n"))
@@ -210,10 +221,10 @@ def read_files(files: DataFrame, lengths: np.ndarray) -> DataFrame:
     heads = heads.select("part", "block", (F.col("_part_start") + F.col("_in_part")).alias("_start"))
 
     def run(batches):
-        table, size = decode_table(lengths)
+        table, size = decode_table(lengths, limit)
         for batch in batches:
             for part, block, keys, counts, bits, marks, total in zip(*(batch.column(i) for i in range(7)), strict=True):
-                ids = decode_bits(bits.as_py(), np.frombuffer(marks.as_py(), "<u8"), total.as_py(), table, size).astype("<u4", copy=False)
+                ids = decode_bits(bits.as_py(), np.frombuffer(marks.as_py(), "<u8"), total.as_py(), table, size, stride, limit).astype("<u4", copy=False)
                 sizes = np.array(counts.as_py(), np.int64)
                 ends = np.cumsum(sizes)
                 raw = memoryview(ids.tobytes())
@@ -228,5 +239,4 @@ def read_files(files: DataFrame, lengths: np.ndarray) -> DataFrame:
 def token_files(docs: DataFrame, path: str, end_id: int | None = 0) -> DataFrame:
     """Tokenise, count, write the files and read them back."""
     staged = staged_ids(docs, path, end_id)
-    files, lengths = write_files(staged, global_counts(staged))
-    return read_files(files, lengths)
+    return read_files(docs.sparkSession, write_files(staged, global_counts(staged)))

@@ -18,9 +18,11 @@ gives an empty result.  Columns of the input whose names clash with the result's
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -45,6 +47,7 @@ LEARN_ROWS = 100_000
 WORD = re.compile(r"[^\W_]+")
 
 _FOLD = {ord(k): v for k, v in {**LOOKALIKES, **DIGITS}.items()} | {ord(c): None for c in HIDDEN} | {0xFF01 + i: chr(0x21 + i).lower() for i in range(94)}
+_BEYOND_ASCII = {k: v for k, v in _FOLD.items() if k > 127}
 
 
 def fold(text: str | None) -> str:
@@ -54,7 +57,7 @@ def fold(text: str | None) -> str:
     """
     text = (text or "").lower()
     if not text.isascii():
-        text = text.translate({k: v for k, v in _FOLD.items() if k > 127})
+        text = text.translate(_BEYOND_ASCII)
     words = (w if w.isalpha() else _letters(w) for w in re.findall(r"[^\W_]+(?:[@$][^\W_]+)*", text))
     return f" {' '.join(words)} "
 
@@ -93,8 +96,10 @@ class Matcher:
             return []
         hits = [(end + 1 - n, end + 1, w) for end, (n, w) in self.automaton.iter(folded)]
         if hits and self.phrases:
-            spared = [(end + 1 - n, end + 1) for end, n in self.phrases.iter(folded)]
-            hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in spared)]
+            spared = sorted((end + 1 - n, end + 1) for end, n in self.phrases.iter(folded))
+            starts, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+            # Of the phrases that begin no later than a match, the one that reaches furthest decides.
+            hits = [h for h in hits if not (k := bisect_right(starts, h[0])) or reach[k - 1] < h[1]]
         return hits
 
     def rate(self, text: str | None) -> float:
@@ -200,7 +205,8 @@ def exception_phrases(rows: DataFrame, lex: Lexicon) -> list[str]:
                 for start, end, _ in m.matches(folded):
                     stop = folded.index(" ", max(end - 1, start + 1))
                     word = folded[start + 1 : stop]
-                    before, after = folded[:start].rsplit(" ", 1)[-1], folded[stop + 1 :].split(" ", 1)[0]
+                    ends = folded.find(" ", stop + 1)
+                    before, after = folded[folded.rfind(" ", 0, start) + 1 : start], folded[stop + 1 : ends if ends >= 0 else None]
                     seen |= {f"{before} {word}"} if before else set()
                     seen |= {f"{word} {after}"} if after else set()
                 out += [(p, toxic) for p in seen]

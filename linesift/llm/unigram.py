@@ -42,6 +42,8 @@ class Unigram:
             raise ValueError("a piece has a mark behind another character: pre-tokens would not be independent")
         total = math.log(sum(1 / (r + 2.7) for r in range(len(usual))))
         self.score = {i: -math.log(r + 2.7) - total for r, i in enumerate(usual)}
+        #: A piece that begins with a mark, or else any piece.
+        self.first_mark = next((i for i in usual if self.text[i] == MARK), usual[0] if usual else 0)
         self.byte_score = min(self.score.values(), default=0.0) - PENALTY
         #: Trie of the pieces: nested dicts by character; the piece's id is under the empty string.
         self.trie: dict = {}

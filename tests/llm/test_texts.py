@@ -370,3 +370,38 @@ def test_pipeline_stages_on_hard_rows(spark, request, case):
         docs.collect()
         if i < 3:
             assert docs.columns == request.getfixturevalue(case).columns
+
+
+def test_matches_of_very_long_texts_are_found_in_linear_time():
+    import random
+    import time
+
+    rng = random.Random(4)
+    lex = toxicity.Lexicon({" awful ": 2.0, "rude": 1.0}, ("so awful", "awful good", "crude oil"), (1.0, 0.0))
+    m = toxicity.Matcher(lex)
+    for _ in range(200):  # against all pairs of a match and a phrase
+        text = toxicity.fold(" ".join(rng.choice(["so", "awful", "good", "rude", "crude", "oil", "x"]) for _ in range(rng.randrange(40))))
+        spared = [(i, i + len(p) + 2) for p in lex.phrases for i in range(len(text)) if text.startswith(f" {p} ", i)]
+        hits = [(i, i + len(e), w) for e, w in lex.weights.items() for i in range(len(text)) if text.startswith(e, i)]
+        assert sorted(m.matches(text)) == sorted(h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in spared))
+    long = "so awful it was, awful good and awful\n" * 55_000
+    began = time.process_time()
+    assert m.rate(long) > 0 and len(long) > 2_000_000
+    assert time.process_time() - began < 5
+
+
+def test_template_group_below_the_threshold(spark):
+    """300 documents that share 75 to 84 % of a template: no link is made up, and planted ones among them are found."""
+    import random
+
+    rng = random.Random(6)
+    template = [f"t{i}" for i in range(400)]
+    rows = []
+    for i in range(300):
+        w, at = list(template), rng.randrange(300)
+        w[at : at + 70] = [f"d{i}x{j}" for j in range(70)]
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, rows[i][1] + " one more") for i in range(0, 300, 30)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(groups(rows))
+    assert sum(r["component_id"] != r["doc_id"] for r in got) >= 10

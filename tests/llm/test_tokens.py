@@ -212,3 +212,40 @@ def test_n_best_of_texts_and_counts_on_hard_rows(spark, hard, hard_rows, none):
         if r["doc_id"] is not None:
             assert r["n_tokens"] == best[r["doc_id"]][0] and math.isclose(r["log_score"], best[r["doc_id"]][1], rel_tol=1e-9, abs_tol=1e-9)
     assert nbest.encode_n_best(none, path).count() == token_counts.token_counts(none, path).count() == 0
+
+
+def test_n_best_of_a_text_changes_the_cheapest_words(monkeypatch):
+    """Against all products of choices, and for n that products could not reach."""
+    model = unigram(tokenizer("piece_bpe_32k.model"))
+    words = [nbest.Known(w, model, 10) for w in ["▁thereof", "▁running", "▁12345", "▁nothing", "▁don't", "▁otherwise"] * 3]
+    got = nbest.combine(words, 10)
+    assert len(got) == 10 and got[0] == (0.0, {})
+    few = words[:4]
+    products = sorted(sum(w.choices[0][0] - w.choices[j][0] for w, j in zip(few, pick, strict=True)) for pick in itertools.product(*[range(len(w.choices)) for w in few]))
+    assert np.allclose([loss for loss, _ in nbest.combine(few, 10)], products[:10])
+    for loss, changed in got:
+        assert math.isclose(loss, sum(words[i].choices[0][0] - words[i].choices[j][0] for i, j in changed.items()), abs_tol=1e-9)
+
+
+def test_caches_are_bounded_by_bytes(monkeypatch):
+    from linesift.llm import encoder
+
+    monkeypatch.setattr(encoder, "GENERATION", 100_000)
+    enc, want = Encoder(tokenizer("word_bpe_49k.json")), plain("word_bpe_49k.json")
+    for i in range(40):
+        text = f"汉字{i}" * 2000 + f" word{i}"
+        assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == want(text)
+        assert sum(map(len, enc.new.values())) + sum(map(len, enc.old.values())) < 400_000
+    monkeypatch.setattr(nbest, "GENERATION", 50_000)
+    worker = nbest.Segmenter(tokenizer("piece_bpe_32k.model"), 3)
+    for i in range(300):
+        assert f"▁w{i}" in worker.look_up([[f"▁w{i}", "▁again"]])
+        assert len(worker.new) + len(worker.old) < 200
+
+
+def test_token_files_are_read_by_their_folder_alone(spark, hard):
+    staged = token_file.staged_ids(hard, tokenizer("byte_bpe_50k.json"), 0)
+    folder = token_file.write_files(staged, token_file.global_counts(staged))
+    fresh = spark.newSession()
+    got = sorted((r["n_tokens"], r["ids_crc32"]) for r in token_file.read_files(fresh, folder).collect())
+    assert got == sorted((r["n_tokens"], r["ids_crc32"]) for r in token_file.token_files(hard, tokenizer("byte_bpe_50k.json")).collect())
