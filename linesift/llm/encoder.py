@@ -16,7 +16,7 @@ from itertools import chain, filterfalse
 import numpy as np
 
 #: Bytes in one generation of the cache, as far as strings, ids and table entries take them; two are kept.
-GENERATION, ENTRY = 96 << 20, 220
+GENERATION, ENTRY = 160 << 20, 220
 #: A run of Latin letters up to white space or a sign: both kinds of tokenizer always cut between a letter and a sign.
 LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^ \\t-\\r.,;:!?|*#$%&])"
 #: Chunks encoded in one call.
