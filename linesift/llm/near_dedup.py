@@ -169,11 +169,18 @@ def class_links(reps: DataFrame, texts: DataFrame, percent: int = THRESHOLD, wor
     tops = hubs.select("v", "hid").join(of_hub, "hid", "left").select("v", F.col("hid").alias("_hub"), F.coalesce("_hc", "hid").alias("_hc"))
     strays = named.join(tops, "v").where((F.col("component") != F.col("_hc")) & (F.col("cid") != F.col("_hub"))).drop("_hc")
     others = named.select("v", F.col("cid").alias("hid"), F.col("n").alias("hn"), F.col("m").alias("hm"), F.col("r").alias("hr"), F.col("component").alias("_c"))
-    # Two strays of a list meet once in it.
+    # A pair is taken from the first list that both are filed in: the values before it, which travel along, have none in
+    # common.  Lists without a stray are not read, and two strays of a list meet once in it.
+    earlier = filed.groupBy("cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "v"))), lambda x: x["v"]).alias("_all"))
+    before = lambda df, rank, out: df.withColumn(out, F.slice("_all", F.lit(1), F.col(rank).cast("int") - 1)).drop("_all")
+    strays = stage(strays, "near-strays")
+    is_stray = strays.select(F.col("v").alias("_v"), F.col("cid").alias("_id"), F.lit(True).alias("_is"))
+    others = others.join(strays.select("v").distinct(), "v", "left_semi")
+    others = others.join(is_stray, (F.col("v") == F.col("_v")) & (F.col("hid") == F.col("_id")), "left").withColumn("_stray", F.coalesce("_is", F.lit(False))).drop("_v", "_id", "_is")
+    others = before(others.join(earlier.withColumnRenamed("cid", "hid"), "hid"), "hr", "_before_h")
+    strays = before(strays.join(earlier, "cid"), "r", "_before")
     once = (F.col("cid") < F.col("hid")) | ~F.col("_stray")
-    others = others.join(strays.select(F.col("v").alias("_v"), F.col("cid").alias("_id"), F.lit(True).alias("_is")), (F.col("v") == F.col("_v")) & (F.col("hid") == F.col("_id")), "left")
-    others = stage(others.withColumn("_stray", F.coalesce("_is", F.lit(False))).drop("_v", "_id", "_is"), "near-others")
-    rest = strays.join(others, (strays["v"] == others["v"]) & (F.col("component") != F.col("_c")) & (F.col("hid") != F.col("_hub")) & once & _possible(percent))
+    rest = strays.join(others, (strays["v"] == others["v"]) & (F.col("component") != F.col("_c")) & (F.col("hid") != F.col("_hub")) & once & _possible(percent) & ~F.arrays_overlap("_before", "_before_h"))
     rest = rest.select(F.greatest("cid", "hid").alias("a"), F.least("cid", "hid").alias("b")).distinct()
     more = _link(rest, reps, texts, percent, words)
     contracted = links.unionAll(more)
