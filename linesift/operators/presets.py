@@ -1,20 +1,26 @@
 """Preset search: one preset by label (L8) and all presets in one pass (L9).
 
-The multi-pattern scan tests every segment against every pattern inside one
+The scan of a few patterns tests every segment against every pattern inside one
 projection (``array(when(rlike ...))`` then ``explode``): one scan, no join,
-no shuffle.  Patterns held in a DataFrame are brought to the driver only
-after their count is checked against a bound; they are configuration, not data.
+no shuffle.
+
+Patterns held in a table, any number of them, are indexed by their guards: the literal that every match of a pattern
+holds (``required_literal``).  A pattern is filed under one trigram of its guard, the one that the fewest patterns have;
+the distinct trigrams of a line fetch candidates by an equi-join, and only these run, guard first.  Patterns without a
+guard of three characters are tested inside the projection, ``SLICE`` of them in a scan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linesift.operators.grep import compile_search, grep
 from linesift.sources.presets import by_label, preset_list
 
-MAX_PATTERNS = 4096  # bound for patterns held in a table
+SLICE = 256  # patterns without a guard in one projection
+SMALL_INDEX = 200_000  # filed patterns that are sent to every task at most; more of them are joined by a shuffle
+TRIGRAM = r"(?s)(?=(...))"  # every three characters that follow each other
 
 
 def grep_preset(segments: DataFrame, label: str, ignore_case: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -46,14 +52,54 @@ def preset_scan(segments: DataFrame, patterns=None, keep: tuple[str, ...] = ())
     return _scan(segments, preset_list() if patterns is None else patterns, keep)
 
 
-def preset_scan_table(segments: DataFrame, patterns_df: DataFrame, keep: tuple[str, ...] = (), max_patterns: int = MAX_PATTERNS) -> DataFrame:
-    """The same scan for patterns held in a ``patterns`` frame, after a size check."""
-    bounded = patterns_df.select("category", "ord", "label", "pattern", "is_regex").limit(max_patterns + 1).collect()
-    if len(bounded) > max_patterns:
-        raise ValueError(f"more than {max_patterns} patterns; split the pattern table and union the scans")
-    rows = [(r["category"], int(r["ord"]), r["label"], r["pattern"], bool(r["is_regex"])) for r in bounded]
-    rows.sort(key=lambda r: (r[0], r[1]))
-    return _scan(segments, rows, keep)
+def guarded_patterns(patterns_df: DataFrame) -> DataFrame:
+    """``category, ord, label, pattern, is_regex`` with ``regex`` (Java form, null for a literal) and ``guard`` (or null)."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            found = [compile_search(p or "", regex=bool(r)) for p, r in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            guards = [s.guard if s.regex is not None else s.needle for s in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s.regex for s in found], pa.string()), pa.array(guards, pa.string())],
+                                             names=["category", "ord", "label", "pattern", "is_regex", "regex", "guard"])
+
+    rows = patterns_df.select("category", F.col("ord").cast("int").alias("ord"), "label", "pattern", "is_regex")
+    return rows.mapInArrow(run, "category string, ord int, label string, pattern string, is_regex boolean, regex string, guard string")
+
+
+def trigrams(text) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TRIGRAM), 1))
+
+
+def pattern_index(guarded: DataFrame) -> DataFrame:
+    """``key`` and a pattern's columns: each pattern with a guard of three characters or more under one trigram."""
+    rows = guarded.where(F.length("guard") >= 3)
+    each = rows.select("*", F.explode(trigrams(F.col("guard"))).alias("key"))
+    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    best = F.min_by("key", F.struct("n", "key")).alias("key")
+    names = ["category", "ord", "label", "pattern", "is_regex", "regex", "guard"]
+    # Equal rows of the table are one pattern each: they are counted and dealt out again.
+    filed = each.join(shared, "key").groupBy(*names).agg(best, (F.count(F.lit(1)) / F.countDistinct("key")).cast("int").alias("times"))
+    return filed.select("key", *names, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_copy")).drop("_copy")
+
+
+def preset_scan_table(segments: DataFrame, patterns_df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The scan of :func:`preset_scan` for any number of patterns held in a ``patterns`` frame."""
+    from linesift.session import written
+
+    guarded = written(guarded_patterns(patterns_df), "patterns")
+    index = written(pattern_index(guarded), "pattern-index")
+    if index.count() <= SMALL_INDEX:
+        index = F.broadcast(index)
+    place = ["file_path", "line_number", "location_display", *keep]
+    held = segments.select(*place, "raw", F.explode(trigrams(F.col("raw"))).alias("key")).join(index, "key")
+    fits = F.col("raw").contains(F.col("guard")) & (F.col("regex").isNull() | F.rlike("raw", F.col("regex")))
+    out = held.where(fits).select(*place, "category", "ord", "label")
+    others = [(r["category"], r["ord"], r["label"], r["pattern"], r["is_regex"]) for r in guarded.where("guard is null or length(guard) < 3").collect()]
+    others.sort(key=lambda r: (r[0], r[1]))
+    for i in range(0, len(others), SLICE):
+        out = out.unionByName(_scan(segments, others[i : i + SLICE], keep))
+    return out
 
 
 def preset_counts(scan: DataFrame, patterns_df: DataFrame) -> DataFrame:

@@ -185,6 +185,14 @@ def build() -> dict[str, str]:
         "grep_preset_email": hits(rx("raw", PRESET_RE2["Email Address"])),
         "preset_scan": _preset_scan_sql(),
         "preset_scan_join": _preset_scan_sql(),
+        "pattern_index_scan": (
+            "WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{6,}')) AS x FROM benchmark), "
+            f"l AS (SELECT file_path, line_number, raw FROM {lines('documents')}), "
+            f"found AS (SELECT DISTINCT file_path, line_number, unnest(regexp_extract_all(raw, '[{W}]+')) AS x FROM l), "
+            "pieces AS (SELECT file_path, line_number, unnest(string_split(raw, ' ')[2:]) AS p FROM l), "
+            "starts AS (SELECT DISTINCT file_path, line_number, left(p, k) AS x FROM (SELECT *, unnest(range(6, length(p) + 1, 2)) AS k FROM pieces)) "
+            "SELECT x AS label, count(*) AS hits FROM (SELECT x FROM found WHERE length(x) % 2 = 1 UNION ALL SELECT x FROM starts) JOIN words USING (x) GROUP BY x"
+        ),
         "preset_counts": (
             "SELECT p.category, p.label, CAST(coalesce(c.hits, 0) AS BIGINT) AS hits FROM (VALUES "
             + ", ".join(f"({q(c)}, {q(l)})" for c, _o, l, _p, _r in preset_list())

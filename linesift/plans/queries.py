@@ -104,6 +104,16 @@ def q_preset_scan_join(spark, sf):
     return scan.select("corpus", "file_path", "line_number", "category", "label")
 
 
+def q_pattern_index_scan(spark, sf):
+    """Hits of patterns held in a table: the long words of ``benchmark``, whole ones by a regex, or as a literal behind a blank."""
+    words = read_table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{6,})"), 1)).alias("label")).distinct()
+    is_regex = F.length("label") % 2 == 1
+    pattern = F.when(is_regex, F.concat(F.lit(r"\b"), "label", F.lit(r"\b"))).otherwise(F.concat(F.lit(" "), "label"))
+    patterns = words.select(F.lit("words").alias("category"), F.lit(0).alias("ord"), "label", pattern.alias("pattern"), is_regex.alias("is_regex"))
+    scan = presets.preset_scan_table(corpus_segments(documents_corpus(spark, sf)), patterns)
+    return scan.groupBy("label").agg(F.count(F.lit(1)).alias("hits"))
+
+
 def q_preset_counts(spark, sf):
     scan = presets.preset_scan(all_corpora_segments(spark, sf), keep=("corpus",))
     return presets.preset_counts(scan, presets_frame(spark))

@@ -4,7 +4,8 @@
 preset JSON file (``[{"category", "items": [[label, pattern, is_regex]]}]``)
 with Spark's JSON reader; a missing or invalid file gives an empty frame.
 ``preset_list`` is the same data on the driver, used to build the one-pass
-multi-pattern scan.
+multi-pattern scan.  Files may lie in any store: the frame's in one that Spark
+reads, the list's in one that ``pyarrow.fs`` opens.
 """
 
 from __future__ import annotations
@@ -12,9 +13,12 @@ from __future__ import annotations
 import json
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linesift.sources.files import _open
+
 # The shipped preset dictionary, in its original order:
 # category, then (label, pattern, is_regex) per item.
 PRESETS: list[tuple[str, list[tuple[str, str, bool]]]] = [
@@ -61,8 +65,9 @@ def preset_list(path: str | None = None) -> list[tuple[str, int, str, str, bool]
     if path is None:
         return [(cat, i, lbl, pat, r) for cat, items in PRESETS for i, (lbl, pat, r) in enumerate(items)]
     try:
-        with open(path, encoding="utf-8") as f:
-            data = json.load(f)
+        filesystem, place = _open(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
+        with filesystem.open_input_stream(place) as f:
+            data = json.loads(f.read())
         rows = []
         for cat in data:
             for i, (label, pattern, is_regex) in enumerate(cat.get("items", [])):
@@ -98,9 +103,12 @@ def presets_frame(spark: SparkSession, path: str | None = None) -> DataFrame:
     if path is None:
         return spark.createDataFrame(preset_list(), PATTERNS_SCHEMA)
     empty = spark.createDataFrame([], PATTERNS_SCHEMA)
-    if not os.path.exists(path):
+    try:
+        raw = spark.read.option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return empty
-    raw = spark.read.option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
     if "items" not in raw.columns or "category" not in raw.columns:
         return empty
     item = F.col("item")

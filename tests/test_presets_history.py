@@ -13,6 +13,33 @@ INLINE = ("def f(x):\nclass A:\nimport os\n# TODO: x\n\"k\": 1\n\n550e8400-e29b-
           "<b>x</b> trailing \nmail a.b@c.de 10.0.0.1")
 
 
+def test_many_patterns_by_their_guards(spark):
+    """4,000 patterns and the presets, repeated rows and patterns without a guard among them, against testing each one."""
+    import random
+
+    from linesift.sources.presets import PATTERNS_SCHEMA
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 6)))
+    lines = [" ".join(word() for _ in range(rng.randrange(12))) for _ in range(300)] + INLINE.split("\n") + ["", "ab", "\U0001f389\U0001f389ab 日本語"]
+    segs = segments_of(spark, [("f.txt", "\n".join(lines))])
+    rows = list(preset_list())
+    for i in range(4000):
+        w = word()
+        rows.append(rng.choice([("w", i, w, w, False), ("w", i, w, rf"\b{w}\b", True), ("w", i, w, f"{w}+ [a-d]", True), ("w", i, w, f"[{w}]x?{w}|{w}$" if i % 50 == 0 else w, i % 50 == 0)]))
+    rows += [rows[30], ("w", 5000, "emoji", "\U0001f389ab", False), ("w", 5001, "empty", "", False), ("w", 5002, "jp", "日本語", False)]
+    got = sorted((r.line_number, r.category, r.ord, r.label) for r in presets.preset_scan_table(segs, spark.createDataFrame(rows, PATTERNS_SCHEMA)).collect())
+    want = []
+    for n, line in enumerate(lines, 1):
+        text = line + "\n" * (n < len(lines))
+        for c, o, label, p, is_regex in rows:
+            if text and (re.search(p, text) if is_regex else p in text):
+                want.append((n, c, o, label))
+    assert got == sorted(want) and len(got) > 1000
+    empty = presets.preset_scan_table(segs, spark.createDataFrame([], PATTERNS_SCHEMA))
+    assert empty.columns == presets.preset_scan(segs).columns and empty.count() == 0
+
+
 def test_presets_load(spark, tmp_path):
     df = presets_frame(spark)
     assert df.count() == 21 and df.select("category").distinct().count() == 6
@@ -24,6 +51,7 @@ def test_presets_load(spark, tmp_path):
     assert presets_frame(spark, str(tmp_path / "missing.json")).count() == 0
     good = tmp_path / "presets.json"
     write_presets_json(str(good))
+    assert preset_list(good.as_uri()) == preset_list() and presets_frame(spark, good.as_uri()).count() == 21
     from_file = sorted(tuple(r) for r in presets_frame(spark, str(good)).collect())
     assert from_file == sorted(tuple(r) for r in df.collect()) and preset_list(str(good)) == preset_list()
 
