@@ -7,7 +7,6 @@ writes ``\\b`` as "non-word character or text edge" around the match.
 
 from __future__ import annotations
 
-from linesift.operators.prune import EXT_GROUPS
 from linesift.plans import params as P
 from linesift.sources.presets import preset_list
 
@@ -69,34 +68,32 @@ def hits(pred: str, corpus: str = "documents") -> str:
     return f"SELECT file_path, line_number, {rstrip('raw')} AS line_content FROM {lines(corpus)} WHERE {pred}"
 
 
-# The 21 presets in RE2 form with Python's Unicode classes spelled out (same order as the shipped presets).
-D = r"\p{Nd}"
-S = SPACE
-PRESET_RE2 = {
-    "Python: Function": rf"^def{S}+[{W}]+\(",
-    "Python: Class": rf"^class{S}+[{W}]+[:\(]",
-    "Import statements": rf"^import{S}+|^from{S}+",
-    "TODO / FIXME": r"(TODO|FIXME|HACK|NOTE):",
-    "JSON Key": rf"\"[{W}]+\"{S}*:",
-    "XML Tag": r"<[^>]+>",
-    "Empty Line": rf"^{S}*$",
-    "Trailing Space": rf"{S}+$",
-    "UUID / GUID": r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-    "Hex Color": r"#(?:[0-9a-fA-F]{3}){1,2}" + RIGHT_B,
-    "IPv4 Address": LEFT_B
-    + r"(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
-    + RIGHT_B,
-    "URL (HTTP/HTTPS)": rf"https?://[{W}/:%#\$&\?\(\)~\.=\+\-]+",
-    "Email Address": r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+",
-    "HTTP Error (4xx/5xx)": rf" [45]{D}{{2}} ",
-    "Timestamp (YYYY-MM-DD)": rf"{D}{{4}}-{D}{{2}}-{D}{{2}}",
-    "Time (HH:MM:SS)": rf"{D}{{2}}:{D}{{2}}:{D}{{2}}",
-    "Full-width chars": r"[^\x01-\x7E]+",
-    "Hiragana": r"[ぁ-ん]+",
-    "Katakana": r"[ァ-ヶー]+",
-    "Kanji": r"[\x{4E00}-\x{9FD0}]+",
-    "Phone Number (JP)": rf"0{D}{{1,4}}-{D}{{1,4}}-{D}{{4}}",
-}
+def preset_re2(pattern: str) -> str:
+    """A preset's pattern in RE2 form: Python's Unicode classes and word edges spelled out, all else as it is listed."""
+    inside = {"w": W, "d": r"\p{Nd}"}
+    out, at, in_class = "", 0, False
+    while at < len(pattern):
+        c, following = pattern[at], pattern[at + 1 : at + 2]
+        if c == "\\":
+            if following in inside:
+                out += inside[following] if in_class else f"[{inside[following]}]"
+            elif following == "s":
+                out += SPACE
+            elif following == "b":
+                out += RIGHT_B if at + 2 == len(pattern) else LEFT_B
+            elif following == "u":
+                out += r"\x{" + pattern[at + 2 : at + 6] + "}"
+                at += 4
+            else:
+                out += c + following
+            at += 2
+            continue
+        in_class = c == "[" or (in_class and c != "]")
+        out, at = out + c, at + 1
+    return out
+
+
+PRESET_RE2 = {label: preset_re2(pattern) for _category, _ord, label, pattern, _r in preset_list()}
 
 
 def _preset_scan_sql() -> str:
@@ -150,24 +147,8 @@ def _prune_sql(dirs=(), exts=(), globs=()) -> str:
     return f"SELECT file_path FROM {_tree_files()} WHERE {_dirs_none(dirs)} AND {ext_cond} AND {_glob_none('base_name', globs)}"
 
 
-def _norm_list(values):
-    return [str(v).strip() for v in values if str(v).strip()]
-
-
-def _norm_exts(values):
-    return [(e if e.startswith(".") else "." + e).lower() for e in _norm_list(values)]
-
-
-def _ext_groups_result():
-    out = _norm_exts(P.GROUPS_CURRENT)
-    for g in P.GROUPS_TICKED:
-        out += [e for e in EXT_GROUPS[g] if e not in out]
-    for g in P.GROUPS_UNTICKED:
-        out = [e for e in out if e not in EXT_GROUPS[g]]
-    return out
-
-
 def build() -> dict[str, str]:
+    # The exclusions that plans/params.py must come down to are written out, as results.
     ws_word = lambda n, ci=False: rx("raw", LEFT_B + n + RIGHT_B, ci)
     sql = {
         "scan_lines": f"SELECT file_path, line_number, raw FROM {lines()}",
@@ -231,17 +212,12 @@ def build() -> dict[str, str]:
             "SELECT file_path, base_name, ext, array_to_string(dirs_list, '/') AS dirs, "
             f"CAST(len(dirs_list) AS INTEGER) AS n_dirs FROM {_tree_files()}"
         ),
-        "exclude_dirs": _prune_sql(dirs=_norm_list(P.EXCLUDE_DIRS)),
-        "exclude_exts": _prune_sql(exts=_norm_exts(P.EXCLUDE_EXTS)),
+        "exclude_dirs": _prune_sql(dirs=["src1", "fr", "blog.ththan.example.net"]),
+        "exclude_exts": _prune_sql(exts=[".log", ".md", ".gz"]),
         "exclude_globs": _prune_sql(globs=P.EXCLUDE_GLOBS),
-        "exclude_combined": _prune_sql(
-            dirs=_norm_list(P.COMBINED_CALL_DIRS), exts=_norm_exts(P.COMBINED_DEFAULT_EXTS), globs=P.COMBINED_CALL_GLOBS
-        ),
-        "exclude_ext_groups": _prune_sql(exts=_ext_groups_result()),
-        "exclude_union": _prune_sql(
-            dirs=sorted(set(_norm_list(P.UNION_CONFIG_DIRS)) | set(_norm_list(P.UNION_CLI_DIRS.split(",")))),
-            exts=sorted(set(_norm_exts(P.UNION_CONFIG_EXTS)) | set(_norm_exts(P.UNION_CLI_EXTS.split(",")))),
-        ),
+        "exclude_combined": _prune_sql(exts=[".png"], globs=P.COMBINED_CALL_GLOBS),
+        "exclude_ext_groups": _prune_sql(exts=[".txt", ".zip", ".tar", ".gz", ".rar", ".7z", ".log", ".bak", ".tmp", ".pyc", ".pyo"]),
+        "exclude_union": _prune_sql(dirs=["en", "src2", "src5"], exts=[".csv", ".json", ".log"]),
         "history_recent": (
             "SELECT user_id, event_type, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, value FROM events "
             "QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1 "

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from linesift.operators.grep import search_corpus
 from linesift.operators.history import HISTORY_CAP
-from linesift.session import checkpoint_root
+from linesift.session import shared_folder
 
 
 def table_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -93,7 +93,7 @@ def running_counts(hits: DataFrame, key: str = "file_path") -> DataFrame:
 
 
 def newest_per_key(log: DataFrame, keys: list[str], order: list[str], payload: list[str] = ()) -> DataFrame:
-    """Newest entry per key so far (streaming ``max_by``; state holds one row per key)."""
+    """Newest entry per key so far (streaming ``max_by``; state holds one row per key, ``streaming/recent.py`` a constant number)."""
     rank = F.struct(*[F.col(c) for c in order])
     row = F.struct(*[F.col(c) for c in dict.fromkeys(list(order) + list(payload))])
     return log.groupBy(*keys).agg(F.max_by(row, rank).alias("e")).select(*keys, "e.*")
@@ -113,8 +113,8 @@ def start(
     trigger: dict | None = None,
     foreach_batch: Callable[[DataFrame, int], None] | None = None,
 ) -> StreamingQuery:
-    """Start a query; state and progress go to ``<spark.checkpoint.dir>/streams/<name>``."""
-    root = checkpoint_root(df.sparkSession)
+    """Start a query; state and progress go to ``<spark.checkpoint.dir>/streams/<name>`` (see ``session.shared_folder``)."""
+    root = shared_folder(df.sparkSession)
     writer = df.writeStream.queryName(name).outputMode(output_mode).option(
         "checkpointLocation", f"{root}/streams/{name}"
     )

@@ -127,3 +127,61 @@ def test_processing_time_trigger_and_progress(spark, tmp_path):
         ).count()
     finally:
         q.stop()
+
+
+def _log_files(spark, tmp_path, parts, per_part, hot=3):
+    """A log of ``parts * per_part`` keys, one of which holds a third of all rows, in files of one micro-batch each."""
+    src = str(tmp_path / "log")
+    for p in range(parts):
+        ids = spark.range(p * per_part, (p + 1) * per_part, 1, 4).withColumn("ts", F.timestamp_micros(F.col("id") * 1_000_000))
+        key = F.when(F.col("id") % hot == 0, F.lit(None).cast("long")).otherwise(F.pmod(F.xxhash64("id"), F.lit(10 ** 15)))
+        ids.select(key.alias("k"), "ts", F.col("id").alias("n"), F.array(F.col("id").cast("string")).alias("tags")).write.mode("append").parquet(f"{src}/p{p}")
+    return src
+
+
+def test_bounded_recent_keys(spark, tmp_path):
+    """100,000 keys: a state of a packet per bucket, the result of the batch form, also after a restart."""
+    from linesift.streaming import recent
+
+    src = _log_files(spark, tmp_path, 4, 40_000)
+    rows = spark.read.parquet(f"{src}/*")
+    assert rows.select("k").distinct().count() > 100_000
+    stream = gs.table_stream(spark, f"{src}/*", rows.schema, max_files_per_trigger=5)
+    out = str(tmp_path / "recent")
+    run = lambda: recent.recent_batches(stream, ["k"], ["ts", "n"], out, "recent_keys", ["tags"], trigger={"availableNow": True})
+    want = [tuple(r) for r in history.recent(rows, ["k"], ["ts", "n"], ["tags"]).select("k", "ts", "n", "tags").collect()]
+    for _ in range(2):  # the second run finds nothing new
+        q = run()
+        q.awaitTermination()
+        assert q.exception() is None
+        got = [tuple(r) for r in recent.read_recent(spark, out, rows, ["k"], ["ts", "n"], ["tags"]).collect()]
+        assert got == want and len(got) == 50
+    assert spark.read.parquet(out).select("batch_id").distinct().count() >= 3
+    state = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert all(n <= recent.BUCKETS for n in state)
+    sizes = spark.read.parquet(out).agg(F.max(F.length("rows"))).first()[0]
+    assert sizes < 50 * 200 + 2_000
+
+
+def test_bounded_recent_keys_expire(spark, tmp_path):
+    from linesift.streaming import recent
+
+    src = _log_files(spark, tmp_path, 3, 100)  # a second a row
+    rows = spark.read.parquet(f"{src}/*")
+    out = str(tmp_path / "recent")
+    for part in range(3):  # batch after batch, so that the watermark moves in between
+        shutil.copytree(f"{src}/p{part}", tmp_path / "in", dirs_exist_ok=True)
+        stream = gs.table_stream(spark, str(tmp_path / "in"), rows.schema)
+        recent.recent_batches(stream, ["k"], ["ts", "n"], out, "recent_expire", buckets=3, expire="20 seconds", trigger={"availableNow": True}).awaitTermination()
+    got = [r["n"] for r in recent.read_recent(spark, out, rows, ["k"], ["ts", "n"]).collect()]
+    newest = [r["n"] for r in history.recent(rows, ["k"], ["ts", "n"]).collect()]
+    assert got == [n for n in newest if n >= 299 - 20]
+
+
+def test_bounded_recent_keys_of_nothing(spark, tmp_path):
+    from linesift.streaming import recent
+
+    none = spark.createDataFrame([], "k string, ts timestamp")
+    assert recent.packets(none, ["k"], ["ts"]).count() == 0
+    some = spark.createDataFrame([(None, None), ("a", None), ("a", None)], "k string, ts timestamp")
+    assert sorted(str(r.k) for r in recent.unpacked(recent.packets(some, ["k"], ["ts"]), some, ["k"], ["ts"]).distinct().collect()) == ["None", "a"]
