@@ -1,13 +1,15 @@
 """Office extractors (Word, Excel, PowerPoint) as Spark jobs over package tokens.
 
-Python does only what needs a ZIP and an XML parser: one narrow
-``mapInArrow`` step turns each package into flat token rows
+Python does only what needs a ZIP and an XML parser: narrow ``mapInArrow``
+steps turn packages into flat token rows
 ``path, part, part_ord, kind, ord, parent_ord, ref, type, text, flag, error``.
-Everything else -- run concatenation, paragraph numbering, the sheet ->
-relationship -> part joins, shared strings, slide/notes pairing, cell counts --
-is DataFrame operators over those rows.
+Everything else -- paragraph ends, run concatenation, paragraph numbering, part
+labels, the sheet -> relationship -> part joins, shared strings, slide/notes
+pairing, cell counts -- is DataFrame operators over those rows.
 
-All tokens of one package come from one task; they are hash-partitioned by
+A package of up to ``PACKAGE_BYTES`` is read by one task.  Of a longer one a task
+reads the directory; its members become rows (place, size), dealt to all tasks,
+which read only their bytes.  Parts are streamed.  The tokens are hash-partitioned by
 ``path`` once, so every later join, aggregate and window on ``(path, ...)``
 reuses that partitioning without another shuffle.  A group is at most one
 package (bounded by the binary row of the file).
@@ -18,9 +20,12 @@ from __future__ import annotations
 import io
 import os
 import re
+import struct
 import zipfile
+import zlib
 import xml.etree.ElementTree as ET
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,7 +49,7 @@ KIND_NAME = {**{e: "DOCX" for e in WORD_EXTS}, **{e: "XLSX" for e in EXCEL_EXTS}
 
 # Part labels, part-name patterns and location formats of the segments.
 WORD_HEADER, WORD_FOOTER, WORD_BODY = "Header", "Footer", "Body"
-WORD_BODY_PART = "word/document.xml"
+WORD_PART = r"word/(?:document|.*(?:header|footer).*)\.xml"
 SLIDE_PART = r"ppt/slides/slide(\d+)\.xml$"
 NOTES_PART = r"ppt/notesSlides/notesSlide(\d+)\.xml$"
 SLIDE_LABEL = "スライド"
@@ -56,8 +61,11 @@ TOKEN_SCHEMA = (
     "path string, part string, part_ord int, kind string, ord long, parent_ord long, "
     "ref string, type string, text string, flag boolean, error string, content binary"
 )
-_SLIDE = re.compile(SLIDE_PART)
-_NOTES = re.compile(NOTES_PART)
+#: Packages up to this length are read by one task, longer ones member by member.
+PACKAGE_BYTES = 32 << 20
+CHUNK = 1 << 16  # bytes of a part given to the parser at once
+#: A part's bytes in chunks; each call starts over.
+Chunks = Callable[[], Iterator[bytes]]
 
 
 def _q(ns: str, tag: str) -> str:
@@ -69,169 +77,234 @@ def _tok(path, part, part_ord, kind, ord_=0, parent=None, ref=None, type_=None,
     return (path, part, part_ord, kind, ord_, parent, ref, type_, text, flag, error, content)
 
 
-def _word_tokens(path: str, zf: zipfile.ZipFile) -> Iterable[tuple]:
-    """Runs of every flushed paragraph; ``parent_ord`` = index of the paragraph's end tag in the part."""
-    t_tag, p_tag = _q("w", "t"), _q("w", "p")
-    for part_ord, name in enumerate(zf.namelist()):
-        if not (name.startswith("word/") and name.endswith(".xml")):
-            continue
-        if "header" in name:
-            label = WORD_HEADER
-        elif "footer" in name:
-            label = WORD_FOOTER
-        elif name == WORD_BODY_PART:
-            label = WORD_BODY
-        else:
+def _ends(chunks: Chunks) -> Iterator[ET.Element]:
+    """The elements of a part at their end tags, while it is read."""
+    parser = ET.XMLPullParser(("end",))
+    for chunk in chunks():
+        parser.feed(chunk)
+        yield from (elem for _event, elem in parser.read_events())
+    parser.close()
+    yield from (elem for _event, elem in parser.read_events())
+
+
+def _tree(chunks: Chunks) -> ET.Element:
+    parser = ET.XMLParser()
+    for chunk in chunks():
+        parser.feed(chunk)
+    return parser.close()
+
+
+class _Ignored:
+    """A parser target that builds nothing."""
+
+    def close(self) -> None:
+        return None
+
+
+def _checked(chunks: Chunks) -> None:
+    """Read a part to its end; an ill-formed one raises."""
+    parser = ET.XMLParser(target=_Ignored())
+    for chunk in chunks():
+        parser.feed(chunk)
+    parser.close()
+
+
+def _word_part(tok: Callable[..., tuple], chunks: Chunks) -> Iterator[tuple]:
+    """Texts (``parent_ord``: how many paragraphs ended before) and paragraph ends, in the order of the part."""
+    ended = at = 0
+    for elem in _ends(chunks):
+        if elem.tag == _q("w", "t") and elem.text:
+            yield tok("w_t", at, ended, text=elem.text)
+            at += 1
+        elif elem.tag == _q("w", "p"):
+            yield tok("w_p", None, ended)
+            ended += 1
+            elem.clear()
+
+
+def _strings_part(tok: Callable[..., tuple], chunks: Chunks) -> Iterator[tuple]:
+    index = at = 0
+    for si in _ends(chunks):
+        if si.tag == _q("s", "si"):
+            yield tok("si", index)
+            for t in si.iter(_q("s", "t")):
+                if t.text:
+                    yield tok("si_t", at, index, text=t.text)
+                    at += 1
+            index += 1
+            si.clear()
+
+
+def _sheet_part(tok: Callable[..., tuple], chunks: Chunks) -> Iterator[tuple]:
+    """Cells and inline texts of a sheet; an ill-formed sheet gives none, so it is read to its end before."""
+    _checked(chunks)
+    index = at = 0
+    for elem in _ends(chunks):
+        if elem.tag == _q("s", "row"):
+            elem.clear()
+        if elem.tag != _q("s", "c"):
             continue
-        pending: list[str] = []
-        p_end = 0
-        seq = 0
-        try:
-            with zf.open(name) as f:
-                for _event, elem in ET.iterparse(f, events=("end",)):
-                    if elem.tag == t_tag:
-                        if elem.text:
-                            pending.append(elem.text)
-                    elif elem.tag == p_tag:
-                        if pending:  # an inner paragraph end flushes the runs read so far
-                            for t in pending:
-                                yield _tok(path, name, part_ord, "w_t", seq, p_end, type_=label, text=t)
-                                seq += 1
-                            pending = []
-                        p_end += 1
-                        elem.clear()
-        except Exception as e:  # noqa: BLE001 - paragraphs before the error are kept
-            yield _tok(path, name, part_ord, "error", error=f"Error parsing DOCX part {name}: {e}")
-
-
-def _part_target(target: str) -> str:
-    """Relationship target -> package part (absolute targets lose their leading slash)."""
-    return target[1:] if target.startswith("/") else "xl/" + target
-
-
-def _excel_tokens(path: str, zf: zipfile.ZipFile, target_sheets: frozenset[str] | None) -> Iterable[tuple]:
+        value, inline = elem.find(_q("s", "v")), elem.find(_q("s", "is"))
+        filled = any(elem.find(".//" + _q("s", tag)) is not None for tag in ("v", "is"))
+        kind = elem.get("t", "")
+        yield tok("c", index, ref=elem.get("r", ""), type_=kind, text=None if value is None else value.text, flag=filled)
+        if kind == "inlineStr" and inline is not None:
+            for t in inline.iter(_q("s", "t")):
+                if t.text:
+                    yield tok("is_t", at, index, text=t.text)
+                    at += 1
+        index += 1
+        elem.clear()
+
+
+def _slide_part(tok: Callable[..., tuple], chunks: Chunks) -> Iterator[tuple]:
+    """Texts of a slide or its notes by paragraph; an ill-formed part gives none."""
+    at = 0
+    for i, paragraph in enumerate(_tree(chunks).iter(_q("a", "p"))):
+        for t in paragraph.iter(_q("a", "t")):
+            if t.text:
+                yield tok("a_t", at, i, text=t.text)
+                at += 1
+
+
+#: How the members of a role are read.
+READERS = {"word": _word_part, "strings": _strings_part, "sheet": _sheet_part, "slide": _slide_part}
+#: Roles by member name, for the formats whose names tell them.
+NAMED_ROLES = {"DOCX": ((WORD_PART, "word", None),), "PPTX": ((SLIDE_PART, "slide", "slide"), (NOTES_PART, "slide", "notes"))}
+
+
+def _workbook(path: str, zf: zipfile.ZipFile, target_sheets: frozenset[str] | None) -> Iterator[tuple]:
+    """Tokens of a workbook's sheets and relationships, then ``(member, part_ord, role)`` of what is to be read."""
+    places, wanted = {}, set()
+    for part, order, tag, kind in (("xl/workbook.xml", 0, _q("s", "sheet"), "sheet"), ("xl/_rels/workbook.xml.rels", 1, _q("rel", "Relationship"), "rel")):
+        for i, elem in enumerate(_tree(_zipped(zf, part)).iter(tag)):
+            if kind == "rel":
+                ref, text, type_ = elem.get("Id"), elem.get("Target"), None
+                places |= {ref: text.removeprefix("/") if text.startswith("/") else f"xl/{text}"} if ref and text else {}
+            else:
+                ref, text, type_ = elem.get(_q("r", "id")), elem.get("name"), elem.get("sheetId")
+                if ref and text and (target_sheets is None or text in target_sheets):
+                    wanted.add(ref)
+            yield _tok(path, part, order, kind, i, ref=ref, type_=type_, text=text)
     names = set(zf.namelist())
-    sheet_rids: dict[str, str] = {}
-    with zf.open("xl/workbook.xml") as f:
-        root = ET.parse(f).getroot()
-    for i, sh in enumerate(root.iter(_q("s", "sheet"))):
-        rid, name = sh.get(_q("r", "id")), sh.get("name")
-        yield _tok(path, "xl/workbook.xml", 0, "sheet", i, ref=rid, type_=sh.get("sheetId"), text=name)
-        if rid and name and (target_sheets is None or name in target_sheets):
-            sheet_rids[rid] = name
-    targets: dict[str, str] = {}
-    with zf.open("xl/_rels/workbook.xml.rels") as f:
-        root = ET.parse(f).getroot()
-    for i, rel in enumerate(root.iter(_q("rel", "Relationship"))):
-        rid, target = rel.get("Id"), rel.get("Target")
-        yield _tok(path, "xl/_rels/workbook.xml.rels", 1, "rel", i, ref=rid, text=target)
-        if rid and target:
-            targets[rid] = _part_target(target)
     if "xl/sharedStrings.xml" in names:
-        si_tag, t_tag = _q("s", "si"), _q("s", "t")
-        try:
-            seq = 0
-            idx = 0
-            with zf.open("xl/sharedStrings.xml") as f:
-                for _event, si in ET.iterparse(f, events=("end",)):  # streamed: one string at a time
-                    if si.tag != si_tag:
-                        continue
-                    yield _tok(path, "xl/sharedStrings.xml", 2, "si", idx)
-                    for t in si.iter(t_tag):
-                        if t.text:
-                            yield _tok(path, "xl/sharedStrings.xml", 2, "si_t", seq, idx, text=t.text)
-                            seq += 1
-                    idx += 1
-                    si.clear()
-        except ET.ParseError as e:
-            yield _tok(path, "xl/sharedStrings.xml", 2, "error", error=f"Error parsing XLSX part xl/sharedStrings.xml: {e}")
-    # open only the parts of the wanted sheets (sheet filter before the XML is read)
-    wanted = sorted({targets[r] for r in sheet_rids if r in targets and targets[r] in names})
-    c_tag, v_tag, is_tag, t_tag = _q("s", "c"), _q("s", "v"), _q("s", "is"), _q("s", "t")
-    for k, part in enumerate(wanted):
-        cells: list[tuple] = []
-        try:
-            with zf.open(part) as f:
-                seq = 0
-                ci = 0
-                for _event, cell in ET.iterparse(f, events=("end",)):  # streamed: one cell at a time
-                    if cell.tag != c_tag:
-                        continue
-                    ctype = cell.get("t", "")
-                    v = cell.find(v_tag)
-                    has_value = cell.find(".//" + v_tag) is not None or cell.find(".//" + is_tag) is not None
-                    cells.append(_tok(path, part, 3 + k, "c", ci, ref=cell.get("r", ""), type_=ctype,
-                                      text=v.text if v is not None else None, flag=has_value))
-                    if ctype == "inlineStr":
-                        is_elem = cell.find(is_tag)
-                        if is_elem is not None:
-                            for t in is_elem.iter(t_tag):
-                                if t.text:
-                                    cells.append(_tok(path, part, 3 + k, "is_t", seq, ci, text=t.text))
-                                    seq += 1
-                    ci += 1
-                    cell.clear()
-        except ET.ParseError as e:  # a broken sheet gives no cells, as a failed parse of the whole part would
-            yield _tok(path, part, 3 + k, "error", error=f"Error parsing XLSX part {part}: {e}")
-            continue
-        yield from cells
+        yield "xl/sharedStrings.xml", 2, "strings"
+    # Only the parts of wanted sheets are read.
+    sheets = {places[ref] for ref in wanted & places.keys()} & names
+    yield from ((part, 3 + i, "sheet") for i, part in enumerate(sorted(sheets)))
 
 
-def _powerpoint_tokens(path: str, zf: zipfile.ZipFile) -> Iterable[tuple]:
-    p_tag, t_tag = _q("a", "p"), _q("a", "t")
-    for part_ord, name in enumerate(zf.namelist()):
-        m, kind = _SLIDE.match(name), "slide"
-        if not m:
-            m, kind = _NOTES.match(name), "notes"
-        if not m:
-            continue
-        yield _tok(path, name, part_ord, "part", int(m.group(1)), type_=kind)
-        try:
-            with zf.open(name) as f:
-                root = ET.parse(f).getroot()
-        except ET.ParseError as e:  # the part gives no paragraphs
-            yield _tok(path, name, part_ord, "error", error=f"Error parsing PPTX part {name}: {e}")
-            continue
-        seq = 0
-        for pi, p in enumerate(root.iter(p_tag)):
-            for t in p.iter(t_tag):
-                if t.text:
-                    yield _tok(path, name, part_ord, "a_t", seq, pi, type_=kind, text=t.text)
-                    seq += 1
+def _directory(path: str, zf: zipfile.ZipFile, target_sheets: frozenset[str] | None) -> Iterator[tuple]:
+    """Tokens that a package's directory (and a workbook's) gives, and ``(member, part_ord, role)`` of what is to be read."""
+    format_ = KIND_NAME[_ext(path)]
+    if format_ == "XLSX":
+        yield from _workbook(path, zf, target_sheets)
+        return
+    for order, name in enumerate(zf.namelist()):
+        for pattern, role, type_ in NAMED_ROLES[format_]:
+            m = (re.fullmatch if role == "word" else re.match)(pattern, name)
+            if m:
+                if type_:
+                    yield _tok(path, name, order, "part", int(m.group(1)), type_=type_)
+                yield name, order, role
+                break
+
+
+def _ext(path: str) -> str:
+    return os.path.splitext(path.rsplit("/", 1)[-1])[1].lower()
+
+
+def _zipped(zf: zipfile.ZipFile, name: str) -> Chunks:
+    def chunks() -> Iterator[bytes]:
+        with zf.open(name) as f:
+            yield from iter(partial(f.read, CHUNK), b"")
+
+    return chunks
+
+
+def _ranged(f, offset: int, packed: int, method: int, crc: int) -> Chunks:
+    """A stored or deflated member by its place in the package; nothing else of the package is read.
+
+    The last chunk comes after the checksum was found right.
+    """
+
+    def chunks() -> Iterator[bytes]:
+        f.seek(offset)
+        head = f.read(30)  # the local header: its last two numbers are the lengths of name and extra fields
+        if head[:4] != b"PK\x03\x04":
+            raise zipfile.BadZipFile("no member at its place in the directory")
+        f.seek(offset + 30 + sum(struct.unpack("<HH", head[26:30])))
+        unpack, left, seen, out = zlib.decompressobj(-15) if method else None, packed, 0, b""
+        while left:
+            raw = f.read(min(CHUNK, left))
+            if not raw:
+                raise EOFError("the package ends inside a member")
+            left -= len(raw)
+            while raw:
+                yield out
+                out, raw = (unpack.decompress(raw, 4 * CHUNK), unpack.unconsumed_tail) if unpack else (raw, b"")
+                seen = zlib.crc32(out, seen)
+        rest = unpack.flush() if unpack else b""
+        if zlib.crc32(rest, seen) != crc:
+            raise zipfile.BadZipFile("bad checksum")
+        yield out + rest
+
+    return chunks
+
+
+def _read_in_place(info: zipfile.ZipInfo) -> bool:
+    """Whether :func:`_ranged` reads a member; encrypted ones and other methods are left to the ZIP library."""
+    return not info.flag_bits & 1 and info.compress_type in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED)
+
+
+def _part_tokens(path: str, part: str, order: int, role: str, chunks: Chunks, in_store: bool) -> Iterator[tuple]:
+    """Tokens of one member.  What comes before an error in it stays; the error is a row."""
+    try:
+        yield from READERS[role](lambda kind, *places, **values: _tok(path, part, order, kind, *places, **values), chunks)
+    except Exception as e:  # noqa: BLE001 - one part; the others are read
+        if in_store and isinstance(e, OSError):
+            raise  # the file can't be read
+        yield _tok(path, part, order, "error", error=f"Error parsing {KIND_NAME[_ext(path)]} part {part}: {e}")
 
 
-def package_tokens(path: str, content, target_sheets: frozenset[str] | None = None) -> Iterator[tuple]:
+def package_tokens(path: str, content, target_sheets: frozenset[str] | None = None, members: Callable | None = None) -> Iterator[tuple]:
     """Token rows of one package (bytes, or an open file of which only the parts are read), produced lazily.
 
     A file that is not a package gives an ``error`` row and a ``raw`` row, which has the content if that was given.
+    ``members`` makes a row of each member instead of reading it.
     """
     given = isinstance(content, (bytes, bytearray, memoryview))
-    ext = os.path.splitext(path.rsplit("/", 1)[-1])[1].lower()
-    if ext not in OFFICE_EXTS:
+    if _ext(path) not in OFFICE_EXTS:
         return  # no parser for this extension
+    f = io.BytesIO(content) if given else content
     try:
-        zf = zipfile.ZipFile(io.BytesIO(content) if given else content)
+        zf = zipfile.ZipFile(f)
     except Exception as e:  # noqa: BLE001 - not a ZIP package
         if not given and isinstance(e, OSError):
             raise  # the file can't be read
         # Reported, and its bytes kept for the text fallback.  (A file that opens as a ZIP
         # but gives no segments needs no fallback: every ZIP header holds a NUL byte in
         # its first 1,024 bytes, so the text scan would skip it as binary.)
-        yield _tok(path, None, None, "error", error=f"Error parsing {KIND_NAME[ext]} {path}: {e}")
+        yield _tok(path, None, None, "error", error=f"Error parsing {KIND_NAME[_ext(path)]} {path}: {e}")
         yield _tok(path, None, None, "raw", content=content if given else None)
         return
     with zf:
         try:
-            if ext in WORD_EXTS:
-                yield from _word_tokens(path, zf)
-            elif ext in EXCEL_EXTS:
-                yield from _excel_tokens(path, zf, target_sheets)
-            else:
-                yield from _powerpoint_tokens(path, zf)
+            for row in _directory(path, zf, target_sheets):
+                if len(row) > 3:
+                    yield row
+                    continue
+                info = zf.getinfo(row[0])
+                if members:
+                    yield members(info, *row)
+                    continue
+                place = (info.header_offset, info.compress_size, info.compress_type, info.CRC)
+                chunks = _ranged(f, *place) if _read_in_place(info) else _zipped(zf, row[0])
+                yield from _part_tokens(path, *row, chunks, not given)
         except Exception as e:  # noqa: BLE001 - tokens read so far stay, the package is reported
             if not given and isinstance(e, OSError):
                 raise
-            yield _tok(path, None, None, "error", error=f"Error parsing {KIND_NAME[ext]} {path}: {e}")
+            yield _tok(path, None, None, "error", error=f"Error parsing {KIND_NAME[_ext(path)]} {path}: {e}")
 
 
 def _arrow_schema():
@@ -245,18 +318,23 @@ def _arrow_schema():
 
 
 TOKENS_PER_BATCH = 50_000  # output batch size: Python memory stays bounded whatever the package size
+#: A member row: a token row of kind ``member`` (``ref``: the package's URI, ``type``: the role) with the member's place.
+MEMBER_SCHEMA = TOKEN_SCHEMA + ", offset long, packed long, size long, method int, crc long"
 
 
-def _emitted(tokens: Iterator[tuple]) -> Iterator:
+def _member_schema():
     import pyarrow as pa
 
-    schema, rows = _arrow_schema(), []
-    for tok in tokens:
-        rows.append(tok)
-        if len(rows) >= TOKENS_PER_BATCH:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-            rows = []
-    if rows:
+    return pa.schema([*_arrow_schema(), *(pa.field(n, pa.int64()) for n in ("offset", "packed", "size")), ("method", pa.int32()), ("crc", pa.int64())])
+
+
+def _emitted(tokens: Iterator[tuple], schema=None) -> Iterator:
+    import itertools
+
+    import pyarrow as pa
+
+    schema = schema or _arrow_schema()
+    for rows in itertools.batched(tokens, TOKENS_PER_BATCH):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
@@ -267,14 +345,14 @@ def _token_batches(batches: Iterator, target_sheets) -> Iterator:
         yield from _emitted(t for path, content in packages for t in package_tokens(path, content, target_sheets))
 
 
-def _opened_tokens(uri: str, name: str, target_sheets) -> Iterator[tuple]:
-    """Tokens of a package in a store: its directory and parts are read where they lie, the package is never held whole."""
+def _in_store(uri: str, name: str, read: Callable[..., Iterator[tuple]]) -> Iterator[tuple]:
+    """``read`` of a package that is opened where it lies: its directory and parts are read in place, it is never held whole."""
     from linesift.sources.files import _open
 
     try:
         filesystem, place = _open(uri)
         with filesystem.open_input_file(place) as f:
-            yield from package_tokens(name, f, target_sheets)
+            yield from read(f)
     except Exception as e:  # noqa: BLE001 - a row of the errors; the scan goes on
         yield _tok(name, None, None, "error", type_="read", error=f"Error accessing file {name}: {e}")
 
@@ -282,22 +360,56 @@ def _opened_tokens(uri: str, name: str, target_sheets) -> Iterator[tuple]:
 def _file_token_batches(batches: Iterator, target_sheets) -> Iterator:
     for batch in batches:
         files = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-        yield from _emitted(t for uri, name in files for t in _opened_tokens(uri, name, target_sheets))
+        yield from _emitted(t for uri, name in files for t in _in_store(uri, name, lambda f, name=name: package_tokens(name, f, target_sheets)))
+
+
+def _directory_batches(batches: Iterator, target_sheets) -> Iterator:
+    none = (None,) * 5
+
+    def rows(uri: str, name: str) -> Iterator[tuple]:
+        def member(info: zipfile.ZipInfo, part: str, order: int, role: str) -> tuple:
+            method = info.compress_type if _read_in_place(info) else None
+            place = (info.header_offset, info.compress_size, info.file_size, method, info.CRC)
+            return (*_tok(name, part, order, "member", ref=uri, type_=role), *place)
+
+        for row in _in_store(uri, name, lambda f: package_tokens(name, f, target_sheets, member)):
+            yield row if row[3] == "member" else (*row, *none)
+
+    for batch in batches:
+        files = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        yield from _emitted((r for uri, name in files for r in rows(uri, name)), _member_schema())
+
+
+def _member_batches(batches: Iterator) -> Iterator:
+    def tokens(uri, path, part, order, role, offset, packed, method, crc) -> Iterator[tuple]:
+        def read(f) -> Iterator[tuple]:
+            if method is not None:
+                yield from _part_tokens(path, part, order, role, _ranged(f, offset, packed, method, crc), True)
+            else:
+                with zipfile.ZipFile(f) as zf:
+                    yield from _part_tokens(path, part, order, role, _zipped(zf, part), True)
+
+        yield from _in_store(uri, path, read)
 
+    for batch in batches:
+        yield from _emitted(t for row in zip(*(c.to_pylist() for c in batch.columns)) for t in tokens(*row))
 
-def _partitioned(tokens: DataFrame, packages: DataFrame, staged: bool) -> DataFrame:
+
+def _partitions(df: DataFrame) -> int:
+    """At least the configured count, and as many partitions as the input has."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        return max(n, df.rdd.getNumPartitions())
+    except Exception:  # noqa: BLE001 - no local context: the configured count
+        return n
+
+
+def _partitioned(tokens: DataFrame, n: int, staged: bool) -> DataFrame:
     """Tokens hash-partitioned by path, and staged for the assembly branches that read them."""
-    spark = packages.sparkSession
     # every join over the tokens is keyed by path plus an inner key (r_id, part, cell, index);
     # partitioning by path co-partitions them, so no join re-shuffles the tokens
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    # An explicit count (AQE keeps it, so the staged rows stay hash-partitioned by path),
-    # sized with the input: at least one token partition per package partition.
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        n = max(n, packages.rdd.getNumPartitions())
-    except Exception:  # noqa: BLE001 - no local context: the configured count
-        pass
+    tokens.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    # An explicit count (AQE keeps it, so the staged rows stay hash-partitioned by path).
     partitioned = tokens.repartition(n, "path")
     # several assembly branches read the tokens: stage them once.  A single branch (staged=False)
     # keeps the repartition in its own plan, where the kind filter runs before the shuffle.
@@ -311,14 +423,33 @@ def tokenize(packages: DataFrame, target_sheets: Iterable[str] | None = None, st
     """
     ts = frozenset(target_sheets) if target_sheets is not None else None
     toks = packages.select("path", "content").mapInArrow(lambda it: _token_batches(it, ts), TOKEN_SCHEMA)
-    return _partitioned(toks, packages, staged)
+    return _partitioned(toks, _partitions(packages), staged)
+
+
+def package_members(files: DataFrame, target_sheets: Iterable[str] | None = None) -> DataFrame:
+    """``path`` (URI), ``file_path`` -> rows of ``MEMBER_SCHEMA``: the tokens of each directory, and a row for each member to be read."""
+    ts = frozenset(target_sheets) if target_sheets is not None else None
+    return files.select("path", "file_path").mapInArrow(lambda it: _directory_batches(it, ts), MEMBER_SCHEMA)
 
 
-def tokenize_files(files: DataFrame, target_sheets: Iterable[str] | None = None) -> DataFrame:
-    """``path`` (URI), ``file_path`` of a listing -> the token rows of packages of any size, read in place."""
+def member_tokens(members: DataFrame, n: int) -> DataFrame:
+    """The tokens of members (rows of kind ``member``), dealt to ``n`` tasks; each reads its members' bytes only."""
+    rows = members.where(F.col("kind") == "member").repartition(n, "path", "part")
+    return rows.select("ref", "path", "part", "part_ord", "type", "offset", "packed", "method", "crc").mapInArrow(_member_batches, TOKEN_SCHEMA)
+
+
+def tokenize_files(files: DataFrame, target_sheets: Iterable[str] | None = None, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
+    """``path`` (URI), ``file_path``, ``length`` of a listing -> the token rows of packages of any size, read in place.
+
+    Packages longer than ``package_bytes`` are read member by member; the rows are the same for any value.
+    """
     ts = frozenset(target_sheets) if target_sheets is not None else None
-    toks = files.select("path", "file_path").mapInArrow(lambda it: _file_token_batches(it, ts), TOKEN_SCHEMA)
-    return _partitioned(toks, files, True)
+    n = _partitions(files)
+    whole = files.where(F.col("length") <= package_bytes).select("path", "file_path").mapInArrow(lambda it: _file_token_batches(it, ts), TOKEN_SCHEMA)
+    # The directories of long packages are few bytes: read once for their tokens and once for their members.
+    long = package_members(files.where(F.col("length") > package_bytes), ts)
+    given = long.where(F.col("kind") != "member").select(*whole.columns)
+    return _partitioned(whole.unionByName(given).unionByName(member_tokens(long, n)), n, True)
 
 
 def concat_ordered(order: str, text: str) -> Column:
@@ -352,10 +483,13 @@ def errors(tokens: DataFrame) -> DataFrame:
 
 def word_paragraphs(tokens: DataFrame) -> DataFrame:
     """Word segments: non-empty paragraphs numbered per part, ``"{Body|Header|Footer} P.{i}"``."""
-    runs = tokens.where(F.col("kind") == "w_t")
-    paras = runs.groupBy("path", "part", "part_ord", "type", "parent_ord").agg(concat_ordered("ord", "text").alias("text"))
+    found = tokens.where(F.col("kind").isin("w_t", "w_p"))
+    # A paragraph's end closes the texts since the end before it; texts after the last end belong to none.
+    paras = found.groupBy("path", "part", "part_ord", "parent_ord").agg(
+        concat_ordered("ord", "text").alias("text"), F.count("text").alias("texts"), F.bool_or(F.col("kind") == "w_p").alias("ended"))
+    label = F.when(F.contains("part", F.lit("header")), F.lit(WORD_HEADER)).when(F.contains("part", F.lit("footer")), F.lit(WORD_FOOTER))
     w = Window.partitionBy("path", "part").orderBy("parent_ord")
-    numbered = paras.withColumn("i", F.row_number().over(w))
+    numbered = paras.where("ended AND texts > 0").withColumns({"i": F.row_number().over(w), "type": label.otherwise(F.lit(WORD_BODY))})
     return _segments(
         numbered,
         F.col("text"),

@@ -122,10 +122,12 @@ class Parts:
 
 def scan_parts(listing: DataFrame, exclusions: Exclusions = Exclusions(), target_sheets=None,
                encodings=enc.ENGINE_ENCODINGS, range_bytes: int | None = RANGE_BYTES,
-               parsers: dict | None = None, listing_errors: DataFrame | None = None) -> Parts:
+               parsers: dict | None = None, listing_errors: DataFrame | None = None,
+               package_bytes: int = office.PACKAGE_BYTES) -> Parts:
     """A file listing (``list_tree``) -> its parts, pruning before any byte is read.
 
-    ``range_bytes``: longer text files are dealt to tasks by ranges; the result is the same for any value.
+    ``range_bytes``: longer text files are dealt to tasks by ranges, packages longer than ``package_bytes`` by members;
+    the result is the same for any values.
     """
     kept = prune(listing, exclusions)
     parsers = normalized(parsers)
@@ -145,7 +147,7 @@ def scan_parts(listing: DataFrame, exclusions: Exclusions = Exclusions(), target
     join = lambda a, b: b if a is None else a.unionByName(b)
     if stats.get("office"):
         packages = sized_for_loading(listed.where(is_office), stats=stats["office"])
-        tokens = office.tokenize_files(packages, target_sheets)
+        tokens = office.tokenize_files(packages, target_sheets, package_bytes)
         broken = office.errors(tokens)
         # a package that could not be read to its end gives an error and nothing else
         unread = broken.where("stage = 'read'").select("file_path").distinct()

@@ -84,8 +84,9 @@ def written(df, name: str):
 def stage(df):
     """Compute ``df`` once for several consumers, keeping its partitioning.
 
-    With a shared checkpoint folder: persist, reliable ``checkpoint()`` (lineage
-    cut, survives executor loss), then drop the cache.  Without one:
+    Nothing runs before the first action.  ``df`` ends in a shuffle, whose files all
+    consumers share.  With a shared checkpoint folder the first action also writes a
+    reliable checkpoint (lineage cut, survives executor loss).  Without one:
     ``persist(MEMORY_AND_DISK)``; lost blocks are recomputed from lineage.
     The staged plan is built without AQE, which would otherwise hide its hash
     partitioning from the consumers (they then need no further shuffle).
@@ -101,17 +102,14 @@ def stage(df):
     prev = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        cached = df.persist(StorageLevel.MEMORY_AND_DISK)
         if not has_dir:
-            return cached
+            return df.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             if not spark.sparkContext.getCheckpointDir():
                 spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
         except Exception:  # noqa: BLE001 - no local context: the server-side setting applies
             pass
-        out = cached.checkpoint(eager=True)
-        cached.unpersist()
-        return out
+        return df.checkpoint(eager=False)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", prev)
 

@@ -3,6 +3,8 @@
 import io
 import zipfile
 
+from pyspark.sql import functions as F
+
 from linesift.operators import office
 from linesift.sources.office_writer import A_NS, P_NS, R_NS, REL_NS, S_NS, W_NS
 
@@ -185,3 +187,58 @@ def test_round_trip_with_markup_characters(spark):
             kept = [ln.strip() for ln in lines[n:n + 4] if ln.strip()]
             want += [(n // 4 + 1, j + 1, ln) for j, ln in enumerate(kept)]
         assert sorted(slides.get(f"t{i}.pptx", [])) == want
+
+
+def _tree_of_packages(tmp_path):
+    """Packages of every kind: many sheets, stored and bzip2 members, broken parts, a wrong checksum, a cut file, no package."""
+    sheets = [(f"xl/worksheets/sheet{i}.xml", sheet(f'<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>i{i}</t></is></c></row>')) for i in range(40)]
+    sheets[7] = (sheets[7][0], sheets[7][1][:-20])  # ill-formed after its cells
+    book = pkg([
+        ("xl/workbook.xml", WB.format("".join(f'<sheet name="S{i}" sheetId="{i}" r:id="r{i}"/>' for i in range(40)))),
+        ("xl/_rels/workbook.xml.rels", RELS.format("".join(f'<Relationship Id="r{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(40)))),
+        ("xl/sharedStrings.xml", f'<sst xmlns="{S_NS}"><si><t>shared</t></si></sst>'), *sheets])
+    docx = [("word/document.xml", wdoc("document", "one", "", "two")), ("word/header1.xml", wdoc("hdr", "head")), ("word/other.xml", "<x/>")]
+    slides = [("ppt/slides/slide1.xml", slide(["title"], [" "], ["text"])), ("ppt/notesSlides/notesSlide1.xml", slide(["note"])), ("ppt/slides/slide2.xml", "<p:sld><broken")]
+    out = {"many.xlsx": book, "stored.docx": pkg(docx)}
+    for name, parts, method in (("packed.docx", docx, zipfile.ZIP_DEFLATED), ("bz.docx", docx, zipfile.ZIP_BZIP2), ("s.pptx", slides, zipfile.ZIP_DEFLATED)):
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w", method) as z:
+            for part, body in parts:
+                z.writestr(part, body)
+        out[name] = buf.getvalue()
+    out["crc.docx"] = out["stored.docx"].replace(b"<w:t>one", b"<w:t>0ne")
+    out["plain.xlsx"], out["cut.docx"], out["empty.pptx"] = b"plain text", out["packed.docx"][:200], b""
+    for name, content in out.items():
+        (tmp_path / name).write_bytes(content)
+    listed = [(f"file:{tmp_path}/{name}", name, len(content)) for name, content in out.items()]
+    return listed, "path string, file_path string, length long"
+
+
+def test_members_as_rows(spark, tmp_path):
+    """Packages read member by member give the tokens, segments and errors of packages read whole."""
+    files = spark.createDataFrame(*_tree_of_packages(tmp_path))
+    whole, parted = office.tokenize_files(files, package_bytes=1 << 40), office.tokenize_files(files, package_bytes=0)
+    seen = lambda t: rows(office.office_segments(t), "file_path", "location_display", "raw", "seq")
+    assert seen(whole) == seen(parted)
+    got = [r for r in seen(parted) if r[0] == "many.xlsx"]
+    assert len(got) == 78 and not [r for r in got if r[1].startswith("S7!")]  # the ill-formed sheet gives no cell
+    failed = lambda t: sorted(r.file_path for r in office.errors(t).collect())
+    assert failed(whole) == failed(parted) == ["crc.docx", "cut.docx", "empty.pptx", "many.xlsx", "plain.xlsx", "s.pptx"]
+    members = office.package_members(files).where("kind = 'member'")
+    sizes = {(r.path, r.part): (r.packed, r.size) for r in members.collect()}
+    assert len([k for k in sizes if k[0] == "many.xlsx"]) == 41 and sizes["stored.docx", "word/document.xml"][0] == sizes["stored.docx", "word/document.xml"][1]
+    # The sheets of one workbook are read by many tasks.
+    tasks = office.member_tokens(office.package_members(files.where("file_path = 'many.xlsx'")), 16).withColumn("t", F.spark_partition_id())
+    assert tasks.where("kind = 'c'").select("t").distinct().count() > 8
+    few = office.tokenize_files(files, ["S3", "S9"], package_bytes=0)
+    assert {r.location_display.split("!")[0] for r in office.excel_cells(few, ["S3", "S9"]).collect()} == {"S3", "S9"}
+
+
+def test_nothing_runs_before_an_action(spark, tmp_path):
+    files = spark.createDataFrame(*_tree_of_packages(tmp_path))
+    spark.sparkContext.setJobGroup("lazy-office", "")
+    segments = office.office_segments(office.tokenize_files(files))
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lazy-office")
+    assert segments.count() > 80
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup("lazy-office")
+    spark.sparkContext.setJobGroup("other", "")
