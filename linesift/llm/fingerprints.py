@@ -6,8 +6,10 @@ differ, and its value, again and again until six labels are left); local maxima
 name is a hash of its symbols, and the names are the symbols of the next level.  All of it looks a few symbols around,
 so equal substrings get equal phrases inside, wherever they stand.
 
-The fingerprint holds the 64 smallest 32-bit names among the phrases of level ``LEVEL`` and above (and the name of the
-whole text where it closes earlier).  The likeness of two fingerprints estimates the Jaccard similarity of those sets.
+The fingerprint holds the 64 smallest 32-bit names among the phrases of level ``LEVEL`` and above, and of each lower
+level on which the text has 64 phrases at most (so a short text keeps its short phrases).  The two low bits of a name
+are its level, 3 for all from there on.  The likeness of two fingerprints estimates the Jaccard similarity of the names
+of the levels that both hold.
 
 Defined results: a null text is an empty one; empty texts share one fingerprint; rows with equal keys are ordered by
 their text, rows with a null key come last; with one row the next document is the row itself; an empty table gives an
@@ -21,13 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linesift.llm import textblock as T
-from linesift.llm.stage import ordered
+from linesift.llm.stage import stage
 
 LEVEL, KEEP = 3, 64
+#: The bits of a name that hold its level.
+CLASS = np.uint64(3)
 #: Bytes of texts parsed together.
 PARSE_BYTES = 1 << 20
 
@@ -124,9 +128,11 @@ def fingerprints(texts: list[bytes]) -> list[np.ndarray]:
     offs = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) for t in texts], out=offs[1:])
     keys = []
-    for level, names, doc, closed in parse(np.frombuffer(b"".join(texts), np.uint8), offs):
-        on = np.ones(len(names), bool) if level >= LEVEL else closed[doc]
-        keys.append((doc[on].astype(np.uint64) << np.uint64(32)) | (names[on] >> np.uint64(32)))
+    for level, names, doc, _closed in parse(np.frombuffer(b"".join(texts), np.uint8), offs):
+        few = np.bincount(doc, minlength=len(texts)) <= KEEP
+        on = np.ones(len(names), bool) if level >= LEVEL else few[doc]
+        small = (names[on] >> np.uint64(32)) & ~CLASS | np.uint64(min(level, LEVEL))
+        keys.append((doc[on].astype(np.uint64) << np.uint64(32)) | small)
     found = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
     cut = np.searchsorted(found, np.arange(len(texts) + 1).astype(np.uint64) << np.uint64(32))
     small = (found & np.uint64(0xFFFFFFFF)).astype(">u4")
@@ -134,12 +140,14 @@ def fingerprints(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of the smallest names of the union that both hold."""
-    x, y = set(a.tolist()), set(b.tolist())
+    """Share of the names of the union that both hold, over the levels of both and up to where both lists reach."""
+    x, y = a.tolist(), b.tolist()
     if x == y:
         return 1.0
-    union = sorted(x | y)[:KEEP]
-    return sum(v in x and v in y for v in union) / len(union)
+    lowest = max(min(v & 3 for v in x), min(v & 3 for v in y))
+    reach = min(v[-1] if len(v) == KEEP else 1 << 32 for v in (x, y))
+    x, y = ({v for v in names if v <= reach and v & 3 >= lowest} for names in (x, y))
+    return len(x & y) / len(x | y) if x and y else 0.0
 
 
 def hex_of(names: np.ndarray) -> str:
@@ -166,26 +174,15 @@ def with_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """``bucket, guest, doc_id, text`` in partitions of whole buckets, sorted: descending keys, then one guest.
+    """``part, doc_id, text`` in range partitions of descending keys, equal keys by their text.
 
-    A bucket is a range of keys.  Its guest is the first document of the next lower bucket (of the highest for the
-    lowest), so that every document but the guest has its next one behind it.  Texts are shuffled once; the driver
-    holds two keys for each range partition.
+    Texts are shuffled once.  The bounds hold keys and 64 characters, so rows of one key, or without any, are split too.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    tops = ordered(docs.select("doc_id").where("doc_id is not null"), ["doc_id"], "fingerprint-ids").groupBy("_part").agg(F.max("doc_id").alias("top")).orderBy("top")
-    tops = sorted({r["top"] for r in tops.collect()})
-    if not tops:
-        return docs.select(F.lit(0).alias("bucket"), F.lit(0).alias("guest"), "doc_id", "text").repartition("bucket").sortWithinPartitions("text")
-    # The bucket of a key: how many tops are smaller (null keys: the lowest bucket).
-    place = F.array(*[F.lit(t).cast("long") for t in tops])
-    bucket = F.coalesce(F.size(F.filter(place, lambda t: t < F.col("doc_id"))), F.lit(0))
-    host = spark.createDataFrame([(t, (i + 1) % len(tops)) for i, t in enumerate(tops)], "doc_id long, bucket int")
-    own = docs.select(bucket.alias("bucket"), F.lit(0).alias("guest"), "doc_id", "text")
-    guests = docs.join(F.broadcast(host), "doc_id").select("bucket", F.lit(1).alias("guest"), "doc_id", "text")
-    both = own.unionAll(guests).repartitionByRange(len(tops), "bucket")
-    return both.sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "text")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.col("doc_id").desc_nulls_last()
+    split = docs.repartitionByRange(n, key, F.substring("text", 1, 64)).sortWithinPartitions(key, "text")
+    return split.select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
 
 def edited(text: str, other: str) -> str:
@@ -194,55 +191,72 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - k] + other[:k]
 
 
-def compare_edited(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``."""
-
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-
-    def judged(run: list[tuple[int | None, str]]) -> pa.RecordBatch:
-        """All of ``run`` but its last row, which only is the next of the one before."""
-        changed = [edited(t, o).encode() for (_, t), (_, o) in zip(run, run[1:], strict=False)]
-        prints = fingerprints([t.encode() for _, t in run] + changed)
-        own, after = prints[: len(run)], prints[len(run) :]
-        m = len(changed)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([k for k, _ in run[:m]], pa.int64()),
-                pa.array([len(t) for _, t in run[:m]], pa.int64()),
-                pa.array([hashlib.sha256(c).hexdigest() for c in changed]),
-                pa.array([hex_of(x) for x in own[:m]]),
-                pa.array([hex_of(x) for x in after]),
-                pa.array([likeness(a, b) for a, b in zip(own, after, strict=False)], pa.float64()),
-                pa.array([likeness(a, b) for a, b in zip(own, own[1:], strict=False)], pa.float64()),
-            ],
-            names=names,
-        )
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+NAMES = [c.split()[0] for c in RESULT.split(", ")]
+
+
+def _judged(run: list[tuple[int | None, str]]) -> list[pa.Array]:
+    """The columns of ``RESULT`` for all of ``run`` but its last row, which only is the next of the one before."""
+    changed = [edited(t, o).encode() for (_, t), (_, o) in zip(run, run[1:], strict=False)]
+    prints = fingerprints([t.encode() for _, t in run] + changed)
+    own, after = prints[: len(run)], prints[len(run) :]
+    m = len(changed)
+    return [
+        pa.array([k for k, _ in run[:m]], pa.int64()),
+        pa.array([len(t) for _, t in run[:m]], pa.int64()),
+        pa.array([hashlib.sha256(c).hexdigest() for c in changed], pa.string()),
+        pa.array([hex_of(x) for x in own[:m]], pa.string()),
+        pa.array([hex_of(x) for x in after], pa.string()),
+        pa.array([likeness(a, b) for a, b in zip(own, after, strict=False)], pa.float64()),
+        pa.array([likeness(a, b) for a, b in zip(own, own[1:], strict=False)], pa.float64()),
+    ]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The results of a partition but for its last row, and its first and last row as they are (``edge``)."""
+    edges = [*NAMES, "part", "edge", "text"]
+
+    def results(rows: list) -> pa.RecordBatch:
+        m = len(rows) - 1
+        return pa.RecordBatch.from_arrays([*_judged(rows), pa.nulls(m, pa.int32()), pa.nulls(m, pa.string()), pa.nulls(m, pa.string())], names=edges)
+
+    def edge(name: str, row: tuple[int | None, str]) -> pa.RecordBatch:
+        blank = [pa.nulls(1, a.type) for a in _judged([])[1:]]
+        return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *blank, pa.array([part], pa.int32()), pa.array([name]), pa.array([row[1]])], names=edges)
+
+    held, size, part = [], 0, None
+    for batch in batches:
+        for p, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if part is None:
+                part = p
+                yield edge("first", (key, text))
+            held.append((key, text))
+            size += len(text)
+            if size > PARSE_BYTES and len(held) > 1:
+                yield results(held)
+                held, size = held[-1:], len(text)
+    if held:
+        if len(held) > 1:
+            yield results(held)
+        yield edge("last", held[-1])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for key, text, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield pa.RecordBatch.from_arrays(_judged([(key, text), (None, after)]), names=NAMES)
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        held, first, now, size, closed = [], None, None, 0, False
 
-        def close():
-            # Without a guest (no bucket but this one) the first document follows the last.
-            if held and not closed:
-                held.append(first)
-            return judged(held) if len(held) > 1 else None
+def compare_edited(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
 
-        for batch in batches:
-            for bucket, guest, key, text in zip(*(batch.column(i) for i in range(4)), strict=True):
-                bucket, guest, row = bucket.as_py(), guest.as_py(), (key.as_py(), text.as_py())
-                if bucket != now:
-                    if (out := close()) is not None:
-                        yield out
-                    held, first, now, size, closed = [], row, bucket, 0, False
-                if closed:
-                    continue
-                closed = bool(guest)
-                held.append(row)
-                size += len(row[1])
-                if size > PARSE_BYTES and len(held) > 1 and not closed:
-                    yield judged(held)
-                    held, size = [row], len(row[1])
-        if (out := close()) is not None:
-            yield out
-
-    return neighbours(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    A partition judges its rows but the last one, whose next is the first row of the next partition; two rows of each
+    partition meet in a join for that.
+    """
+    found = stage(neighbours(docs).mapInArrow(_runs, f"{RESULT}, part int, edge string, text string"), "fingerprint-runs")
+    firsts, lasts = (found.where(F.col("edge") == name) for name in ("first", "last"))
+    order = Window.partitionBy(F.lit(0)).orderBy("part")  # a number for each partition, no texts
+    parts = firsts.select("part", F.lead("part").over(order).alias("after"), F.min("part").over(Window.partitionBy(F.lit(0))).alias("top"))
+    parts = parts.select("part", F.coalesce("after", "top").alias("after"))
+    ends = lasts.select("part", "doc_id", "text").join(parts, "part").join(firsts.select(F.col("part").alias("after"), F.col("text").alias("other")), "after")
+    return found.where("edge is null").select(*NAMES).unionAll(ends.select("doc_id", "text", "other").mapInArrow(_pairs, RESULT))

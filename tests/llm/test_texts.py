@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import sys
 import zlib
@@ -10,8 +11,10 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from linesift.llm import fingerprints, near_dedup, quality, toxicity
+from linesift.llm import textblock as T
 from linesift.llm.stage import stage
 
 SMALL = "/root/testdata/sf0.001"
@@ -131,7 +134,6 @@ def banded(rows):
 
 def test_bands_are_the_same_for_a_model_of_any_size(spark):
     """Noise among real documents is rejected by a model that is sent around and by one that is joined."""
-    import random
 
     rng = random.Random(9)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en' and doc_id < 700").select("doc_id", "text", "lang")
@@ -153,7 +155,6 @@ def test_bands_are_the_same_for_a_model_of_any_size(spark):
 def test_planted_noise_is_rejected_and_excerpts_are_kept(spark):
     """Short and long noise among the documents of sf0.01, one text of it twice; excerpts of the documents themselves."""
     import base64
-    import random
 
     rng = random.Random(3)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'").select("doc_id", "text", "lang")
@@ -238,7 +239,6 @@ def test_near_duplicates(spark, hard, hard_rows, none):
 
 def test_near_copies_of_near_copies_and_long_texts(spark):
     """Chains (each like the next only), a group around a base, and texts longer than the sketch."""
-    import random
 
     rng = random.Random(11)
     rows = []
@@ -259,21 +259,87 @@ def test_near_copies_of_near_copies_and_long_texts(spark):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(groups(rows))
 
 
+def parsed_slowly(text):
+    """The fingerprint by the definition, symbol by symbol."""
+    mask = (1 << 64) - 1
+    mix = lambda x: int(T.mix(np.array([x & mask], np.uint64))[0])
+
+    def runs(symbols):
+        out = []
+        for x in symbols:
+            if out and out[-1][0] == x:
+                out[-1][1] += 1
+            else:
+                out.append([x, 1])
+        return out
+
+    def toss(labels):
+        out = [labels[0] & 1]
+        for left, own in zip(labels, labels[1:]):
+            low = 0
+            while left != own and not (left ^ own) >> low & 1:
+                low += 1
+            out.append(2 * low + (own >> low & 1))
+        return out
+
+    found, level = set(), 0
+    labels = [x for x, _ in runs(text)]
+    names = [mix(x + (n << 8) + 1) for x, n in runs(text)]
+    while names:
+        level += 1
+        for _ in range(3 if level == 1 else 4):  # down to six labels, from bytes or from names
+            labels = toss(labels)
+        cuts = [0] + [i for i in range(1, len(labels) - 1) if labels[i - 1] < labels[i] > labels[i + 1]] + [len(labels)]
+        phrases = [mix(sum(x * pow(T.BASE, j, 1 << 64) for j, x in enumerate(names[a:z])) + z - a) for a, z in zip(cuts, cuts[1:])]
+        if level >= 3 or len(phrases) <= 64:
+            found |= {(x >> 32 & ~3) | min(level, 3) for x in phrases}
+        if len(phrases) == 1:
+            break
+        names = [mix(x + n * T.STEP) if n > 1 else x for x, n in runs(phrases)]
+        labels = names
+    return sorted(found)[:64] or [0]
+
+
+def like_slowly(a, b):
+    if a == b:
+        return 1.0
+    level = max(min(x % 4 for x in a), min(x % 4 for x in b))
+    top = min([v[-1] for v in (a, b) if len(v) == 64], default=1 << 40)
+    a, b = ([x for x in v if x <= top and x % 4 >= level] for v in (a, b))
+    return len(set(a) & set(b)) / len(set(a) | set(b)) if a and b else 0.0
+
+
 def test_fingerprints(spark, hard, hard_rows, none):
     got = fingerprints.compare_edited(hard.withColumnRenamed("source", "fingerprint")).collect()
     rows = sorted(((k, t or "") for k, t, *_ in hard_rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
-    prints = [fingerprints.fingerprints([t.encode()])[0] for _, t in rows]
+    prints = [parsed_slowly(t.encode()) for _, t in rows]
+    hexed = lambda names: "".join(f"{x:08x}" for x in names)
     want = []
     for i, (k, t) in enumerate(rows):
         j = (i + 1) % len(rows)
-        changed = fingerprints.edited(t, rows[j][1])
-        assert changed == t[: len(t) - len(t) // 3] + rows[j][1][: len(t) // 3]
-        after = fingerprints.fingerprints([changed.encode()])[0]
-        want.append((k or -1, len(t), hashlib.sha256(changed.encode()).hexdigest(), prints[i].tobytes().hex(), after.tobytes().hex(), fingerprints.likeness(prints[i], after), fingerprints.likeness(prints[i], prints[j])))
+        changed = t[: len(t) - len(t) // 3] + rows[j][1][: len(t) // 3]
+        after = parsed_slowly(changed.encode())
+        want.append((k or -1, len(t), hashlib.sha256(changed.encode()).hexdigest(), hexed(prints[i]), hexed(after), like_slowly(prints[i], after), like_slowly(prints[i], prints[j])))
     assert sorted((r[0] or -1, *r[1:]) for r in got) == sorted(want)
     assert fingerprints.compare_edited(none).count() == 0
     one = spark.createDataFrame([(5, "only text here")], "doc_id long, text string")
     assert fingerprints.compare_edited(one).first()["near_next"] == 1.0
+    # Rows without a key, and rows of one key, are split over partitions.
+    same = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).alias("doc_id"), F.concat(F.md5(F.col("id").cast("string")), F.lit(" text")).alias("text"))
+    assert max(r["count"] for r in fingerprints.neighbours(same).groupBy("part").count().collect()) < 1500
+
+
+def test_short_texts_keep_their_short_phrases():
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 9))) for _ in range(3000)]
+    for size in (8, 12, 20, 40, 120, 600):
+        near, far = [], []
+        for _ in range(40):
+            a, b = (" ".join(rng.choices(words, k=size)) for _ in range(2))
+            x, y, z = fingerprints.fingerprints([a.encode(), fingerprints.edited(a, b).encode(), b.encode()])
+            near.append(fingerprints.likeness(x, y))
+            far.append(fingerprints.likeness(x, z))
+        assert np.mean(near) > 0.35 and np.mean(far) < 0.1, size
 
 
 def test_equal_substrings_share_interior_phrases():
@@ -373,7 +439,6 @@ def test_pipeline_stages_on_hard_rows(spark, request, case):
 
 
 def test_matches_of_very_long_texts_are_found_in_linear_time():
-    import random
     import time
 
     rng = random.Random(4)
@@ -392,7 +457,6 @@ def test_matches_of_very_long_texts_are_found_in_linear_time():
 
 def test_template_group_below_the_threshold(spark):
     """300 documents that share 75 to 84 % of a template: no link is made up, and planted ones among them are found."""
-    import random
 
     rng = random.Random(6)
     template = [f"t{i}" for i in range(400)]
