@@ -40,6 +40,10 @@ RANGE_BYTES = 64 << 20
 LINE_BYTES = 1 << 30
 #: Bytes looked through together for a place to cut.
 PIECE = 1 << 16
+#: Ranges that one task reads at least, however short they are, before more tasks are made for them.
+TASK_RANGES = 2_000
+#: Characters of decoded ranges that go to Spark together.
+BATCH_CHARS = 4 << 20
 #: Rows of this module's results: a file, or the lines that begin in one of its ranges.  Null ``text``: skipped or failed.
 TEXTS = "file_path string, encoding string, before long, text string, skipped boolean, stage string, message string"
 NOT_DECODED = "no candidate encoding decodes the file"
@@ -346,10 +350,10 @@ def counted_ranges(ranges: DataFrame, encodings: Sequence[str]) -> DataFrame:
             return None, None, False, False, _said(name, e)
 
     def run(batches: Iterator):
-        for batch in batches:
-            for i, row in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
-                new = [pa.array([v], t) for v, t in zip(counted(*row), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in batch.columns), *new], names=[*kept, "facts", "escape", "skipped", "sig", "message"])
+        for batch in batches:  # only counts come out of it
+            found = [counted(*row) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            new = [pa.array(v, t) for v, t in zip(zip(*found, strict=True) if found else [()] * len(types), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*kept, "facts", "escape", "skipped", "sig", "message"])
 
     schema = f"path string, file_path string, length long, k long, start long, stop long, facts array<array<{FACT}>>, escape binary, skipped boolean, sig boolean, message string"
     return ranges.select(*kept).mapInArrow(run, schema)
@@ -399,18 +403,35 @@ def ranged_texts(files: DataFrame, encodings: Sequence[str], range_bytes: int, p
     kept = ["path", "length", "start", "stop", "entry", "file_path", "chosen", "before", "skipped", "stage", "message"]
 
     def run(batches: Iterator):
+        def emit(batch, texts, stop):
+            cols = [batch.column(j).slice(stop - len(texts), len(texts)) for j in range(5, 11)]
+            return pa.RecordBatch.from_arrays([*cols[:3], pa.array(texts, pa.string()), *cols[3:]], names=[x.split()[0] for x in TEXTS.split(", ")])
+
         for batch in batches:
+            texts, held = [], 0
             for i, (path, size, start, stop, entry, _, encoding, *_) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if texts and held + stop - start > BATCH_CHARS:  # a long range comes alone
+                    yield emit(batch, texts, i)
+                    texts, held = [], 0
                 text = None
                 if encoding is not None:
                     with Bytes(path, size) as f:
                         text = range_text(f, start, stop, encoding, entry)
-                cols = [batch.column(j).slice(i, 1) for j in range(5, 11)]
-                yield pa.RecordBatch.from_arrays([*cols[:3], pa.array([text], pa.string()), *cols[3:]], names=[x.split()[0] for x in TEXTS.split(", ")])
+                texts.append(text)
+                held += len(text or "")
+            if texts:
+                yield emit(batch, texts, batch.num_rows)
 
     return judged.select(*kept).mapInArrow(run, TEXTS)
 
 
+def range_tasks(spark, total: int, n: int, range_bytes: int) -> int:
+    """Tasks for the ranges of ``n`` files of ``total`` bytes: by their bytes, and for short ranges by their number."""
+    ranges = -(-total // range_bytes) + n  # every file's last range may be short
+    tasks = max(-(-total // max(range_bytes, RANGE_BYTES)), -(-ranges // TASK_RANGES))
+    return max(spark.sparkContext.defaultParallelism, min(100_000, tasks))
+
+
 def text_files(files: DataFrame, encodings: Sequence[str] = enc.ENGINE_ENCODINGS, range_bytes: int = RANGE_BYTES, prefer_utf8: bool = True, stats: tuple[int, int] | None = None, long_stats: tuple[int, int] | None = None) -> DataFrame:
     """A listing (``path, file_path, length``) -> TEXTS.  ``range_bytes`` changes nothing in the result but how the text is dealt to rows.
 
@@ -429,9 +450,7 @@ def text_files(files: DataFrame, encodings: Sequence[str] = enc.ENGINE_ENCODINGS
         long_stats = (int(row["b"] or 0), int(row["n"]))
         if not long_stats[1]:
             return out
-    slots = files.sparkSession.sparkContext.defaultParallelism
-    tasks = max(slots, min(100_000, -(-long_stats[0] // max(range_bytes, RANGE_BYTES)) + long_stats[1]))
-    return out.unionByName(ranged_texts(long, encodings, range_bytes, prefer_utf8, tasks))
+    return out.unionByName(ranged_texts(long, encodings, range_bytes, prefer_utf8, range_tasks(files.sparkSession, *long_stats, range_bytes)))
 
 
 def text_lines(texts: DataFrame) -> DataFrame:

@@ -165,3 +165,15 @@ def test_search_result_write_with_packages(spark, tmp_path):
     assert sorted((r.file_path, r.stage) for r in out.errors.collect()) == [("broken.docx", "extract"), ("lost.xlsx", "read")]
     assert out.metrics["hits"] == 5 and out.metrics["errors"] == 2
     assert sorted((e.file_path, e.stage) for e in res.errors.collect()) == [("broken.docx", "extract"), ("lost.xlsx", "read")]
+
+
+def test_tasks_follow_the_ranges_and_not_the_files(spark, tmp_path):
+    """500 files of two ranges each are a few tasks' work, and their rows come together; long ranges keep tasks of their own."""
+    for i in range(500):
+        (tmp_path / f"f{i}.txt").write_text(f"line {i}\n" * 20)
+    texts = scan_parts(list_files(spark, str(tmp_path)), encodings=("utf-8", "latin-1"), range_bytes=100).texts
+    slots = spark.sparkContext.defaultParallelism
+    assert texts.rdd.getNumPartitions() <= 3 * slots
+    lines = ranges.text_lines(texts)
+    assert lines.count() == 10_000 and lines.where("line_number = 20").count() == 500
+    assert ranges.range_tasks(spark, 50 * (300 << 20), 50, ranges.RANGE_BYTES) >= 50 * 300 // 64
