@@ -59,11 +59,12 @@ NOTES_LABEL = "(ノート)"
 
 TOKEN_SCHEMA = (
     "path string, part string, part_ord int, kind string, ord long, parent_ord long, "
-    "ref string, type string, text string, flag boolean, error string, content binary"
+    "ref string, type string, text string, flag boolean, error string, content binary, texts array<string>"
 )
 #: Packages up to this length are read by one task, longer ones member by member.
 PACKAGE_BYTES = 32 << 20
 CHUNK = 1 << 16  # bytes of a part given to the parser at once
+SHORT_PART = 1 << 20  # bytes of a part up to which its elements are built at once
 #: A part's bytes in chunks; each call starts over.
 Chunks = Callable[[], Iterator[bytes]]
 
@@ -73,8 +74,8 @@ def _q(ns: str, tag: str) -> str:
 
 
 def _tok(path, part, part_ord, kind, ord_=0, parent=None, ref=None, type_=None, text=None, flag=None, error=None,
-         content=None):
-    return (path, part, part_ord, kind, ord_, parent, ref, type_, text, flag, error, content)
+         content=None, texts=None):
+    return (path, part, part_ord, kind, ord_, parent, ref, type_, text, flag, error, content, texts)
 
 
 def _ends(chunks: Chunks) -> Iterator[ET.Element]:
@@ -109,62 +110,105 @@ def _checked(chunks: Chunks) -> None:
     parser.close()
 
 
-def _word_part(tok: Callable[..., tuple], chunks: Chunks) -> Iterator[tuple]:
-    """Texts (``parent_ord``: how many paragraphs ended before) and paragraph ends, in the order of the part."""
-    ended = at = 0
+def _short(chunks: Chunks) -> ET.Element | None:
+    """The elements of a short, well-formed part; None for any other, which is to be streamed."""
+    parser, size = ET.XMLParser(), 0
+    try:
+        for chunk in chunks():
+            size += len(chunk)
+            if size > SHORT_PART:
+                return None
+            parser.feed(chunk)
+        return parser.close()
+    except Exception:  # noqa: BLE001 - found again, and reported, where the part is streamed
+        return None
+
+
+W_P, W_T, S_SI, S_T, S_C, S_V, S_IS, S_ROW = (_q(*x) for x in (("w", "p"), ("w", "t"), ("s", "si"), ("s", "t"), ("s", "c"), ("s", "v"), ("s", "is"), ("s", "row")))
+A_P, A_T = _q("a", "p"), _q("a", "t")
+
+
+def _texts(elem: ET.Element, tag: str) -> list[str]:
+    return [t.text for t in elem.iter(tag) if t.text]
+
+
+def _flat(root: ET.Element, tag: str) -> list[ET.Element] | None:
+    """The elements of a tag in the order in which they end; None if one lies inside another."""
+    found = list(root.iter(tag))
+    return None if any(sum(1 for _ in x.iter(tag)) > 1 for x in found) else found
+
+
+def _paragraphs(chunks: Chunks) -> Iterator[tuple[list[str], bool]]:
+    """The texts before each paragraph's end, and those after the last one."""
+    root = _short(chunks)
+    flat = None if root is None else _flat(root, W_P)
+    if flat is not None:
+        texts = [_texts(p, W_T) for p in flat]
+        if sum(map(len, texts)) == len(_texts(root, W_T)):  # all texts lie in paragraphs
+            yield from ((x, True) for x in texts)
+            return
+    texts = []
     for elem in _ends(chunks):
-        if elem.tag == _q("w", "t") and elem.text:
-            yield tok("w_t", at, ended, text=elem.text)
-            at += 1
-        elif elem.tag == _q("w", "p"):
-            yield tok("w_p", None, ended)
-            ended += 1
+        if elem.tag == W_T and elem.text:
+            texts.append(elem.text)
+        elif elem.tag == W_P:
+            yield texts, True
+            texts = []
             elem.clear()
+    yield texts, False
+
+
+def _word_part(tok: Callable[..., tuple], chunks: Chunks) -> Iterator[tuple]:
+    """Paragraphs with the texts before their ends (``flag``: ended), in the order of the part; ``ord`` counts the texts."""
+    at = 0
+    for i, (texts, ended) in enumerate(_paragraphs(chunks)):
+        yield tok("w_p", at, i, flag=ended, texts=texts)
+        at += len(texts)
 
 
 def _strings_part(tok: Callable[..., tuple], chunks: Chunks) -> Iterator[tuple]:
-    index = at = 0
-    for si in _ends(chunks):
-        if si.tag == _q("s", "si"):
-            yield tok("si", index)
-            for t in si.iter(_q("s", "t")):
-                if t.text:
-                    yield tok("si_t", at, index, text=t.text)
-                    at += 1
-            index += 1
-            si.clear()
+    root = _short(chunks)
+    flat = None if root is None else _flat(root, S_SI)
+    at = index = 0
+    for si in _ends(chunks) if flat is None else flat:
+        if si.tag == S_SI:
+            texts = _texts(si, S_T)
+            yield tok("si", at, index, texts=texts)
+            at, index = at + len(texts), index + 1
+            if flat is None:
+                si.clear()
 
 
 def _sheet_part(tok: Callable[..., tuple], chunks: Chunks) -> Iterator[tuple]:
-    """Cells and inline texts of a sheet; an ill-formed sheet gives none, so it is read to its end before."""
-    _checked(chunks)
+    """Cells of a sheet with their inline texts; an ill-formed sheet gives none, so it is read to its end before."""
+    root = _short(chunks)
+    flat = None if root is None else _flat(root, S_C)
+    if flat is None:
+        _checked(chunks)
     index = at = 0
-    for elem in _ends(chunks):
-        if elem.tag == _q("s", "row"):
-            elem.clear()
-        if elem.tag != _q("s", "c"):
+    for elem in _ends(chunks) if flat is None else flat:
+        if elem.tag != S_C:
+            if elem.tag == S_ROW:
+                elem.clear()
             continue
-        value, inline = elem.find(_q("s", "v")), elem.find(_q("s", "is"))
-        filled = any(elem.find(".//" + _q("s", tag)) is not None for tag in ("v", "is"))
+        value, inline = elem.find(S_V), elem.find(S_IS)
+        filled = value is not None or inline is not None or any(x.tag in (S_V, S_IS) for x in elem.iter())
         kind = elem.get("t", "")
-        yield tok("c", index, ref=elem.get("r", ""), type_=kind, text=None if value is None else value.text, flag=filled)
-        if kind == "inlineStr" and inline is not None:
-            for t in inline.iter(_q("s", "t")):
-                if t.text:
-                    yield tok("is_t", at, index, text=t.text)
-                    at += 1
-        index += 1
-        elem.clear()
+        texts = _texts(inline, S_T) if kind == "inlineStr" and inline is not None else []
+        yield tok("c", index, at, ref=elem.get("r", ""), type_=kind, text=None if value is None else value.text, flag=filled, texts=texts)
+        at, index = at + len(texts), index + 1
+        if flat is None:
+            elem.clear()
 
 
 def _slide_part(tok: Callable[..., tuple], chunks: Chunks) -> Iterator[tuple]:
     """Texts of a slide or its notes by paragraph; an ill-formed part gives none."""
     at = 0
-    for i, paragraph in enumerate(_tree(chunks).iter(_q("a", "p"))):
-        for t in paragraph.iter(_q("a", "t")):
-            if t.text:
-                yield tok("a_t", at, i, text=t.text)
-                at += 1
+    for i, paragraph in enumerate(_tree(chunks).iter(A_P)):
+        texts = _texts(paragraph, A_T)
+        if texts:
+            yield tok("a_p", at, i, texts=texts)
+            at += len(texts)
 
 
 #: How the members of a role are read.
@@ -313,11 +357,13 @@ def _arrow_schema():
     return pa.schema([
         ("path", pa.string()), ("part", pa.string()), ("part_ord", pa.int32()), ("kind", pa.string()),
         ("ord", pa.int64()), ("parent_ord", pa.int64()), ("ref", pa.string()), ("type", pa.string()),
-        ("text", pa.string()), ("flag", pa.bool_()), ("error", pa.string()), ("content", pa.binary()),
+        ("text", pa.string()), ("flag", pa.bool_()), ("error", pa.string()), ("content", pa.binary()), ("texts", pa.list_(pa.string())),
     ])
 
 
-TOKENS_PER_BATCH = 50_000  # output batch size: Python memory stays bounded whatever the package size
+# Output batch size: Python memory stays bounded whatever the package size, and however many packages come together.
+TOKENS_PER_BATCH = 8_000
+CHARS_PER_BATCH = 4 << 20
 #: A member row: a token row of kind ``member`` (``ref``: the package's URI, ``type``: the role) with the member's place.
 MEMBER_SCHEMA = TOKEN_SCHEMA + ", offset long, packed long, size long, method int, crc long"
 
@@ -329,20 +375,29 @@ def _member_schema():
 
 
 def _emitted(tokens: Iterator[tuple], schema=None) -> Iterator:
-    import itertools
-
     import pyarrow as pa
 
     schema = schema or _arrow_schema()
-    for rows in itertools.batched(tokens, TOKENS_PER_BATCH):
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    def batch(rows: list[tuple]):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    rows, held = [], 0
+    for row in tokens:
+        rows.append(row)
+        held += len(row[8] or "") + len(row[11] or "") + (sum(map(len, row[12])) if row[12] else 0)
+        if len(rows) >= TOKENS_PER_BATCH or held >= CHARS_PER_BATCH:
+            yield batch(rows)
+            rows, held = [], 0
+    if rows:
+        yield batch(rows)
 
 
 def _token_batches(batches: Iterator, target_sheets) -> Iterator:
-    """Arrow record batches of packages -> Arrow record batches of tokens (no pandas in between)."""
+    """Arrow record batches of packages -> Arrow record batches of tokens (one package at a time is held as Python bytes)."""
     for batch in batches:
-        packages = zip(batch.column("path").to_pylist(), batch.column("content").to_pylist())
-        yield from _emitted(t for path, content in packages for t in package_tokens(path, content, target_sheets))
+        packages = zip(batch.column("path"), batch.column("content"))
+        yield from _emitted(t for path, content in packages for t in package_tokens(path.as_py(), content.as_py(), target_sheets))
 
 
 def _in_store(uri: str, name: str, read: Callable[..., Iterator[tuple]]) -> Iterator[tuple]:
@@ -452,9 +507,15 @@ def tokenize_files(files: DataFrame, target_sheets: Iterable[str] | None = None,
     return _partitioned(whole.unionByName(given).unionByName(member_tokens(long, n)), n, True)
 
 
-def concat_ordered(order: str, text: str) -> Column:
-    """Texts of a group joined in ``order`` (``collect_list`` alone is unordered)."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(text)))), lambda x: x[text]), "")
+def joined_runs(at: str) -> Column:
+    """The text runs of a group joined in their order: column ``at`` numbers a row's first run in its part.
+
+    A group is one row, unless several packages have the same path.
+    """
+    rows = F.collect_list(F.struct(F.col(at).alias("at"), F.col("texts")))
+    runs = F.flatten(F.transform(rows, lambda r: F.transform(r["texts"], lambda x, i: F.struct((r["at"] + i).alias("at"), x.alias("text")))))
+    several = F.array_join(F.transform(F.array_sort(runs), lambda x: x["text"]), "")
+    return F.when(F.size(rows) == 1, F.array_join(F.get(rows, F.lit(0))["texts"], "")).otherwise(several)
 
 
 def _segments(df: DataFrame, raw: Column, location: Column, meta: Column, seq: Column) -> DataFrame:
@@ -483,10 +544,11 @@ def errors(tokens: DataFrame) -> DataFrame:
 
 def word_paragraphs(tokens: DataFrame) -> DataFrame:
     """Word segments: non-empty paragraphs numbered per part, ``"{Body|Header|Footer} P.{i}"``."""
-    found = tokens.where(F.col("kind").isin("w_t", "w_p"))
+    found = tokens.where(F.col("kind") == "w_p")
     # A paragraph's end closes the texts since the end before it; texts after the last end belong to none.
-    paras = found.groupBy("path", "part", "part_ord", "parent_ord").agg(
-        concat_ordered("ord", "text").alias("text"), F.count("text").alias("texts"), F.bool_or(F.col("kind") == "w_p").alias("ended"))
+    # Grouped in the window's order, so the rows are sorted once.
+    paras = found.groupBy("path", "part", "parent_ord", "part_ord").agg(
+        joined_runs("ord").alias("text"), F.sum(F.size("texts")).alias("texts"), F.bool_or("flag").alias("ended"))
     label = F.when(F.contains("part", F.lit("header")), F.lit(WORD_HEADER)).when(F.contains("part", F.lit("footer")), F.lit(WORD_FOOTER))
     w = Window.partitionBy("path", "part").orderBy("parent_ord")
     numbered = paras.where("ended AND texts > 0").withColumns({"i": F.row_number().over(w), "type": label.otherwise(F.lit(WORD_BODY))})
@@ -515,16 +577,10 @@ def _sheet_parts(tokens: DataFrame, target_sheets: Iterable[str] | None = None)
 def shared_strings(tokens: DataFrame) -> DataFrame:
     """``path, idx, text``: every ``si`` (also empty ones, they hold an index) with its runs joined.
 
-    One aggregate over the ``si`` markers and their runs (no join): a marker
-    carries no text, so a string without runs comes out empty.
+    One aggregate over the ``si`` rows (no join): a string without runs comes out empty.
     """
-    parts = tokens.where(F.col("kind").isin("si", "si_t")).select(
-        "path",
-        F.when(F.col("kind") == "si", F.col("ord")).otherwise(F.col("parent_ord")).alias("idx"),
-        "ord",
-        F.col("text"),
-    )
-    return parts.groupBy("path", "idx").agg(concat_ordered("ord", "text").alias("text"))
+    parts = tokens.where(F.col("kind") == "si").select("path", F.col("parent_ord").alias("idx"), "ord", "texts")
+    return parts.groupBy("path", "idx").agg(joined_runs("ord").alias("text"))
 
 
 def excel_cells_raw(tokens: DataFrame, target_sheets: Iterable[str] | None = None) -> DataFrame:
@@ -534,13 +590,13 @@ def excel_cells_raw(tokens: DataFrame, target_sheets: Iterable[str] | None = Non
         "path", "part", "part_ord", F.col("ord").alias("cell_ord"), F.col("ref").alias("cell"),
         F.col("type").alias("ctype"), F.col("text").alias("v"),
     )
-    inline = tokens.where(F.col("kind") == "is_t").groupBy("path", "part", F.col("parent_ord").alias("cell_ord")).agg(
-        concat_ordered("ord", "text").alias("inline_text")
+    inline = tokens.where((F.col("kind") == "c") & (F.size("texts") > 0)).groupBy("path", "part", F.col("ord").alias("cell_ord")).agg(
+        joined_runs("parent_ord").alias("inline_text")
     )
     sst = shared_strings(tokens).withColumnRenamed("text", "shared_text")
     joined = (
-        cells.join(parts, ["path", "part"])
-        .join(inline, ["path", "part", "cell_ord"], "left")
+        cells.join(inline, ["path", "part", "cell_ord"], "left")  # leaves the cells in the next join's order
+        .join(parts, ["path", "part"])
         .withColumn("idx", F.when(F.col("ctype") == "s", F.expr("try_cast(v AS BIGINT)")))
         .join(sst, ["path", "idx"], "left")
     )
@@ -602,8 +658,8 @@ def powerpoint_paragraphs(tokens: DataFrame) -> DataFrame:
     slides = parts.where(F.col("ptype") == "slide").select("path", "n")
     notes_ok = parts.where(F.col("ptype") == "notes").join(slides, ["path", "n"], "left_semi")
     parts_ok = parts.where(F.col("ptype") == "slide").unionByName(notes_ok)
-    runs = tokens.where(F.col("kind") == "a_t")
-    paras = runs.groupBy("path", "part", "part_ord", "parent_ord").agg(concat_ordered("ord", "text").alias("text"))
+    runs = tokens.where(F.col("kind") == "a_p")
+    paras = runs.groupBy("path", "part", "parent_ord", "part_ord").agg(joined_runs("ord").alias("text"))
     paras = paras.withColumn("text", strip_py(F.col("text"))).where(F.col("text") != "")
     w = Window.partitionBy("path", "part").orderBy("parent_ord")
     numbered = paras.withColumn("i", F.row_number().over(w)).join(parts_ok, ["path", "part"])

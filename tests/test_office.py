@@ -242,3 +242,22 @@ def test_nothing_runs_before_an_action(spark, tmp_path):
     assert segments.count() > 80
     assert spark.sparkContext.statusTracker().getJobIdsForGroup("lazy-office")
     spark.sparkContext.setJobGroup("other", "")
+
+
+def test_batches_are_bounded_by_their_bytes():
+    """400 packages that come as one batch go on in small ones, as packages and as tokens."""
+    import random
+
+    import pyarrow as pa
+
+    from linesift.sources import office_writer
+
+    rng = random.Random(4)
+    texts = ["\n".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=400)) for _ in range(100)) for _ in range(400)]
+    for kind in ("docx", "xlsx", "pptx"):
+        rows = pa.RecordBatch.from_pydict({"path": [f"{i}.{kind}" for i in range(400)], "text": texts, "source": ["s"] * 400, "lang": ["l"] * 400, "n_chars": [1] * 400})
+        packed = list(office_writer._pack_batches(kind, iter([rows])))
+        assert sum(b.num_rows for b in packed) == 400 and max(b.nbytes for b in packed) < 6 << 20
+        tokens = list(office._token_batches(iter(packed), None))
+        assert max(b.nbytes for b in tokens) < 8 << 20 and max(b.num_rows for b in tokens) <= 8_000
+        assert len({p for b in tokens for p in b.column("path").to_pylist()}) == 400
