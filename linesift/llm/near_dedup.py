@@ -36,6 +36,8 @@ from linesift.llm.stage import numbered, ordered, stage
 WORDS, THRESHOLD = 5, 85
 #: Sketch sizes of the first and the second look, and the margin in standard deviations.
 FIRST, K, MARGIN = 64, 256, 5.5
+#: Rows of two numbers that are sent to every task at most; more of them are joined by a shuffle.
+SMALL = 1_000_000
 
 
 def shingle_sets(b: T.Block, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -87,8 +89,14 @@ def least_shared(n: Column, k: int, percent: int) -> Column:
     return F.least(F.ceil(n * F.lit(percent) / F.lit(100)), F.lit(margin)).cast("long")
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """Staged rows of a few numbers, sent to every task if they are few: the wide side is then not shuffled."""
+    return F.broadcast(rows) if rows.count() <= SMALL else rows
+
+
 def _shared(postings: DataFrame) -> DataFrame:
     """Postings (v, cid, n) of values in two lists or more, with ``c``, the length of the list."""
+    postings = postings.repartition("v")  # lengths and join share this one shuffle
     lengths = postings.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
     return postings.join(lengths, "v")
 
@@ -132,7 +140,8 @@ def _link(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, wor
     sure = judged.where(reach(F.col("both"))).select("a", "b")
     open_ = judged.where(F.col("both").isNull()).select("a", "b", "na", "nb")
     ids = open_.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(reps.select("cid", "doc_id", "name"), "cid")
-    wanted = texts.join(ids.select("cid", F.col("doc_id").alias("_id"), "name"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("cid", "text", F.col("name").alias("_name"))
+    ids = stage(ids, "near-ids")
+    wanted = texts.join(_sent(ids.select("cid", F.col("doc_id").alias("_id"), "name")), F.col("doc_id").eqNullSafe(F.col("_id"))).select("cid", "text", F.col("name").alias("_name"))
     full = sketches(wanted, "cid", None, words).join(ids.select(F.col("cid").alias("key"), F.col("name")), ["key", "name"])
     full = stage(full.dropDuplicates(["key"]).select(F.col("key").alias("cid"), "hashes"), "near-sets")
     side = lambda c: full.select(F.col("cid").alias(c), F.col("hashes").alias(f"h{c}"))
@@ -145,11 +154,15 @@ def _pairs(left: DataFrame, right: DataFrame, on, percent: int) -> DataFrame:
     return found.select(F.greatest("cid", "hid").alias("a"), F.least("cid", "hid").alias("b")).distinct()
 
 
-def class_links(reps: DataFrame, texts: DataFrame, percent: int = THRESHOLD, words: int = WORDS) -> DataFrame:
-    """``node, component`` of the linked classes among ``reps`` (cid, n, name, hashes, doc_id)."""
-    first = reps.select("cid", "n", F.explode(F.slice("hashes", 1, FIRST)).alias("v"))
-    alive = _survivors(_shared(first), FIRST, percent)
-    postings = reps.join(alive.select("cid"), "cid").select("cid", "n", F.explode("hashes").alias("v"))
+def class_links(sets: DataFrame, classes: DataFrame, texts: DataFrame, percent: int = THRESHOLD, words: int = WORDS) -> DataFrame:
+    """``node, component`` of the linked ``classes`` (cid, _row): ``sets`` (_row, n, name, doc_id, head, tail) has their sketches."""
+    heads = sets.select("_row", "n", "head").join(classes.select("_row", "cid"), "_row")
+    alive = _survivors(_shared(heads.select("cid", "n", F.explode("head").alias("v"))), FIRST, percent)
+    alive = stage(classes.select("_row", "cid").join(alive.select("cid"), "cid"), "near-alive")
+    # One row for each class that may have a partner: the sketch of its first document.
+    reps = sets.join(_sent(alive), "_row").select("cid", "n", "name", "doc_id", F.concat("head", "tail").alias("hashes"))
+    reps = stage(reps, "near-reps")
+    postings = reps.select("cid", "n", F.explode("hashes").alias("v"))
     shared = stage(_shared(postings), "near-postings").drop("c")
     shared = _shared(shared.join(_survivors(shared, K, percent).select("cid"), "cid"))
     alive = _survivors(shared, K, percent)
@@ -191,16 +204,14 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, words: int = WORD
     """``doc_id, n_shingles, component_id, kept, class_id`` for each row of ``docs`` (doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = sketches(texts, "doc_id", K, words).withColumn("_row", F.monotonically_increasing_id())
-    sets = stage(sets, "near-sketches").withColumnRenamed("key", "doc_id")
+    halves = [F.slice("hashes", 1, FIRST).alias("head"), F.slice("hashes", FIRST + 1, K).alias("tail")]  # the first look reads the head alone
+    sets = stage(sets.select(F.col("key").alias("doc_id"), "n", "name", "_row", *halves), "near-sketches")
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
     classes = sets.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("least"), F.min_by("_row", first).alias("_row"))
     classes = numbered(ordered(classes, ["least", "name"], "near-classes")).select("name", "least", "_row", F.col("_rank").alias("cid"))
     classes = stage(classes, "near-class-ids")
-    # One row for each class: the sketch of its first document.
-    reps = stage(sets.join(classes.select("_row", "cid"), "_row").select("cid", "n", "name", "hashes", "doc_id"), "near-reps")
-    classes = classes.drop("_row")
-    groups = class_links(reps, texts, percent, words)
-    label = classes.join(groups.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    groups = class_links(sets, classes, texts, percent, words)
+    label = classes.drop("_row").join(groups.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     best = label.groupBy("component").agg(F.min("least").alias("component_id"))
     label = stage(label.join(best, "component").select("name", F.col("cid").alias("class_id"), "component_id"), "near-labels")
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("name")).alias("name")).join(label, "name", "left")

@@ -469,3 +469,22 @@ def test_template_group_below_the_threshold(spark):
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(groups(rows))
     assert sum(r["component_id"] != r["doc_id"] for r in got) >= 10
+
+
+def test_only_sketches_that_may_have_a_partner_are_written_again(spark, monkeypatch):
+    """Of 60 unrelated texts, two copies and one near copy, the sketches of the near pair alone go on."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"u{rng.randrange(10**9)}" for _ in range(80))) for i in range(60)]
+    rows += [(100, rows[5][1]), (101, rows[5][1]), (102, rows[7][1] + " more")]
+    staged, plain = {}, near_dedup.stage
+
+    def kept(df, name, *more):
+        staged[name] = plain(df, name, *more)
+        return staged[name]
+
+    monkeypatch.setattr(near_dedup, "stage", kept)
+    for small in (near_dedup.SMALL, 0):  # sent around, and joined by a shuffle
+        monkeypatch.setattr(near_dedup, "SMALL", small)
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(groups(rows))
+        assert staged["near-sketches"].count() == 63 and staged["near-reps"].count() == 2
