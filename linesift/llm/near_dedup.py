@@ -96,9 +96,10 @@ def _sent(rows: DataFrame) -> DataFrame:
 
 def _shared(postings: DataFrame) -> DataFrame:
     """Postings (v, cid, n) of values in two lists or more, with ``c``, the length of the list."""
-    postings = postings.repartition("v")  # lengths and join share this one shuffle
-    lengths = postings.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
-    return postings.join(lengths, "v")
+    postings = postings.repartition("v")
+    # The lengths name all columns (no class is empty): so they read the join's own shuffle, not a narrower one.
+    lengths = postings.groupBy("v").agg(F.count("*").alias("c"), F.min("cid").alias("_lo"), F.max("cid").alias("_hi"), F.max("n").alias("_n"))
+    return postings.join(lengths.where("_lo < _hi and _n > 0").select("v", "c"), "v")
 
 
 def _survivors(shared: DataFrame, k: int, percent: int) -> DataFrame:
