@@ -112,14 +112,14 @@ def _possible(percent: int) -> Column:
     """Whether two classes (n, m, r and hn, hm, hr) can reach the threshold by their sizes and shared values.
 
     At the first value that they share, of rank r and hr, only the values from there on can be shared as well; so where
-    these are too few, no list of a later value needs the pair either.
+    these are too few, no list of a later value needs the pair either.  Sets of K shingles at most are whole: the pair
+    itself then says how many values it has to share, which is more than either class has to share with any partner.
     """
     rest = F.least(F.col("m") - F.col("r"), F.col("hm") - F.col("hr")) + 1
     enough = rest >= F.greatest(least_shared(F.col("n"), K, percent), least_shared(F.col("hn"), K, percent))
     fits = 100 * F.least("n", "hn") >= percent * F.greatest("n", "hn")
-    exact = (100 + percent) * F.least("m", "hm") >= percent * (F.col("n") + F.col("hn"))
-    short = math.floor(K * percent / 100)
-    return fits & enough & (exact | (F.col("n") > short) | (F.col("hn") > short))
+    exact = (100 + percent) * rest >= percent * (F.col("n") + F.col("hn"))
+    return fits & enough & (exact | (F.col("n") > K) | (F.col("hn") > K))
 
 
 def _link(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:

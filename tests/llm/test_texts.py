@@ -488,3 +488,28 @@ def test_only_sketches_that_may_have_a_partner_are_written_again(spark, monkeypa
         got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
         assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(groups(rows))
         assert staged["near-sketches"].count() == 63 and staged["near-reps"].count() == 2
+
+
+def test_near_copies_below_the_threshold_meet_in_few_pairs(spark, monkeypatch):
+    """Copies of one text with some words replaced: those too far from it are not paired with all that are near it."""
+    rng = random.Random(11)
+    text = [f"t{i}" for i in range(150)]
+    rows = [(-1, " ".join(text))]
+    for i in range(240):
+        w = list(text)
+        for at in rng.sample(range(150), 4 if i % 4 == 0 else 2):
+            w[at] = f"r{rng.randrange(3)}"
+        rows.append((i, " ".join(w)))
+    pairs, plain = [], near_dedup.stage
+
+    def counted(df, name, *more):
+        out = plain(df, name, *more)
+        if name == "near-pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "stage", counted)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(groups(rows))
+    assert sum(r["component_id"] == r["doc_id"] for r in got) > 20
+    assert sum(pairs) < 1500, pairs
