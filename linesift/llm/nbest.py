@@ -15,10 +15,11 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-import bisect
 import heapq
 import itertools
+import math
 import zlib
+from bisect import insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,60 +34,98 @@ from linesift.llm.unigram import MARK, Unigram, marked, pretokens, unigram
 N = 3
 #: Characters encoded together; bytes of one generation of known pre-tokens, and of an entry's own objects.
 RUN_CHARS, GENERATION, ENTRY = 2_000_000, 128 << 20, 400
+#: Characters that a table of beginnings is kept by, and its entries at most.
+HEAD, HEADS = 3, 60_000
 Segmentation = tuple[float, tuple[int, ...]]
 
 
-def lattice(word: str, model: Unigram) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-    """Arcs by end position: (start, score, ids)."""
-    size = len(word)
-    arcs: list[list] = [[] for _ in range(size + 1)]
-    score = model.score
-    for start in range(size):
-        node, at, single = model.trie, start, False
-        while at < size and (node := node.get(word[at])) is not None:
-            at += 1
-            if (i := node.get("")) is not None:
-                arcs[at].append((start, score[i], (i,)))
-                single = single or at == start + 1
-        if not single:
-            ids = tuple(model.fallback(word[start]))
-            arcs[start + 1].append((start, len(ids) * model.byte_score, ids))
-    return arcs
-
-
-def forward(arcs: list[list]) -> list[float]:
-    """Best score from the start to each position."""
-    best = [0.0]
-    for ends in arcs[1:]:
-        best.append(max(best[start] + s for start, s, _ in ends))
-    return best
+def _starts(text: str, model: Unigram) -> tuple[list[tuple[int, float, bytes]], dict | None]:
+    """Pieces (length, score, ids) that the text begins with, or its first character's bytes; and the steps that go on behind it."""
+    found, node, size = [], model.steps, 0
+    for c in text:
+        if (step := node.get(c)) is None:
+            node = None
+            break
+        node, s, ids = step
+        size += 1
+        if ids is not None:
+            found.append((size, s, ids))
+    if not found or found[0][0] > 1:
+        raw = model.fallback(text[0])
+        found.append((1, len(raw) * model.byte_score, np.array(raw, "<u4").tobytes()))
+    return found, node or None
 
 
-def n_best(word: str, model: Unigram, n: int = N) -> list[Segmentation]:
-    """The n best segmentations of a pre-token."""
-    arcs = lattice(word, model)
-    best = forward(arcs)
+def lattice(word: str, model: Unigram) -> tuple[list[list[tuple[int, float, bytes]]], list[float], bool]:
+    """Arcs by end position (start, score, ids), the best score from the start to each position, and whether all arcs are pieces.
+
+    What begins with the same few characters is looked up once, as long as the table of them is small.
+    """
+    size, whole, known = len(word), True, model.starts
+    arcs: list[list] = [[] for _ in range(size + 1)]
+    best = [0.0] + [-math.inf] * size
+    for start in range(size):  # all arcs that end here are known
+        before, head = best[start], word[start : start + HEAD]
+        if (entry := known.get(head)) is None:
+            if len(known) >= HEADS:
+                known.clear()
+            entry = known[head] = _starts(head, model)
+        for length, s, ids in entry[0]:
+            arcs[start + length].append((start, s, ids))
+            if before + s > best[start + length]:
+                best[start + length] = before + s
+        if s <= model.byte_score:  # the last one is the character's bytes
+            whole = False
+        if (node := entry[1]) is not None:
+            for at in range(start + HEAD, size):
+                if (step := node.get(word[at])) is None:
+                    break
+                node, s, ids = step
+                if ids is not None:
+                    arcs[at + 1].append((start, s, ids))
+                    if before + s > best[at + 1]:
+                        best[at + 1] = before + s
+    return arcs, best, whole
+
+
+def _search(arcs: list[list], best: list[float], n: int) -> list[tuple[float, bytes]]:
     # (negated priority, position, order of entry, score so far, pieces from here to the end as a linked list), sorted
-    waiting: list[tuple] = [(-best[-1], len(word), 0, 0.0, None)]
-    entered = 0
-    found: list[Segmentation] = []
-    while waiting and len(found) < n:
+    waiting: list[tuple] = [(-best[-1], len(arcs) - 1, 0, 0.0, None)]
+    entered = held = 0
+    room = n
+    found: list[tuple[float, bytes]] = []
+    while True:
         _, at, _, s, rest = waiting.pop(0)
         if at == 0:
             parts = []
             while rest is not None:
                 piece, rest = rest
                 parts.append(piece)
-            found.append((s, tuple(itertools.chain.from_iterable(parts))))
+            found.append((s, b"".join(parts)))
+            room -= 1
+            if not (waiting and room):
+                return found
             continue
-        room = n - len(found)
+        held = len(waiting)
+        last = waiting[-1][0] if held >= room else math.inf
         for start, t, piece in arcs[at]:
             priority = -(best[start] + s + t)
-            if len(waiting) < room or (priority, start) < waiting[-1][:2]:
-                entered += 1
-                bisect.insort(waiting, (priority, start, entered, s + t, (piece, rest)))
-                del waiting[room:]
-    return found
+            if priority > last or priority == last and held >= room and start >= waiting[-1][1]:
+                continue
+            entered += 1
+            insort(waiting, (priority, start, entered, s + t, (piece, rest)))
+            if held >= room:
+                waiting.pop()
+            else:
+                held += 1
+            if held >= room:
+                last = waiting[-1][0]
+
+
+def n_best(word: str, model: Unigram, n: int = N) -> list[Segmentation]:
+    """The n best segmentations of a pre-token."""
+    arcs, best, _ = lattice(word, model)
+    return [(s, tuple(np.frombuffer(ids, "<u4").tolist())) for s, ids in _search(arcs, best, n)]
 
 
 class Known:
@@ -95,11 +134,12 @@ class Known:
     __slots__ = ("choices", "loss", "spelt")
 
     def __init__(self, word: str, model: Unigram, n: int):
-        found = n_best(word, model, n)
-        self.choices = [(s, np.array(ids, "<u4").tobytes(), len(ids)) for s, ids in found]
+        arcs, best, whole = lattice(word, model)
+        found = _search(arcs, best, n)
+        self.choices = [(s, ids, len(ids) // 4) for s, ids in found]
         self.loss = found[0][0] - found[1][0] if len(found) > 1 else None
-        # Decoding drops the first blank: a mark put in front takes its place.
-        self.spelt = model.decode([model.first_mark, *found[0][1]]) == word.replace(MARK, " ")
+        # Decoding drops the first blank: a mark put in front takes its place.  Pieces found in a word spell it.
+        self.spelt = whole and model.mark_first or model.decode([model.first_mark, *np.frombuffer(found[0][1], "<u4").tolist()]) == word.replace(MARK, " ")
 
     def size(self, word: str) -> int:
         return ENTRY + 2 * len(word) + sum(120 + len(ids) for _, ids, _ in self.choices)

@@ -52,6 +52,16 @@ class Unigram:
             for c in self.text[i]:
                 node = node.setdefault(c, {})
             node[""] = i
+        #: Whether the first mark is a mark alone, which a decoded text loses.
+        self.mark_first = bool(usual) and self.text[self.first_mark] == MARK
+        #: The same pieces by character as (next steps, score, id as 4 bytes); score and id are None where no piece ends.
+        self.steps = self._steps(self.trie)
+        #: What texts begin with, as far as it was looked up.
+        self.starts: dict = {}
+
+    def _steps(self, node: dict) -> dict:
+        ends = ((c, below, below.get("")) for c, below in node.items() if c)
+        return {c: (self._steps(below), None if i is None else self.score[i], None if i is None else i.to_bytes(4, "little")) for c, below, i in ends}
 
     def fallback(self, c: str) -> list[int]:
         """Byte pieces of a character that is no piece."""

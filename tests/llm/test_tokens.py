@@ -195,6 +195,23 @@ def test_n_best_against_all_segmentations():
             assert np.allclose([-s for s, _ in got], every[:n]) and len({ids for _, ids in got}) == len(got)
 
 
+def test_table_of_beginnings_does_not_change_the_lattice(monkeypatch):
+    """Whatever is kept of it: the same n best as all segmentations, and the table is bounded."""
+    model = unigram(tokenizer("piece_bpe_32k.model"))
+    monkeypatch.setattr(nbest, "HEADS", 5)
+    for head in (1, 2, 3, 9):
+        monkeypatch.setattr(nbest, "HEAD", head)
+        model.starts.clear()
+        for w in WORDS:
+            every = sorted(-s for s, _ in cuts(w, model))
+            assert np.allclose([-s for s, _ in nbest.n_best(w, model, 6)], every[:6])
+            assert len(model.starts) <= 5
+            best = nbest.Known(w, model, 3)
+            ids = np.frombuffer(best.choices[0][1], "<u4").tolist()
+            assert best.spelt == (model.decode([model.first_mark, *ids]) == w.replace("▁", " "))
+    model.starts.clear()
+
+
 def test_n_best_of_texts_and_counts_on_hard_rows(spark, hard, hard_rows, none):
     path = tokenizer("piece_bpe_32k.model")
     model = unigram(path)
