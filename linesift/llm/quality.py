@@ -322,8 +322,9 @@ def gram_values(grams: DataFrame, probs: DataFrame, backoffs: DataFrame, order:
     """
     lower = None
     for k in range(1, order + 1):
-        part = grams.select("lang", F.expr(f"substring(gram, {order - k + 1}, {k})").alias("gram"))
-        part = (grams.select("lang", "gram") if k == order else part).distinct().withColumns({"ctx": F.expr(f"substring(gram, 1, {k - 1})"), "end": F.expr(f"substring(gram, 2, {k - 1})")})
+        # The n-grams themselves are distinct and keep their key; their ends are not.
+        part = grams.select("lang", F.expr(f"substring(gram, {order - k + 1}, {k})").alias("gram")).distinct() if k < order else grams.select("key", "lang", "gram")
+        part = part.withColumns({"ctx": F.expr(f"substring(gram, 1, {k - 1})"), "end": F.expr(f"substring(gram, 2, {k - 1})")})
         p = probs.where(F.col("k") == k).select("lang", "gram", "logp")
         b = backoffs.where(F.col("k") == k - 1).select("lang", F.col("gram").alias("ctx"), "logb")
         part = part.join(p, ["lang", "gram"], "left").join(b, ["lang", "ctx"], "left")
@@ -331,8 +332,10 @@ def gram_values(grams: DataFrame, probs: DataFrame, backoffs: DataFrame, order:
             part = part.join(lower.select("lang", F.col("gram").alias("end"), F.col("logp").alias("below")), ["lang", "end"], "left")
         else:  # a character that its language has never shown
             part = part.withColumn("below", F.log(F.lit(1e-5)))
-        lower = stage(part.select("lang", "gram", F.coalesce("logp", F.coalesce("logb", F.lit(0.0)) + F.col("below")).alias("logp")), f"values-{k}")
-    return grams.join(lower, ["lang", "gram"]).select("key", "gram", "logp")
+        value = F.coalesce("logp", F.coalesce("logb", F.lit(0.0)) + F.col("below")).alias("logp")
+        if k < order:
+            lower = stage(part.select("lang", "gram", value), f"values-{k}")
+    return part.select("key", "gram", value)
 
 
 def hashed_values(values: DataFrame, order: int = ORDER) -> DataFrame:
@@ -428,7 +431,7 @@ def quality(docs: DataFrame, order: int = ORDER, lower: float = LOWER, upper: fl
     # A half's own n-grams, under the model of the other one: the last sign of the key is the half.
     other = F.expr("concat(substring(lang, 1, length(lang) - 1), 1 - cast(right(lang, 1) as int))") if held_out else F.col("lang")
     grams = counts.select(F.col("lang").alias("key"), other.alias("lang"), "gram")
-    values = hashed_values(gram_values(grams, stage(probs, "ngram-probabilities"), backoffs, order), order)
+    values = hashed_values(gram_values(grams, probs, backoffs, order), order)
     if 12 * values.count() <= broadcast_bytes:
         none = np.zeros(0, np.uint64), np.zeros(0, "<f4")
         model = spark.sparkContext.broadcast((*value_arrays(values), *none))

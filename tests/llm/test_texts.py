@@ -132,6 +132,19 @@ def banded(rows):
     return out
 
 
+def test_ngrams_are_written_once_for_each_step(spark, hard, monkeypatch):
+    """The probabilities and the values of the longest n-grams have one copy on disk, in one shuffle less."""
+    names, plain = [], quality.stage
+
+    def named(df, name, *more):
+        names.append(name)
+        return plain(df, name, *more)
+
+    monkeypatch.setattr(quality, "stage", named)
+    quality.quality(hard, held_out=True)
+    assert sorted(names) == sorted(["ngram-counts", *(f"grams-{k}" for k in range(1, 5)), *(f"probabilities-{k}" for k in range(1, 6)), *(f"values-{k}" for k in range(1, 5)), "ngram-values", "quality-scores", "quality-bands"])
+
+
 def test_bands_are_the_same_for_a_model_of_any_size(spark):
     """Noise among real documents is rejected by a model that is sent around and by one that is joined."""
 
