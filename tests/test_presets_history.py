@@ -2,6 +2,7 @@
 
 import datetime as dt
 import io
+import random
 import re
 
 from conftest import segments_of
@@ -40,6 +41,42 @@ def test_many_patterns_by_their_guards(spark):
     assert empty.columns == presets.preset_scan(segs).columns and empty.count() == 0
 
 
+def test_long_guards_are_filed_under_long_grams(spark, monkeypatch):
+    """Patterns that share all their trigrams fetch few lines; every way to find the filed grams gives the same hits."""
+    from linesift.sources.presets import PATTERNS_SCHEMA
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice(("ana", "nan", "日本", "é")) for _ in range(rng.randrange(1, 6)))
+    rows = [("w", i, w, rf"\b{w}\b" if i % 2 else w, bool(i % 2)) for i in range(400) for w in [word()]]
+    lines = [" ".join(word() for _ in range(rng.randrange(9))) for _ in range(200)]
+    segs = segments_of(spark, [("f.txt", "\n".join(lines)), ("null.txt", None), ("empty.txt", "")])
+    table = spark.createDataFrame(rows, PATTERNS_SCHEMA)
+    filed = presets.pattern_index(presets.guarded_patterns(table)).collect()
+    assert all(len(r.key) == (6 if len(r.guard) >= 6 else 3) and r.key in r.guard for r in filed) and {len(r.key) for r in filed} == {3, 6}
+    want = sorted((n, o) for n, line in enumerate(lines, 1) for _, o, _, p, is_regex in rows if line and (re.search(p, line) if is_regex else p in line))
+    for few, small in ((64, 200_000), (10**6, 10**6), (64, 20)):
+        monkeypatch.setattr(presets, "FEW_KEYS", few)
+        monkeypatch.setattr(presets, "SMALL_INDEX", small)
+        assert sorted((r.line_number, r.ord) for r in presets.preset_scan_table(segs, table).collect()) == want
+    assert len(want) > 400
+
+
+def test_filed_grams_in_blocks(monkeypatch):
+    """Lines that lie over several blocks, slices of a batch, null lines, keys that begin alike."""
+    import pyarrow as pa
+
+    rng = random.Random(10)
+    text = lambda n: "".join(rng.choice("abé日") for _ in range(n))
+    lines = [None if i % 17 == 0 else text(rng.randrange(60)) for i in range(80)]
+    keys = sorted({text(3) for _ in range(20)} | {text(6) for _ in range(200)})
+    held = lambda line, k: line is not None and k.encode()[: len(k)] in line.encode()
+    for block in (5, 64, 1 << 20):
+        monkeypatch.setattr(presets, "BLOCK", block)
+        line, which = presets._key_finder(keys)(pa.array(lines).slice(3))
+        want = [(i, j) for i, x in enumerate(lines[3:]) for j, k in enumerate(keys) if held(x, k)]
+        assert [*zip(line.tolist(), which.tolist(), strict=True)] == want and want
+
+
 def test_presets_load(spark, tmp_path):
     df = presets_frame(spark)
     assert df.count() == 21 and df.select("category").distinct().count() == 6
