@@ -43,6 +43,21 @@ def test_encoder_on_odd_texts(texts):
         assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(tokenizer(name)).encode(texts)] == [want(t) for t in texts]
 
 
+def test_odd_white_space_is_what_the_pattern_finds():
+    """The look-up by single kinds against the one class of characters it stands for, on every white space there is."""
+    import random
+    import re
+
+    from linesift.llm.encoder import _odd_space
+
+    odd = re.compile(r"[^\S \n]|[ \n]{2}|^[ \n]|[ \n]\Z").search
+    spaces = [c for c in map(chr, range(0x110000)) if c.isspace()]
+    rng = random.Random(11)
+    texts = ["", *spaces, *(f"a{c}b" for c in spaces), *(f"é{c}日" for c in spaces)]
+    texts += ["".join(rng.choice(["a", "é", "\U0001f389", " ", "\n", "\u200b", "\x00", rng.choice(spaces)]) for _ in range(rng.randrange(8))) for _ in range(5000)]
+    assert [_odd_space(t) for t in texts] == [bool(odd(t)) for t in texts]
+
+
 def test_packing(spark, hard, hard_rows, none):
     path, want = tokenizer("word_bpe_49k.json"), plain("word_bpe_49k.json")
     got = packing.pack_documents(hard.withColumnRenamed("source", "offset"), path).collect()
