@@ -13,6 +13,12 @@ which read only their bytes.  Parts are streamed.  The tokens are hash-partition
 ``path`` once, so every later join, aggregate and window on ``(path, ...)``
 reuses that partitioning without another shuffle.  A group is at most one
 package (bounded by the binary row of the file).
+
+What is staged and shuffled for that is several times the packages.  A package that is
+alone with its path needs neither: all its tokens come from one task, in their order.
+:func:`split_by_path` tells such packages from the others, :func:`tokenize_split` numbers
+their paragraphs and finds their sheets and strings where they are read; the extractors
+take it from there.
 """
 
 from __future__ import annotations
@@ -21,11 +27,17 @@ import io
 import os
 import re
 import struct
+import tempfile
 import zipfile
 import zlib
 import xml.etree.ElementTree as ET
+from array import array
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from functools import partial
+from itertools import groupby
+from operator import itemgetter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -311,11 +323,12 @@ def _part_tokens(path: str, part: str, order: int, role: str, chunks: Chunks, in
         yield _tok(path, part, order, "error", error=f"Error parsing {KIND_NAME[_ext(path)]} part {part}: {e}")
 
 
-def package_tokens(path: str, content, target_sheets: frozenset[str] | None = None, members: Callable | None = None) -> Iterator[tuple]:
+def package_tokens(path: str, content, target_sheets: frozenset[str] | None = None, members: Callable | None = None,
+                   names: list[str] | None = None) -> Iterator[tuple]:
     """Token rows of one package (bytes, or an open file of which only the parts are read), produced lazily.
 
     A file that is not a package gives an ``error`` row and a ``raw`` row, which has the content if that was given.
-    ``members`` makes a row of each member instead of reading it.
+    ``members`` makes a row of each member instead of reading it.  ``names`` gets the names of all members before the first token.
     """
     given = isinstance(content, (bytes, bytearray, memoryview))
     if _ext(path) not in OFFICE_EXTS:
@@ -333,6 +346,8 @@ def package_tokens(path: str, content, target_sheets: frozenset[str] | None = No
         yield _tok(path, None, None, "raw", content=content if given else None)
         return
     with zf:
+        if names is not None:
+            names.extend(zf.namelist())
         try:
             for row in _directory(path, zf, target_sheets):
                 if len(row) > 3:
@@ -351,6 +366,119 @@ def package_tokens(path: str, content, target_sheets: frozenset[str] | None = No
             yield _tok(path, None, None, "error", error=f"Error parsing {KIND_NAME[_ext(path)]} {path}: {e}")
 
 
+#: Rows of a package that is alone with its path: its errors, and its paragraphs and cells (kinds ``own_w``, ``own_c``
+#: and ``own_a``) with the texts, numbers and sheets (``name``) that aggregates, windows and joins find for other packages.
+OWN_SCHEMA = "path string, part string, part_ord int, kind string, ord long, parent_ord long, ref string, type string, text string, error string, content binary, name string"
+_LONG = re.compile(r"[\x00-\x20\x7f]*([+-]?)0*([0-9]+)[\x00-\x20\x7f]*")
+
+
+def _long(value: str | None) -> int | None:
+    """``try_cast(value AS BIGINT)``."""
+    m = _LONG.fullmatch(value or "")
+    n = int(m.group(1) + m.group(2)) if m and len(m.group(2)) < 20 else 1 << 63
+    return n if -(1 << 63) <= n < 1 << 63 else None
+
+
+class _Strings:
+    """A workbook's shared strings by index; long ones together lie in a temporary file, with 8 bytes each in memory."""
+
+    def __init__(self) -> None:
+        self.file, self.ends = tempfile.SpooledTemporaryFile(CHARS_PER_BATCH), array("q", [0])
+
+    def add(self, texts: list[str]) -> None:  # all of them before the first is taken
+        data = "".join(texts).encode()
+        self.file.write(data)
+        self.ends.append(self.ends[-1] + len(data))
+
+    def get(self, index: int | None) -> str:
+        if index is None or not 0 <= index < len(self.ends) - 1:
+            return ""
+        self.file.seek(self.ends[index])
+        return self.file.read(self.ends[index + 1] - self.ends[index]).decode()
+
+
+def _passed(t: tuple) -> tuple:
+    """A token (an error, or the bytes of what is no package) as a row of ``OWN_SCHEMA``."""
+    return (*t[:9], *t[10:12], None)
+
+
+def _members(tokens: Iterator[tuple], names: list[str]) -> Iterator[tuple[int, int, Iterator[tuple]]]:
+    """Of each member: how many have its name, how many of them came before, its tokens."""
+    copies, before = Counter(), Counter()
+    for (part, _order), rows in groupby(tokens, key=itemgetter(1, 2)):
+        if not copies:
+            copies.update(names)  # known with the first token
+        yield copies[part], before[part], rows
+        before[part] += 1
+
+
+def _own_word(tokens: Iterator[tuple], names: list[str]) -> Iterator[tuple]:
+    for copies, copy, rows in _members(tokens, names):
+        number = copy + 1  # members of one name, all with the same bytes, take turns
+        for t in rows:
+            if t[3] != "w_p":
+                yield _passed(t)
+            elif t[9] and t[12]:
+                yield t[0], t[1], t[2], "own_w", number, None, None, None, "".join(t[12]), None, None, None
+                number += copies
+
+
+def _own_slides(tokens: Iterator[tuple], names: list[str]) -> Iterator[tuple]:
+    slides = None
+    for copies, copy, rows in _members(tokens, names):
+        if slides is None:
+            slides = {int(m.group(1)) for name in names if (m := re.match(SLIDE_PART, name))}
+        number, n, type_, shown = copy + 1, None, None, 0
+        for t in rows:
+            if t[3] == "part":
+                n, type_ = t[4], t[7]
+                shown = copies if type_ == "slide" or n in slides else 0  # each paragraph meets each member of that name
+            elif t[3] != "a_p":
+                yield _passed(t)
+            elif text := "".join(t[12]).strip():
+                for _ in range(shown):
+                    yield t[0], t[1], t[2], "own_a", number, n, None, type_, text, None, None, None
+                number += copies
+
+
+def _own_cells(tokens: Iterator[tuple], names: list[str]) -> Iterator[tuple]:
+    sheets, targets, by_part, strings = [], defaultdict(list), None, _Strings()
+    with strings.file:
+        for t in tokens:
+            kind, ref, text = t[3], t[6], t[8]
+            if kind == "sheet":
+                sheets += [(t[4], ref, text)] if ref and text else []
+            elif kind == "rel":
+                targets[ref] += [text[1:] if text.startswith("/") else f"xl/{text}"] if ref is not None and text else []
+            elif kind == "si":
+                strings.add(t[12])
+            elif kind == "c":
+                if by_part is None:  # all sheets and relationships come before the first cell
+                    by_part = defaultdict(list)
+                    for sheet_ord, r_id, sheet in sheets:
+                        for part in targets.get(r_id, ()):
+                            by_part[part].append((sheet_ord, sheet))
+                if t[7] == "s":
+                    text = strings.get(_long(text))
+                elif t[7] == "inlineStr":
+                    text = "".join(t[12])
+                for sheet_ord, sheet in by_part.get(t[1], ()):
+                    yield t[0], t[1], t[2], "own_c", t[4], sheet_ord, ref, t[7], text, None, None, sheet
+            else:
+                yield _passed(t)
+
+
+#: What a package that is alone with its path gives, by format.
+OWN = {"DOCX": _own_word, "XLSX": _own_cells, "PPTX": _own_slides}
+
+
+def own_rows(path: str, content, target_sheets: frozenset[str] | None = None) -> Iterator[tuple]:
+    """Rows (``OWN_SCHEMA``) of one package that is alone with its path, produced lazily."""
+    if _ext(path) in OFFICE_EXTS:
+        names: list[str] = []
+        yield from OWN[KIND_NAME[_ext(path)]](package_tokens(path, content, target_sheets, names=names), names)
+
+
 def _arrow_schema():
     import pyarrow as pa
 
@@ -368,13 +496,23 @@ CHARS_PER_BATCH = 4 << 20
 MEMBER_SCHEMA = TOKEN_SCHEMA + ", offset long, packed long, size long, method int, crc long"
 
 
+def _own_schema():
+    import pyarrow as pa
+
+    return pa.schema([*(f for f in _arrow_schema() if f.name not in ("flag", "texts")), pa.field("name", pa.string())])
+
+
 def _member_schema():
     import pyarrow as pa
 
     return pa.schema([*_arrow_schema(), *(pa.field(n, pa.int64()) for n in ("offset", "packed", "size")), ("method", pa.int32()), ("crc", pa.int64())])
 
 
-def _emitted(tokens: Iterator[tuple], schema=None) -> Iterator:
+def _weight(t: tuple) -> int:
+    return len(t[8] or "") + len(t[11] or "") + (sum(map(len, t[12])) if t[12] else 0)
+
+
+def _emitted(tokens: Iterator[tuple], schema=None, weight: Callable[[tuple], int] = _weight) -> Iterator:
     import pyarrow as pa
 
     schema = schema or _arrow_schema()
@@ -385,7 +523,7 @@ def _emitted(tokens: Iterator[tuple], schema=None) -> Iterator:
     rows, held = [], 0
     for row in tokens:
         rows.append(row)
-        held += len(row[8] or "") + len(row[11] or "") + (sum(map(len, row[12])) if row[12] else 0)
+        held += weight(row)
         if len(rows) >= TOKENS_PER_BATCH or held >= CHARS_PER_BATCH:
             yield batch(rows)
             rows, held = [], 0
@@ -400,6 +538,13 @@ def _token_batches(batches: Iterator, target_sheets) -> Iterator:
         yield from _emitted(t for path, content in packages for t in package_tokens(path.as_py(), content.as_py(), target_sheets))
 
 
+def _own_batches(batches: Iterator, target_sheets) -> Iterator:
+    for batch in batches:
+        packages = zip(batch.column("path"), batch.column("content"))
+        yield from _emitted((t for path, content in packages for t in own_rows(path.as_py(), content.as_py(), target_sheets)),
+                            _own_schema(), lambda row: len(row[8] or "") + len(row[10] or ""))
+
+
 def _in_store(uri: str, name: str, read: Callable[..., Iterator[tuple]]) -> Iterator[tuple]:
     """``read`` of a package that is opened where it lies: its directory and parts are read in place, it is never held whole."""
     from linesift.sources.files import _open
@@ -481,6 +626,49 @@ def tokenize(packages: DataFrame, target_sheets: Iterable[str] | None = None, st
     return _partitioned(toks, _partitions(packages), staged)
 
 
+#: Up to so many paths of several packages are told apart; with more of them all packages count as such.
+MAX_SHARED = 1 << 17
+
+
+def split_by_path(rows: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """Rows that are alone with their ``path``, and the others; ``None`` for either if there is none.
+
+    One job, run here, reads the paths.  They are compared by a hash: a path that meets another one's is not alone.
+    """
+    spark, key = rows.sparkSession, F.xxhash64("path")
+    hashes = rows.select(key.alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    found = hashes.limit(MAX_SHARED + 1).toArrow()
+    if not found.num_rows:
+        return rows, None
+    if found.num_rows > MAX_SHARED:
+        return None, rows
+    shared = F.broadcast(spark.createDataFrame(found))
+    return tuple(rows.join(shared, key == F.col("hash"), how) for how in ("left_anti", "left_semi"))
+
+
+@dataclass(frozen=True)
+class SplitTokens:
+    """Rows of packages alone with their path (``OWN_SCHEMA``), and the tokens of the others by path; ``None``: there are none."""
+
+    own: DataFrame | None
+    shared: DataFrame | None
+
+
+def tokenize_split(own: DataFrame | None, shared: DataFrame | None, target_sheets: Iterable[str] | None = None) -> SplitTokens:
+    """Packages (``path, content``) as :func:`split_by_path` splits them -> their rows; only those of shared paths are staged and shuffled."""
+    ts = frozenset(target_sheets) if target_sheets is not None else None
+    rows = None if own is None else own.select("path", "content").mapInArrow(lambda it: _own_batches(it, ts), OWN_SCHEMA)
+    return SplitTokens(rows, None if shared is None else tokenize(shared, ts))
+
+
+def _both(tokens: DataFrame | SplitTokens, own: Callable[[DataFrame], DataFrame], shared: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``shared`` of tokens by path, with ``own`` of what is split from them."""
+    if not isinstance(tokens, SplitTokens):
+        return shared(tokens)
+    found = [f(rows) for f, rows in ((own, tokens.own), (shared, tokens.shared)) if rows is not None]
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
 def package_members(files: DataFrame, target_sheets: Iterable[str] | None = None) -> DataFrame:
     """``path`` (URI), ``file_path`` -> rows of ``MEMBER_SCHEMA``: the tokens of each directory, and a row for each member to be read."""
     ts = frozenset(target_sheets) if target_sheets is not None else None
@@ -530,30 +718,37 @@ def _segments(df: DataFrame, raw: Column, location: Column, meta: Column, seq: C
     )
 
 
-def unreadable_packages(tokens: DataFrame) -> DataFrame:
+def unreadable_packages(tokens: DataFrame | SplitTokens) -> DataFrame:
     """``file_path, content`` of files with an Office name that are not packages (for the text fallback)."""
-    return tokens.where(F.col("kind") == "raw").select(F.col("path").alias("file_path"), "content")
+    raw = lambda t: t.where(F.col("kind") == "raw").select(F.col("path").alias("file_path"), "content")
+    return _both(tokens, raw, raw)
 
 
-def errors(tokens: DataFrame) -> DataFrame:
+def errors(tokens: DataFrame | SplitTokens) -> DataFrame:
     """Side output: ``file_path, stage, message``."""
-    return tokens.where(F.col("kind") == "error").select(
+    failed = lambda t: t.where(F.col("kind") == "error").select(
         F.col("path").alias("file_path"), F.coalesce("type", F.lit("extract")).alias("stage"), F.col("error").alias("message")
     )
+    return _both(tokens, failed, failed)
 
 
-def word_paragraphs(tokens: DataFrame) -> DataFrame:
-    """Word segments: non-empty paragraphs numbered per part, ``"{Body|Header|Footer} P.{i}"``."""
+def _numbered_paragraphs(tokens: DataFrame) -> DataFrame:
     found = tokens.where(F.col("kind") == "w_p")
     # A paragraph's end closes the texts since the end before it; texts after the last end belong to none.
     # Grouped in the window's order, so the rows are sorted once.
     paras = found.groupBy("path", "part", "parent_ord", "part_ord").agg(
         joined_runs("ord").alias("text"), F.sum(F.size("texts")).alias("texts"), F.bool_or("flag").alias("ended"))
-    label = F.when(F.contains("part", F.lit("header")), F.lit(WORD_HEADER)).when(F.contains("part", F.lit("footer")), F.lit(WORD_FOOTER))
     w = Window.partitionBy("path", "part").orderBy("parent_ord")
-    numbered = paras.where("ended AND texts > 0").withColumns({"i": F.row_number().over(w), "type": label.otherwise(F.lit(WORD_BODY))})
+    return paras.where("ended AND texts > 0").select("path", "part", "part_ord", "text", F.row_number().over(w).alias("i"))
+
+
+def word_paragraphs(tokens: DataFrame | SplitTokens) -> DataFrame:
+    """Word segments: non-empty paragraphs numbered per part, ``"{Body|Header|Footer} P.{i}"``."""
+    own = lambda rows: rows.where(F.col("kind") == "own_w").select("path", "part", "part_ord", "text", F.col("ord").alias("i"))
+    numbered = _both(tokens, own, _numbered_paragraphs)
+    label = F.when(F.contains("part", F.lit("header")), F.lit(WORD_HEADER)).when(F.contains("part", F.lit("footer")), F.lit(WORD_FOOTER))
     return _segments(
-        numbered,
+        numbered.withColumn("type", label.otherwise(F.lit(WORD_BODY))),
         F.col("text"),
         F.concat(F.col("type"), F.lit(" P."), F.col("i").cast("string")),
         F.create_map(F.lit("xml"), F.col("part"), F.lit("type"), F.col("type")),
@@ -608,9 +803,19 @@ def excel_cells_raw(tokens: DataFrame, target_sheets: Iterable[str] | None = Non
     return joined.withColumn("display", display)
 
 
-def excel_cells(tokens: DataFrame, target_sheets: Iterable[str] | None = None) -> DataFrame:
+def _own_cells_raw(rows: DataFrame, target_sheets: Iterable[str] | None = None) -> DataFrame:
+    cells = rows.where(F.col("kind") == "own_c")
+    if target_sheets is not None:
+        cells = cells.where(F.col("name").isin(list(target_sheets)))
+    return cells.select("path", F.col("name").alias("sheet"), F.col("parent_ord").alias("sheet_ord"), F.col("ref").alias("cell"),
+                        F.col("ord").alias("cell_ord"), F.col("text").alias("display"))
+
+
+def excel_cells(tokens: DataFrame | SplitTokens, target_sheets: Iterable[str] | None = None) -> DataFrame:
     """Excel segments: non-empty cells, location ``"{sheet}!{cell}"``."""
-    cells = excel_cells_raw(tokens, target_sheets).where(F.col("display") != "")
+    columns = ("path", "sheet", "sheet_ord", "cell", "cell_ord", "display")
+    cells = _both(tokens, lambda rows: _own_cells_raw(rows, target_sheets).select(*columns), lambda t: excel_cells_raw(t, target_sheets).select(*columns))
+    cells = cells.where(F.col("display") != "")
     return _segments(
         cells,
         F.col("display"),
@@ -652,8 +857,7 @@ def excel_workbook_totals(summary: DataFrame) -> DataFrame:
     )
 
 
-def powerpoint_paragraphs(tokens: DataFrame) -> DataFrame:
-    """PowerPoint segments: stripped non-empty paragraphs per slide, notes right after their slide."""
+def _numbered_slides(tokens: DataFrame) -> DataFrame:
     parts = tokens.where(F.col("kind") == "part").select("path", "part", F.col("ord").alias("n"), F.col("type").alias("ptype"))
     slides = parts.where(F.col("ptype") == "slide").select("path", "n")
     notes_ok = parts.where(F.col("ptype") == "notes").join(slides, ["path", "n"], "left_semi")
@@ -662,7 +866,14 @@ def powerpoint_paragraphs(tokens: DataFrame) -> DataFrame:
     paras = runs.groupBy("path", "part", "parent_ord", "part_ord").agg(joined_runs("ord").alias("text"))
     paras = paras.withColumn("text", strip_py(F.col("text"))).where(F.col("text") != "")
     w = Window.partitionBy("path", "part").orderBy("parent_ord")
-    numbered = paras.withColumn("i", F.row_number().over(w)).join(parts_ok, ["path", "part"])
+    return paras.withColumn("i", F.row_number().over(w)).join(parts_ok, ["path", "part"]).select("path", "n", "ptype", "i", "text")
+
+
+def powerpoint_paragraphs(tokens: DataFrame | SplitTokens) -> DataFrame:
+    """PowerPoint segments: stripped non-empty paragraphs per slide, notes right after their slide."""
+    own = lambda rows: rows.where(F.col("kind") == "own_a").select(
+        "path", F.col("parent_ord").alias("n"), F.col("type").alias("ptype"), F.col("ord").alias("i"), "text")
+    numbered = _both(tokens, own, _numbered_slides)
     label = F.concat(
         F.lit(SLIDE_LABEL + " "), F.col("n").cast("string"),
         F.when(F.col("ptype") == "notes", F.lit(" " + NOTES_LABEL)).otherwise(F.lit("")),
@@ -677,6 +888,6 @@ def powerpoint_paragraphs(tokens: DataFrame) -> DataFrame:
     )
 
 
-def office_segments(tokens: DataFrame, target_sheets: Iterable[str] | None = None) -> DataFrame:
+def office_segments(tokens: DataFrame | SplitTokens, target_sheets: Iterable[str] | None = None) -> DataFrame:
     """Segments of all packages (the parser dispatch by extension happens in the tokenizer)."""
     return word_paragraphs(tokens).unionByName(excel_cells(tokens, target_sheets)).unionByName(powerpoint_paragraphs(tokens))
