@@ -147,7 +147,7 @@ def _texts(elem: ET.Element, tag: str) -> list[str]:
 def _flat(root: ET.Element, tag: str) -> list[ET.Element] | None:
     """The elements of a tag in the order in which they end; None if one lies inside another."""
     found = list(root.iter(tag))
-    return None if any(sum(1 for _ in x.iter(tag)) > 1 for x in found) else found
+    return None if any(len(list(x.iter(tag))) > 1 for x in found) else found
 
 
 def _paragraphs(chunks: Chunks) -> Iterator[tuple[list[str], bool]]:
@@ -316,7 +316,7 @@ def _read_in_place(info: zipfile.ZipInfo) -> bool:
 def _part_tokens(path: str, part: str, order: int, role: str, chunks: Chunks, in_store: bool) -> Iterator[tuple]:
     """Tokens of one member.  What comes before an error in it stays; the error is a row."""
     try:
-        yield from READERS[role](lambda kind, *places, **values: _tok(path, part, order, kind, *places, **values), chunks)
+        yield from READERS[role](partial(_tok, path, part, order), chunks)
     except Exception as e:  # noqa: BLE001 - one part; the others are read
         if in_store and isinstance(e, OSError):
             raise  # the file can't be read
@@ -374,27 +374,48 @@ _LONG = re.compile(r"[\x00-\x20\x7f]*([+-]?)0*([0-9]+)[\x00-\x20\x7f]*")
 
 def _long(value: str | None) -> int | None:
     """``try_cast(value AS BIGINT)``."""
+    if value and len(value) < 19 and value.isascii() and value.isdigit():
+        return int(value)
     m = _LONG.fullmatch(value or "")
     n = int(m.group(1) + m.group(2)) if m and len(m.group(2)) < 20 else 1 << 63
     return n if -(1 << 63) <= n < 1 << 63 else None
 
 
 class _Strings:
-    """A workbook's shared strings by index; long ones together lie in a temporary file, with 8 bytes each in memory."""
+    """A workbook's shared strings by index; beyond some they lie in a temporary file, with 8 bytes each in memory."""
 
     def __init__(self) -> None:
-        self.file, self.ends = tempfile.SpooledTemporaryFile(CHARS_PER_BATCH), array("q", [0])
+        self.held, self.size, self.file, self.ends = [], 0, None, array("q", [0])
 
     def add(self, texts: list[str]) -> None:  # all of them before the first is taken
-        data = "".join(texts).encode()
+        text = "".join(texts)
+        self.size += len(text) + 50  # a short string's object
+        if self.size <= CHARS_PER_BATCH:
+            self.held.append(text)
+            return
+        if self.file is None:
+            self.file = tempfile.TemporaryFile()
+        data = text.encode()
         self.file.write(data)
         self.ends.append(self.ends[-1] + len(data))
 
     def get(self, index: int | None) -> str:
-        if index is None or not 0 <= index < len(self.ends) - 1:
+        if index is None or index < 0:
+            return ""
+        if index < len(self.held):
+            return self.held[index]
+        i = index - len(self.held)
+        if i >= len(self.ends) - 1:
             return ""
-        self.file.seek(self.ends[index])
-        return self.file.read(self.ends[index + 1] - self.ends[index]).decode()
+        self.file.seek(self.ends[i])
+        return self.file.read(self.ends[i + 1] - self.ends[i]).decode()
+
+    def __enter__(self) -> _Strings:
+        return self
+
+    def __exit__(self, *_error) -> None:
+        if self.file:
+            self.file.close()
 
 
 def _passed(t: tuple) -> tuple:
@@ -442,8 +463,8 @@ def _own_slides(tokens: Iterator[tuple], names: list[str]) -> Iterator[tuple]:
 
 
 def _own_cells(tokens: Iterator[tuple], names: list[str]) -> Iterator[tuple]:
-    sheets, targets, by_part, strings = [], defaultdict(list), None, _Strings()
-    with strings.file:
+    sheets, targets, by_part = [], defaultdict(list), None
+    with _Strings() as strings:
         for t in tokens:
             kind, ref, text = t[3], t[6], t[8]
             if kind == "sheet":

@@ -1,6 +1,8 @@
 """Packages alone with their path are read without staging or shuffle, and give what the others' joins and windows give."""
 
+import io
 import warnings
+import zipfile
 
 import pyarrow as pa
 import pytest
@@ -128,4 +130,18 @@ def test_strings_beyond_memory_and_bounded_batches(monkeypatch):
     assert [r["text"] for r in found] == lines * 3
     strings = office._Strings()
     strings.add(["x" * 3_000])
-    assert strings.file._rolled and strings.get(0) == "x" * 3_000 and strings.get(1) == strings.get(-1) == strings.get(None) == ""
+    assert strings.file and strings.get(0) == "x" * 3_000 and strings.get(1) == strings.get(-1) == strings.get(None) == ""
+
+
+def test_packages_are_zip_files():
+    """Packages written member by member are what the ZIP library reads, short and long, and beyond 65,535 members."""
+    from linesift.sources import office_writer as W
+
+    for body in ("", "x", "é" * 300, "some words and more words " * 9_000):
+        parts = [("[Content_Types].xml", "<a/>"), ("word/document.xml", body), ("word/styles.xml", body[::-1])]
+        for data in (W._zip(parts), W._zip_long(parts)):
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                assert z.testzip() is None and [(i.filename, z.read(i).decode()) for i in z.infolist()] == parts
+                assert {i.compress_type for i in z.infolist()} == {zipfile.ZIP_DEFLATED}
+    many = [(f"m{i}", "") for i in range(65_540)]
+    assert len(zipfile.ZipFile(io.BytesIO(W._zip(many))).namelist()) == 65_540
