@@ -233,7 +233,7 @@ def _workbook(path: str, zf: zipfile.ZipFile, target_sheets: frozenset[str] | No
     """Tokens of a workbook's sheets and relationships, then ``(member, part_ord, role)`` of what is to be read."""
     places, wanted = {}, set()
     for part, order, tag, kind in (("xl/workbook.xml", 0, _q("s", "sheet"), "sheet"), ("xl/_rels/workbook.xml.rels", 1, _q("rel", "Relationship"), "rel")):
-        for i, elem in enumerate(_tree(_zipped(zf, part)).iter(tag)):
+        for i, elem in enumerate(_tree(_at_once(zf, part)).iter(tag)):
             if kind == "rel":
                 ref, text, type_ = elem.get("Id"), elem.get("Target"), None
                 places |= {ref: text.removeprefix("/") if text.startswith("/") else f"xl/{text}"} if ref and text else {}
@@ -278,6 +278,40 @@ def _zipped(zf: zipfile.ZipFile, name: str) -> Chunks:
     return chunks
 
 
+def _at_once(zf: zipfile.ZipFile, name: str) -> Chunks:
+    """A short, sound member in one piece; any other, with its errors, is left to the ZIP library."""
+    info = zf.getinfo(name)
+
+    def chunks() -> Iterator[bytes]:
+        data = _sound(zf.fp, info)
+        yield from _zipped(zf, name)() if data is None else (data,)
+
+    return chunks
+
+
+def _sound(f, info: zipfile.ZipInfo) -> bytes | None:
+    """A deflated member's bytes if they, and all that the ZIP library compares, are as the directory says."""
+    if info.compress_type != zipfile.ZIP_DEFLATED or info.flag_bits & ~0x80E or info.compress_size > CHUNK:
+        return None
+    f.seek(info.header_offset)
+    head = f.read(30)
+    if len(head) < 30 or head[:4] != b"PK\x03\x04":
+        return None
+    lengths = struct.unpack("<HH", head[26:30])
+    name, raw = f.read(sum(lengths))[: lengths[0]], f.read(info.compress_size)
+    end = getattr(info, "_end_offset", None)  # where the next member begins
+    if end is not None and info.header_offset + 30 + sum(lengths) + info.compress_size > end:
+        return None
+    try:
+        if name.decode("utf-8" if info.flag_bits & 0x800 else "cp437") != info.orig_filename:
+            return None
+        unpack = zlib.decompressobj(-15)
+        data = unpack.decompress(raw, 4 * CHUNK)
+    except (UnicodeDecodeError, zlib.error):
+        return None
+    return data if unpack.eof and len(data) == info.file_size and zlib.crc32(data) == info.CRC else None
+
+
 def _ranged(f, offset: int, packed: int, method: int, crc: int) -> Chunks:
     """A stored or deflated member by its place in the package; nothing else of the package is read.
 
@@ -297,7 +331,8 @@ def _ranged(f, offset: int, packed: int, method: int, crc: int) -> Chunks:
                 raise EOFError("the package ends inside a member")
             left -= len(raw)
             while raw:
-                yield out
+                if out:
+                    yield out
                 out, raw = (unpack.decompress(raw, 4 * CHUNK), unpack.unconsumed_tail) if unpack else (raw, b"")
                 seen = zlib.crc32(out, seen)
         rest = unpack.flush() if unpack else b""

@@ -145,3 +145,39 @@ def test_packages_are_zip_files():
                 assert {i.compress_type for i in z.infolist()} == {zipfile.ZIP_DEFLATED}
     many = [(f"m{i}", "") for i in range(65_540)]
     assert len(zipfile.ZipFile(io.BytesIO(W._zip(many))).namelist()) == 65_540
+
+
+def test_workbook_parts_are_read_as_by_the_zip_library(monkeypatch):
+    """Read at once, a workbook's own parts give what the library gives, also where it reports an error."""
+    book = xlsx_bytes("the\nend", "s", "l", 7)
+    at = book.index(b"xl/workbook.xml")  # the local header's name
+    end = at + len(b"xl/workbook.xml")
+    cases = {"sound": book, "name": book[:at] + b"xl/workb00k.xml" + book[end:], "packed": book[:end + 4] + b"\xff\xff" + book[end + 6:],
+             "crc": book.replace(book[at - 16:at - 12], b"abcd"), "header": book[:at - 30] + b"XXXX" + book[at - 26:]}
+    buf = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(book)) as z, zipfile.ZipFile(buf, "w") as stored:
+        for i in z.infolist():
+            stored.writestr(i.filename, z.read(i))
+    cases["stored"] = buf.getvalue()
+    cases["missing"] = pkg([("xl/workbook.xml", WB.format(""))])
+    got = {k: list(office.package_tokens("b.xlsx", v)) for k, v in cases.items()}
+    monkeypatch.setattr(office, "_at_once", office._zipped)
+    assert got == {k: list(office.package_tokens("b.xlsx", v)) for k, v in cases.items()}
+    assert [k for k, v in got.items() if any(t[3] == "error" for t in v)] == ["name", "packed", "crc", "header", "missing"]
+    assert len(got["sound"]) == len(got["stored"]) > 8
+
+
+def test_whole_words_start_with_their_literal(spark):
+    """The literal is looked at before the word's edges; the lines found are those of Python's own search."""
+    import re
+
+    from linesift.operators.grep import compile_search
+
+    lines = ["the", "The end", "other", "the_", "_the", "the-x", "x.the", "éthe", "thé", "bathe the", "thethe", "a+b", "xa+b", "a+bc", "1 a+b 2", "İthe", "", "st theſ"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, raw string")
+    for needle in ("the", "a+b", "+b", "e", " ", "é"):
+        for ignore_case in (False, True):
+            s = compile_search(needle, whole_word=True, ignore_case=ignore_case)
+            found = re.compile(r"\b" + re.escape(needle) + r"\b", re.I if ignore_case else 0)
+            assert sorted(r.i for r in df.where(s.predicate("raw")).collect()) == [i for i, x in enumerate(lines) if found.search(x)], (needle, ignore_case)
+            assert "(?=" in s.regex.split(re.escape(needle))[0]
